@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import sub_batches
 
 #: The rank of a pair that can't be merged.
-NONE = np.int64(1) << 40
+NONE = 1 << 24
 #: Bytes of a piece up to which pieces are merged together, many at a time; longer ones one by one.
 BATCH_BYTES = 64
-#: Pieces whose ids a worker keeps.
-CACHE = 300_000
+#: Pieces of a generation; a worker keeps the ids of this one and of the one before.
+CACHE = 400_000
 #: Fixed value: the pattern that splits text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{l}{n}]+|[{S}]+(?![^{S}])|[{S}]+"
 
@@ -55,70 +55,98 @@ class Merges:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             pairs.setdefault((vocab[a] << 32) | vocab[b], (rank, vocab[a + b]))
-        keys = np.array(sorted(pairs), dtype=np.int64)
-        self.keys = np.append(keys, np.int64(1) << 62)
-        self.ranks = np.array([*[pairs[k][0] for k in keys.tolist()], NONE], dtype=np.int64)
-        self.merged = np.array([*[pairs[k][1] for k in keys.tolist()], 0], dtype=np.int64)
+        self._build(pairs)
         self.pairs = pairs
 
+    def _build(self, pairs: dict[int, tuple[int, int]]) -> None:
+        """A cuckoo table: each pair is at one of two places, so a look-up is two reads."""
+        self.bits = max(10, (4 * len(pairs) + 1).bit_length())
+        slots: list[dict[int, int]] = [{}, {}]
+        for key in pairs:
+            side = 0
+            for _ in range(10_000):
+                at = int(self._slots(np.array([key]))[side][0])
+                key, slots[side][at] = slots[side].get(at), key
+                if key is None:
+                    break
+                side = 1 - side
+            else:
+                raise ValueError("the merge table can't be placed")
+        size = 1 << self.bits
+        self.keys, self.ranks, self.merged = np.full(2 * size, -1), np.full(2 * size + 1, NONE, dtype=np.int32), np.zeros(2 * size + 1, dtype=np.int32)
+        for side in (0, 1):
+            for at, key in slots[side].items():
+                self.keys[side * size + at] = key
+                self.ranks[side * size + at], self.merged[side * size + at] = pairs[key]
+
+    def _slots(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        shift = np.uint64(64 - self.bits)
+        return (mixed >> shift).astype(np.int64), ((mixed * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift).astype(np.int64)
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Row of the merge table for each pair, the last (rank NONE) if there is none."""
-        key = (left << 32) | right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, at, len(self.keys) - 1)
+        key = (left.astype(np.int64) << 32) | right
+        one, two = self._slots(key)
+        two += 1 << self.bits
+        return np.where(self.keys[one] == key, one, np.where(self.keys[two] == key, two, len(self.keys)))
 
-    def encode_many(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of at most BATCH_BYTES bytes. All have a tree of their own, updated in step: a leaf is
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of at most BATCH_BYTES bytes. Each has a tree of its own, all updated in step: a leaf is
         rank * leaves + place of a pair, so the root is the leftmost pair of the lowest rank."""
         size = np.array([len(p) for p in pieces])
         leaves = 1 << max(1, int(size.max() - 1).bit_length())
-        n, wide = len(pieces), leaves + 1
-        raw = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), dtype=np.uint8).reshape(n, wide)
-        ids = self.of_byte[raw]
-        place = np.arange(wide)
-        after = np.broadcast_to(place + 1, (n, wide)).copy()
-        before = np.broadcast_to(place - 1, (n, wide)).copy()
-        tree = np.full((n, 2 * leaves), NONE * leaves, dtype=np.int64)
-        pair = self.look_up(ids[:, :-1], ids[:, 1:])
-        ok = place[None, :-1] + 1 < size[:, None]
-        tree[:, leaves:] = np.where(ok, self.ranks[pair] * leaves + place[:-1], NONE * leaves)
+        n, wide, none = len(pieces), leaves + 1, NONE * leaves
+        raw = np.frombuffer(b"".join([p.ljust(wide, b"\0") for p in pieces]), dtype=np.uint8)
+        ids = self.of_byte[raw].astype(np.int32)
+        place = np.arange(wide, dtype=np.int32)
+        after, before = np.tile(place + 1, n), np.tile(place - 1, n)
+        alive = (place < size[:, None]).ravel()
+        tree = np.full((n, 2 * leaves), none, dtype=np.int64)
+        grid = ids.reshape(n, wide)
+        rank = self.ranks[self.look_up(grid[:, :-1], grid[:, 1:])].astype(np.int64)
+        tree[:, leaves:] = np.where((rank < NONE) & (place[1:] < size[:, None]), rank * leaves + place[:-1], none)
         at = leaves
         while at > 1:
             tree[:, at // 2 : at] = np.minimum(tree[:, at : 2 * at : 2], tree[:, at + 1 : 2 * at : 2])
             at //= 2
-
-        def put(row: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
-            node = leaf + leaves
-            tree[row, node] = value
-            while node.size and node[0] > 1:
-                node = node >> 1
-                tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
-
-        alive = np.ones((n, wide), dtype=bool)
+        tree = tree.ravel()
         row = np.arange(n)
         while True:
-            row = row[tree[row, 1] < NONE * leaves]
+            root = tree[row * (2 * leaves) + 1]
+            go = root < none
+            row, root = row[go], root[go]
             if not len(row):
                 break
-            i = tree[row, 1] % leaves
-            j = after[row, i]
-            ids[row, i] = self.merged[self.look_up(ids[row, i], ids[row, j])]
-            alive[row, j] = False
-            k, h = after[row, j], before[row, i]
-            after[row, i] = k
+            base, top = row * wide, row * (2 * leaves)
+            i = root % leaves
+            j = after[base + i]
+            k, h = after[base + j], before[base + i]
+            new = self.merged[self.look_up(ids[base + i], ids[base + j])]
+            ids[base + i] = new
+            alive[base + j] = False
+            after[base + i] = k
             inside = k < size[row]
-            before[row[inside], k[inside]] = i[inside]
-            gone = np.full(len(row), NONE * leaves)
-            put(row, np.minimum(j, leaves - 1), gone)  # the last symbol starts no pair: its leaf is empty already
-            right = np.where(inside, self.ranks[self.look_up(ids[row, i], ids[row, np.minimum(k, leaves)])], NONE)
-            put(row, i, np.where(right < NONE, right * leaves + i, NONE * leaves))
+            before[(base + k)[inside]] = i[inside]
+            # Three leaves change: the pair that went, the one on the right, the one on the left.
+            right = self.ranks[self.look_up(new, ids[base + np.minimum(k, leaves)])]
+            tree[top + leaves + np.minimum(j, leaves - 1)] = none  # the last symbol starts no pair: its leaf is empty already
+            tree[top + leaves + i] = np.where(inside & (right < NONE), right.astype(np.int64) * leaves + i, none)
             some = h >= 0
-            r, h, i = row[some], h[some], i[some]
-            left = self.ranks[self.look_up(ids[r, h], ids[r, i])]
-            put(r, h, np.where(left < NONE, left * leaves + h, NONE * leaves))
-        return [ids[r, : size[r]][alive[r, : size[r]]] for r in range(n)]
-
-    def encode_long(self, piece: bytes) -> np.ndarray:
+            h, there = h[some], base[some]
+            left = self.ranks[self.look_up(ids[there + h], new[some])]
+            tree[top[some] + leaves + h] = np.where(left < NONE, left.astype(np.int64) * leaves + h, none)
+            node = np.concatenate([np.minimum(j, leaves - 1), i, h]) + leaves
+            tops = np.concatenate([top, top, top[some]])
+            while node[0] > 1:
+                node >>= 1
+                low = tops + 2 * node
+                tree[tops + node] = np.minimum(tree[low], tree[low + 1])
+        out = ids[alive].astype("<u4").tobytes()
+        ends = np.cumsum(alive.reshape(n, wide).sum(axis=1) * 4).tolist()
+        return [out[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def encode_long(self, piece: bytes) -> bytes:
         """Ids of one piece of any length, with one tree."""
         n, none, pairs = len(piece), (1 << 60, 0), self.pairs
         ids = self.of_byte[np.frombuffer(piece, dtype=np.uint8)].tolist()
@@ -155,7 +183,7 @@ class Merges:
                 put(i, none)
             if before[i] >= 0:
                 put(before[i], rank(before[i], i))
-        return np.array([x for x in ids if x >= 0], dtype=np.int64)
+        return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
 
 
 class Encoder:
@@ -164,6 +192,7 @@ class Encoder:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         low = [chr(c) for c in range(0x250)]
         of = lambda kind: "".join(map(re.escape, (c for c in low if unicodedata.category(c)[0] == kind)))
         blank = r"\t-\r \x85\xa0"
@@ -181,27 +210,28 @@ class Encoder:
         return [p for part in self.cut.split(text) for p in ([part] if part in special else find(part))]
 
     def learn(self, pieces: set[str]) -> None:
-        known, special = self.known, self.merges.special
-        new = [p for p in pieces if p not in known]
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
+        known, special, older = self.known, self.merges.special, self.older
         by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for p in new:
-            if p in special:
+        for p in pieces.difference(known):
+            if p in older:
+                known[p] = older[p]
+            elif p in special:
                 known[p] = np.array([special[p]], dtype="<u4").tobytes()
-                continue
-            b = p.encode()
-            by_size.setdefault((len(b) - 1).bit_length() if len(b) <= BATCH_BYTES else -1, []).append((p, b))
+            else:
+                b = p.encode()
+                by_size.setdefault((len(b) - 1).bit_length() if len(b) <= BATCH_BYTES else -1, []).append((p, b))
         for width, group in by_size.items():
-            step = 1 << max(6, 17 - max(width, 0))
+            step = 1 << 17 - max(width, 0)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 ids = [self.merges.encode_long(b) for _, b in part] if width < 0 else self.merges.encode_many([b for _, b in part])
-                known.update((p, i.astype("<u4").tobytes()) for (p, _), i in zip(part, ids, strict=True))
+                known.update(zip((p for p, _ in part), ids, strict=True))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
         self.learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
