@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import id_remainder, sub_batches
 
 #: Dimensions of a vector, letters of an n-gram (a non-letter is a blank), seed of the letter vectors.
-DIM, NGRAM, SEED = 1024, 3, 20_240_613
-#: N-gram vectors that a worker keeps, as rows of one byte a dimension.
+DIM, NGRAM, SEED = 512, 3, 20_240_613
+#: N-gram vectors that a worker keeps.
 KEPT = 1 << 15
 #: A document whose best cosine is lower is rejected as being in none of the languages.
-MIN_SCORE = 0.2
+MIN_SCORE = 0.15
+#: Letters below which a text is too short to be rejected for its score.
+MIN_LETTERS = 200
 
 
 class Space:
@@ -27,8 +29,12 @@ class Space:
         self.letters: dict[int, np.ndarray] = {}
         self.is_letter = np.zeros(0x110000, dtype=bool)
         self.is_letter[[c for c in range(0x110000) if chr(c).isalpha()]] = True
-        self.codes = np.empty(0, dtype=np.int64)
-        self.rows = np.empty((0, dim), dtype=np.int8)
+        self.buffer = np.empty((1024, dim), dtype=np.float32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes, self.at, self.used = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0
+        self.rows = np.empty((KEPT, self.dim), dtype=np.float32)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -54,28 +60,38 @@ class Space:
             out *= np.roll(np.stack([self.letter(int(p)) for p in points]), k, axis=1)[at]
         return out
 
+    def keep(self, codes: np.ndarray) -> None:
+        """Have the vectors of these n-grams at hand as long as they fit."""
+        new = np.setdiff1d(codes, self.codes, assume_unique=True)
+        if len(new) + self.used > KEPT:
+            self.forget()
+            new = codes
+        if 0 < len(new) <= KEPT:
+            self.rows[self.used : self.used + len(new)] = self.bind(new)
+            at = np.concatenate([self.at, np.arange(self.used, self.used + len(new))])
+            all_codes = np.concatenate([self.codes, new])
+            order = np.argsort(all_codes)
+            self.codes, self.at, self.used = all_codes[order], at[order], self.used + len(new)
+
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        """The same, with the rows kept for later documents as long as they fit."""
         at = np.searchsorted(self.codes, codes)
-        known = at < len(self.codes)
-        known[known] = self.codes[at[known]] == codes[known]
-        if not known.all():
-            new = codes[~known]
-            if len(new) + len(self.codes) > KEPT:
-                self.codes, self.rows, new = self.codes[:0], self.rows[:0], codes
-                if len(new) > KEPT:
-                    return self.bind(codes)
-            codes_, rows = np.concatenate([self.codes, new]), np.concatenate([self.rows, self.bind(new)])
-            order = np.argsort(codes_)
-            self.codes, self.rows = codes_[order], rows[order]
-            at = np.searchsorted(self.codes, codes)
-        return self.rows[at]
+        if len(self.codes) == 0 or at[-1] == len(self.codes) or (self.codes[at] != codes).any():
+            return self.bind(codes).astype(np.float32)
+        return np.take(self.rows, self.at[at], axis=0, out=self.buffer[: len(codes)], mode="clip")
+
+    def profiles(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        """The vector of each text, None where it is null or has no letter."""
+        grams = [self.grams(t) if t else None for t in texts]
+        if seen := [g[0] for g in grams if g is not None]:
+            self.keep(np.unique(np.concatenate(seen)))
+        for g in grams:
+            yield self.bundle(*g) if g is not None and len(g[0]) else None
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of n-gram vectors, each as often as it occurs."""
         total = np.zeros(self.dim)
-        for k in range(0, len(codes), 4096):
-            total += counts[k : k + 4096].astype(np.float32) @ self.vectors(codes[k : k + 4096]).astype(np.float32)
+        for k in range(0, len(codes), 1024):
+            total += counts[k : k + 1024].astype(np.float32) @ self.vectors(codes[k : k + 1024])
         return total
 
 
@@ -93,10 +109,8 @@ def language_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = _space(dim, n, seed), {}
         for b in sub_batches(batches):
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codes, counts = space.grams(text)
-                if len(codes):
-                    v = space.bundle(codes, counts)
+            for v, lang in zip(space.profiles(b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True):
+                if v is not None:
                     sums.setdefault(lang, np.zeros(dim))[:] += v / (np.linalg.norm(v) or 1.0)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "dim", "value"])
@@ -124,13 +138,12 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, id_col:
         space = _space(dim, n, seed)
         for b in sub_batches(batches):
             langs, scores = [], []
-            for text in b.column(1).to_pylist():
-                codes, counts = space.grams(text) if text and names else ((), ())
-                if not len(codes):
+            texts = b.column(1).to_pylist() if names else [None] * b.num_rows
+            for v in space.profiles(texts):
+                if v is None:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                v = space.bundle(codes, counts)
                 cos = prototypes @ v / (np.linalg.norm(v) or 1.0)
                 k = int(cos.argmax())
                 langs.append(names[k])
@@ -148,10 +161,12 @@ def predict_language(docs: DataFrame) -> DataFrame:
     return identify(docs, names, prototypes).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents in some language that the table's own labels teach: those with letters and a best cosine of
-    ``min_score`` at least. All columns stay."""
-    kept = predict_language(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("doc_id")
+def known_language(docs: DataFrame, min_score: float = MIN_SCORE, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """The documents in some language that the table's own labels teach: those with letters, less those of
+    ``min_letters`` or more whose best cosine is under ``min_score``. All columns stay."""
+    sizes = docs.select("doc_id", F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"))
+    scored = predict_language(docs).where("lang_pred <> 'und'").join(sizes, "doc_id")
+    kept = scored.where((F.col("score") >= min_score) | (F.col("letters") < min_letters)).select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
