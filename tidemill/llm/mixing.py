@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Weights that sources take in turn, the share of all words that the mix holds, and the most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents of one bucket of keys, within which the prefix sum is one window.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 
 
 def n_words(text: str = "text"):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, exact_dedup, langid, mixing, simhash
+from tidemill.llm import bpe, embeddings, exact_dedup, langid, licenses, mixing, simhash
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,
+    "op9_embedding_groups": embeddings.op9_embedding_groups,
 }
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op7_mixing": mixing.OP7_SQL}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_license_scan": licenses.OP5_SQL, "op7_mixing": mixing.OP7_SQL}
