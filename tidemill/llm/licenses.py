@@ -64,10 +64,10 @@ def template_blocks(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     sets = order.groupBy("template", "label").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
     sets = sets.withColumn("t", F.size("ranks")).withColumn("need", need)
     prefix = sets.select("*", F.posexplode(F.slice("ranks", F.lit(1), F.col("t") - F.col("need") + 1)).alias("i", "rank"))
-    rare = prefix.select("rank").distinct().join(F.broadcast(ranked), "rank").agg(F.collect_set("word").alias("rare"))
-    # From here on only documents with a rare word.
-    some = lines.crossJoin(F.broadcast(rare)).withColumn("words", words_of("line")).where(F.arrays_overlap("words", "rare"))
-    at = some.select("doc_id", F.posexplode("words").alias("pos", "word")).where(F.col("word").isin(vocabulary))
+    rare = sorted(r[0] for r in prefix.select("rank").distinct().join(F.broadcast(ranked), "rank").select("word").collect())
+    # From here on only documents with a rare word; there are no more of those than words in templates.
+    some = lines.where(F.concat(F.lit(" "), "line", F.lit(" ")).rlike(f" (?:{'|'.join(rare) or '(?!)'}) "))
+    at = some.select("doc_id", F.posexplode(words_of("line")).alias("pos", "word")).where(F.col("word").isin(vocabulary))
     at = at.join(F.broadcast(ranked), "word")
     here = F.floor(F.col("pos") / step).cast("long")
     at = at.select("doc_id", "rank", F.explode(F.when(here > 0, F.array(here - 1, here)).otherwise(F.array(here))).alias("block"))
@@ -88,17 +88,21 @@ def phrase_places(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, id_col:
     padded = F.concat(F.lit(" "), F.col("line"), F.lit(" "))
     n = F.when(F.col("line") == "", F.lit(0)).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long")
 
-    def starts(phrase: str) -> Column:
-        want = phrase.split()
-        literal = F.array(*[F.lit(w) for w in want])
-        words = F.split("line", " ")
-        every = F.sequence(F.lit(0), F.size(words) - len(want))
-        return F.when(padded.contains(f" {phrase} "), F.filter(every, lambda i: F.slice(words, i + 1, len(want)) == literal)).otherwise(F.array().cast("array<int>"))
-
-    found = lines.select("doc_id", n.alias("n_words"), *[starts(p).alias(f"p{k}") for k, p in enumerate(phrases)])
-    places = F.concat(*[F.col(f"p{k}") for k in range(len(phrases))])
-    labels = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())]))
-    return found.select("doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), labels.alias("base_labels"))
+    spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    found = lines.select("doc_id", "line", n.alias("n_words"))
+    for k, phrase in enumerate(phrases):
+        # Between the places of a phrase lie pieces of the line; every word of a piece has one blank before it.
+        cut = F.when(padded.contains(f" {phrase} "), F.split(padded, f" {phrase}(?= )"))
+        found = found.withColumn(f"cut{k}", cut)
+    first, last, times = [], [], []
+    for k, phrase in enumerate(phrases):
+        cut = F.col(f"cut{k}")
+        times.append(F.coalesce(F.size(cut) - 1, F.lit(0)))
+        first.append(spaces(F.element_at(cut, 1)).cast("long"))
+        last.append((F.col("n_words") - (spaces(F.element_at(cut, -1)) - 1) - len(phrase.split())).cast("long"))
+    labels = F.array_compact(F.array(*[F.when(F.col(f"cut{k}").isNotNull(), F.lit(label)) for k, label in enumerate(phrases.values())]))
+    lowest, highest = (first[0], last[0]) if len(phrases) == 1 else (F.least(*first), F.greatest(*last))
+    return found.select("doc_id", "n_words", sum(times[1:], times[0]).cast("long").alias("n_base"), lowest.alias("first_word"), highest.alias("last_word"), labels.alias("base_labels"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
