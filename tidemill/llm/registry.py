@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, embeddings, exact_dedup, langid, licenses, mixing, simhash
+from tidemill.llm import bpe, embeddings, exact_dedup, hmm, langid, licenses, linededup, mixing, resample, simhash
 
 QUERIES = {
+    "op1_quality": resample.op1_quality,
     "op2_language_id": langid.op2_language_id,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_bpe": bpe.op4_bpe,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,
+    "op8_hmm_scores": hmm.op8_hmm_scores,
     "op9_embedding_groups": embeddings.op9_embedding_groups,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_license_scan": licenses.OP5_SQL, "op7_mixing": mixing.OP7_SQL}
