@@ -28,7 +28,7 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back: cuts lineage,
     survives lost executors and is computed a single time."""
     path = f"{scratch_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import id_remainder, materialize, sub_batches
@@ -18,17 +18,20 @@ from tidemill.llm.common import id_remainder, materialize, sub_batches
 #: Latent states, symbols without the end, rounds of training, tokens of a training window, seed.
 STATES, SYMBOLS, ROUNDS, WINDOW, SEED = 8, 4096, 4, 64, 11
 #: Bytes of text of a block of documents, which shares one table of words.
-BLOCK = 4_000_000
+BLOCK = 16_000_000
 
 
-def symbol(word: bytes) -> int:
-    """Short words are told apart by themselves, longer ones by their last three bytes; hashed to SYMBOLS values."""
-    return zlib.crc32(word if len(word) <= 4 else b"~" + word[-3:]) % SYMBOLS
+def symbol(word: str = "word") -> Column:
+    """Short words are told apart by themselves, longer ones by their last three bytes; hashed to SYMBOLS values. The
+    empty word, the end of a text, is a symbol of its own."""
+    w = F.col(word)
+    seen = F.when(F.length(w) <= 4, w).otherwise(F.concat(F.lit(b"~"), F.substring(w, -3, 3)))
+    return F.when(F.length(w) == 0, SYMBOLS).otherwise(F.pmod(F.crc32(seen), F.lit(SYMBOLS))).cast("int")
 
 
 def blocks(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as numbers: rows of kind 0 are documents (``doc_id, held, seq``: places of the tokens in the block's
-    table of words as 32-bit integers), rows of kind 1 the words of a block (``place, word, n``: tokens in training
+    table of words as compressed 32-bit integers), rows of kind 1 the words of a block (``place, word, n``: tokens in training
     documents). A block is a run of documents of one task with about BLOCK bytes of text; its name is the partition
     and a number. Each token is a byte string of a lower-cased word, the end of a text is the empty string."""
 
@@ -45,7 +48,7 @@ def blocks(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
                     counts.update(words)
             names = sorted(set().union(*split))
             place = {w: i for i, w in enumerate(names)}
-            seqs = [np.fromiter(map(place.__getitem__, words), dtype="<i4", count=len(words)).tobytes() for words in split]
+            seqs = [zlib.compress(np.fromiter(map(place.__getitem__, words), dtype="<i4", count=len(words)).tobytes(), 1) for words in split]
             name = part << 32 | k
             d, w = b.num_rows, len(names)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(d, np.int32)), pa.array(np.full(d, name)), b.column(0), b.column(2), pa.array(seqs, pa.binary()), pa.nulls(d, pa.int32()), pa.nulls(d, pa.binary()), pa.nulls(d, pa.int64())], NAMES)
@@ -64,8 +67,8 @@ def coded_block(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     words = words.sort_values("place")
     c = words["c"].to_numpy()
     log = np.log10(c + 1.0)
-    sym = np.array([symbol(w) if w else SYMBOLS for w in words["word"]], dtype="<u2")
-    seqs = [np.frombuffer(s, dtype="<i4") for s in docs["seq"]]
+    sym = words["sym"].to_numpy().astype("<u2")
+    seqs = [np.frombuffer(zlib.decompress(s), dtype="<i4") for s in docs["seq"]]
     return pd.DataFrame({"doc_id": docs["doc_id"], "held": docs["held"], "n_tokens": [len(s) for s in seqs], "n_known": [int((c[s] > 0).sum()) for s in seqs], "logs": [float(log[s].sum()) for s in seqs], "syms": [sym[s].tobytes() for s in seqs]})
 
 
@@ -186,11 +189,10 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
     """
     table = materialize(blocks(docs, held, id_col, text_col), partition_by="kind")
     words = table.where("kind = 1").select("block", "place", "word", "n")
-    counts = words.groupBy("word").agg(F.sum("n").alias("c"))
-    symbol_of = F.when(F.length("word") == 0, SYMBOLS).otherwise(F.pmod(F.crc32(F.when(F.length("word") <= 4, F.col("word")).otherwise(F.concat(F.lit(b"~"), F.substring("word", -3, 3)))), F.lit(SYMBOLS))).cast("int")
-    sizes = counts.where("c > 0").groupBy(symbol_of.alias("sym")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # a row per symbol
+    counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")))
+    sizes = counts.where("c > 0").groupBy(symbol().alias("sym")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # a row per symbol
     total, distinct = int(sizes["n"].sum()), int(sizes["v"].sum())
-    back = words.join(counts, "word").select((F.col("block") + 0).alias("of"), "place", "word", "c")
+    back = words.drop("n").join(counts, "word").select((F.col("block") + 0).alias("of"), "place", symbol().alias("sym"), "c")
     rows = table.where("kind = 0").select("block", "doc_id", "held", "seq")
     schema = "doc_id long, held boolean, n_tokens long, n_known long, logs double, syms binary"
     coded = materialize(rows.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(coded_block, schema))
