@@ -8,14 +8,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, salted_join, sub_batches
+from tidemill.llm.common import SPACES, materialize, salted_join, sub_batches
 from tidemill.llm.components import components
 
 #: Largest edit distance of a link, least code points of a line that is compared, lines of one tile.
 DISTANCE, LEAST_CHARS, TILE = 2, 20, 128
+#: Slots of the bit map of keys that lines share.
+SLOTS = 1 << 24
 
 
 def segments(n: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -35,7 +37,7 @@ def line_keys(line: str, distance: int = DISTANCE) -> tuple[list[int], list[int]
     lines that are as long or shorter by up to ``distance``. A line within that many edits leaves one segment whole,
     and by the multi-match-aware choice it stands at one of these starts."""
     n = len(line)
-    key = lambda m, i, s: xxhash.xxh64_intdigest(f"{m}:{i}:{s}") - (1 << 63)
+    key = lambda m, i, s: xxhash.xxh64_intdigest(s, m * (distance + 1) + i)
     own = [key(n, i, line[p : p + size]) for i, (p, size) in enumerate(segments(n, distance))]
     look = []
     for m in range(max(n - distance, distance + 1), n + 1):
@@ -86,24 +88,51 @@ def within(a: str, b: str, distance: int = DISTANCE) -> bool:
     return bool(reach[distance] >> off & 1)
 
 
-def lines_of(text: str | Column) -> Column:
+def lines_of(text: str | None) -> list[str]:
     """Lines of a text, without the white space around each; a null or empty text has none."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.when(F.length(c) > 0, F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))).otherwise(F.array().cast("array<string>"))
+    return [x.strip(SPACES) for x in text.split("\n")] if text else []
 
 
-def _keys(distance: int):
+def document_lines(docs: DataFrame, least_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two views of the lines: ``line, doc_id, pos``, each line of ``least_chars`` or more once for each batch of
+    documents, at its first place there; and ``doc_id, n_lines, short``, the numbers of the shorter lines."""
+
+    def long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sub_batches(batches):
+            first: dict[str, tuple[int, int]] = {}
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for pos, line in enumerate(lines_of(t)):
+                    if len(line) >= least_chars and (line not in first or (i, pos) < first[line]):
+                        first[line] = i, pos
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array([i for i, _ in first.values()], pa.int64()), pa.array([p for _, p in first.values()], pa.int32())], ["line", "doc_id", "pos"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sub_batches(batches):
+            lines = [lines_of(t) for t in b.column(1).to_pylist()]
+            short = [[pos for pos, x in enumerate(ls) if len(x) < least_chars] for ls in lines]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(ls) for ls in lines], pa.int64()), pa.array(short, pa.list_(pa.int32()))], ["doc_id", "n_lines", "short"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(long_lines, "line string, doc_id long, pos int"), narrow.mapInArrow(counts, "doc_id long, n_lines long, short array<int>")
+
+
+def keyed(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``id, key, filed`` for every key of every line."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sub_batches(batches, "line", chars=500_000):
-            key, filed, line = [], [], []
-            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in sub_batches(batches, "line", chars=1_000_000):
+            keys: list[int] = []
+            ends = [0]
+            for s in b.column(1).to_pylist():
                 own, look = line_keys(s, distance)
-                key += own + look
-                filed += [True] * len(own) + [False] * len(look)
-                line += [i] * (len(own) + len(look))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(filed, pa.bool_()), pa.array(line, pa.int64())], ["key", "filed", "id"])
+                keys += own
+                keys += look
+                ends.append(len(keys))
+            flat = np.array(keys, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "keys"])
 
-    return run
+    each = lines.select("id", "line").mapInArrow(run, "id long, keys array<long>").select("id", F.posexplode("keys").alias("k", "key"))
+    return each.select("id", "key", (F.col("k") <= distance).alias("filed"))
 
 
 def _verify(distance: int):
@@ -154,10 +183,14 @@ def line_links(lines: DataFrame, distance: int = DISTANCE, tile: int = TILE) ->
     """Links ``a, b`` between distinct lines (``id, line``) at ``distance`` edits or fewer, as many as join the same
     groups. Lines that share a key meet; keys under which nothing is filed or one line stands alone end before any text
     moves, and a key with more than ``tile`` lines is dealt into tiles, each pair of them a group of its own."""
-    keys = materialize(lines.select("id", "line").mapInArrow(_keys(distance), "key long, filed boolean, id long"))
-    live = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("filed").alias("filed")).where("filed and c > 1")
-    live = live.select("key", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
-    rows = salted_join(keys, live, ["key"], salts=2).join(lines.select("id", "line"), "id")
+    live = keyed(lines, distance).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("filed").alias("filed")).where("filed and c > 1")
+    live = materialize(live.select("key", F.ceil(F.col("c") / tile).cast("int").alias("tiles")))
+    # A bit map of fixed size drops most of the dead keys where they are made.
+    slot = F.pmod("key", F.lit(SLOTS))
+    bits = live.select(slot.alias("slot")).distinct().groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    keys = keyed(lines, distance).withColumn("slot", slot).withColumn("word", F.expr("slot div 64"))
+    keys = keys.join(F.broadcast(bits), "word").where("bits & shiftleft(1L, cast(slot % 64 as int)) <> 0").select("id", "key", "filed")
+    rows = salted_join(keys, live, ["key"]).join(lines.select("id", "line"), "id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("*", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "filed", "id", "line")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_verify(distance), "a long, b long")
@@ -173,16 +206,14 @@ def line_dedup(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
     Equal lines become one before anything is compared (combined before the shuffle), so a line that stands in a
     third of all documents is one row.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), lines_of(text_col).alias("lines"))
-    each = base.select("doc_id", F.posexplode("lines").alias("pos", "line"))
-    distinct = each.where(F.length("line") >= least_chars).groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "line", "first"))
+    long_lines, per = document_lines(docs, least_chars, id_col, text_col)
+    # No document holds a line twice here, so the place goes with the smallest id.
+    distinct = long_lines.groupBy("line").agg(F.min("doc_id").alias("doc_id"), F.min_by("pos", "doc_id").alias("pos"))
+    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "line", "doc_id", "pos"))
     comps = components(line_links(distinct, distance))
-    groups = distinct.select("id", "first").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    groups = distinct.select("id", F.struct("doc_id", "pos").alias("first")).join(comps.withColumnRenamed("node", "id"), "id", "left")
     first = groups.groupBy(F.coalesce("component", "id").alias("g")).agg(F.min("first").alias("first"))
     kept = first.groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("firsts"))
-    short = F.transform(F.filter(F.transform("lines", lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"))), lambda x: x["n"] < least_chars), lambda x: x["i"])
-    per = base.select("doc_id", F.size("lines").cast("long").alias("n_lines"), short.alias("short"))
     joined = per.join(kept, "doc_id", "left")
     return joined.select("doc_id", "n_lines", F.array_sort(F.concat("short", F.coalesce("firsts", F.array().cast("array<int>")))).alias("kept_lines"))
 
