@@ -88,10 +88,11 @@ class Space:
             yield self.bundle(*g) if g is not None and len(g[0]) else None
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Sum of n-gram vectors, each as often as it occurs."""
+        """Sum of n-gram vectors, each weighted by log(1 + its count), so that a passage repeated over and over doesn't
+        outweigh the rest of its document."""
         total = np.zeros(self.dim)
         for k in range(0, len(codes), 1024):
-            total += counts[k : k + 1024].astype(np.float32) @ self.vectors(codes[k : k + 1024])
+            total += np.log1p(counts[k : k + 1024]).astype(np.float32) @ self.vectors(codes[k : k + 1024])
         return total
 
 
