@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare
 
-from tidemill.plans.queries import ORACLE_SQL, QUERIES
+from tidemill.plans.catalog import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

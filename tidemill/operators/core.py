@@ -6,6 +6,8 @@ partitions by symbol alone where it orders raw rows: work is cut into days, or i
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +65,49 @@ def recurrence(df: DataFrame, x: str, out: str, alpha: float, block: int = BLOCK
     rows = local.withColumn("__carry", carried).select("sym", "__b", "__carry", F.explode(F.arrays_zip("rns", "ys")).alias("z"))
     rows = rows.select("sym", F.col("z.rns").alias("rn"), (F.col("z.ys") + F.col("__carry") * F.pow(F.lit(keep), F.col("z.rns") - F.col("__b") * block + 1)).alias(out))
     return df.join(rows, ["sym", "rn"])
+
+
+#: How running aggregates join what comes before a bucket with what is inside it.
+JOIN_SUM = lambda before, inside: F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0))
+JOIN_PRODUCT = lambda before, inside: F.coalesce(before, F.lit(1.0)) * F.coalesce(inside, F.lit(1.0))
+JOIN_MAX = lambda before, inside: F.greatest(before, inside)
+
+
+def running(df: DataFrame, column: str, out: str, aggregate=F.sum, join=JOIN_SUM, upto: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """Adds ``out``: the aggregate of ``column`` over the symbol's rows up to this one (``upto`` 0) or the one before
+    (-1), in the order of ``rn``. Chunks of positions are aggregated on their own; only their totals are ordered by symbol."""
+    b = df.withColumn("__b", F.floor(F.col("rn") / chunk))
+    inside = Window.partitionBy("sym", "__b").orderBy("rn").rowsBetween(Window.unboundedPreceding, upto)
+    before = Window.partitionBy("sym").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = b.groupBy("sym", "__b").agg(aggregate(column).alias("__t"))
+    starts = totals.select("sym", "__b", aggregate("__t").over(before).alias("__s"))
+    both = b.withColumn("__v", aggregate(column).over(inside)).join(starts, ["sym", "__b"])
+    return both.withColumn(out, join(F.col("__s"), F.col("__v"))).drop("__b", "__s", "__v")
+
+
+def carry(df: DataFrame, columns: list[str], suffix: str, ahead: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Adds ``<column><suffix>``: the last value at or before each row that isn't null, or the first at or after it
+    (``ahead``), in the order of ``rn``. Within a chunk one ordered pass; across chunks one summary row a chunk."""
+    b = df.withColumn("__b", F.floor(F.col("rn") / chunk))
+    inside, across = Window.partitionBy("sym", "__b").orderBy("rn"), Window.partitionBy("sym").orderBy("__b")
+    if ahead:
+        pick, end, inside, across = F.first, F.min_by, inside.rowsBetween(0, Window.unboundedFollowing), across.rowsBetween(1, Window.unboundedFollowing)
+    else:
+        pick, end, inside, across = F.last, F.max_by, inside.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(Window.unboundedPreceding, -1)
+    ends = b.groupBy("sym", "__b").agg(*[end(c, F.when(F.col(c).isNotNull(), F.col("rn"))).alias(c) for c in columns])
+    outside = ends.select("sym", "__b", *[pick(c, ignorenulls=True).over(across).alias(f"__o{k}") for k, c in enumerate(columns)])
+    found = b.select("*", *[pick(c, ignorenulls=True).over(inside).alias(f"__i{k}") for k, c in enumerate(columns)]).join(outside, ["sym", "__b"])
+    return found.select(*df.columns, *[F.coalesce(f"__i{k}", f"__o{k}").alias(c + suffix) for k, c in enumerate(columns)])
+
+
+def lagged(df: DataFrame, columns: list[str], suffix: str = "_prev") -> DataFrame:
+    """Adds the value of the row before as ``<column><suffix>``."""
+    return chunk_windows(df, 1, 0, lambda b, over: b.select("*", *[F.max(c).over(over(-1, -1)).alias(c + suffix) for c in columns]))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a folder of its own only where none is set."""
+    session = df.sparkSession
+    if not session.conf.get("spark.checkpoint.dir", None) and session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

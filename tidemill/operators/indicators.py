@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators.core import chunk_windows, full, recurrence, row_position
+from tidemill.operators.core import chunk_windows, full, lagged, recurrence, row_position, running
 
 
 def sma(c: str, n: int, over) -> Column:
@@ -47,6 +47,8 @@ def finite_indicators(bars: DataFrame) -> DataFrame:
         b = b.withColumn("fractal_high", F.when(whole & (F.col("high") == F.max("high").over(five)), 1).otherwise(0))
         b = b.withColumn("fractal_low", F.when(whole & (F.col("low") == F.min("low").over(five)), 1).otherwise(0))
         b = b.withColumn("atr_median", full(F.expr("percentile(atr_sma, 0.5)").over(over(-27, 0)), F.count("atr_sma").over(over(-27, 0)), 28))
+        b = b.withColumn("bb_width", F.try_divide(4 * F.when(is20 == 20, F.col("bb_sd")), "close"))
+        b = b.withColumn("bb_width_median", full(F.expr("percentile(bb_width, 0.5)").over(over(-39, 0)), F.count("bb_width").over(over(-39, 0)), 40))
         return b.drop("tps", "tp_mean", "rise", "fall", "prev")
 
     return chunk_windows(bars if "rn" in bars.columns else row_position(bars), 64, 2, build)
@@ -66,3 +68,54 @@ def macd(bars: DataFrame) -> DataFrame:
 def regime_volatility(indicators: DataFrame) -> DataFrame:
     """``volatile`` where the mean true range is over 1.5 times its median over 28 bars, else ``normal``."""
     return indicators.withColumn("regime", F.when(F.col("atr_sma") > 1.5 * F.col("atr_median"), "volatile").otherwise("normal"))
+
+
+def wilder(df: DataFrame, sources: dict[str, str], n: int) -> DataFrame:
+    """Adds a Wilder mean (weight 1/n) of each source column from a symbol's second row on; its first row falls away."""
+    later = df.where("rn >= 1").withColumn("rn", F.col("rn") - 1)
+    for source, out in sources.items():
+        later = recurrence(later, source, out, 1.0 / n)
+    return later.withColumn("rn", F.col("rn") + 1)
+
+
+def _moves(bars: DataFrame) -> DataFrame:
+    b = lagged(bars if "rn" in bars.columns else row_position(bars), ["close", "high", "low"])
+    diff, up, down = F.col("close") - F.col("close_prev"), F.col("high") - F.col("high_prev"), F.col("low_prev") - F.col("low")
+    moves = {"rise": F.greatest(diff, F.lit(0.0)), "fall": F.greatest(-diff, F.lit(0.0)), "plus_dm": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus_dm": F.when((down > up) & (down > 0), down).otherwise(0.0), "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("close_prev")), F.abs(F.col("low") - F.col("close_prev")))}
+    return b.withColumns(moves).drop("close_prev", "high_prev", "low_prev")
+
+
+def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Adds ``rsi_<n>`` by Wilder means of gains and losses, from the second row on; 100 where nothing fell."""
+    w = wilder(_moves(bars), {"rise": "__up", "fall": "__down"}, n)
+    value = F.when(F.col("__down") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("__up", "__down")))
+    return w.withColumn(f"rsi_{n}", value).drop("__up", "__down", "rise", "fall", "plus_dm", "minus_dm", "tr")
+
+
+def atr_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Adds ``atr_<n>``, the Wilder mean of the true range, from the second row on."""
+    return wilder(_moves(bars), {"tr": f"atr_{n}"}, n).drop("rise", "fall", "plus_dm", "minus_dm", "tr")
+
+
+def adx(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Adds ``di_plus``, ``di_minus`` and ``adx`` from the second row on; without any movement DX counts as 0."""
+    w = wilder(_moves(bars), {"plus_dm": "__p", "minus_dm": "__m", "tr": "__t"}, n)
+    w = w.withColumn("di_plus", F.try_divide(100 * F.col("__p"), F.col("__t"))).withColumn("di_minus", F.try_divide(100 * F.col("__m"), F.col("__t")))
+    w = w.withColumn("__dx", F.coalesce(F.try_divide(100 * F.abs(F.col("__p") - F.col("__m")), F.col("__p") + F.col("__m")), F.lit(0.0)))
+    return wilder(w, {"__dx": "adx"}, n).drop("__p", "__m", "__t", "__dx", "rise", "fall", "plus_dm", "minus_dm", "tr")
+
+
+def obv(bars: DataFrame) -> DataFrame:
+    """Adds ``obv``, the running volume signed by the direction of close; the first bar counts as rising."""
+    b = lagged(bars if "rn" in bars.columns else row_position(bars), ["close"])
+    return running(b.withColumn("__v", F.coalesce(F.signum(F.col("close") - F.col("close_prev")), F.lit(1.0)) * F.col("volume")), "__v", "obv").drop("__v", "close_prev")
+
+
+def regimes(indicators: DataFrame) -> DataFrame:
+    """Adds ``trend`` (trending at an adx of 25 or more, not_trending at 20 or less, else neutral), ``range`` (bands
+    narrower than 0.7 of their median width over 40 bars) and ``market``: volatile, trending, ranging or normal, the
+    first that holds."""
+    trend = F.when(F.col("adx") >= 25, "trending").when(F.col("adx") <= 20, "not_trending").otherwise("neutral")
+    narrow = F.when(F.col("bb_width") < 0.7 * F.col("bb_width_median"), "range").otherwise("not_range")
+    r = regime_volatility(indicators).withColumn("trend", trend).withColumn("range", narrow)
+    return r.withColumn("market", F.when(F.col("regime") == "volatile", "volatile").when(F.col("trend") == "trending", "trending").when(F.col("range") == "range", "ranging").otherwise("normal"))

@@ -50,3 +50,75 @@ def equity_metrics(curve: DataFrame, periods: int = 252) -> DataFrame:
     scale = F.sqrt(F.lit(float(periods)))
     sharpe, sortino = F.try_divide(F.col("m"), F.nullif("s", F.lit(0.0))) * scale, F.try_divide(F.col("m"), F.nullif("d", F.lit(0.0))) * scale
     return a.select("sym", sharpe.alias("sharpe"), sortino.alias("sortino"), (F.pow("g", F.lit(float(periods)) / F.col("n")) - 1).alias("cagr"), (F.col("g") - 1).alias("total_return"), "max_drawdown")
+
+
+def log_loss(df: DataFrame, y: str, p: str, eps: float = 1e-15) -> DataFrame:
+    """Mean binary log loss of probabilities clipped to [eps, 1 - eps]."""
+    c = F.greatest(F.least(F.col(p), F.lit(1 - eps)), F.lit(eps))
+    return df.agg((-F.avg(F.when(F.col(y) == 1, F.ln(c)).otherwise(F.ln(1 - c)))).alias("log_loss"))
+
+
+def weighted_class_report(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Precision, recall and F1 of each class, weighted by how often it is true, from the counts of (true, predicted)."""
+    cells = df.groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
+    sides = cells.select(F.inline(F.array(F.struct(F.col("y").alias("c"), F.col("n").alias("is"), F.lit(0).cast("long").alias("said"), hit.cast("long").alias("tp")), F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("is"), F.col("n").alias("said"), F.lit(0).cast("long").alias("tp")))))
+    g = sides.groupBy("c").agg(F.sum("is").alias("is"), F.sum("said").alias("said"), F.sum("tp").alias("tp"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    weigh = lambda e: F.try_divide(F.sum(F.col("is") * e), F.sum("is"))
+    return g.agg(weigh(ratio(F.col("tp"), F.col("said"))).alias("precision"), weigh(ratio(F.col("tp"), F.col("is"))).alias("recall"), weigh(ratio(2 * F.col("tp"), F.col("said") + F.col("is"))).alias("f1"))
+
+
+def ks_two_sample(df: DataFrame, current: str, column: str) -> DataFrame:
+    """``statistic, p_value`` of the two-sample Kolmogorov-Smirnov test between rows with ``current`` 0 and 1, over counts
+    by distinct value; p by the asymptotic series. Values are cut into ranges at approximate quantiles, each ordered on
+    its own from the sums before it."""
+    h = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count_if(F.col(current) == 0).alias("a"), F.count_if(F.col(current) == 1).alias("b"))
+    cuts = h.agg(F.percentile_approx("v", F.array(*[F.lit(k / 128) for k in range(1, 128)]), F.lit(1000)).alias("cuts"))
+    h = h.crossJoin(F.broadcast(cuts)).withColumn("k", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = h.groupBy("k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb")).select("k", F.coalesce(F.sum("ka").over(before), F.lit(0)).alias("sa"), F.coalesce(F.sum("kb").over(before), F.lit(0)).alias("sb"))
+    inside = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    c = h.withColumn("ca", F.sum("a").over(inside)).withColumn("cb", F.sum("b").over(inside)).join(F.broadcast(starts), "k")
+    total = h.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    d = c.crossJoin(F.broadcast(total)).agg(F.max(F.abs((F.col("sa") + F.col("ca")) / F.col("na") - (F.col("sb") + F.col("cb")) / F.col("nb"))).alias("statistic"), F.max(F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))).alias("scale"))
+    lam = F.col("statistic") * F.col("scale")
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + 2 * F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * lam * lam))
+    return d.select("statistic", F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))).alias("p_value"))
+
+
+def chi2_contingency(df: DataFrame, current: str, column: str) -> DataFrame:
+    """``statistic, dof`` of the 2 x k test of a category between rows with ``current`` 0 and 1; categories that one side
+    lacks count 0, and a 2 x 2 table is corrected for continuity."""
+    cells = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count_if(F.col(current) == 0).alias("a"), F.count_if(F.col(current) == 1).alias("b"))
+    total = cells.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("k"))
+    both = cells.crossJoin(F.broadcast(total)).select("k", F.explode(F.array(*[F.struct(F.col(o).cast("double").alias("o"), ((F.col("a") + F.col("b")) * F.col(n) / (F.col("na") + F.col("nb"))).alias("e")) for o, n in (("a", "na"), ("b", "nb"))])).alias("x"))
+    off = F.abs(F.col("x.o") - F.col("x.e"))
+    off = F.when(F.col("k") == 2, off - F.least(F.lit(0.5), off)).otherwise(off)
+    return both.agg(F.sum(off * off / F.col("x.e")).alias("statistic"), (F.max("k") - 1).alias("dof"))
+
+
+def returns_by_period(curve: DataFrame, period: str) -> DataFrame:
+    """``sym, period, ret``: compounded return of each month or year between a curve's first and last, 0 where it has no
+    point. The return of the first point is 0."""
+    w = Window.partitionBy("sym").orderBy("ts")
+    day = F.to_date(F.trunc(F.to_date("ts"), period))
+    r = curve.select("sym", day.alias("period"), F.coalesce(F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1, F.lit(0.0)).alias("r"))
+    g = r.groupBy("sym", "period").agg((F.product(1 + F.col("r")) - 1).alias("ret"))
+    slots = g.groupBy("sym").agg(F.min("period").alias("lo"), F.max("period").alias("hi")).select("sym", F.explode(F.expr(f"sequence(lo, hi, interval 1 {period})")).alias("period"))
+    return slots.join(g, ["sym", "period"], "left").select("sym", "period", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+
+
+def return_heatmap(curve: DataFrame) -> DataFrame:
+    """Sum of relative changes by year and month, months as columns ``m1`` to ``m12``."""
+    w = Window.partitionBy("sym").orderBy("ts")
+    r = curve.withColumn("r", F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1)
+    months = [F.sum(F.when(F.month("ts") == m, F.col("r"))).alias(f"m{m}") for m in range(1, 13)]
+    return r.groupBy("sym", F.year("ts").alias("year")).agg(*months)
+
+
+def top_drawdowns(curve: DataFrame, n: int) -> DataFrame:
+    """The ``n`` points of a curve with the deepest drawdown below 0; the earlier of equal ones."""
+    top = F.max("equity").over(Window.partitionBy("sym").orderBy("ts"))
+    d = curve.withColumn("drawdown", F.try_divide(F.col("equity") - top, top)).where("drawdown < 0")
+    return d.orderBy("drawdown", "sym", "ts").limit(n).select("sym", "ts", "drawdown")
