@@ -34,7 +34,7 @@ class Space:
 
     def forget(self) -> None:
         self.codes, self.at, self.used = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0
-        self.rows = np.empty((KEPT, self.dim), dtype=np.float32)
+        self.rows = np.empty((KEPT, self.dim), dtype=np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -77,7 +77,9 @@ class Space:
         at = np.searchsorted(self.codes, codes)
         if len(self.codes) == 0 or at[-1] == len(self.codes) or (self.codes[at] != codes).any():
             return self.bind(codes).astype(np.float32)
-        return np.take(self.rows, self.at[at], axis=0, out=self.buffer[: len(codes)], mode="clip")
+        out = self.buffer[: len(codes)]
+        out[:] = np.take(self.rows, self.at[at], axis=0)
+        return out
 
     def profiles(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """The vector of each text, None where it is null or has no letter."""
