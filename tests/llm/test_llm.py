@@ -214,3 +214,12 @@ def test_pipeline(spark):
             bare = [hashlib.sha256("".join(r.text.split()).encode()).digest() for r in docs.collect()]
             assert len(bare) == len({*bare})
     assert p.STAGES[4][1](spark, docs, SF).count() == docs.count()
+
+
+def test_round_trip_equals_encode_then_decode(spark):
+    from tidemill.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip, vocabulary
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "Añb <|endoftext|> \U0001f600 " * 50), (4, "x" * 3000)], "doc_id long, text string")
+    path = vocabulary()
+    rows = lambda df: {r.doc_id: (bytes(r.ids), r.text) for r in df.collect()}
+    assert rows(bpe_round_trip(docs, path)) == rows(bpe_decode(bpe_encode(docs, path), path))

@@ -21,7 +21,7 @@ NONE = 1 << 24
 #: Bytes of a piece up to which pieces are merged together, many at a time; longer ones one by one.
 BATCH_BYTES = 64
 #: Pieces of a generation; a worker keeps the ids of this one and of the one before.
-CACHE = 400_000
+CACHE = 150_000
 #: Fixed value: the pattern that splits text before the merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{l}{n}]+|[{S}]+(?![^{S}])|[{S}]+"
 
@@ -276,6 +276,20 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
+def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, text``: what ``bpe_decode`` makes of ``bpe_encode``, in one pass, so that each core runs one worker
+    with one copy of the vocabulary rather than two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for b in sub_batches(batches, chars=1_000_000):
+            ids = e.encode_batch(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([e.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "text"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, ids binary, text string")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -285,7 +299,7 @@ def vocabulary() -> str:
 def encoded_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document's ids and of the text decoded from them."""
     path = path or vocabulary()
-    back = bpe_decode(bpe_encode(docs, path), path)
+    back = bpe_round_trip(docs, path)
     return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
