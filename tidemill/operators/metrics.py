@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,11 @@ def equity_metrics(curve: DataFrame, periods: int = 252) -> DataFrame:
     return a.select("sym", sharpe.alias("sharpe"), sortino.alias("sortino"), (F.pow("g", F.lit(float(periods)) / F.col("n")) - 1).alias("cagr"), (F.col("g") - 1).alias("total_return"), "max_drawdown")
 
 
+def calmar() -> Column:
+    """CAGR by the largest drawdown, from the columns of ``equity_metrics``; null without a drawdown."""
+    return F.try_divide(F.col("cagr"), F.abs("max_drawdown"))
+
+
 def log_loss(df: DataFrame, y: str, p: str, eps: float = 1e-15) -> DataFrame:
     """Mean binary log loss of probabilities clipped to [eps, 1 - eps]."""
     c = F.greatest(F.least(F.col(p), F.lit(1 - eps)), F.lit(eps))
