@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.plans.queries import add, shown
-from tidemill.streaming.bars import run_available, stream_dedup, stream_ohlcv, tick_stream
+from tidemill.streaming import stateful as st
+from tidemill.streaming.bars import new_folder, run_available, stream_dedup, stream_ohlcv, tick_stream
 
 add("stream_ohlcv", lambda s, d: shown(run_available(stream_ohlcv(tick_stream(s, f"{d}/event[s].parquet"), "1 hour")), "open", "high", "low", "close", "volume"), None)
 add("stream_dedup", lambda s, d: run_available(stream_dedup(tick_stream(s, f"{d}/event[s].parquet"), ["event_id"])).select("sym", "event_id", F.round("price", 6).alias("price")), "SELECT event_type AS sym, event_id, round(value, 6) AS price FROM events")
+
+
+def _ticks(s: SparkSession, d: str) -> DataFrame:
+    return tick_stream(s, f"{d}/event[s].parquet")
+
+
+def _upserted(s: SparkSession, d: str) -> DataFrame:
+    """The last event of each type and hour."""
+    hours = _ticks(s, d).withColumn("loaded", F.col("event_id")).withColumn("ts", F.date_trunc("hour", "ts"))
+    return s.read.parquet(st.stream_upsert(hours, new_folder(s))).select("sym", "ts", "event_id", "price")
+
+
+def _matched(s: SparkSession, d: str) -> DataFrame:
+    return _ticks(s, d).select("ts", (F.col("price") > 10).cast("int").alias("prediction"), F.col("sym").isin("click", "view").cast("int").alias("actual"))
+
+
+add("stream_upsert", lambda s, d: shown(_upserted(s, d), "event_id", "price"), "SELECT event_type AS sym, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS ts, max(event_id) AS event_id, round(arg_max(value, event_id), 6) AS price FROM events GROUP BY event_type, date_trunc('hour', ts)")
+add("stream_prediction_log", lambda s, d: run_available(_ticks(s, d).select("event_id", "sym", (F.col("price") > 10).cast("int").alias("prediction"))), "SELECT event_id, event_type AS sym, (value > 10)::INTEGER AS prediction FROM events")
+add("stream_monitoring", lambda s, d: s.read.parquet(st.stream_monitoring(_matched(s, d), new_folder(s))).select("kind", "subject", F.round("value", 6).alias("value")), "SELECT 'accuracy' AS kind, strftime(date_trunc('day', ts), '%Y-%m-%d') AS subject, round(avg(((value > 10) = (event_type IN ('click', 'view')))::INTEGER), 6) AS value FROM events GROUP BY date_trunc('day', ts) HAVING avg(((value > 10) = (event_type IN ('click', 'view')))::INTEGER) < 0.7")
+add("stream_late_rows", lambda s, d: s.read.parquet(st.stream_late_rows(_ticks(s, d), new_folder(s))[0]).select("sym", "event_id"), "SELECT event_type AS sym, event_id FROM events")
+add("stream_ema", lambda s, d: shown(s.read.parquet(st.stream_ema(_ticks(s, d), new_folder(s), 20, "price")), "ema"), None)

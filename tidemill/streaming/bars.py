@@ -28,11 +28,14 @@ def stream_dedup(stream: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Runs the stream over what there is, into Parquet with a checkpoint under ``folder`` (by default the folder of
-    ``spark.checkpoint.dir``), and reads the result."""
-    spark = stream.sparkSession
+def new_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """A new name under ``folder`` (by default that of ``spark.checkpoint.dir``; a local one only where none is set)."""
     root = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{root}/stream-{uuid.uuid4().hex}"
+
+
+def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Runs the stream over what there is, into Parquet with a checkpoint under ``folder``, and reads the result."""
+    at = new_folder(stream.sparkSession, folder)
     stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
