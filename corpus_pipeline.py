@@ -9,7 +9,7 @@ from tidemill.llm.common import materialize
 from tidemill.llm.exact_dedup import keep_distinct
 from tidemill.llm.langid import known_language
 from tidemill.llm.mixing import mixed_documents
-from tidemill.llm.simhash import keep_one_of_each
+from tidemill.llm.neardup import keep_one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
     return keep_one_of_each(docs)
 
 

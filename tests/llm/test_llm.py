@@ -223,3 +223,56 @@ def test_round_trip_equals_encode_then_decode(spark):
     path = vocabulary()
     rows = lambda df: {r.doc_id: (bytes(r.ids), r.text) for r in df.collect()}
     assert rows(bpe_round_trip(docs, path)) == rows(bpe_decode(bpe_encode(docs, path), path))
+
+
+def components_of(sets, least):
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in ids}
+
+
+def test_near_dedup_brute_force(spark, texts):
+    from tidemill.llm.neardup import keep_one_of_each, similar_groups
+    from tidemill.llm.common import with_rows
+
+    def words_sets(rows):
+        out = {}
+        for i, t in rows.items():
+            w = (t or "").encode().lower().split()
+            out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        return out
+
+    random.seed(5)
+    rows = dict(list(texts.items())[:120])
+    base = [random.choice("abcdefghijklmnopqrstuvwxyz") + str(random.randrange(300)) for _ in range(130)]
+    for k in range(60):  # copies with 0 to 5 changed words: similarities on both sides of 0.8
+        w = list(base)
+        for _ in range(k % 6):
+            w[random.randrange(len(w))] = f"new{k}"
+        rows[10_000_000 + k] = " ".join(w)
+    rows |= {20_000_000: None, 20_000_001: " ", 20_000_002: "one two", 20_000_003: "One  two"}
+    docs = spark.createDataFrame([*rows.items()], "doc_id long, text string").repartition(3)
+    want = components_of(words_sets(rows), 0.8)
+    assert {r.doc_id for r in keep_one_of_each(docs).collect()} == {*want.values()}
+    assert 1 < sum(10_000_000 <= i < 20_000_000 for i in {*want.values()}) < 60
+    got = {}
+    for tile in (2, 256):
+        keyed = with_rows(docs)
+        ids = {r["__row"]: r.doc_id for r in keyed.collect()}
+        for r in similar_groups(keyed, tile=tile).collect():
+            got.setdefault(r.component, set()).add(ids[r["__row"]])
+        assert sorted(map(sorted, got.values())) == sorted(sorted(i for i in want if want[i] == c) for c in {*want.values()})
+        got.clear()
+    twice = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (None, "q r s")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in keep_one_of_each(twice).collect()) == [(0, "q r s"), (2, "a b c d e")]
+    assert keep_one_of_each(docs.limit(0)).count() == 0

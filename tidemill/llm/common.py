@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the operators define it: blank, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
+#: Column of the row key that :func:`with_rows` makes.
+ROW = "__row"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,6 +35,11 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, written once so that every reader sees the same: ids may be null or repeated."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
     """Join with ``right`` unique on ``keys``; the rows of a hot key of ``left`` are spread over ``salts`` tasks."""
     rest = [c for c in left.columns if c not in keys] or keys

@@ -19,18 +19,25 @@ from tidemill.llm.components import components
 SHINGLE, RADIUS, TILE = 3, 2, 256
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of one text: bit k is 1 if set in over half of the XXH64 values (seed 42) of its shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 values (seed 42) of the shingles of one text in order; fewer words than a shingle are one."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, 42)
+        return np.array([digest(line, 42)], dtype=np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-shingle].tolist()]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of one text: bit k is 1 if set in over half of the XXH64 values of its shingles; 0 without words."""
+    h = shingle_hashes(text, shingle)
+    if len(h) < 2:
+        return int(h[0]) if len(h) else 0
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 200_000):
         bits = np.unpackbits(h[at : at + 200_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -202,11 +209,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(classes, "fp").select("doc_id", hexed, "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of each group of near duplicates, with all their columns."""
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
