@@ -276,3 +276,19 @@ def test_near_dedup_brute_force(spark, texts):
     twice = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (None, "q r s")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in keep_one_of_each(twice).collect()) == [(0, "q r s"), (2, "a b c d e")]
     assert keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    from tidemill.llm.exact_dedup import exact_dedup, keep_distinct
+    from tidemill.llm.langid import known_language
+    from tidemill.llm.mixing import mix, mixed_documents
+
+    rows = [(None, "a b"), (1, "ab"), (2, "a b"), (3, "cd"), (3, "cd"), (None, "ef"), (None, "ef"), (4, "gh"), (4, "ij"), (None, "kl")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, None) for i, t in rows], DOCS)
+    got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup(docs).collect())
+    # Of "a b" the smallest id stays among the longest, null last; of rows alike one stays.
+    assert got == sorted([(0, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (3, 3, 2, True), (3, 3, 2, False), (0, 0, 2, True), (0, 0, 2, False), (4, 4, 1, True), (4, 4, 1, True), (0, 0, 1, True)])
+    assert sorted((r.doc_id or 0, r.text) for r in keep_distinct(docs).collect()) == [(0, "ef"), (0, "kl"), (2, "a b"), (3, "cd"), (4, "gh"), (4, "ij")]
+    assert sorted((r.doc_id or 0, r.text) for r in known_language(docs).collect()) == sorted((i or 0, t) for i, t in rows)
+    taken = sum(-(-r.taken // r["size"]) for r in mix(docs).collect() if r.taken)
+    assert mixed_documents(docs).count() == taken

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACES
+from tidemill.llm.common import ROW, SPACES, with_rows
 
 #: Code points of the normalised text that the prefix hash covers.
 PREFIX_CHARS = 256
@@ -19,13 +21,13 @@ def normalized(text: str | Column) -> Column:
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACES, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept``.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept`` and the columns ``carry``.
 
     Texts are equal when identical after white space is deleted; of equal texts the one with the most code
-    points in the original text, then the smallest id, stays. Null and empty texts form one group. Other
-    columns of ``docs`` are ignored, an empty table gives an empty result, and a row that repeats another's
-    id and text counts in the group and comes out again.
+    points in the original text, then the smallest id (null last), stays. Null and empty texts form one group. Other
+    columns of ``docs`` are ignored and an empty table gives an empty result. A row that repeats another's id and
+    text counts in the group and comes out again, and one of them is kept.
 
     The first scan reduces each document to its length and, within the length, a hash of its beginning. Keys that
     two documents share at both levels set a bit in a map of fixed size (``SLOTS`` bits, so its broadcast is bounded for any
@@ -39,32 +41,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_key = docs.select(F.length(norm).alias("n"), head.alias("head")).groupBy("n", "head").agg(F.count(F.lit(1)).alias("c"))
     slots = by_key.where("c > 1").select(F.pmod(F.xxhash64("n", "head"), F.lit(SLOTS)).alias("slot"))
     bits = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("points"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.length(norm), head), F.lit(SLOTS)).alias("slot"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("points"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.length(norm), head), F.lit(SLOTS)).alias("slot"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)])
     rows = rows.withColumn("word", F.expr("slot div 64")).join(F.broadcast(bits), "word", "left")
     shared = F.expr("coalesce(bits & shiftleft(1L, cast(slot % 64 as int)), 0L) <> 0")
     full = F.when(shared, F.sha2(normalized("text").cast("binary"), 256))
-    keyed = rows.select("doc_id", "points", full.alias("full")).persist(StorageLevel.MEMORY_AND_DISK)
+    more = [f"__c{k}" for k in range(len(carry))]
+    # The row key is made in the rows that are kept, so both of their readers see the same.
+    keyed = rows.select("doc_id", "points", full.alias("full"), *more).withColumn("key", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
     one = F.lit(1).cast("long")
-    alone = keyed.where("full is null").select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"))
+    out = [F.col(m).alias(c) for m, c in zip(more, carry, strict=True)]
+    alone = keyed.where("full is null").select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), *out)
     many = keyed.where("full is not null")
-    first = F.min(F.struct((-F.col("points")).alias("p"), "doc_id"))
-    groups = many.groupBy(F.col("full").alias("g")).agg(first["doc_id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(F.concat("g", F.lit("")).alias("full"), "keep_id", "group_size")
-    rest = many.join(groups, "full").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"))
+    first = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("o"), "doc_id", "key"))
+    groups = many.groupBy(F.col("full").alias("g")).agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.select(F.concat("g", F.lit("")).alias("full"), F.col("first.doc_id").alias("keep_id"), F.col("first.key").alias("keep_key"), "group_size")
+    rest = many.join(groups, "full").select("doc_id", "keep_id", "group_size", (F.col("key") == F.col("keep_key")).alias("kept"), *out)
     return alone.unionByName(rest)
 
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """The documents that :func:`exact_dedup` keeps, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = with_rows(docs)
+    kept = exact_dedup(rows, carry=[ROW]).where("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    digest = docs.select("doc_id", F.sha2(normalized("text").cast("binary"), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(digest, "doc_id")
-
+    digest = F.sha2(normalized("text").cast("binary"), 256)
+    return exact_dedup(docs.withColumn("text_sha256", digest), carry=["text_sha256"])
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import id_remainder, sub_batches
+from tidemill.llm.common import ROW, id_remainder, sub_batches, with_rows
 
 #: Dimensions of a vector, letters of an n-gram (a non-letter is a blank), seed of the letter vectors.
 DIM, NGRAM, SEED = 512, 3, 20_240_613
@@ -167,10 +167,12 @@ def predict_language(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame, min_score: float = MIN_SCORE, min_letters: int = MIN_LETTERS) -> DataFrame:
     """The documents in some language that the table's own labels teach: those with letters, less those of
     ``min_letters`` or more whose best cosine is under ``min_score``. All columns stay."""
-    sizes = docs.select("doc_id", F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"))
-    scored = predict_language(docs).where("lang_pred <> 'und'").join(sizes, "doc_id")
-    kept = scored.where((F.col("score") >= min_score) | (F.col("letters") < min_letters)).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = with_rows(docs)
+    names, prototypes = collect_profiles(language_profiles(rows.where(id_remainder("doc_id", 3) != 1)))
+    sizes = rows.select(F.col(ROW).alias("doc_id"), F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"))
+    scored = identify(rows, names, prototypes, ROW).where("lang_pred <> 'und'").join(sizes, "doc_id")
+    kept = scored.where((F.col("score") >= min_score) | (F.col("letters") < min_letters)).select(F.col("doc_id").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

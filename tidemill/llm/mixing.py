@@ -8,6 +8,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import ROW, with_rows
+
 #: Weights that sources take in turn, the share of all words that the mix holds, and the most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents of one bucket of keys, within which the prefix sum is one window.
@@ -39,8 +41,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken``.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", bucket_rows: int = BUCKET_ROWS, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, taken`` and the columns ``carry``, which also order
+    rows with equal ids.
 
     ``size`` counts the words of the text (null: 0) and ``taken`` those the mix takes: the source's whole epochs,
     then the documents in the order of a hash of id and seed until the words of a rounded target are used up; the
@@ -53,37 +56,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     window order the rows of one range. A source with a third of all rows is thus spread over many ranges.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), key.alias("key"))
+    more = [f"__c{k}" for k in range(len(carry))]
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), key.alias("key"), *[F.col(c).alias(m) for c, m in zip(carry, more, strict=True)])
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     stats = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     goals = source_targets(stats.select("source", "source_size"), weights, share, epochs)
     # Ranges are the leading 20 bits of the key, grouped evenly; their number follows the table, not one source.
     lead = F.conv(F.substring("key", 1, 5), 16, 10).cast("long")
     total = d.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(bucket_rows)), F.lit(1)).alias("n"))
-    cut = d.crossJoin(F.broadcast(total)).select("doc_id", "source", "size", "key", F.expr("least(n, 1048576)").alias("n"), lead.alias("lead"))
-    cut = cut.select("doc_id", "source", "size", "key", F.floor(F.col("lead") * F.col("n") / F.lit(1 << 20)).cast("long").alias("bucket"))
+    cut = d.crossJoin(F.broadcast(total)).select("doc_id", "source", "size", "key", F.expr("least(n, 1048576)").alias("n"), lead.alias("lead"), *more)
+    cut = cut.select("doc_id", "source", "size", "key", F.floor(F.col("lead") * F.col("n") / F.lit(1 << 20)).cast("long").alias("bucket"), *more)
     sums = cut.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("name")
     plan = starts.select(named, "bucket", "start").join(goals.select(named, "source_size", "target"), "name")
-    inner = Window.partitionBy("name", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = cut.select("doc_id", "size", "key", named, "bucket").withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    inner = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", *more).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.select("doc_id", "size", "key", named, "bucket", *more).withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(plan, ["name", "bucket"])
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - F.col("whole") * F.col("source_size") - F.col("start") - F.col("inside")
     rows = rows.withColumn("whole", whole)
     taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(m).alias(c) for c, m in zip(carry, more, strict=True)])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: a document comes once for each epoch that takes any of its words, whole each time, and
     with its own id; what the mix takes nothing of goes. An epoch's last document of a source is not cut, so a source
     is over its target by less than one document."""
-    plan = mix(docs).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    rows = docs.join(plan, "doc_id")
+    keyed = with_rows(docs)
+    plan = mix(keyed, carry=[ROW]).where("taken > 0").select(ROW, F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    rows = keyed.join(plan, ROW)
     return rows.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)
 
 
