@@ -81,10 +81,20 @@ def _possible(similarity: float) -> Column:
     return most >= F.ceil((F.col("x.n") + F.col("y.n")) * similarity / (1 + similarity) - 1e-6)
 
 
+def slot_map(slots: DataFrame) -> DataFrame:
+    """``word, bits``: the slots as bits of 64-bit words."""
+    return slots.distinct().groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+
+
 def similar_pairs(pairs: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Those of the ``a, b`` whose whole sets of shingles have the similarity."""
     ids = pairs.select(F.col("a").alias(ROW)).unionByName(pairs.select(F.col("b").alias(ROW))).distinct()
-    sets = materialize(_sets(rows.join(ids, ROW, "left_semi"), text_col, shingle))
+    # A bit map of fixed size drops most other texts before they are shuffled.
+    ids = materialize(ids)
+    slot = F.pmod(F.xxhash64(ROW), F.lit(SLOTS))
+    near = rows.select(ROW, text_col, slot.alias("slot")).withColumn("word", F.expr("slot div 64")).join(F.broadcast(slot_map(ids.select(slot.alias("slot")))), "word")
+    near = near.where("bits & shiftleft(1L, cast(slot % 64 as int)) <> 0").select(ROW, text_col)
+    sets = materialize(_sets(near.join(ids, ROW, "left_semi"), text_col, shingle))
     both = pairs.join(sets.select(F.col(ROW).alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col(ROW).alias("b"), F.col("shingles").alias("y")), "b")
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
     return both.where(F.col("shared") / (F.col("n") - F.col("shared")) >= similarity).select("a", "b")
@@ -104,13 +114,12 @@ def similar_groups(rows: DataFrame, text_col: str = "text", shingle: int = SHING
     nodes = marks.groupBy("digest", "n").agg(F.min(ROW).alias("rep"))
     nodes = materialize(nodes)
     posts = marks.join(nodes.select(F.col("rep").alias(ROW)), ROW, "left_semi").select(ROW, "n", F.posexplode("prefix").alias("pos", "s"))
-    counts = posts.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", ROW, "pos")).alias("hub")).where("c > 1")
-    counts = materialize(counts.select("s", F.ceil(F.col("c") / tile).cast("int").alias("tiles"), "hub"))
+    shared = materialize(posts.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s"))
     slot = F.pmod("s", F.lit(SLOTS))
-    bits = counts.select(slot.alias("slot")).distinct().groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    live = posts.withColumn("slot", slot).withColumn("word", F.expr("slot div 64")).join(F.broadcast(bits), "word")
-    live = live.where("bits & shiftleft(1L, cast(slot % 64 as int)) <> 0").select(ROW, "n", "pos", "s")
-    live = materialize(salted_join(live, counts, ["s"]))
+    live = posts.withColumn("slot", slot).withColumn("word", F.expr("slot div 64")).join(F.broadcast(slot_map(shared.select(slot.alias("slot")))), "word")
+    live = materialize(live.where("bits & shiftleft(1L, cast(slot % 64 as int)) <> 0").select(ROW, "n", "pos", "s"))
+    counts = live.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", ROW, "pos")).alias("hub")).where("c > 1")
+    live = materialize(salted_join(live, counts.select("s", F.ceil(F.col("c") / tile).cast("int").alias("tiles"), "hub"), ["s"]))
     met = live.select(F.struct("n", "pos", ROW).alias("x"), F.col("hub").alias("y")).where(_possible(similarity)).where(F.col(f"x.{ROW}") != F.col(f"y.{ROW}"))
     pair = [F.least(f"x.{ROW}", f"y.{ROW}").alias("a"), F.greatest(f"x.{ROW}", f"y.{ROW}").alias("b")]
     links = materialize(similar_pairs(materialize(met.select(*pair).distinct()), rows, text_col, shingle, similarity))
