@@ -292,3 +292,15 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in known_language(docs).collect()) == sorted((i or 0, t) for i, t in rows)
     taken = sum(-(-r.taken // r["size"]) for r in mix(docs).collect() if r.taken)
     assert mixed_documents(docs).count() == taken
+
+
+def test_equal_short_lines(spark, tmp_path):
+    from tidemill.llm.linededup import op10_line_dedup, without_repeated_lines
+
+    line = "the quick brown fox jumps over it"
+    rows = [(1, f"{line}\nmenu\n\nmenus\n 首页"), (2, f"menu \nx{line}\n\n首页\nlast"), (3, "menu"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_kept, r.kept_lines) for r in op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (5, 5, "0,1,2,3,4"), 2: (5, 2, "2,4"), 3: (1, 0, ""), 4: (0, 0, "")}
+    assert {r.doc_id: r.text for r in without_repeated_lines(docs.where("doc_id < 4")).collect()}[2] == "\nlast"

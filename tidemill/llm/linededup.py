@@ -196,21 +196,21 @@ def line_links(lines: DataFrame, distance: int = DISTANCE, tile: int = TILE) ->
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_verify(distance), "a long, b long")
 
 
-def line_dedup(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_lines, kept_lines`` (numbers of the lines that stay, from 0, in order).
 
     Lines are compared without the white space around them. Of each group of lines joined by links of ``distance``
     edits or fewer the first occurrence (smallest id, then line number) stays; lines of fewer than ``least_chars`` code
-    points always stay. Null and empty texts have no lines; ids are unique; other columns are ignored.
+    points link only if equal with ``short``, and always stay without; empty lines always stay. Null and empty texts have no lines; ids are unique; other columns are ignored.
 
     Equal lines become one before anything is compared (combined before the shuffle), so a line that stands in a
     third of all documents is one row.
     """
-    long_lines, per = document_lines(docs, least_chars, id_col, text_col)
+    long_lines, per = document_lines(docs, 1 if short else least_chars, id_col, text_col)
     # No document holds a line twice here, so the place goes with the smallest id.
     distinct = long_lines.groupBy("line").agg(F.min("doc_id").alias("doc_id"), F.min_by("pos", "doc_id").alias("pos"))
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "line", "doc_id", "pos"))
-    comps = components(line_links(distinct, distance))
+    comps = components(line_links(distinct.where(F.length("line") >= least_chars), distance))
     groups = distinct.select("id", F.struct("doc_id", "pos").alias("first")).join(comps.withColumnRenamed("node", "id"), "id", "left")
     first = groups.groupBy(F.coalesce("component", "id").alias("g")).agg(F.min("first").alias("first"))
     kept = first.groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("firsts"))
@@ -220,13 +220,13 @@ def line_dedup(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with only the lines that :func:`line_dedup` keeps in their texts; other columns stay."""
-    kept = line_dedup(docs).select("doc_id", "kept_lines")
+    kept = line_dedup(docs, short=True).select("doc_id", "kept_lines")
     lines = F.split("text", "\n")
     text = F.array_join(F.transform("kept_lines", lambda i: F.element_at(lines, i + 1)), "\n")
     return docs.join(kept, "doc_id").withColumn("text", text).select(*docs.columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kept = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True)
     numbers = F.array_join(F.col("kept_lines").cast("array<string>"), ",")
     return kept.select("doc_id", "n_lines", F.size("kept_lines").cast("long").alias("n_kept"), numbers.alias("kept_lines"))
