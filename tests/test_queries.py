@@ -19,3 +19,15 @@ def test_chunks_equal_whole(spark):
     assert (small.m - large.m).abs().max() < 1e-12
     y = recurrence(rows, "x", "y", 0.1, block=16).orderBy("rn").toPandas()
     assert (y.y - y.x.ewm(alpha=0.1, adjust=False).mean()).abs().max() < 1e-9
+
+
+def test_walk_forward_folds_cover_the_series(spark):
+    from tidemill.plans import training
+
+    d = "/root/testdata/sf0.001"
+    n = {r.sym: r.n for r in training._rows(spark, d).groupBy("sym").agg({"*": "count"}).toDF("sym", "n").collect()}
+    folds = training._folds(spark, d).collect()
+    for sym in n:
+        mine = sorted((f.test_start, f.test_end, f.train_start, f.train_end) for f in folds if f.sym == sym)
+        assert mine[-1][1] == n[sym] and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
+        assert all(f[2] == 0 and f[3] == f[0] for f in mine) and mine[0][0] == n[sym] // (training.FOLDS + 1)

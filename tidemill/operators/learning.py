@@ -83,6 +83,15 @@ def cv_expanding_window(counted: DataFrame, initial: int, step: int, test: int)
     return _folds(counted, _steps(_long(initial), F.col("n") - test, step), _long(0), _long(test))
 
 
+def cv_expanding_share(counted: DataFrame, folds: int) -> DataFrame:
+    """A fixed number of folds over the whole series: each ``sym, n`` is cut into ``folds + 1`` parts as equal as can be,
+    and fold k trains on the parts before part k + 1 and tests on it. Empty ranges fall away."""
+    cut = lambda k: F.floor(F.col("n") * k / (folds + 1)).cast("long")
+    f = counted.select("sym", "n", F.posexplode(F.sequence(_long(1), _long(folds))).alias("fold", "k"))
+    f = f.select("sym", "fold", _long(0).alias("train_start"), cut(F.col("k")).alias("train_end"), cut(F.col("k")).alias("test_start"), cut(F.col("k") + 1).alias("test_end"))
+    return f.where("train_end > 0 and test_end > test_start")
+
+
 def fold_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
     """Each row with every fold whose train or test range holds it, and ``role``. Folds are spread over the blocks of
     256 positions they touch, so that the join is one on equal keys."""

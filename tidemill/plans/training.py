@@ -13,6 +13,8 @@ from tidemill.operators.indicators import finite_indicators
 from tidemill.plans.quality import positioned, rounded
 from tidemill.plans.queries import BARS, _w, add, shown
 
+#: Folds of a walk over the whole series; the driver starts one fit for each and set of parameters.
+FOLDS = 4
 X = ["sma_10", "sma_20", "volume_osc", "roc_5"]
 
 
@@ -30,7 +32,7 @@ def _forest(s: SparkSession, d: str):
 
 def _folds(s: SparkSession, d: str) -> DataFrame:
     n = _rows(s, d).groupBy("sym").agg(F.count(F.lit(1)).alias("n"))
-    return le.cv_expanding_window(n, 200, 100, 100).where("fold < 2")
+    return le.cv_expanding_share(n, FOLDS)
 
 
 def _gbt(s: SparkSession, d: str) -> DataFrame:
