@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,17 +16,25 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the operators define it: blank, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
-#: Column of the row key that :func:`with_rows` makes.
-ROW = "__row"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where none is set."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a session that runs in one process (as in
+    tests) gets a temporary folder of its own; on a cluster, whose executors would not see that, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[app]
+
+
+#: Scratch folders of sessions in one process, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -35,11 +46,6 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of each row, written once so that every reader sees the same: ids may be null or repeated."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
-
-
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
     """Join with ``right`` unique on ``keys``; the rows of a hot key of ``left`` are spread over ``salts`` tasks."""
     rest = [c for c in left.columns if c not in keys] or keys
@@ -48,6 +54,60 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return one.join(many, [*keys, "__salt"], how).drop("__salt")
 
 
+def tiled(rows: DataFrame, keys: list[str], tile: int, alone: bool = False) -> DataFrame:
+    """``rows`` dealt into groups ``*keys, i, j`` and sorted by them, for comparisons within each key. A key of more
+    than ``tile`` rows is split by a hash of ``rep`` into tiles: a row's is ``own``, and each pair i <= j of tiles is a
+    group. Rows without company are dropped. With ``alone`` they stay, each row is in its own tile only (i = j), and
+    ``split`` tells whether its key has several.
+
+    Keys are counted first (combined before the shuffle); the join with the counts is a plain one of two exchanges or
+    a small table, so that Spark splits or avoids the shuffle of a hot key."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > (tile if alone else 1))
+    counts = materialize(counts.select(*keys, F.ceil(F.col("c") / tile).cast("int").alias("tiles")))
+    dealt = rows.join(counts, keys, "left" if alone else "inner")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.coalesce("tiles", F.lit(1))).cast("int"))
+    if alone:
+        dealt = dealt.withColumns({"i": F.col("own"), "j": F.col("own"), "split": F.col("tiles").isNotNull()})
+    else:
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+    return dealt.drop("tiles").repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
+def whole_groups(solve: Callable[[pd.DataFrame], pd.DataFrame], by: list[str]) -> Callable:
+    """A function for ``mapInPandas`` that hands ``solve`` frames of rows sorted by ``by`` with no group cut in two;
+    what it holds back of a batch is the last group, which :func:`tiled` bounds."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            last = pdf[by].iloc[-1]
+            cut = int(np.argmax((pdf[by] == last).all(axis=1).to_numpy()))
+            if cut or (held and (held[-1][by].iloc[-1] != last).any()):
+                yield solve(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
+                held = []
+            held.append(pdf.iloc[cut:])
+        if held:
+            yield solve(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def slot_map(slots: DataFrame) -> DataFrame:
+    """``word, bits``: the column ``slot`` as bits of 64-bit words."""
+    bit = F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))")
+    return slots.groupBy(F.expr("slot div 64").alias("word")).agg(bit.alias("bits"))
+
+
+def marked(rows: DataFrame, slot: Column, slots: DataFrame) -> DataFrame:
+    """``rows`` with ``__marked``, whether their slot is in the map ``slots`` (a null slot is not). The map's size is
+    that of the slots' range, which bounds its broadcast for any input."""
+    at = rows.withColumn("__slot", slot).withColumn("__word", F.expr("__slot div 64"))
+    found = at.join(F.broadcast(slots.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))), "__word", "left")
+    bit = F.expr("coalesce(__bits & shiftleft(1L, cast(__slot % 64 as int)), 0L) <> 0")
+    return found.withColumn("__marked", bit).drop("__word", "__slot", "__bits")
+
+
 def id_remainder(doc_id: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m`` (a null id counts as the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

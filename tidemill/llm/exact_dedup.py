@@ -4,21 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROW, SPACES, with_rows
+from tidemill.llm.common import SPACES, marked, materialize, slot_map
 
 #: Code points of the normalised text that the prefix hash covers.
 PREFIX_CHARS = 256
-#: Slots of the bit map of surviving (length, prefix hash) pairs; its 64-bit words are the only broadcast.
+#: Slots of the bit maps of surviving lengths and (length, prefix hash) pairs.
 SLOTS = 1 << 22
 
 
 def normalized(text: str | Column) -> Column:
     """The text without ASCII white space; null counts as empty."""
-    return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACES, "")
+    out = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    for space in SPACES:
+        out = F.replace(out, F.lit(space), F.lit(""))
+    return out
+
+
+def refined(rows: DataFrame, text_col: str, prefix_chars: int = PREFIX_CHARS, slots: int = SLOTS) -> DataFrame:
+    """``rows`` with ``full``: the SHA-256 of the normalised text where another row may have the same one, null where
+    its length, or its length and the hash of its first ``prefix_chars`` code points, is nobody else's.
+
+    Lengths are counted first; only texts of a shared length have their beginning hashed and counted, and only those
+    that share that too are hashed in full. Shared keys of both levels are told to the next scan by a bit map of
+    ``slots`` bits, the only broadcast, of a fixed size for any input; a slot shared by chance costs one hash and
+    changes nothing. Counts are combined before each shuffle.
+    """
+    norm = normalized(text_col)
+    size = F.length(norm)
+    head = F.xxhash64(size, F.substring(norm, 1, prefix_chars))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    shared = lambda keys: materialize(slot_map(keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(slot("k").alias("slot"))))
+    lengths = shared(rows.select(size.alias("k")))
+    heads = shared(marked(rows.select(text_col), slot(size), lengths).where("__marked").select(head.alias("k")))
+    left = marked(rows, slot(size), lengths).withColumnRenamed("__marked", "__sized")
+    left = marked(left, F.when(F.col("__sized"), slot(head)), heads)
+    return left.withColumn("full", F.when(F.col("__marked"), F.sha2(norm.cast("binary"), 256))).drop("__sized", "__marked")
+
+
+def rank(points: str, doc_id: str, *more: str) -> Column:
+    """Of equal texts the one with the smallest of these stays: most code points, smallest id, null last."""
+    return F.struct((-F.col(points)).alias("p"), F.col(doc_id).isNull().alias("o"), F.col(doc_id).alias("id"), *more)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, carry: Sequence[str] = ()) -> DataFrame:
@@ -29,41 +57,37 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns of ``docs`` are ignored and an empty table gives an empty result. A row that repeats another's id and
     text counts in the group and comes out again, and one of them is kept.
 
-    The first scan reduces each document to its length and, within the length, a hash of its beginning. Keys that
-    two documents share at both levels set a bit in a map of fixed size (``SLOTS`` bits, so its broadcast is bounded for any
-    input); only documents whose bit is set have their full content hashed. A slot shared by chance costs one
-    hash and changes nothing. Group sizes come from map-side combined counts, no group is ever gathered, and
-    the join back is a plain equi-join of two exchanges, whose hot keys Spark splits.
+    Texts are told apart by :func:`refined`. What it leaves is written once without texts, with a number for each row
+    that tells repeated ones apart; groups are counted with map-side combining and joined back by their hash, which is
+    a plain equi-join of two exchanges, whose hot keys Spark splits.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    norm = normalized(text_col)
-    head = F.xxhash64(F.substring(norm, 1, prefix_chars))
-    by_key = docs.select(F.length(norm).alias("n"), head.alias("head")).groupBy("n", "head").agg(F.count(F.lit(1)).alias("c"))
-    slots = by_key.where("c > 1").select(F.pmod(F.xxhash64("n", "head"), F.lit(SLOTS)).alias("slot"))
-    bits = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("points"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.length(norm), head), F.lit(SLOTS)).alias("slot"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate(carry)])
-    rows = rows.withColumn("word", F.expr("slot div 64")).join(F.broadcast(bits), "word", "left")
-    shared = F.expr("coalesce(bits & shiftleft(1L, cast(slot % 64 as int)), 0L) <> 0")
-    full = F.when(shared, F.sha2(normalized("text").cast("binary"), 256))
     more = [f"__c{k}" for k in range(len(carry))]
-    # The row key is made in the rows that are kept, so both of their readers see the same.
-    keyed = rows.select("doc_id", "points", full.alias("full"), *more).withColumn("key", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more, strict=True)])
+    points = F.length(F.coalesce("text", F.lit(""))).alias("points")
+    keyed = refined(rows, "text", prefix_chars).select("doc_id", points, "full", F.monotonically_increasing_id().alias("key"), *more)
+    keyed = materialize(keyed)
     one = F.lit(1).cast("long")
     out = [F.col(m).alias(c) for m, c in zip(more, carry, strict=True)]
     alone = keyed.where("full is null").select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), *out)
     many = keyed.where("full is not null")
-    first = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("o"), "doc_id", "key"))
-    groups = many.groupBy(F.col("full").alias("g")).agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(F.concat("g", F.lit("")).alias("full"), F.col("first.doc_id").alias("keep_id"), F.col("first.key").alias("keep_key"), "group_size")
+    groups = many.groupBy("full").agg(F.min(rank("points", "doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups.select("full", F.col("first.id").alias("keep_id"), F.col("first.key").alias("keep_key"), "group_size"))
     rest = many.join(groups, "full").select("doc_id", "keep_id", "group_size", (F.col("key") == F.col("keep_key")).alias("kept"), *out)
     return alone.unionByName(rest)
 
 
-def keep_distinct(docs: DataFrame) -> DataFrame:
-    """The documents that :func:`exact_dedup` keeps, with all their columns."""
-    rows = with_rows(docs)
-    kept = exact_dedup(rows, carry=[ROW]).where("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that :func:`exact_dedup` keeps, with all their columns: of equal texts one row, also where rows
+    repeat each other or ids are null; an empty table gives an empty one.
+
+    A document whose text nobody shares passes without a shuffle. Of the others the row that stays is the result of
+    one aggregation, combined before its shuffle, so that a hot text moves one row a task.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = refined(rows, "text").select("row", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("points"), "full")
+    alone = keyed.where("full is null").select("row.*")
+    kept = keyed.where("full is not null").groupBy("full").agg(F.min_by("row", rank("points", "doc_id")).alias("row"))
+    return alone.unionByName(kept.select("row.*")).select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +95,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(normalized("text").cast("binary"), 256)
     return exact_dedup(docs.withColumn("text_sha256", digest), carry=["text_sha256"])
 
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)

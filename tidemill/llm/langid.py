@@ -9,16 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROW, id_remainder, sub_batches, with_rows
+from tidemill.llm.common import id_remainder, sub_batches
 
 #: Dimensions of a vector, letters of an n-gram (a non-letter is a blank), seed of the letter vectors.
 DIM, NGRAM, SEED = 512, 3, 20_240_613
 #: N-gram vectors that a worker keeps.
 KEPT = 1 << 15
-#: A document whose best cosine is lower is rejected as being in none of the languages.
-MIN_SCORE = 0.15
-#: Letters below which a text is too short to be rejected for its score.
-MIN_LETTERS = 200
+#: A text of G distinct n-grams is rejected if its best cosine is under LEAST * G / (G + HALF).
+LEAST, HALF = 0.5, 170
 
 
 class Space:
@@ -81,13 +79,13 @@ class Space:
         out[:] = np.take(self.rows, self.at[at], axis=0)
         return out
 
-    def profiles(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
-        """The vector of each text, None where it is null or has no letter."""
+    def profiles(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int] | None]:
+        """The vector of each text and the number of its distinct n-grams, None where it is null or has no letter."""
         grams = [self.grams(t) if t else None for t in texts]
         if seen := [g[0] for g in grams if g is not None]:
             self.keep(np.unique(np.concatenate(seen)))
         for g in grams:
-            yield self.bundle(*g) if g is not None and len(g[0]) else None
+            yield (self.bundle(*g), len(g[0])) if g is not None and len(g[0]) else None
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of n-gram vectors, each weighted by log(1 + its count), so that a passage repeated over and over doesn't
@@ -112,8 +110,9 @@ def language_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = _space(dim, n, seed), {}
         for b in sub_batches(batches):
-            for v, lang in zip(space.profiles(b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True):
-                if v is not None:
+            for profile, lang in zip(space.profiles(b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True):
+                if profile is not None:
+                    v = profile[0]
                     sums.setdefault(lang, np.zeros(dim))[:] += v / (np.linalg.norm(v) or 1.0)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "dim", "value"])
@@ -131,27 +130,31 @@ def collect_profiles(profiles: DataFrame, dim: int = DIM) -> tuple[list[str], np
     return names, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def best_language(space: Space, texts: list[str | None], names: list[str], prototypes: np.ndarray) -> Iterator[tuple[str, float, int]]:
+    """Of each text the language whose prototype has the largest cosine with it (the first by name of equal ones), that
+    cosine, 0 at least, and the number of the text's distinct n-grams; ``und``, 0 and 0 where there is nothing to tell."""
+    for profile in space.profiles(texts if names else [None] * len(texts)):
+        if profile is None:
+            yield "und", 0.0, 0
+            continue
+        v, n = profile
+        cos = prototypes @ v / (np.linalg.norm(v) or 1.0)
+        k = int(cos.argmax())
+        yield names[k], float(min(max(cos[k], 0.0), 1.0)), n
+
+
 def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, seed: int = SEED) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row and whole text: the language whose prototype has the largest
-    cosine with the document (the first by name of equal ones), and that cosine, 0 at least. A text that is null or
-    has no letter is ``und`` with score 0, as is every text if no language was learned. Rows are independent."""
+    """``doc_id, lang_pred, score`` for every row and whole text: the best language and its cosine. A text that is
+    null or has no letter is ``und`` with score 0, as is every text if no language was learned; equal cosines go to the
+    first language by name. Rows are independent: null and repeated ids come out as they went in, an empty table gives
+    an empty result and other columns are ignored."""
     dim = prototypes.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = _space(dim, n, seed)
         for b in sub_batches(batches):
-            langs, scores = [], []
-            texts = b.column(1).to_pylist() if names else [None] * b.num_rows
-            for v in space.profiles(texts):
-                if v is None:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                cos = prototypes @ v / (np.linalg.norm(v) or 1.0)
-                k = int(cos.argmax())
-                langs.append(names[k])
-                scores.append(float(min(max(cos[k], 0.0), 1.0)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            found = list(best_language(space, b.column(1).to_pylist(), names, prototypes))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -164,15 +167,28 @@ def predict_language(docs: DataFrame) -> DataFrame:
     return identify(docs, names, prototypes).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, min_score: float = MIN_SCORE, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """The documents in some language that the table's own labels teach: those with letters, less those of
-    ``min_letters`` or more whose best cosine is under ``min_score``. All columns stay."""
-    rows = with_rows(docs)
-    names, prototypes = collect_profiles(language_profiles(rows.where(id_remainder("doc_id", 3) != 1)))
-    sizes = rows.select(F.col(ROW).alias("doc_id"), F.regexp_count("text", F.lit(r"\p{L}")).alias("letters"))
-    scored = identify(rows, names, prototypes, ROW).where("lang_pred <> 'und'").join(sizes, "doc_id")
-    kept = scored.where((F.col("score") >= min_score) | (F.col("letters") < min_letters)).select(F.col("doc_id").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+def least_score(grams: int, least: float = LEAST, half: int = HALF) -> float:
+    """The cosine that a text of so many distinct n-grams needs: it rises smoothly with what the text tells, towards
+    ``least``, as do the cosines of texts in a learned language."""
+    return least * grams / (grams + half)
+
+
+def known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", least: float = LEAST, half: int = HALF) -> DataFrame:
+    """The documents in some language that the table's own labels teach, with all their columns: those with a letter
+    whose best cosine reaches :func:`least_score`. Texts that are null or have no letter go, and all do where no
+    language is learned; null and repeated ids are rows like any other; an empty table gives an empty one.
+
+    Rows are independent, so they pass through one scan and nothing is shuffled."""
+    names, prototypes = collect_profiles(language_profiles(docs.where(id_remainder(id_col, 3) != 1), text_col, lang_col))
+    at, dim = docs.columns.index(text_col), prototypes.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = _space(dim, NGRAM, SEED)
+        for b in sub_batches(batches, text_col):
+            found = best_language(space, b.column(at).to_pylist(), names, prototypes)
+            yield b.filter(pa.array([n > 0 and score >= least_score(n, least, half) for _, score, n in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROW, with_rows
+from tidemill.llm.common import materialize
 
 #: Weights that sources take in turn, the share of all words that the mix holds, and the most epochs of a source.
 WEIGHTS, SHARE, EPOCHS = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents of one bucket of keys, within which the prefix sum is one window.
 BUCKET_ROWS = 500
+#: Most ranges of a source: those of the leading 32 bits of the key.
+RANGES = 1 << 32
 
 
-def n_words(text: str = "text"):
+def n_words(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
@@ -41,55 +42,72 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return t.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", bucket_rows: int = BUCKET_ROWS, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, taken`` and the columns ``carry``, which also order
-    rows with equal ids.
+def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, epochs: float, seed: str, bucket_rows: int) -> DataFrame:
+    """``doc_id, size, key, tie, name, source_size, target, whole, rest`` of each row: whole epochs of its source, and
+    the words of the epoch in part that are left when its turn comes."""
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
+    named = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), named.alias("name"), n_words(text_col).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("tie"))
+    d = materialize(d)
+    stats = d.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goals = source_targets(stats, weights, share, epochs)
+    # Ranges are the leading bits of the key, grouped evenly; their number follows the table, not one source.
+    ranges = min(max(-(-d.count() // bucket_rows), 1), RANGES)
+    lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    cut = d.drop("source").withColumn("bucket", F.floor(lead * F.lit(ranges / (1 << 32))).cast("long"))
+    sums = cut.groupBy("name", "bucket").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("name", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("name")
+    plan = materialize(starts.join(goals.select(named, "source_size", "target"), "name"))
+    inner = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(plan, ["name", "bucket"])
+    budget = F.round("target").cast("long")
+    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("whole", whole)
+    rest = budget - F.col("whole") * F.col("source_size") - F.col("start") - F.col("inside")
+    return rows.select("doc_id", "size", "key", "tie", "name", "source_size", "target", "whole", rest.alias("rest"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``.
 
     ``size`` counts the words of the text (null: 0) and ``taken`` those the mix takes: the source's whole epochs,
     then the documents in the order of a hash of id and seed until the words of a rounded target are used up; the
     last one is taken in part, so that a source's words equal its target to half a word. The hash depends on
     nothing but id and seed, so runs agree. Null is a source of its own; empty texts take nothing; an empty table
-    gives an empty result; rows with equal ids count each.
+    gives an empty result. Rows with equal or null ids count each, in the order of a hash of their texts; rows that
+    are alike in both differ in nothing but which of them is cut. Other columns are ignored.
 
     The hash range of each source is cut into about ``rows / bucket_rows`` ranges. Words are summed per range
     (combined before the shuffle), the ranges' prefix sums are taken over those few rows, and only then does a
     window order the rows of one range. A source with a third of all rows is thus spread over many ranges.
     """
+    rows = plan_mix(docs, id_col, text_col, source_col, weights, share, epochs, seed, bucket_rows)
+    taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest")))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, seed: str = "mix", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The mix as documents: a document comes once for each epoch that takes any of its words, whole each time, with
+    all its columns; what the mix takes nothing of goes, and with it texts without words. An epoch's last document of
+    a source is not cut, so a source is over its target by less than one document, or by less than the rows that
+    repeat that one's id and text. An empty table gives an empty one.
+
+    The plan is reduced to one row a source, its whole epochs and the last (key, id, text hash) that the epoch in part
+    reaches. Documents are compared with that row in one scan; their texts are never shuffled.
+    """
+    rows = plan_mix(docs, id_col, text_col, source_col, weights, share, epochs, seed, bucket_rows)
+    place = F.struct("key", F.col("doc_id").alias("id"), "tie")
+    ends = rows.groupBy("name").agg(F.max("whole").alias("whole"), F.max(F.when((F.col("rest") > 0) & (F.col("size") > 0), place)).alias("last"))
+    ends = materialize(ends)
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    more = [f"__c{k}" for k in range(len(carry))]
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), key.alias("key"), *[F.col(c).alias(m) for c, m in zip(carry, more, strict=True)])
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    goals = source_targets(stats.select("source", "source_size"), weights, share, epochs)
-    # Ranges are the leading 20 bits of the key, grouped evenly; their number follows the table, not one source.
-    lead = F.conv(F.substring("key", 1, 5), 16, 10).cast("long")
-    total = d.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(bucket_rows)), F.lit(1)).alias("n"))
-    cut = d.crossJoin(F.broadcast(total)).select("doc_id", "source", "size", "key", F.expr("least(n, 1048576)").alias("n"), lead.alias("lead"), *more)
-    cut = cut.select("doc_id", "source", "size", "key", F.floor(F.col("lead") * F.col("n") / F.lit(1 << 20)).cast("long").alias("bucket"), *more)
-    sums = cut.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("name")
-    plan = starts.select(named, "bucket", "start").join(goals.select(named, "source_size", "target"), "name")
-    inner = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", *more).rowsBetween(Window.unboundedPreceding, -1)
-    rows = cut.select("doc_id", "size", "key", named, "bucket", *more).withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    rows = rows.join(plan, ["name", "bucket"])
-    budget = F.round("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = budget - F.col("whole") * F.col("source_size") - F.col("start") - F.col("inside")
-    rows = rows.withColumn("whole", whole)
-    taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(m).alias(c) for c, m in zip(carry, more, strict=True)])
-
-
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a document comes once for each epoch that takes any of its words, whole each time, and
-    with its own id; what the mix takes nothing of goes. An epoch's last document of a source is not cut, so a source
-    is over its target by less than one document."""
-    keyed = with_rows(docs)
-    plan = mix(keyed, carry=[ROW]).where("taken > 0").select(ROW, F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    rows = keyed.join(plan, ROW)
-    return rows.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*docs.columns)
+    named = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
+    own = F.struct(key.alias("key"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"))
+    each = docs.select(F.struct("*").alias("row"), named.alias("name"), own.alias("own"), (n_words(text_col) > 0).alias("some"))
+    times = F.col("whole") + F.when(F.col("own") <= F.col("last"), 1).otherwise(0)
+    copies = each.join(ends, "name").where("some").withColumn("times", times).where("times > 0")
+    return copies.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"), "row").select("row.*").select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,147 +1,250 @@
-"""Near duplicates by the Jaccard similarity of word shingles: an exact set join by prefix filtering."""
+"""The near-dedup stage: wide SimHash fingerprints find candidates, whole shingle sets decide."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import ROW, materialize, salted_join, sub_batches, with_rows
+from tidemill.llm.common import marked, materialize, slot_map, sub_batches, tiled, whole_groups
 from tidemill.llm.components import components
-from tidemill.llm.simhash import shingle_hashes
-
-#: Words of a shingle, least similarity of a link, rows of one tile.
-SHINGLE, SIMILARITY, TILE = 5, 0.8, 256
-#: Documents, about, whose shingles are counted for the order, and the most shingles that get a rank of their own.
-SAMPLE, RANKED = 20_000, 200_000
-#: Slots of the bit map of prefix shingles that documents share.
+from tidemill.llm.simhash import TILE, group_ranges, near_in_groups, shingle_hashes, simhash
+
+#: Words of a shingle and least Jaccard similarity of a link.
+SHINGLE, SIMILARITY = 5, 0.8
+#: 64-bit words of a fingerprint, and of the longer one for groups of many near texts.
+WORDS, LONG_WORDS = 4, 32
+#: Standard errors between the mean distance of a pair at the similarity and the radius; chance that such a pair
+#: shares no bucket.
+SIGMAS, MISS = 3.0, 0.01
+#: Logarithm of the rows of a bucket of unlike fingerprints.
+BUCKET_BITS = 6
+#: Pairs within the radius for each row of a bucket, over which the bucket is searched in two steps.
+THICK = 2
+#: Slots of the bit maps that tell scans which texts matter.
 SLOTS = 1 << 25
+SEED = 7
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct shingles of a text as sorted signed longs; a null, empty or blank text has none."""
-    return np.unique(shingle_hashes(text, shingle).view(np.int64))
+def differing(similarity: float) -> float:
+    """Share of differing bits of two SimHashes: the angle between indicator vectors of sets with that similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _sets(rows: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sub_batches(batches):
-            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], [ROW, "shingles"])
+def radius(bits: int, similarity: float = SIMILARITY, sigmas: float = SIGMAS) -> int:
+    p = differing(similarity)
+    return int(bits * p + sigmas * math.sqrt(bits * p * (1 - p)))
 
-    return rows.select(ROW, F.col(text_col).alias("text")).mapInArrow(run, f"{ROW} long, shingles array<long>")
 
+def table_plan(rows: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
+    """Bits of a bucket's key, growing with the logarithm of the rows so that buckets of unlike texts stay as they
+    are, and the number of tables so that a pair at the similarity shares no bucket with probability ``miss``."""
+    bits = min(max(math.ceil(math.log2(max(rows, 2))) - BUCKET_BITS, 6), 48)
+    return bits, math.ceil(math.log(miss) / math.log(1 - (1 - differing(similarity)) ** bits))
 
-def common_shingles(rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample holds more than once, sorted, and their counts. They only order prefixes (rare ones
-    first): whatever the sample, no pair is missed."""
-    every = -(-rows.count() // SAMPLE) or 1
-    sample = _sets(rows.where(F.pmod(F.xxhash64(ROW), F.lit(every)) == 0), text_col, shingle)
-    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    table = counts.orderBy(F.desc("c"), "s").limit(RANKED).toArrow()
-    s, c = table.column("s").to_numpy(), table.column("c").to_numpy()
-    order = np.argsort(s)
-    return s[order], c[order]
 
+def text_key(text_col: str) -> Column:
+    """MD5 of the text as 16 bytes: what texts are called by in joins; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
-def signatures(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``row, n, digest, prefix``: number and hash of the set of shingles, and its first n - ceil(similarity * n) + 1
-    members by (count in the sample, value). Two sets as similar share one of these, or are both empty."""
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``doc_id, tid, digest, fp``: the text's key, a hash of its set of shingles, and that set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = common
         for b in sub_batches(batches):
-            ns, digests, prefixes = [], [], [np.empty(0, dtype=np.int64)]
-            for t in b.column(1).to_pylist():
-                s = shingle_set(t, shingle)
-                ns.append(len(s))
-                digests.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-                rank = np.zeros(len(s), dtype=np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, count[at], 0)
-                size = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1 if len(s) else 0
-                prefixes.append(s[np.argsort(rank, kind="stable")[:size]])
-            ends = np.cumsum([0, *map(len, prefixes[1:])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int32()), pa.array(digests, pa.string()), lists], [ROW, "n", "digest", "prefix"])
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column(2).to_pylist()]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            fps = [simhash(s, WORDS).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(fps, pa.binary())], ["doc_id", "tid", "digest", "fp"])
 
-    return rows.select(ROW, F.col(text_col).alias("text")).mapInArrow(run, f"{ROW} long, n int, digest string, prefix array<long>")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("tid"), F.col(text_col).alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"doc_id {kind}, tid binary, digest binary, fp binary")
 
 
-def _possible(similarity: float) -> Column:
-    """Whether sets x and y that first meet at places ``x.pos`` and ``y.pos`` of their prefixes can be as similar."""
-    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    return most >= F.ceil((F.col("x.n") + F.col("y.n")) * similarity / (1 + similarity) - 1e-6)
+def shingle_sets(docs: DataFrame, tids: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``tid, shingles`` of the texts named by ``tids``. A bit map of fixed size drops other texts in the scan."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sub_batches(batches):
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["tid", "shingles"])
+
+    slot = F.pmod(F.xxhash64("tid"), F.lit(SLOTS))
+    texts = docs.select(text_key(text_col).alias("tid"), F.col(text_col).alias("text"))
+    near = marked(texts, slot, slot_map(tids.select(slot.alias("slot")))).where("__marked").select("tid", "text")
+    one = near.join(tids, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    return materialize(one.mapInArrow(run, "tid binary, shingles array<long>"))
 
-def slot_map(slots: DataFrame) -> DataFrame:
-    """``word, bits``: the slots as bits of 64-bit words."""
-    return slots.distinct().groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
 
+def keyed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """``rep, fp, key``: a row for each table, whose key hashes the table's number and its choice of the bits of the
+    fingerprint."""
+    places = np.stack([np.random.default_rng([SEED, t]).choice(64 * WORDS, bits, replace=False) for t in range(tables)])
 
-def similar_pairs(pairs: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = 1 << np.arange(bits, dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                fp = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+                own = np.unpackbits(fp, axis=1, bitorder="little").astype(np.int64)
+                keys = np.stack([own[:, p] @ power for p in places], axis=1) * len(places) + np.arange(len(places))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(places), dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["rep", "fp", "keys"])
+
+    each = nodes.select("rep", "fp").mapInArrow(run, "rep long, fp binary, keys array<long>")
+    return each.select("rep", "fp", F.explode("keys").alias("key"))
+
+
+def words_of(fp: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(fp), dtype="<u8").reshape(len(fp), -1)
+
+
+def pairs_frame(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> pd.DataFrame:
+    """Distinct pairs ``a < b``, and rows with a ``key`` alone."""
+    ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    pad = [None] * len(key)
+    return pd.DataFrame({"a": pd.array([*ab[:, 0].tolist(), *pad], "Int64"), "b": pd.array([*ab[:, 1].tolist(), *pad], "Int64"), "key": pd.array([*[None] * len(ab), *key.tolist()], "Int64")})
+
+
+def _first_step(limit: int) -> Callable:
+    """Pairs within the radius; of a thick bucket, or a tile of a split one, those with its middle row only, and its
+    key. The middle row is the one nearest to the majority of the bucket's bits."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, _ = group_ranges(pdf)
+        fp, rep, key, tiles = words_of(pdf["fp"]), pdf["rep"].to_numpy(), pdf["key"].to_numpy(), pdf["split"].to_numpy()
+        a, b = near_in_groups(fp, x, x, limit)
+        group = np.repeat(np.arange(len(x)), x[:, 1])
+        thick = (np.bincount(group[a], minlength=len(x)) > THICK * x[:, 1]) | tiles[x[:, 0]]
+        out_a, out_b = [a[~thick[group[a]]]], [b[~thick[group[a]]]]
+        for start, size in x[thick].tolist():
+            own = fp[start : start + size]
+            bits = np.unpackbits(np.ascontiguousarray(own).view(np.uint8), axis=1, bitorder="little")
+            middle = np.packbits(bits.sum(axis=0) * 2 > size, bitorder="little").view("<u8")
+            hub = start + int(np.bitwise_count(own ^ middle).sum(axis=1).argmin())
+            p, q = near_in_groups(fp, np.array([[hub, 1]]), np.array([[start, size]]), limit)
+            out_a.append(p[p != q])
+            out_b.append(q[p != q])
+        return pairs_frame(rep[np.concatenate(out_a)], rep[np.concatenate(out_b)], np.unique(key[x[thick, 0]]))
+
+    return whole_groups(solve, ["key", "i", "j"])
+
+
+def _second_step(limit: int) -> Callable:
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, y = group_ranges(pdf)
+        rep, comp = pdf["rep"].to_numpy(), pdf["component"].to_numpy()
+        a, b = near_in_groups(words_of(pdf["fp"]), x, y, limit)
+        apart = comp[a] != comp[b]
+        return pairs_frame(rep[a[apart]], rep[b[apart]], np.empty(0, dtype=np.int64))
+
+    return whole_groups(solve, ["key", "i", "j"])
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Those of the ``a, b`` whose whole sets of shingles have the similarity."""
-    ids = pairs.select(F.col("a").alias(ROW)).unionByName(pairs.select(F.col("b").alias(ROW))).distinct()
-    # A bit map of fixed size drops most other texts before they are shuffled.
-    ids = materialize(ids)
-    slot = F.pmod(F.xxhash64(ROW), F.lit(SLOTS))
-    near = rows.select(ROW, text_col, slot.alias("slot")).withColumn("word", F.expr("slot div 64")).join(F.broadcast(slot_map(ids.select(slot.alias("slot")))), "word")
-    near = near.where("bits & shiftleft(1L, cast(slot % 64 as int)) <> 0").select(ROW, text_col)
-    sets = materialize(_sets(near.join(ids, ROW, "left_semi"), text_col, shingle))
-    both = pairs.join(sets.select(F.col(ROW).alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col(ROW).alias("b"), F.col("shingles").alias("y")), "b")
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    named = materialize(nodes.select("rep", "tid").join(ends, "rep"))
+    sets = materialize(named.join(shingle_sets(docs, named.select("tid"), text_col, shingle), "tid").select("rep", "shingles"))
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    return both.where(F.col("shared") / (F.col("n") - F.col("shared")) >= similarity).select("a", "b")
+    return both.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared"))).select("a", "b")
 
 
-def similar_groups(rows: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """``row, component`` for each row of a table with row keys: the smallest key reachable over links between texts
-    whose sets of shingles have a Jaccard similarity of ``similarity`` or more. A text of fewer words than a shingle is
-    one shingle; texts without words are one group.
+def long_fingerprints(nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``rep, fp`` with LONG_WORDS words, of the sets of ``nodes`` (``rep, tid``)."""
 
-    Equal sets become one node first. Sets that share a prefix shingle meet, and are compared in full where sizes and
-    places allow the similarity. First each set meets only one of each shingle; then those that are still apart meet
-    each other, so that a large group costs about as many comparisons as it has rows. A shingle with more than
-    ``tile`` sets is dealt into tiles, each pair of them joined on a key of its own.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [simhash(np.array(s, dtype=np.int64).view(np.uint64), LONG_WORDS).tobytes() for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["rep", "fp"])
+
+    sets = nodes.join(shingle_sets(docs, nodes.select("tid"), text_col, shingle), "tid").select("rep", "shingles")
+    return sets.mapInArrow(run, "rep long, fp binary")
+
+
+def apart_tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """``rows`` (``rep, component, fp, key``) dealt into tiles such that rows of different components of each key meet:
+    those of a key's largest component are tiles of their own that don't meet each other, so a large group of near
+    texts costs as many rows as it has, times the tiles of the rows outside it. Keys of one component end here."""
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("all"))
+    tiles = lambda c: F.ceil(c / tile).cast("int")
+    parts = parts.where("all > most.c").select("key", F.col("most.component").alias("main"), tiles(F.col("most.c")).alias("m"), tiles(F.col("all") - F.col("most.c")).alias("o"))
+    dealt = rows.join(materialize(parts), "key").withColumn("h", F.xxhash64("rep"))
+    inside = F.col("component") == F.col("main")
+    dealt = dealt.withColumn("own", F.when(inside, F.pmod("h", "m")).otherwise(F.col("m") + F.pmod("h", "o")).cast("int"))
+    other = F.explode(F.sequence(F.when(inside, F.col("m")).otherwise(F.lit(0)), F.col("m") + F.col("o") - 1))
+    dealt = dealt.withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.select("key", "i", "j", "own", "rep", "component", "fp")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE, miss: float = MISS) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, tid, digest`` of each row of ``docs``, and ``digest, component, c, first`` of each distinct set of
+    shingles: its class, and the number of its rows and the least of their (id is null, id, tid).
+
+    A class is what links between sets of a Jaccard similarity of ``similarity`` or more join. Equal sets are one node
+    from the start. Nodes meet in buckets of chosen bits of a wide SimHash, in so many tables that a pair at the
+    similarity misses all with probability ``miss``; in a bucket the bit-sliced distances under a radius that all but
+    about 0.2 % of such pairs keep are candidates, and their whole sets decide. Where a bucket is thick with near
+    texts, all meet its middle row first; those still apart then meet each other under a longer fingerprint, so
+    that a large group costs about as many comparisons of sets as it has rows.
     """
-    marks = materialize(signatures(rows, common_shingles(rows, text_col, shingle), text_col, shingle, similarity))
-    nodes = marks.groupBy("digest", "n").agg(F.min(ROW).alias("rep"))
-    nodes = materialize(nodes)
-    posts = marks.join(nodes.select(F.col("rep").alias(ROW)), ROW, "left_semi").select(ROW, "n", F.posexplode("prefix").alias("pos", "s"))
-    shared = materialize(posts.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s"))
-    slot = F.pmod("s", F.lit(SLOTS))
-    live = posts.withColumn("slot", slot).withColumn("word", F.expr("slot div 64")).join(F.broadcast(slot_map(shared.select(slot.alias("slot")))), "word")
-    live = materialize(live.where("bits & shiftleft(1L, cast(slot % 64 as int)) <> 0").select(ROW, "n", "pos", "s"))
-    counts = live.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", ROW, "pos")).alias("hub")).where("c > 1")
-    live = materialize(salted_join(live, counts.select("s", F.ceil(F.col("c") / tile).cast("int").alias("tiles"), "hub"), ["s"]))
-    met = live.select(F.struct("n", "pos", ROW).alias("x"), F.col("hub").alias("y")).where(_possible(similarity)).where(F.col(f"x.{ROW}") != F.col(f"y.{ROW}"))
-    pair = [F.least(f"x.{ROW}", f"y.{ROW}").alias("a"), F.greatest(f"x.{ROW}", f"y.{ROW}").alias("b")]
-    links = materialize(similar_pairs(materialize(met.select(*pair).distinct()), rows, text_col, shingle, similarity))
-    part = components(links).withColumnRenamed("node", ROW)
-    open_ = live.join(part, ROW, "left").withColumn("component", F.coalesce("component", ROW))
-    apart = open_.groupBy("s").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("s")
-    open_ = salted_join(open_, apart, ["s"]).withColumn("own", F.pmod(F.xxhash64(ROW), F.col("tiles")).cast("int"))
-    open_ = open_.select("*", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
-    open_ = materialize(open_.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.struct("n", "pos", ROW, "component").alias("v")))
-    x = open_.where("own = i").select("s", "i", "j", F.col("v").alias("x"))
-    y = open_.where("own = j").select("s", "i", "j", F.col("v").alias("y"))
-    met = x.join(y, ["s", "i", "j"]).where("x.component <> y.component").where(_possible(similarity))
-    more = similar_pairs(materialize(met.select(*pair).distinct()), rows, text_col, shingle, similarity)
-    comps = components(links.unionByName(more)).withColumnRenamed("node", "rep")
-    classes = nodes.join(comps, "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
-    return marks.select(ROW, "digest", "n").join(classes, ["digest", "n"]).select(ROW, "component")
+    marks = materialize(signatures(docs, id_col, text_col, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("id"), "tid"))
+    nodes = marks.groupBy("digest").agg(F.min("tid").alias("tid"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("c"), first.alias("first"))
+    nodes = materialize(nodes.withColumn("rep", F.monotonically_increasing_id()))
+    bits, tables = table_plan(nodes.count(), similarity, miss)
+    rows = keyed(nodes, bits, tables)
+    schema = "a long, b long, key long"
+    dealt = tiled(rows, ["key"], tile, alone=True)
+    found = materialize(dealt.mapInPandas(_first_step(radius(64 * WORDS, similarity)), schema))
+    pairs = lambda df: materialize(df.where("a is not null").select("a", "b").distinct())
+    links = materialize(similar(pairs(found), nodes, docs, text_col, shingle, similarity))
+    thick = found.where("key is not null").select("key").distinct()
+    if not thick.isEmpty():
+        comps = components(links).withColumnRenamed("node", "rep")
+        more = rows.join(thick, "key", "left_semi").select("rep", "key")
+        more = materialize(more.join(comps, "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component")))
+        long = long_fingerprints(nodes.select("rep", "tid").join(more.select("rep").distinct(), "rep"), docs, text_col, shingle)
+        dealt = apart_tiles(more.join(materialize(long), "rep"), tile)
+        again = materialize(dealt.mapInPandas(_second_step(radius(64 * LONG_WORDS, similarity)), schema))
+        links = links.unionByName(similar(pairs(again), nodes, docs, text_col, shingle, similarity))
+    comps = components(links).withColumnRenamed("node", "rep")
+    classes = nodes.join(comps, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "c", "first")
+    return marks.select("doc_id", "tid", "digest"), materialize(classes)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id (null last), with all its columns; one of
-    rows that have it."""
-    rows = with_rows(docs)
-    groups = similar_groups(rows, text_col).join(rows.select(ROW, F.col(id_col).alias("id")), ROW)
-    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", ROW)).alias("k")).select(f"k.{ROW}")
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    """Of each class of near duplicates (:func:`similar_classes`) the document with the smallest id (null last), with
+    all its columns; one of rows that repeat it. Null, empty and blank texts are one class; an empty table gives an
+    empty one.
+
+    Rows of classes of one row, which a bit map of fixed size tells, pass without a shuffle.
+    """
+    marks, classes = similar_classes(docs, id_col, text_col)
+    many = classes.groupBy("component").agg(F.sum("c").alias("n"), F.min("first").alias("first")).where("n > 1").drop("n")
+    touched = marks.join(classes.select("digest", "component").join(many, "component"), "digest")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("tid") == F.col("first.tid"))
+    touched = materialize(touched.select("doc_id", "tid", stays.alias("stays")).distinct())
+    slot = lambda: F.pmod(F.xxhash64("__id", "__tid"), F.lit(SLOTS))
+    named = touched.select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"), "stays")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("__id"), text_key(text_col).alias("__tid"))
+    rows = marked(rows, slot(), slot_map(named.select(slot().alias("slot"))))
+    free = rows.where("not __marked").select("row.*")
+    held = rows.where("__marked").alias("x").join(named.alias("y"), F.col("x.__id").eqNullSafe(F.col("y.__id")) & (F.col("x.__tid") == F.col("y.__tid")), "left")
+    held = held.select("row", F.col("x.__id").alias("__id"), F.col("x.__tid").alias("__tid"), "stays")
+    other = held.where("stays is null").select("row.*")
+    one = held.where("stays").groupBy("__id", "__tid").agg(F.first("row").alias("row")).select("row.*")
+    return free.unionByName(other).unionByName(one).select(*docs.columns)

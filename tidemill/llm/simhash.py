@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, salted_join, sub_batches
+from tidemill.llm.common import materialize, sub_batches, tiled, whole_groups
 from tidemill.llm.components import components
 
 #: Words of a shingle, radius in bits, fingerprints of one tile.
-SHINGLE, RADIUS, TILE = 3, 2, 256
+SHINGLE, RADIUS, TILE = 3, 2, 512
+#: 64-bit words of counters that are updated at once.
+LANES = 1 << 14
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -33,18 +35,34 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of one text: bit k is 1 if set in over half of the XXH64 values of its shingles; 0 without words."""
-    h = shingle_hashes(text, shingle)
-    if len(h) < 2:
-        return int(h[0]) if len(h) else 0
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 200_000):
-        bits = np.unpackbits(h[at : at + 200_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def widened(h: np.ndarray, words: int) -> np.ndarray:
+    """``words`` hashes of 64 bits for each of ``h``: itself, then finalised sums with multiples of an odd constant."""
+    out = np.empty((len(h), words), dtype="<u8")
+    for k in range(words):
+        x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        if k:
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        out[:, k] = x
+    return out
+
+
+def simhash(h: np.ndarray, words: int = 1) -> np.ndarray:
+    """SimHash of hashed shingles in ``words`` 64-bit words: a bit is 1 if set in over half of them; 0 without any."""
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(h), 100_000):
+        part = widened(h[at : at + 100_000], words)
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
         lanes = bits.view(np.uint64)  # eight byte-wide counters in a word: 255 rows can't overflow them
         for k in range(0, len(lanes), 255):
             counts += np.add.reduce(lanes[k : k + 255], axis=0).view(np.uint8)
-    return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
+    return np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of one text."""
+    return int(simhash(shingle_hashes(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -59,57 +77,88 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, "doc_id long, fp long")
 
 
-def over_radius(planes: Iterator[np.ndarray], shape: tuple[int, ...], radius: int) -> np.ndarray:
-    """Bit mask of the pairs whose distance exceeds ``radius``. Each plane holds one bit position of many pairs'
-    differences; a carry-save counter of bit slices adds them, and the block ends when every pair is over."""
-    width = (radius + 1).bit_length()
-    sums = [np.zeros(shape, dtype=np.uint64) for _ in range(width)]
-    over = np.zeros(shape, dtype=np.uint64)
-    start = (1 << width) - (radius + 1)  # counters begin so high that radius + 1 differences overflow them
-    for i in range(width):
-        if start >> i & 1:
-            sums[i][...] = ~np.uint64(0)
-    for k, carry in enumerate(planes):
-        for s in sums:
-            both = s & carry
-            s ^= carry
-            carry = both
-        over |= carry
-        if k % 8 == 7 and (over == ~np.uint64(0)).all():
-            break
-    return over
-
-
-def bit_planes(fp: np.ndarray) -> np.ndarray:
-    """Vertical layout: plane k, packed in 64-bit words, has bit k of every fingerprint."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    padded = np.zeros((64, -(-len(fp) // 64) * 64), dtype=np.uint8)
-    padded[:, : len(fp)] = bits
-    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
-
-
-def near_pairs(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) with x[i] and y[j] at ``radius`` bits or fewer, every x against every y."""
-    planes = bit_planes(y)
-    ones = np.zeros((len(x), 64), dtype=np.uint64)
-    ones[np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == 1] = ~np.uint64(0)
-    over = over_radius((planes[k][None, :] ^ ones[:, k][:, None] for k in range(64)), (len(x), planes.shape[1]), radius)
-    near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, : len(y)]
-    return np.nonzero(near)
-
-
-def near_in_groups(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same within many small groups at once (``group`` is sorted): the differences of rows that stand s places
-    apart are laid out vertically, for s = 1, 2, ... up to the largest group."""
-    left, right, s = [], [], 1
-    while len(i := np.nonzero(group[s:] == group[:-s])[0]):
-        planes = bit_planes(fp[i] ^ fp[i + s])
-        over = over_radius(iter(planes), planes.shape[1:], radius)
-        hit = np.nonzero(np.unpackbits((~over).view(np.uint8), bitorder="little")[: len(i)])[0]
-        left.append(i[hit])
-        right.append(i[hit] + s)
-        s += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+class Distances:
+    """Distances of many pairs at once as bit slices: slice k holds bit k of every pair's sum. Two planes of new bits
+    and a slice go through one carry-save adder, whose carry waits for a second one at the next slice. Sums begin so
+    high that radius + 1 differences overflow the last slice; what overflows is over for good."""
+
+    def __init__(self, shape: tuple[int, ...], radius: int):
+        width = (radius + 1).bit_length()
+        start = (1 << width) - (radius + 1)
+        full = ~np.uint64(0)
+        self.sums = [np.full(shape, full if start >> i & 1 else np.uint64(0)) for i in range(width)]
+        self.waiting: list[np.ndarray | None] = [None] * width
+        self.over = np.zeros(shape, dtype=np.uint64)
+
+    def add(self, plane: np.ndarray, level: int = 0) -> None:
+        if level == len(self.sums):
+            self.over |= plane
+            return
+        first, self.waiting[level] = self.waiting[level], None
+        if first is None:
+            self.waiting[level] = plane
+            return
+        s = self.sums[level]
+        odd = s ^ first
+        first &= s  # the planes belong to the counters: reused for the carry
+        s[...] = odd ^ plane
+        plane &= odd
+        first |= plane
+        self.add(first, level + 1)
+
+    def settle(self) -> None:
+        """Add what still waits for a partner."""
+        for level in range(len(self.sums)):
+            if self.waiting[level] is not None:
+                self.add(np.zeros_like(self.over), level)
+
+    def all_over(self) -> bool:
+        return bool((self.over == ~np.uint64(0)).all())
+
+
+def near_in_groups(fp: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) with rows i and j of ``fp`` (n, words) at ``radius`` bits or fewer, for many groups at once:
+    group g compares each row of ``x[g] = (start, length)`` with each of ``y[g]``; i < j where both are the same range.
+
+    Bit planes of the y are vertical (a word has one bit of 64 rows), those of the x are spread to whole words.
+    Groups of like sizes share a block, and a block ends once each of its pairs is over the radius."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    bits = np.ascontiguousarray(bits.T)
+    order = np.lexsort((x[:, 1], -(-y[:, 1] // 64)))
+    at = 0
+    while at < len(order):
+        wide = -(-int(y[order[at], 1]) // 64)
+        end = min(len(order), at + max(1, LANES // (wide * max(1, int(x[order[at], 1])))))
+        part = order[at:end]
+        part = part[(-(-y[part, 1] // 64) == wide) & (x[part, 1] <= max(4, 2 * int(x[order[at], 1])))]
+        at += len(part)
+        tall = int(x[part, 1].max())
+        if wide == 0 or tall == 0:
+            continue
+        rows = x[part, 0][:, None] + np.minimum(np.arange(tall), np.maximum(x[part, 1], 1)[:, None] - 1)
+        cols = y[part, 0][:, None] + np.minimum(np.arange(64 * wide), y[part, 1][:, None] - 1)
+        planes = np.ascontiguousarray(np.packbits(bits[:, cols], axis=2, bitorder="little")).view(np.uint64)
+        # What pads a group is over from the start.
+        inside = np.ascontiguousarray(np.packbits(np.arange(64 * wide) < y[part, 1][:, None], axis=1, bitorder="little")).view(np.uint64)
+        state = Distances((len(part), tall, wide), radius)
+        state.over |= ~inside[:, None, :]
+        state.over[np.arange(tall) >= x[part, 1][:, None]] = ~np.uint64(0)
+        ones = np.ascontiguousarray(bits[:, rows]) * ~np.uint64(0)
+        for k in range(len(bits)):
+            state.add(planes[k][:, None, :] ^ ones[k][:, :, None])
+            if k % 16 == 15 and state.all_over():
+                break
+        else:
+            state.settle()
+        g, i, w = np.nonzero(~state.over)
+        hit, bit = np.nonzero(np.unpackbits((~state.over[g, i, w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        a, b = rows[g[hit], i[hit]], cols[g[hit], w[hit] * 64 + bit]
+        same = (x[part] == y[part]).all(axis=1)[g[hit]]
+        keep = ~same | (a < b)
+        left.append(a[keep])
+        right.append(b[keep])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,46 +176,40 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = new
 
 
-def _links(radius: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            keys = ["t", "key", "i", "j"]
-            group = pdf.groupby(keys, sort=False).ngroup().to_numpy()
-            order = np.argsort(group, kind="stable")
-            group, pdf = group[order], pdf.iloc[order]
-            fp, rep, own = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), pdf["own"].to_numpy()
-            size = np.bincount(group)
-            a, b = [], []
-            small = size[group] <= 32
-            same = (pdf["i"] == pdf["j"]).to_numpy()
-            easy = np.nonzero(small & same)[0]
-            x, y = near_in_groups(fp[easy], group[easy], radius)
-            a.append(rep[easy[x]])
-            b.append(rep[easy[y]])
-            ends = np.cumsum(size)
-            for g in np.unique(group[~(small & same)]):
-                at = np.arange(ends[g] - size[g], ends[g])
-                i, j = pdf["i"].iat[at[0]], pdf["j"].iat[at[0]]
-                p, q = at[own[at] == i], at[own[at] == j]
-                if len(p) and len(q):
-                    x, y = near_pairs(fp[p], fp[q], radius)
-                    a.append(rep[p[x]])
-                    b.append(rep[q[y]])
-            a, b = spanning(np.concatenate(a), np.concatenate(b))
-            return pd.DataFrame({"a": a, "b": b})
-
-        held = None
-        for pdf in frames:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = held.iloc[-1]
-            open_ = ((held["t"] == last["t"]) & (held["key"] == last["key"]) & (held["i"] == last["i"]) & (held["j"] == last["j"])).to_numpy()
-            if not open_.all():
-                yield solve(held[~open_])
-                held = held[open_]
-        if held is not None and len(held):
-            yield solve(held)
-
-    return run
+def group_ranges(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows in the order of their groups (``key, i, j``, then ``own``) and the two ranges of each group: the rows of
+    tile i, and those of tile j."""
+    pdf = pdf.sort_values(["key", "i", "j", "own"], kind="stable", ignore_index=True)
+    key, i, j, own = (pdf[c].to_numpy() for c in ("key", "i", "j", "own"))
+    new = np.ones(len(pdf), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    start = np.nonzero(new)[0]
+    size = np.diff([*start, len(pdf)])
+    group = np.cumsum(new) - 1
+    first = np.bincount(group[own == i], minlength=len(start))
+    same = i[start] == j[start]
+    x = np.stack([start, first], axis=1)
+    y = np.stack([np.where(same, start, start + first), np.where(same, first, size - first)], axis=1)
+    return pdf, x, y
+
+
+def _links(radius: int) -> Callable:
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, y = group_ranges(pdf)
+        rep = pdf["rep"].to_numpy()
+        a, b = near_in_groups(pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)[:, None], x, y, radius)
+        a, b = spanning(rep[a], rep[b])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return whole_groups(solve, ["key", "i", "j"])
+
+
+def part_keys(fp: str | Column, radius: int, parts: int) -> Column:
+    """Bucket keys of a fingerprint, one for each choice of ``parts - radius`` of its equal parts."""
+    width = 64 // parts
+    piece = lambda k: F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1))
+    tables = enumerate(combinations(range(parts), parts - radius))
+    return F.array(*[F.xxhash64(F.lit(t), *[piece(k) for k in c]) for t, c in tables])
 
 
 def linked_fingerprints(nodes: DataFrame, radius: int = RADIUS, parts: int = 4, tile: int = TILE) -> DataFrame:
@@ -178,33 +221,27 @@ def linked_fingerprints(nodes: DataFrame, radius: int = RADIUS, parts: int = 4,
     no pair is missed. A bucket with more than ``tile`` rows is dealt by hash into tiles, and each pair of tiles
     is a task's group of its own, so no bucket is gathered in one place.
     """
-    width = 64 // parts
-    tables = list(combinations(range(parts), parts - radius))
-    mask = (1 << width) - 1
-    piece = lambda k: F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit(mask))
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), sum((F.shiftleft(piece(k), width * n) for n, k in enumerate(c)), F.lit(0).cast("long")).alias("key")) for t, c in enumerate(tables)])
-    rows = nodes.select("rep", "fp", F.explode(keys).alias("x")).select("rep", "fp", "x.t", "x.key")
-    counts = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    counts = counts.select("t", "key", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
-    rows = salted_join(rows, counts, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    other = F.explode(F.expr("sequence(0, tiles - 1)")).alias("other")
-    rows = rows.select("*", other).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "rep")
-    dealt = rows.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    return dealt.mapInPandas(_links(radius), "a long, b long")
+    rows = nodes.select("rep", "fp", F.explode(part_keys("fp", radius, parts)).alias("key"))
+    return tiled(rows, ["key"], tile).mapInPandas(_links(radius), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest id
+    """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest id
     reachable over links of ``radius`` bits or fewer.
 
     Null, empty and blank texts have fingerprint zero and link like any other; a text of fewer words than a
-    shingle is one shingle. Equal fingerprints become one node first, so exact copies are never paired. An
-    empty table gives an empty result; other columns are ignored.
+    shingle is one shingle. Rows that repeat an id come out once each. A null id is a row like any other but no
+    component's id, unless all ids of a component are null. Equal fingerprints become one node first, so exact copies
+    are never paired. An empty table gives an empty result; other columns are ignored.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comps = components(linked_fingerprints(nodes, radius))
-    classes = nodes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # Numbers of their own, as ids can be null or repeated.
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = materialize(nodes.select("fp", "low", F.monotonically_increasing_id().alias("rep")))
+    comps = components(linked_fingerprints(nodes, radius)).withColumnRenamed("node", "rep")
+    named = nodes.join(comps, "rep", "left").select("fp", "low", F.coalesce("component", "rep").alias("c"))
+    lows = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    classes = named.join(lows, "c").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(classes, "fp").select("doc_id", hexed, "component_id")
 
