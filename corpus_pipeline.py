@@ -13,7 +13,7 @@ from tidemill.llm.neardup import keep_one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the table teaches; und and strange ones go."""
+    """Documents in a language that the table's labels teach (letter n-gram vectors); und and strange ones go."""
     return known_language(docs)
 
 
@@ -23,7 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """The document with the smallest id of each group of near duplicates: SimHash candidates, of which whole sets of
+    five-word shingles with a similarity of 0.8 or more decide."""
     return keep_one_of_each(docs)
 
 
