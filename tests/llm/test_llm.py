@@ -2,9 +2,13 @@
 
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -38,6 +42,19 @@ def test_equals_sql(spark, name):
     compare(spark, SF, QUERIES[name], ORACLE_SQL[name])
 
 
+def test_license_words(spark):
+    from tidemill.llm.licenses import TEMPLATES, license_scan
+
+    notices = [(k, line.upper()) for k, (line, _, _) in enumerate(TEMPLATES)]
+    cut = [(100 + k, "x " * 37 + " ".join(w for i, w in enumerate(line.split()) if i % 12 != 5 or w in must.split())) for k, (line, _, must) in enumerate(TEMPLATES)]
+    rows = [*notices, *cut, (200, "released under the license terms of x"), (200, "under the MIT license"), (None, "under the mit license"), (None, None)]
+    got = [(r.doc_id, r.labels) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows)
+    found = {i: labels.split(",") for i, labels in got if i is not None and i < 200}
+    assert all(label in found[k] and (k in (2, 5) or label in found[100 + k]) for k, (_, label, _) in enumerate(TEMPLATES))
+    assert sorted(labels for i, labels in got if i in (200, None)) == ["", "", "mit", "mit"]
+
+
 def test_exact_dedup_odd(odd, empty):
     from tidemill.llm.exact_dedup import exact_dedup
 
@@ -140,13 +157,33 @@ def test_language_accuracy(spark, odd, empty):
 
 def test_hmm(spark, texts, odd, empty):
     from tidemill.llm.common import id_remainder
-    from tidemill.llm.hmm import log_likelihoods, op8_hmm_scores, score_texts
+    from tidemill.llm.hmm import expected_counts, log_likelihoods, op8_hmm_scores, score_texts, train
 
     rng = np.random.default_rng(1)
     a, b, s = rng.dirichlet([1, 1], 2), rng.dirichlet([1] * 3, 2), np.array([0.3, 0.7])
     seq = np.array([0, 2, 1, 1, 0])
     exact = sum(math.prod([s[p[0]] * b[p[0], seq[0]], *[a[p[t - 1], p[t]] * b[p[t], seq[t]] for t in range(1, 5)]]) for p in np.ndindex(2, 2, 2, 2, 2))
     assert abs(log_likelihoods([seq, seq[:2]], s, a, b)[0] - math.log10(exact)) < 1e-12
+    seqs = [rng.integers(0, 3, n).astype("<u2") for n in (1, 2, 127, 128, 129, 256, 700, 5, 300)]
+    start, trans, emit, like = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 3)), 0.0
+    for o in seqs:  # forward-backward over each whole sequence
+        f, c, back = np.zeros((len(o), 2)), np.zeros(len(o)), np.ones(2)
+        for t in range(len(o)):
+            x = (f[t - 1] @ a if t else s) * b[:, o[t]]
+            c[t], f[t] = x.sum(), x / x.sum()
+        for t in range(len(o) - 1, -1, -1):
+            emit[:, o[t]] += f[t] * back
+            if t:
+                y = back * b[:, o[t]] / c[t]
+                trans, back = trans + np.outer(f[t - 1], y) * a, a @ y
+            else:
+                start += f[0] * back
+        like += np.log10(c).sum()
+    for want, have in zip((start, trans, emit, like), expected_counts(seqs, s, a, b), strict=True):
+        assert np.allclose(want, have, rtol=1e-4, atol=1e-3)
+    rows = [(i, np.roll(np.repeat(np.arange(3), 40), 7 * i).astype("<u2").tobytes()) for i in range(30)]
+    model, likes = train(spark.createDataFrame(rows, "id int, syms binary").repartition(3), rounds=6, states=3)
+    assert all(y > x for x, y in zip(likes, likes[1:])) and abs(model[1].sum() - 3) < 1e-9
     got = {r.doc_id: r for r in op8_hmm_scores(spark, SF).collect()}
     tokens = {i: (t or "").encode().lower().split() + [b""] for i, t in texts.items()}
     c = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
@@ -167,19 +204,56 @@ def test_embeddings_brute_force(spark):
     got = {r.vec_id: r for r in embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, code string")).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = (u @ u.T >= 0.93) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x)) % 2)
+    root = np.arange(len(x))
+    for _ in x:
+        root = np.array([root[near[i]].min() for i in range(len(x))])
+    assert all(got[i].component_id == root[i] and got[i].kept == (root[i] == i) for i in range(len(x)))
+    tiles = embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, code string"), tile=8)
+    assert {r.vec_id: r for r in tiles.collect()} == got
+    odd = [(None, [1.0, 0.0], 1), (5, [1.0, 0.01], 1), (5, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (7, [1.0, None], 1), (8, [1.0, 0.0, 0.0], 1)]
+    odd = embedding_groups(spark.createDataFrame(odd, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in odd) == [(0, 0, 0), (0, 2, 5), (5, 2, 5), (5, 2, 5), (7, 0, 7), (8, 0, 8)]
     assert all(got[i].n_links == near[i].sum() - 1 for i in range(len(x))) and all(got[i].n_links == 0 and got[i].kept for i in range(900, 906))
     assert embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
-def test_resampling(spark, odd, empty):
-    from tidemill.llm.resample import importance_resample, top_k
+def test_resampling(spark, texts, odd, empty):
+    from tidemill.llm.common import id_remainder
+    from tidemill.llm.resample import BUCKETS, TEMPER, buckets, importance_resample, op1_quality, top_k
 
     rows = spark.range(30000).select("id", (F.col("id") * 7919 % 10007).cast("double").alias("k"))
     want = {r.id for r in rows.orderBy(F.col("k").desc(), "id").limit(12345).collect()}
     assert {r.id for r in top_k(rows, "k", "id", 12345, ranked=50).where("kept").collect()} == want
+    alike = spark.range(20000).select(F.lit(None).cast("long").alias("id"), F.lit(1.5).alias("k"))
+    assert top_k(alike, "k", "id", 777, ranked=50).where("kept").count() == 777
     ids = odd.select("doc_id").where("doc_id = 7")
     assert importance_resample(odd, ids, 0.5).where("kept").count() == round(len(ODD) * 0.5)
     assert importance_resample(empty, ids, 0.5).count() == 0
+    # The whole query against plain Python.
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = {i for i, q in labels.items() if q == 1 and zlib.crc32(str(i).encode()) % 5 != 0}
+    raw, aim = np.ones(BUCKETS), np.ones(BUCKETS)
+    for i, t in texts.items():
+        n = np.bincount(buckets(t), minlength=BUCKETS)
+        raw += n
+        aim += n * (i in good)
+    ratio = np.log(aim / aim.sum()) - np.log(raw / raw.sum())
+    got = op1_quality(spark, SF).collect()
+    for r in got:
+        at = buckets(texts[r.doc_id])
+        assert abs(r.log_weight - ratio[at].sum() * min(1, TEMPER / max(1, len(at)))) < 1e-9
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    k = round(len(texts) * sum(labels.values()) / len(labels))
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in sorted(got, key=lambda r: (-r.key, r.doc_id))[:k]}
+
+
+def test_resampling_prefers_the_target(spark):
+    from tidemill.llm.resample import op1_quality
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    held = op1_quality(spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id").collect()
+    share = lambda q: sum(r.kept for r in held if r.quality == q) / sum(r.quality == q for r in held)
+    assert share(1) > share(0) + 0.2
 
 
 def test_line_edit_join(spark, odd, empty):
@@ -206,7 +280,9 @@ def test_line_edit_join(spark, odd, empty):
     line = "the quick brown fox jumps over it"
     docs = spark.createDataFrame([(1, line + "\nshort\n" + line), (2, "x" + line + "\nshort"), (3, "another line that stands alone"), (4, None)], "doc_id long, text string")
     got = {r.doc_id: (r.n_lines, r.kept_lines) for r in line_dedup(docs).collect()}
-    assert got == {1: (3, [0, 1]), 2: (2, [1]), 3: (1, [0]), 4: (0, [])}
+    assert got == {1: (3, [0, 1]), 2: (2, []), 3: (1, [0]), 4: (0, [])}
+    twice = spark.createDataFrame([(None, line), (None, "menu"), (3, line), (3, line), (3, "menu")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.kept_lines) for r in line_dedup(twice).collect()) == [(0, []), (0, []), (3, []), (3, [0]), (3, [0])]
     assert line_dedup(empty).count() == 0 and line_dedup(odd).count() == len(ODD)
 
 
@@ -299,8 +375,39 @@ def test_null_and_repeated_ids(spark):
     assert taken <= mixed_documents(docs).count() <= taken + 1
 
 
+def test_lines_brute_force(spark, tmp_path):
+    from tidemill.llm.linededup import line_dedup, lines_of, op10_line_dedup, within
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    rows = {r.doc_id: lines_of(r.text) for r in docs.collect()}
+    random.seed(3)
+    pool = [x for ls in rows.values() for x in ls if x][:150]
+    near = [x[:k] + random.choice("qz ") + x[k + random.randrange(2) :] for x in pool for k in [random.randrange(len(x))]]
+    rows |= {900_000 + k: near[k::7] + ["menu", "", "menus"] for k in range(7)}
+    first, root = {}, {}
+    for i in sorted(rows):
+        for pos, x in enumerate(rows[i]):
+            if x:
+                first.setdefault(x, (i, pos))
+    lines = sorted(first, key=first.get)
+    for k, x in enumerate(lines):
+        root[x] = x
+        for y in lines[:k]:
+            if min(len(x), len(y)) >= 20 and within(x, y):
+                a, b = root[x], root[y]
+                if a != b:
+                    low, high = sorted((a, b), key=first.get)
+                    root = {z: low if r == high else r for z, r in root.items()}
+    want = {i: [pos for pos, x in enumerate(ls) if not x or (root[x] == x and first[x] == (i, pos))] for i, ls in rows.items()}
+    table = spark.createDataFrame([(i, "\n".join(ls)) for i, ls in rows.items()], "doc_id long, text string").repartition(3)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [int(x) for x in r.kept_lines.split(",") if x] for r in op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(map(len, rows.values()))
+    assert line_dedup(docs.limit(0)).count() == 0
+
+
 def test_equal_short_lines(spark, tmp_path):
-    from tidemill.llm.linededup import op10_line_dedup, without_repeated_lines
+    from tidemill.llm.linededup import op10_line_dedup
 
     line = "the quick brown fox jumps over it"
     rows = [(1, f"{line}\nmenu\n\nmenus\n 首页"), (2, f"menu \nx{line}\n\n首页\nlast"), (3, "menu"), (4, None)]
@@ -308,4 +415,77 @@ def test_equal_short_lines(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_kept, r.kept_lines) for r in op10_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (5, 5, "0,1,2,3,4"), 2: (5, 2, "2,4"), 3: (1, 0, ""), 4: (0, 0, "")}
-    assert {r.doc_id: r.text for r in without_repeated_lines(docs.where("doc_id < 4")).collect()}[2] == "\nlast"
+
+
+#: Names that operators use inside, as extra columns; repeated rows, null ids, ties, null, empty and very long texts.
+CLASH = ["key", "word", "slot", "held", "rep", "h", "row", "copy", "copies", "kept_lines", "n_lines", "tid", "component", "fp", "label", "size", "bucket", "name"]
+ODD_ROWS = [(None, "a b"), (1, "ab"), (2, "a b"), (3, "cd"), (3, "cd"), (None, "ef"), (None, None), (None, None), (4, ""), (4, "ij"), (6, "1234 !!"), (7, "word " * 200_000), (7, "word " * 200_000)]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(i, t, "en" if k % 4 else None, "s" if k % 3 else None, *[f"v{k}"] * len(CLASH)) for k, (i, t) in enumerate(ODD_ROWS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASH))
+
+
+def operators():
+    from tidemill.llm import bpe, embeddings, exact_dedup, hmm, langid, licenses, linededup, mixing, resample, simhash
+
+    return {
+        "op1": lambda d: resample.importance_resample(d, d.select("doc_id"), 0.5),
+        "op2": langid.predict_language,
+        "op3": exact_dedup.exact_dedup,
+        "op4": bpe.encoded_digest,
+        "op5": licenses.license_scan,
+        "op6": simhash.simhash_groups,
+        "op7": mixing.mix,
+        "op8": lambda d: hmm.score_texts(d.withColumn("training", F.lit(False)), "training"),
+        "op9": lambda d: embeddings.embedding_groups(d.withColumn("embedding", F.expr("case when text is null then null else array(1.0D, double(doc_id)) end")), id_col="doc_id", label_col="lang"),
+        "op10": linededup.line_dedup,
+    }
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_odd_rows(clashing, name):
+    out = operators()[name](clashing)
+    column = "vec_id" if name == "op9" else "doc_id"
+    assert sorted(r[column] or 0 for r in out.collect()) == sorted(i or 0 for i, _ in ODD_ROWS)
+    assert operators()[name](clashing.limit(0)).count() == 0
+
+
+def test_odd_rows_in_stages(spark, clashing):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, clashing, SF)
+        rows = [tuple(r) for r in out.collect()]
+        assert out.columns == clashing.columns and {*rows} <= {tuple(r) for r in clashing.collect()}
+        if name == "exact_dedup":
+            assert sorted((r[0] or 0, r[1][:5]) for r in rows if r[1]) == [(0, "ef"), (2, "a b"), (3, "cd"), (4, "ij"), (6, "1234 "), (7, "word ")]
+        if name == "near_dedup":
+            assert sorted((r[0] or 0, (r[1] or "")[:5]) for r in rows) == [(0, "ef"), (1, "ab"), (2, "a b"), (3, "cd"), (4, ""), (4, "ij"), (6, "1234 "), (7, "word ")]
+        assert stage(spark, clashing.limit(0), SF).count() == 0
+    assert p.STAGES[4][1](spark, clashing, SF).count() == len(ODD_ROWS)
+
+
+def test_scratch_folder_of_a_plain_session(tmp_path):
+    code = "from pyspark.sql import SparkSession; from tidemill.llm.simhash import op6_simhash; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print('rows', op6_simhash(s, '/root/testdata/sf0.001').count())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in out.stdout, out.stderr[-2000:]
+
+
+class Session:
+    """As much of a session on a cluster as the folder is asked of."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master, applicationId = "spark://host:7077", "app"
+
+
+def test_no_scratch_folder_on_a_cluster():
+    from tidemill.llm.common import scratch_root
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Session)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import materialize, salted_join
+from tidemill.llm.common import materialize, tiled, whole_groups
 from tidemill.llm.components import components
-from tidemill.llm.simhash import spanning
+from tidemill.llm.simhash import group_ranges, near_in_groups, spanning
 
 #: Least cosine of a link, chance that a pair at that cosine shares no bucket, width of the confidence bounds in
 #: standard errors, vectors of one tile, seed of the rotations.
-COSINE, MISS, SIGMAS, TILE, SEED = 0.93, 1e-4, 6.0, 256, 7
-#: Least and most bits of a bucket's key.
-KEY_BITS = (8, 24)
+COSINE, MISS, SIGMAS, TILE, SEED = 0.93, 1e-4, 6.0, 512, 7
+#: Bits of the signs that rows carry into their buckets, and the logarithm of the rows of a bucket of unlike vectors.
+SIGNS, BUCKET_BITS = 256, 8
 
 
 def rotation(dim: int, k: int, seed: int = SEED) -> np.ndarray:
@@ -29,17 +29,39 @@ def rotation(dim: int, k: int, seed: int = SEED) -> np.ndarray:
 
 
 def key_plan(rows: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
-    """Bits of a bucket's key, growing with the logarithm of the rows, so that buckets of unlike vectors stay small,
-    and the number of keys so that a pair at ``cosine`` misses all of them with probability ``miss`` at most."""
-    bits = min(max(math.ceil(math.log2(max(rows, 2))) - 4, KEY_BITS[0]), KEY_BITS[1])
+    """Bits of a bucket's key, growing with the logarithm of the rows, so that buckets of unlike vectors stay as they
+    are, and the number of keys so that a pair at ``cosine`` misses all of them with probability ``miss`` at most."""
+    bits = min(max(math.ceil(math.log2(max(rows, 2))) - BUCKET_BITS, 4), 48)
     hit = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - hit))
 
 
+def sign_radius(cosine: float = COSINE, sigmas: float = SIGMAS) -> int:
+    """Differing signs of SIGNS random directions up to which a pair may have the cosine: the angle's share of a half
+    turn is their expected share, and ``sigmas`` standard errors are added."""
+    p = math.acos(cosine) / math.pi
+    return int(SIGNS * p + sigmas * math.sqrt(SIGNS * p * (1 - p)))
+
+
+def unit_vectors(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors (doubles) of the valid rows, by length; null, empty and zero vectors and those with a
+    null or non-finite component have none."""
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    for dim in np.unique(size[size > 0]).tolist():
+        at = np.nonzero(size == dim)[0]
+        x = flat[ends[at][:, None] + np.arange(dim)].astype(np.float64)
+        big = np.abs(x).max(axis=1)
+        good = np.isfinite(big) & (big > 0)
+        x, at = x[good] / big[good, None], at[good]
+        yield at, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def coded(vectors: DataFrame, bits: int, keys: int, seed: int = SEED) -> DataFrame:
-    """``rep, weight, label, x, code, factor, keys``: the unit vector as doubles, the sign bits of its rotation, the
-    correction factor <o, code> stored with them, and the bucket keys from the signs of further rotations. Rows whose
-    vector is null, zero or has a null or non-finite component don't come out."""
+    """``rep, weight, label, dim, x, code, factor, signs, keys``: the unit vector as doubles, the sign bits of its
+    rotation, the correction factor <o, code> stored with them, signs of further rotations, and the bucket keys from
+    others. Rows without a valid vector don't come out."""
+    names = ["rep", "weight", "label", "dim", "x", "code", "factor", "signs", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[tuple[int, int], np.ndarray] = {}
@@ -49,32 +71,30 @@ def coded(vectors: DataFrame, bits: int, keys: int, seed: int = SEED) -> DataFra
                 turns[dim, k] = rotation(dim, k, seed)
             return turns[dim, k]
 
+        def packed(bits: np.ndarray) -> pa.Array:
+            return pa.array([r.tobytes() for r in np.packbits(bits, axis=1, bitorder="little")], pa.binary())
+
+        power = 1 << np.arange(bits, dtype=np.int64)
+        need = keys * bits + SIGNS
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
-                by_dim: dict[int, list[int]] = {}
-                lists = batch.column(3).to_pylist()
-                for i, v in enumerate(lists):
-                    if v and None not in v:
-                        by_dim.setdefault(len(v), []).append(i)
-                for dim, at in by_dim.items():
-                    x = np.array([lists[i] for i in at], dtype=np.float64)
-                    big = np.abs(x).max(axis=1)
-                    good = np.isfinite(big) & (big > 0)
-                    x, at = x[good] / big[good, None], np.array(at)[good]
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                for at, x in unit_vectors(batch.column(3)):
+                    if not len(at):
+                        continue
+                    dim = x.shape[1]
                     turned = x @ turn(dim, 0)
-                    code = turned > 0
                     factor = np.abs(turned).sum(axis=1) / math.sqrt(dim)
-                    need = keys * bits
                     signs = np.concatenate([x @ turn(dim, k) for k in range(1, 1 + -(-need // dim))], axis=1)[:, :need] > 0
-                    power = (1 << np.arange(bits, dtype=np.int64))
-                    key = (signs.reshape(len(x), keys, bits) * power).sum(axis=2) * 4096 + dim % 4096
+                    key = (signs[:, : keys * bits].reshape(len(x), keys, bits) * power).sum(axis=2)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, keys, dtype=np.int32)), pa.array(key.ravel()))
                     take = pa.array(at)
-                    packed = np.packbits(code, axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(factor), pa.array(list(key), pa.list_(pa.int64()))], ["rep", "weight", "label", "x", "code", "factor", "keys"])
+                    own = [batch.column(k).take(take) for k in range(3)]
+                    exact = pa.array([r.tobytes() for r in x], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(at), dim, np.int32)), exact, packed(turned > 0), pa.array(factor), packed(signs[:, keys * bits :]), lists], names)
 
-    return vectors.select("rep", "weight", F.col("label").cast("string"), F.col("embedding").cast("array<double>")).mapInArrow(run, "rep long, weight long, label string, x binary, code binary, factor double, keys array<long>")
+    rows = vectors.select("rep", "weight", F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
+    return rows.mapInArrow(run, "rep long, weight long, label string, dim int, x binary, code binary, factor double, signs binary, keys array<long>")
 
 
 def estimate(code_a: np.ndarray, factor_a: np.ndarray, turned_b: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,103 +105,97 @@ def estimate(code_a: np.ndarray, factor_a: np.ndarray, turned_b: np.ndarray, dim
     return (c @ turned_b.T) / factor_a[:, None], error[:, None]
 
 
-def _links(cosine: float, sigmas: float, seed: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            i, j, t = g["i"].iat[0], g["j"].iat[0], g["t"].iat[0]
-            own = g["own"].to_numpy()
-            p, q = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
-            empty = np.empty(0, dtype=np.int64)
-            if not len(p) or not len(q) or (i == j and len(p) < 2):
-                return empty, empty, empty, empty
-            x = np.stack([np.frombuffer(v) for v in g["x"]])
-            dim = x.shape[1]
-            code = np.unpackbits(np.stack([np.frombuffer(v, dtype=np.uint8) for v in g["code"]]), axis=1)[:, :dim]
-            guess, error = estimate(code[p], g["factor"].to_numpy()[p], x[q] @ rotation_of(dim), dim)
-            a, b = np.nonzero(guess + sigmas * error >= cosine)  # the others are out by their upper bound
-            if i == j:
-                a, b = a[p[a] < q[b]], b[p[a] < q[b]]
-            a, b = p[a], q[b]
+def _with_company(limit: int) -> Callable:
+    """Rows of a group that have another one within the radius of their signs."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, y = group_ranges(pdf)
+        signs = np.frombuffer(b"".join(pdf["signs"]), dtype="<u8").reshape(len(pdf), -1)
+        a, b = near_in_groups(signs, x, y, limit)
+        return pdf.loc[np.unique(np.concatenate([a, b])), ["key", "i", "j", "own", "rep"]]
+
+    return whole_groups(solve, ["key", "i", "j"])
+
+
+def _links(cosine: float, sigmas: float, seed: int) -> Callable:
+    turns: dict[int, np.ndarray] = {}
+
+    def group_links(g: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        i, j, t, dim = (int(g[c].iat[0]) for c in ("i", "j", "t", "dim"))
+        own = g["own"].to_numpy()
+        p, q = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        rep, weight = g["rep"].to_numpy(), g["weight"].to_numpy()
+        x = np.stack([np.frombuffer(v) for v in g["x"]])
+        code = np.unpackbits(np.stack([np.frombuffer(v, dtype=np.uint8) for v in g["code"]]), axis=1, bitorder="little")[:, :dim]
+        if dim not in turns:
+            turns[dim] = rotation(dim, 0, seed)
+        guess, error = estimate(code[p], g["factor"].to_numpy()[p], x[q] @ turns[dim], dim)
+        a, b = np.nonzero(guess + sigmas * error >= cosine)  # the others are out by their upper bound
+        if i == j:
+            a, b = a[p[a] < q[b]], b[p[a] < q[b]]
+        a, b = p[a], q[b]
+        if t:  # those that met in an earlier table are counted there
             keys = np.stack(g["keys"].to_numpy())[:, :t]
-            new = ~(keys[a] == keys[b]).any(axis=1) if t else np.ones(len(a), dtype=bool)  # met in an earlier table
+            new = ~(keys[a] == keys[b]).any(axis=1)
             a, b = a[new], b[new]
-            near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
-            a, b = a[near], b[near]
-            rep, weight = g["rep"].to_numpy(), g["weight"].to_numpy()
-            return rep[a], rep[b], weight[a], weight[b]
-
-        turns: dict[int, np.ndarray] = {}
-
-        def rotation_of(dim: int) -> np.ndarray:
-            if dim not in turns:
-                turns[dim] = rotation(dim, 0, seed)
-            return turns[dim]
-
-        def out(held: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            found = [solve(g) for _, g in held.groupby(["label", "t", "key", "i", "j"], sort=False)]
-            a, b, wa, wb = (np.concatenate(c) for c in zip(*found, strict=True))
-            if len(a):
-                rep, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-                links = np.bincount(at, weights=np.concatenate([wb, wa])).astype(np.int64)
-                yield pd.DataFrame({"a": rep, "b": rep, "links": links})
-                a, b = spanning(a, b)
-                yield pd.DataFrame({"a": a, "b": b, "links": 0})
-
-        held = None
-        for pdf in frames:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = held.iloc[-1]
-            open_ = np.logical_and.reduce([(held[c] == last[c]).to_numpy() for c in ("label", "t", "key", "i", "j")])
-            if not open_.all():
-                yield from out(held[~open_])
-                held = held[open_]
-        if held is not None and len(held):
-            yield from out(held)
-
-    return run
+        near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+        a, b = a[near], b[near]
+        return rep[a], rep[b], weight[a], weight[b]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [group_links(g) for _, g in pdf.groupby(["key", "i", "j", "label", "dim"], sort=False)]
+        a, b, wa, wb = (np.concatenate(c) for c in zip(*found, strict=True))
+        rep, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        links = np.bincount(at, weights=np.concatenate([wb, wa]), minlength=len(rep)).astype(np.int64)
+        a, b = spanning(a, b)
+        return pd.DataFrame({"a": np.concatenate([rep, a]), "b": np.concatenate([rep, b]), "links": np.concatenate([links, np.zeros(len(a), np.int64)])})
+
+    return whole_groups(solve, ["key", "i", "j"])
 
 
 def embedding_groups(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, sigmas: float = SIGMAS, tile: int = TILE, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """One row per vector: ``vec_id, n_links, component_id, kept``.
+    """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``.
 
     Vectors of equal, non-null labels and of the same length link at a cosine of ``cosine`` or more, in double
     precision; vectors that are null, empty, zero or hold null or non-finite components link with nothing. Equal
-    vectors of a label become one node with a weight first, so copies are never paired. Other columns are ignored and
-    an empty table gives an empty result.
-
-    Each node is rotated at random and kept as its sign bits with the correction factor that makes the inner products
-    estimated from them unbiased. Nodes meet in buckets of sign bits of further rotations, in so many tables that a
-    pair at the threshold is missed with probability ``miss``, a nearer one with less. In a bucket, pairs whose upper
-    confidence bound (``sigmas`` standard errors) is under the threshold end; the others' cosines are computed
-    exactly, in the first table in which they meet. A bucket of more than ``tile`` nodes is dealt into tiles and each
-    pair of tiles is a group of its own. What leaves a group are counts per node and links that span it, not pairs.
+    vectors of a label become one node with a weight first, so copies are never paired. Rows with equal or null ids
+    are rows like any other; a null id is a component's only where all its ids are. Other columns are ignored and an
+    empty table gives an empty result.
+
+    Nodes meet in buckets of sign bits of random rotations, in so many tables that a pair at the threshold is missed
+    with probability ``miss``, a nearer one with less. Into the buckets go SIGNS further sign bits alone; only rows
+    with another one within :func:`sign_radius` of them there are joined with their vectors. Of these, pairs
+    whose upper confidence bound (``sigmas`` standard errors over the estimate from the binary code and its
+    factor) is under the threshold end; the others' cosines are computed exactly, in the first table in which they
+    meet. A bucket of more than ``tile`` nodes is dealt into tiles and each pair of tiles is a group of its own. What
+    leaves a group are counts per node and links that span it, not pairs.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
-    # The hash only spreads the grouping; the vector itself is part of the key.
-    v = v.withColumn("h", F.xxhash64("label", "embedding"))
-    same = ["h", "label", "embedding"]
-    classes = materialize(v.where("label is not null and embedding is not null").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    # 128 bits that stand for the label and the vector.
+    v = v.withColumns({"h": F.xxhash64("label", "embedding"), "h2": F.xxhash64("embedding", "label")})
+    first = [F.first(c).alias(c) for c in ("label", "embedding")]
+    classes = v.where("label is not null and embedding is not null").groupBy("h", "h2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"), *first)
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))
     bits, keys = key_plan(classes.count(), cosine, miss)
     nodes = materialize(coded(classes, bits, keys, seed))
-    rows = nodes.select("*", F.posexplode("keys").alias("t", "key"))
-    counts = rows.groupBy("label", "t", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    counts = counts.select("label", "t", "key", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
-    rows = salted_join(rows, counts, ["label", "t", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    rows = rows.select("*", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
-    place = ["label", "t", "key", "i", "j"]
-    rows = rows.select("label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "weight", "x", "code", "factor", "keys")
-    dealt = rows.repartition(*place).sortWithinPartitions(*place)
-    found = materialize(dealt.mapInPandas(_links(cosine, sigmas, seed), "a long, b long, links long"))
+    each = nodes.select("rep", "label", "dim", "signs", F.posexplode("keys").alias("t", "k"))
+    rows = each.select("rep", "signs", F.xxhash64("label", "dim", "t", "k").alias("key"))
+    place = ["key", "i", "j"]
+    near = materialize(tiled(rows, ["key"], tile).mapInPandas(_with_company(sign_radius(cosine, sigmas)), "key long, i int, j int, own int, rep long"))
+    full = near.join(nodes.drop("signs"), "rep").withColumn("t", F.expr("array_position(transform(keys, (k, t) -> xxhash64(label, dim, t, k)), key) - 1"))
+    found = full.repartition(*place).sortWithinPartitions(*place).mapInPandas(_links(cosine, sigmas, seed), "a long, b long, links long")
+    found = materialize(found)
     comps = components(found.select("a", "b")).withColumnRenamed("node", "rep")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     valid = nodes.select("rep", F.lit(True).alias("valid"))
-    per = classes.select("rep", "weight", *same).join(valid, "rep", "left").join(links, "rep", "left").join(comps, "rep", "left")
-    own = F.when(F.col("valid"), F.col("weight") - 1).otherwise(F.lit(0))
-    per = per.select("h", "label", "embedding", "valid", (own + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    linked = per.where("n_links > 0").select(*same, "n_links", "c")
-    joined = salted_join(v, linked, same, "left")
-    component = F.coalesce("c", "vec_id").alias("component_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    per = classes.select("rep", "h", "h2", "weight", "low").join(valid, "rep").join(links, "rep", "left").join(comps, "rep", "left")
+    per = per.select("h", "h2", "low", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("c")).where("n_links > 0")
+    per = materialize(per)
+    linked = per.join(per.groupBy("c").agg(F.min("low").alias("component_id")), "c").select("h", "h2", "n_links", "component_id")
+    joined = v.select("vec_id", "h", "h2").join(materialize(linked), ["h", "h2"], "left")
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
+    out = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

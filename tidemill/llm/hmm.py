@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import id_remainder, materialize, sub_batches
 
-#: Latent states, symbols without the end, rounds of training, tokens of a training window, seed.
-STATES, SYMBOLS, ROUNDS, WINDOW, SEED = 8, 4096, 4, 64, 11
+#: Latent states, symbols without the end, rounds of training, seed.
+STATES, SYMBOLS, ROUNDS, SEED = 8, 4096, 4, 11
+#: Tokens of a piece of a sequence and pieces worked on at once; results don't depend on either.
+PIECE, AT_ONCE = 128, 2048
 #: Bytes of text of a block of documents, which shares one table of words.
 BLOCK = 16_000_000
 
@@ -52,10 +54,10 @@ def blocks(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
             name = part << 32 | k
             d, w = b.num_rows, len(names)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(d, np.int32)), pa.array(np.full(d, name)), b.column(0), b.column(2), pa.array(seqs, pa.binary()), pa.nulls(d, pa.int32()), pa.nulls(d, pa.binary()), pa.nulls(d, pa.int64())], NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(w, np.int32)), pa.array(np.full(w, name)), pa.nulls(w, pa.int64()), pa.nulls(w, pa.bool_()), pa.nulls(w, pa.binary()), pa.array(np.arange(w, dtype=np.int32)), pa.array(names, pa.binary()), pa.array([counts[x] for x in names], pa.int64())], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(w, np.int32)), pa.array(np.full(w, name)), pa.nulls(w, pa.string()), pa.nulls(w, pa.bool_()), pa.nulls(w, pa.binary()), pa.array(np.arange(w, dtype=np.int32)), pa.array(names, pa.binary()), pa.array([counts[x] for x in names], pa.int64())], NAMES)
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(held_out).alias("held"))
-    return narrow.mapInArrow(run, "kind int, block long, doc_id long, held boolean, seq binary, place int, word binary, n long")
+    narrow = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(held_out).alias("held"))
+    return narrow.mapInArrow(run, "kind int, block long, doc_id string, held boolean, seq binary, place int, word binary, n long")
 
 
 NAMES = ["kind", "block", "doc_id", "held", "seq", "place", "word", "n"]
@@ -81,45 +83,102 @@ def begin(states: int = STATES, symbols: int = SYMBOLS, seed: int = SEED) -> tup
     return np.full(states, 1.0 / states), a / a.sum(axis=1, keepdims=True), b / b.sum(axis=1, keepdims=True)
 
 
-def expected_counts(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, transitions and emissions of windows of at most WINDOW tokens (scaled forward-backward, all
-    windows of a batch in step)."""
+def observed(pieces: list[np.ndarray], emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Symbols (time, piece) and their emissions (time, piece, state) of pieces in falling order of length, their
+    lengths, and how many pieces go on at each time."""
+    size = np.array([len(p) for p in pieces])
+    obs = np.zeros((int(size[0]), len(pieces)), dtype=np.int64)
+    for i, p in enumerate(pieces):
+        obs[: len(p), i] = p
+    return obs, emit[obs], size, [int(np.searchsorted(-size, -t, side="left")) for t in range(len(obs))]
+
+
+def transfers(pieces: list[np.ndarray], a: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """For each piece the product of its emissions and transitions, from its first emission to its last, up to a
+    factor: what turns the state before a piece into that after it."""
+    order = np.argsort([-len(p) for p in pieces], kind="stable")
+    k = len(a)
+    out = np.empty((len(pieces), k, k), dtype=np.float32)
+    for at in range(0, len(order), AT_ONCE):
+        part = order[at : at + AT_ONCE]
+        _, e, _, active = observed([pieces[i] for i in part], emit)
+        x = np.zeros((len(part), k, k), dtype=np.float32)
+        x[:, np.arange(k), np.arange(k)] = e[0]
+        for t in range(1, len(e)):
+            m = active[t]
+            y = (x[:m].reshape(m * k, k) @ a).reshape(m, k, k) * e[t, :m, None, :]
+            x[:m] = y / y.max(axis=(1, 2), keepdims=True)
+        out[part] = x
+    return out
+
+
+def boundaries(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, emit: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of all sequences; for each the filtered states before it (zeros at the start of a sequence) and the
+    backward values after it, each up to a factor; and which pieces start a sequence."""
+    pieces = [s[i : i + PIECE] for s in seqs for i in range(0, len(s), PIECE)]
+    n = np.array([-(-len(s) // PIECE) for s in seqs])
+    begin = np.cumsum(n) - n
+    k = len(a)
+    before, after = np.zeros((len(pieces), k), dtype=np.float32), np.ones((len(pieces), k), dtype=np.float32)
+    is_first = np.zeros(len(pieces), dtype=bool)
+    is_first[begin] = True
+    several = np.nonzero(n > 1)[0]
+    if len(several):
+        several = several[np.argsort(-n[several], kind="stable")]
+        b, size = begin[several], n[several]
+        inner = np.concatenate([np.arange(x, x + m) for x, m in zip(b.tolist(), size.tolist(), strict=True)])
+        over = np.empty((len(pieces), k, k), dtype=np.float32)
+        over[inner] = transfers([pieces[i] for i in inner], a, emit)
+        for p in range(1, int(size[0])):  # the p-th piece of every sequence that has one
+            at = b[: int(np.searchsorted(-size, -p, side="left"))] + p
+            into = start[None, :] if p == 1 else before[at - 1] @ a
+            x = np.einsum("ni,nij->nj", np.broadcast_to(into, (len(at), k)), over[at - 1])
+            before[at] = x / x.sum(axis=1, keepdims=True)
+        for p in range(int(size[0]) - 1, 0, -1):
+            at = b[: int(np.searchsorted(-size, -p, side="left"))] + p
+            y = np.einsum("nij,nj->ni", over[at], after[at]) @ a.T
+            after[at - 1] = y / y.max(axis=1, keepdims=True)
+    return pieces, before, after, is_first
+
+
+def expected_counts(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, transitions and emissions of whole sequences, and their log10 likelihood.
+
+    Scaled forward-backward. A sequence is cut into pieces, which are worked on in step with all others; the states
+    before a piece and the backward values after it are carried over the cuts by the pieces' transfer matrices, so
+    the counts are those of the uncut sequence and memory is that of AT_ONCE pieces."""
     k = len(start)
-    n_start, n_a, n_b = np.zeros(k), np.zeros((k, k)), np.zeros_like(b)
-    windows = [s[i : i + WINDOW] for s in seqs for i in range(0, len(s), WINDOW)]
-    windows.sort(key=len, reverse=True)
-    emit = np.ascontiguousarray(b.T.astype(np.float32))
-    a32 = a.astype(np.float32)
-    for at in range(0, len(windows), 2048):
-        part = windows[at : at + 2048]
-        size = np.array([len(w) for w in part])
-        longest = int(size[0])
-        obs = np.zeros((longest, len(part)), dtype=np.int64)
-        for i, w in enumerate(part):
-            obs[: len(w), i] = w
-        active = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # windows longer than t
-        alpha = np.zeros((longest, len(part), k), dtype=np.float32)
-        e = emit[obs]
-        scale = np.ones((longest, len(part)), dtype=np.float32)
-        for t in range(longest):
+    n_start, n_a, n_b, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(b), 0.0
+    emit, a32, start32 = np.ascontiguousarray(b.T.astype(np.float32)), a.astype(np.float32), start.astype(np.float32)
+    pieces, before, after, is_first = boundaries(seqs, start32, a32, emit)
+    order = np.argsort([-len(p) for p in pieces], kind="stable")
+    for at in range(0, len(order), AT_ONCE):
+        part = order[at : at + AT_ONCE]
+        obs, e, size, active = observed([pieces[i] for i in part], emit)
+        into = np.where(is_first[part, None], start32, before[part] @ a32)
+        alpha = np.zeros(e.shape, dtype=np.float32)
+        scale = np.ones(obs.shape, dtype=np.float32)
+        for t in range(len(obs)):
             m = active[t]
-            x = (alpha[t - 1, :m] @ a32 if t else start.astype(np.float32)[None, :]) * e[t, :m]
+            x = (alpha[t - 1, :m] @ a32 if t else into) * e[t, :m]
             scale[t, :m] = s = x.sum(axis=1)
             alpha[t, :m] = x / s[:, None]
-        beta = np.ones((len(part), k), dtype=np.float32)
-        gamma = alpha.copy()
-        for t in range(longest - 2, -1, -1):
-            m = active[t + 1]
-            y = beta[:m] * e[t + 1, :m] / scale[t + 1, :m, None]
-            n_a += alpha[t, :m].T @ y
-            beta[:m] = y @ a32.T
+        total += float(np.log10(scale).sum(dtype=np.float64))
+        end = alpha[size - 1, np.arange(len(part))]
+        beta = after[part] / (end * after[part]).sum(axis=1, keepdims=True)
+        gamma = np.zeros_like(alpha)
+        for t in range(len(obs) - 1, -1, -1):
+            m = active[t]
             gamma[t, :m] = alpha[t, :m] * beta[:m]
-        n_start += gamma[0].sum(axis=0)
-        inside = np.arange(longest)[:, None] < size[None, :]
+            y = beta[:m] * e[t, :m] / scale[t, :m, None]
+            n_a += (alpha[t - 1, :m] if t else before[part]).T @ y
+            beta[:m] = y @ a32.T
+        n_start += gamma[0][is_first[part]].sum(axis=0)
+        inside = np.arange(len(obs))[:, None] < size[None, :]
         o, g = obs[inside], gamma[inside]
         for s in range(k):
             n_b[s] += np.bincount(o, weights=g[:, s], minlength=b.shape[1])
-    return n_start, n_a * a, n_b
+    return n_start, n_a * a, n_b, total
 
 
 def log_likelihoods(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,34 +202,35 @@ def log_likelihoods(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, b:
     return out
 
 
-def train(coded: DataFrame, rounds: int = ROUNDS, states: int = STATES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch on ``syms`` of the rows of ``coded``: each task sums the expected counts of what it reads, and one
-    row per task and state of (start, transitions, emissions) is added up by Spark. The model has a fixed size."""
+def train(coded: DataFrame, rounds: int = ROUNDS, states: int = STATES, seed: int = SEED) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[float]]:
+    """Baum-Welch on ``syms`` of the rows of ``coded``, and the log10 likelihood of each round's model before it: each
+    task sums the expected counts of what it reads, and one row per task and state of (start, transitions, emissions)
+    is added up by Spark. The model has a fixed size."""
     start, a, b = begin(states, seed=seed)
-    width = 1 + states + b.shape[1]
+    width, likelihoods = 1 + states + b.shape[1], []
     for _ in range(rounds):
         model = (start, a, b)
 
         def run(frames: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = None
-            for batch in sub_batches(frames, "syms", chars=4_000_000, rows=1 << 30):
-                seqs = [np.frombuffer(s, dtype="<u2") for s in batch.column(0).to_pylist()]
-                got = expected_counts(seqs, *model)
+            for batch in sub_batches(frames, "syms", chars=2_000_000, rows=1 << 30):
+                got = expected_counts([np.frombuffer(s, dtype="<u2") for s in batch.column(0).to_pylist()], *model)
                 total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
             if total is not None:
-                flat = np.concatenate([total[0][:, None], total[1], total[2]], axis=1).ravel()
+                flat = np.append(np.concatenate([total[0][:, None], total[1], total[2]], axis=1).ravel(), total[3])
                 at = np.nonzero(flat)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "value"])
 
         sums = coded.select("syms").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        flat = np.zeros(states * width)
+        flat = np.zeros(states * width + 1)
         flat[sums["at"]] = sums["value"]
-        flat = flat.reshape(states, width)
+        likelihoods.append(float(flat[-1]))
+        flat = flat[:-1].reshape(states, width)
         start = (flat[:, 0] + 1) / (flat[:, 0] + 1).sum()
         a = flat[:, 1 : 1 + states] + 0.1
         b = flat[:, 1 + states :] + 0.01
         a, b = a / a.sum(axis=1, keepdims=True), b / b.sum(axis=1, keepdims=True)
-    return start, a, b
+    return (start, a, b), likelihoods
 
 
 def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -184,9 +244,10 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
 
     Word counts cover all training documents and are exact. What is shuffled for them are the distinct words of each
     block of documents, not the tokens: counts are summed by word and come back to the blocks, where each document's
-    sums are made. Blocks are bounded in size, or one document. Other columns are ignored; an empty table gives an
-    empty result.
+    sums are made. Blocks are bounded in size, or one document. Rows with null or repeated ids are scored like any other,
+    each on its own; other columns are ignored; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     table = materialize(blocks(docs, held, id_col, text_col), partition_by="kind")
     words = table.where("kind = 1").select("block", "place", "word", "n")
     counts = materialize(words.groupBy("word").agg(F.sum("n").alias("c")))
@@ -194,15 +255,18 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
     total, distinct = int(sizes["n"].sum()), int(sizes["v"].sum())
     back = words.drop("n").join(counts, "word").select((F.col("block") + 0).alias("of"), "place", symbol().alias("sym"), "c")
     rows = table.where("kind = 0").select("block", "doc_id", "held", "seq")
-    schema = "doc_id long, held boolean, n_tokens long, n_known long, logs double, syms binary"
+    schema = "doc_id string, held boolean, n_tokens long, n_known long, logs double, syms binary"
+    # A task has one or two blocks, however many there are.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.select("block").distinct().count() // 2))
+    rows, back = rows.repartition(tasks, "block"), back.repartition(tasks, "of")
     coded = materialize(rows.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(coded_block, schema))
-    model = train(coded.where("not held"), rounds)
+    model, _ = train(coded.where("not held"), rounds)
     room = np.zeros(SYMBOLS + 1)
     for s, n, v in sizes[["sym", "n", "v"]].itertuples(index=False):
         room[int(s)] = math.log10(n + v + 1)
 
     unit = math.log10(total + distinct + 1)
-    schema = "doc_id long, held boolean, n_tokens long, n_known long, logs double, score double"
+    schema = "doc_id string, held boolean, n_tokens long, n_known long, logs double, score double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches, "syms", chars=2_000_000):
@@ -212,7 +276,7 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
 
     out = coded.mapInArrow(scored, schema)
     base = F.col("logs") - F.col("n_tokens") * F.lit(unit)
-    return out.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

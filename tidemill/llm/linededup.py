@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACES, materialize, salted_join, sub_batches
+from tidemill.llm.common import SPACES, marked, materialize, slot_map, sub_batches, tiled, whole_groups
 from tidemill.llm.components import components
 
-#: Largest edit distance of a link, least code points of a line that is compared, lines of one tile.
+#: Largest edit distance of a link, least code points of a line that is linked to others than its equals, lines of one
+#: tile.
 DISTANCE, LEAST_CHARS, TILE = 2, 20, 128
 #: Slots of the bit map of keys that lines share.
 SLOTS = 1 << 24
@@ -32,23 +34,32 @@ def segments(n: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
     return out
 
 
-def line_keys(line: str, distance: int = DISTANCE) -> tuple[list[int], list[int]]:
-    """Hashes of (length, segment number, segment) under which a line is filed, and those under which it looks for
-    lines that are as long or shorter by up to ``distance``. A line within that many edits leaves one segment whole,
-    and by the multi-match-aware choice it stands at one of these starts."""
-    n = len(line)
-    key = lambda m, i, s: xxhash.xxh64_intdigest(s, m * (distance + 1) + i)
-    own = [key(n, i, line[p : p + size]) for i, (p, size) in enumerate(segments(n, distance))]
+@lru_cache(maxsize=4096)
+def key_places(n: int, distance: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(seed, start, end) of the segments under which a line of n code points is filed, and of those under which it
+    looks for lines that are as long or shorter by up to ``distance``. A seed stands for a length and a segment's
+    number. A line within that many edits leaves one segment whole, and by the multi-match-aware choice it stands
+    at one of these starts."""
+    seed = lambda m, i: m * (distance + 1) + i
+    own = [(seed(n, i), p, p + size) for i, (p, size) in enumerate(segments(n, distance))]
     look = []
     for m in range(max(n - distance, distance + 1), n + 1):
         more = n - m
         for i, (p, size) in enumerate(segments(m, distance)):
             first = max(p - i, p + more - (distance - i), 0)
             last = min(p + i, p + more + (distance - i), n - size)
-            look += [key(m, i, line[q : q + size]) for q in range(first, last + 1) if (more, q) != (0, p)]
+            look += [(seed(m, i), q, q + size) for q in range(first, last + 1) if (more, q) != (0, p)]
     return own, look
 
 
+def line_keys(line: str, distance: int = DISTANCE) -> tuple[list[int], list[int]]:
+    """Hashes of the segments of :func:`key_places`: those under which a line is filed, and those it looks under."""
+    own, look = key_places(len(line), distance)
+    digest = xxhash.xxh64_intdigest
+    cut = line.encode() if line.isascii() else line  # the same bytes either way
+    return [digest(cut[p:q], k) for k, p, q in own], [digest(cut[p:q], k) for k, p, q in look]
+
+
 def within(a: str, b: str, distance: int = DISTANCE) -> bool:
     """Whether the edit distance is ``distance`` at most, by bit vectors of the 2 * distance + 1 cells around the
     diagonal. Bit d of ``reach[e]`` tells that, with e edits, the cell d - distance off the diagonal is reached."""
@@ -93,31 +104,46 @@ def lines_of(text: str | None) -> list[str]:
     return [x.strip(SPACES) for x in text.split("\n")] if text else []
 
 
-def document_lines(docs: DataFrame, least_chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two views of the lines: ``line, doc_id, pos``, each line of ``least_chars`` or more once for each batch of
-    documents, at its first place there; and ``doc_id, n_lines, short``, the numbers of the shorter lines."""
+#: A document in these tables: its id and a hash of its text.
+IDENTITY = ["doc_id", "h"]
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+
+
+def first_places(docs: DataFrame) -> DataFrame:
+    """``line, doc_id, h, pos`` from ``doc_id, h, text``: each non-empty line once for each batch of documents, at its
+    first place there (smallest id, null last, then hash, then line number)."""
 
-    def long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches):
-            first: dict[str, tuple[int, int]] = {}
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            first: dict[str, tuple] = {}
+            for i, h, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for pos, line in enumerate(lines_of(t)):
-                    if len(line) >= least_chars and (line not in first or (i, pos) < first[line]):
-                        first[line] = i, pos
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array([i for i, _ in first.values()], pa.int64()), pa.array([p for _, p in first.values()], pa.int32())], ["line", "doc_id", "pos"])
+                    if line and (line not in first or (i is None, i or 0, h, pos) < first[line]):
+                        first[line] = i is None, i or 0, h, pos
+            ids = pa.array([None if none else i for none, i, _, _ in first.values()], pa.int64())
+            hs, places = (pa.array([x[k] for x in first.values()], kind) for k, kind in ((2, pa.int64()), (3, pa.int32())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), ids, hs, places], ["line", *IDENTITY, "pos"])
+
+    return docs.mapInArrow(run, "line string, doc_id long, h long, pos int")
+
+
+def line_counts(docs: DataFrame) -> DataFrame:
+    """``doc_id, h, n_lines, empty``: the number of lines of each row and the numbers of the empty ones."""
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches):
-            lines = [lines_of(t) for t in b.column(1).to_pylist()]
-            short = [[pos for pos, x in enumerate(ls) if len(x) < least_chars] for ls in lines]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(ls) for ls in lines], pa.int64()), pa.array(short, pa.list_(pa.int32()))], ["doc_id", "n_lines", "short"])
+            lines = [lines_of(t) for t in b.column(2).to_pylist()]
+            empty = [[pos for pos, x in enumerate(ls) if not x] for ls in lines]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(ls) for ls in lines], pa.int64()), pa.array(empty, pa.list_(pa.int32()))], [*IDENTITY, "n_lines", "empty"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(long_lines, "line string, doc_id long, pos int"), narrow.mapInArrow(counts, "doc_id long, n_lines long, short array<int>")
+    return docs.mapInArrow(run, "doc_id long, h long, n_lines long, empty array<int>")
 
 
 def keyed(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``id, key, filed`` for every key of every line."""
+    """``rep, key, filed`` for every key of every line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches, "line", chars=1_000_000):
@@ -129,16 +155,16 @@ def keyed(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 keys += look
                 ends.append(len(keys))
             flat = np.array(keys, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["rep", "keys"])
 
-    each = lines.select("id", "line").mapInArrow(run, "id long, keys array<long>").select("id", F.posexplode("keys").alias("k", "key"))
-    return each.select("id", "key", (F.col("k") <= distance).alias("filed"))
+    each = lines.select("rep", "line").mapInArrow(run, "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("k", "key"))
+    return each.select("rep", "key", (F.col("k") <= distance).alias("filed"))
 
 
-def _verify(distance: int):
-    def solve(g: pd.DataFrame, a: list[int], b: list[int]) -> None:
+def _verify(distance: int) -> Callable:
+    def group_links(g: pd.DataFrame, a: list[int], b: list[int]) -> None:
         i, j = g["i"].iat[0], g["j"].iat[0]
-        own, filed, ids, lines = (g[c].to_numpy() for c in ("own", "filed", "id", "line"))
+        own, filed, ids, lines = (g[c].to_numpy() for c in ("own", "filed", "rep", "line"))
         p, q = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
         root = list(range(len(g)))
 
@@ -157,76 +183,60 @@ def _verify(distance: int):
                         a.append(ids[x])
                         b.append(ids[y])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(held: pd.DataFrame) -> pd.DataFrame:
-            a: list[int] = []
-            b: list[int] = []
-            for _, g in held.groupby(["key", "i", "j"], sort=False):
-                solve(g, a, b)
-            return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
-
-        held = None
-        for pdf in frames:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = held.iloc[-1]
-            open_ = ((held["key"] == last["key"]) & (held["i"] == last["i"]) & (held["j"] == last["j"])).to_numpy()
-            if not open_.all():
-                yield out(held[~open_])
-                held = held[open_]
-        if held is not None and len(held):
-            yield out(held)
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        a: list[int] = []
+        b: list[int] = []
+        for _, g in pdf.groupby(["key", "i", "j"], sort=False):
+            group_links(g, a, b)
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    return run
+    return whole_groups(solve, ["key", "i", "j"])
 
 
 def line_links(lines: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
-    """Links ``a, b`` between distinct lines (``id, line``) at ``distance`` edits or fewer, as many as join the same
+    """Links ``a, b`` between distinct lines (``rep, line``) at ``distance`` edits or fewer, as many as join the same
     groups. Lines that share a key meet; keys under which nothing is filed or one line stands alone end before any text
     moves, and a key with more than ``tile`` lines is dealt into tiles, each pair of them a group of its own."""
     live = keyed(lines, distance).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("filed").alias("filed")).where("filed and c > 1")
-    live = materialize(live.select("key", F.ceil(F.col("c") / tile).cast("int").alias("tiles")))
     # A bit map of fixed size drops most of the dead keys where they are made.
     slot = F.pmod("key", F.lit(SLOTS))
-    bits = live.select(slot.alias("slot")).distinct().groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    keys = keyed(lines, distance).withColumn("slot", slot).withColumn("word", F.expr("slot div 64"))
-    keys = keys.join(F.broadcast(bits), "word").where("bits & shiftleft(1L, cast(slot % 64 as int)) <> 0").select("id", "key", "filed")
-    rows = salted_join(keys, live, ["key"]).join(lines.select("id", "line"), "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select("*", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "filed", "id", "line")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_verify(distance), "a long, b long")
+    slots = materialize(slot_map(live.select(slot.alias("slot"))))
+    rows = marked(keyed(lines, distance), slot, slots).where("__marked").select("rep", "key", "filed")
+    rows = materialize(rows).join(lines.select("rep", "line"), "rep")
+    return tiled(rows, ["key"], tile).mapInPandas(_verify(distance), "a long, b long")
 
 
-def line_dedup(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_lines, kept_lines`` (numbers of the lines that stay, from 0, in order).
+def line_dedup(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, h, row, n_lines, kept_lines`` (numbers of the lines that stay, from 0, in
+    order); ``h`` is the hash of the text and ``row`` a number of this row alone.
 
-    Lines are compared without the white space around them. Of each group of lines joined by links of ``distance``
-    edits or fewer the first occurrence (smallest id, then line number) stays; lines of fewer than ``least_chars`` code
-    points link only if equal with ``short``, and always stay without; empty lines always stay. Null and empty texts have no lines; ids are unique; other columns are ignored.
+    Lines are compared without the white space around them. Equal lines are one group, and those of ``least_chars``
+    code points or more also join others at ``distance`` edits or fewer (two edits make another word of a shorter one).
+    Of each group the first occurrence (smallest id, null last, then text hash and line number) stays; empty lines
+    always stay. Null and empty texts have no lines. Rows with equal or null ids are documents of their own; of rows
+    that repeat id and text one keeps the lines. Other columns are ignored; an empty table gives an empty result.
 
     Equal lines become one before anything is compared (combined before the shuffle), so a line that stands in a
     third of all documents is one row.
     """
-    long_lines, per = document_lines(docs, 1 if short else least_chars, id_col, text_col)
-    # No document holds a line twice here, so the place goes with the smallest id.
-    distinct = long_lines.groupBy("line").agg(F.min("doc_id").alias("doc_id"), F.min_by("pos", "doc_id").alias("pos"))
-    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "line", "doc_id", "pos"))
+    rows = identified(docs, id_col, text_col)
+    per = materialize(line_counts(rows).withColumn("row", F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "h", "pos")
+    distinct = first_places(rows).groupBy("line").agg(F.min(place).alias("first"))
+    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("rep"), "line", "first"))
     comps = components(line_links(distinct.where(F.length("line") >= least_chars), distance))
-    groups = distinct.select("id", F.struct("doc_id", "pos").alias("first")).join(comps.withColumnRenamed("node", "id"), "id", "left")
-    first = groups.groupBy(F.coalesce("component", "id").alias("g")).agg(F.min("first").alias("first"))
-    kept = first.groupBy("first.doc_id").agg(F.collect_list("first.pos").alias("firsts"))
-    joined = per.join(kept, "doc_id", "left")
-    return joined.select("doc_id", "n_lines", F.array_sort(F.concat("short", F.coalesce("firsts", F.array().cast("array<int>")))).alias("kept_lines"))
-
-
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The documents with only the lines that :func:`line_dedup` keeps in their texts; other columns stay."""
-    kept = line_dedup(docs, short=True).select("doc_id", "kept_lines")
-    lines = F.split("text", "\n")
-    text = F.array_join(F.transform("kept_lines", lambda i: F.element_at(lines, i + 1)), "\n")
-    return docs.join(kept, "doc_id").withColumn("text", text).select(*docs.columns)
+    groups = distinct.select("rep", "first").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    first = groups.groupBy(F.coalesce("component", "rep").alias("g")).agg(F.min("first").alias("first"))
+    kept = first.groupBy("first.doc_id", "first.h").agg(F.collect_list("first.pos").alias("firsts")).alias("k")
+    ones = per.groupBy(*IDENTITY).agg(F.min("row").alias("row")).alias("p")
+    same = F.col("k.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("k.h") == F.col("p.h"))
+    kept = kept.join(ones, same).select("row", "firsts")
+    joined = per.join(kept, "row", "left")
+    numbers = F.array_sort(F.concat("empty", F.coalesce("firsts", F.array().cast("array<int>"))))
+    return joined.select("doc_id", "h", "row", "n_lines", numbers.alias("kept_lines"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True)
+    kept = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     numbers = F.array_join(F.col("kept_lines").cast("array<string>"), ",")
     return kept.select("doc_id", "n_lines", F.size("kept_lines").cast("long").alias("n_kept"), numbers.alias("kept_lines"))

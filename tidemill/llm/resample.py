@@ -7,14 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import sub_batches
+from tidemill.llm.common import id_remainder, materialize, sub_batches
 
-#: Buckets of hashed n-grams, most labelled documents that the target model is fitted on, rows ranked at once.
-BUCKETS, TARGET_ROWS, RANKED = 1 << 14, 20_000, 10_000
+#: Buckets of hashed n-grams, and most labelled documents that the target model is fitted on.
+BUCKETS, TARGET_ROWS = 1 << 14, 20_000
+#: A text weighs as if it had this many n-grams at most: without that, length decides, and the noise never matters.
+TEMPER = 32
+#: Bins of a round of counting, and distinct keys that are told to the driver at the end of it.
+BINS, RANKED = 4096, 10_000
 
 
 def buckets(text: str | None, size: int = BUCKETS) -> np.ndarray:
@@ -42,76 +45,103 @@ def bucket_counts(docs: DataFrame, size: int = BUCKETS) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, log_weight``: the sum of the log ratios of a text's n-grams; null and empty texts have 0."""
+def log_weights(docs: DataFrame, ratio: np.ndarray, temper: float = TEMPER) -> DataFrame:
+    """``doc_id, noise, log_weight`` of ``doc_id, noise, text``: the sum of the log ratios of a text's n-grams, scaled
+    down to ``temper`` of them where it has more; null and empty texts have 0."""
+
+    def weight(text: str | None) -> float:
+        at = buckets(text, len(ratio))
+        return float(ratio[at].sum() * min(1.0, temper / max(len(at), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches):
-            w = [float(ratio[buckets(t, len(ratio))].sum()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64())], ["doc_id", "log_weight"])
+            w = [weight(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w, pa.float64())], ["doc_id", "noise", "log_weight"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, log_weight double")
+    return docs.select("doc_id", "noise", "text").mapInArrow(run, "doc_id long, noise double, log_weight double")
 
 
-def top_k(rows: DataFrame, key: str, id_col: str, k: int, ranked: int = RANKED) -> DataFrame:
-    """``rows`` with ``kept``: true for the k largest keys, the smaller id first of equal ones. The place of the cut is
-    found by counting in 4,096 equal bins and again in the bin of the cut, until that holds ``ranked`` rows at most or
-    a single key; nothing is sorted but that bin."""
-    low, high = rows.agg(F.min(key), F.max(key)).first()
+def cut_of(rows: DataFrame, key: Column, k: int, ranked: int = RANKED) -> tuple[float | None, int]:
+    """The key of the k-th row in falling order, and the number of rows with a larger one. The place of the cut is found
+    by counting in equal bins and again in the bin of the cut, until that has ``ranked`` rows at most or a single key;
+    then its distinct keys are counted. Nothing is sorted, and the driver gets a bounded number of counts."""
+    rows = rows.select(key.alias("key"))
+    low, high = rows.agg(F.min("key"), F.max("key")).first()
     above = 0
-    if low is None or k <= 0:
-        return rows.withColumn("kept", F.lit(False))
-    while True:
-        width = (high - low) / 4096
-        inside = F.col(key).between(low, high)
+    while low is not None and low < high:
+        width = (float(high) - float(low)) / BINS
         if width <= 0:
             break
-        bin_ = F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(4095)).cast("int")
-        bins = sorted(rows.where(inside).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect(), key=lambda r: -r["bin"])
-        for r in bins:
-            if above + r["n"] >= k or r is bins[-1]:
-                low, high, n = r["lo"], r["hi"], r["n"]
+        bin_ = F.least(F.floor((F.col("key").cast("double") - F.lit(float(low))) / F.lit(width)), F.lit(BINS - 1)).cast("int")
+        inside = rows.where(F.col("key").between(low, high))
+        bins = inside.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+        for r in sorted(bins, key=lambda r: -r["bin"]):
+            low, high, n = r["lo"], r["hi"], r["n"]
+            if above + n >= k:
                 break
-            above += r["n"]
+            above += n
         if n <= ranked:
+            for value, n in sorted(map(tuple, rows.where(F.col("key").between(low, high)).groupBy("key").count().collect()), reverse=True):
+                if above + n >= k:
+                    return value, above
+                above += n
+    return low, above
+
+
+def top_k(rows: DataFrame, key: str, id_col: str, k: int, ranked: int = RANKED) -> DataFrame:
+    """``rows`` with ``kept``: true for exactly the k largest keys, the smaller id (null last) first of equal ones, any of
+    rows that are alike in both. However many rows tie, they are only counted."""
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()))
+    by_id = F.coalesce(-F.col(id_col), F.lit(-(2**63) + 1))
+    kept, tied, left = F.lit(False), F.lit(True), k
+    for level in (F.col(key), by_id, -F.col("__row")):
+        value, above = cut_of(rows.where(tied), level, left, ranked) if left > 0 else (None, 0)
+        if value is None:
             break
-    edge = rows.where(F.col(key).between(low, high)).select("*", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(key).desc(), id_col)).alias("rank"))
-    edge = edge.withColumn("kept", F.col("rank") <= k - above).drop("rank")
-    return rows.where(~F.col(key).between(low, high)).withColumn("kept", F.col(key) > high).unionByName(edge)
+        kept, tied, left = kept | (tied & (level > value)), tied & (level == value), left - above
+    else:
+        kept = kept | tied
+    return rows.withColumn("kept", kept).drop("__row")
 
 
-def gumbel(id_col: str, seed: str = "gumbel"):
-    """Standard Gumbel noise from the MD5 of seed and id: the same in every run and on every machine."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("double")
+def gumbel(id_col: str, text_col: str, seed: str = "gumbel") -> Column:
+    """Standard Gumbel noise from the MD5 of seed, id and a hash of the text: the same in every run and on every
+    machine, and of its own for each of the rows that share an id."""
+    own = F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string"))
+    bits = F.conv(F.substring(F.md5(own), 1, 12), 16, 10).cast("double")
     return -F.log(-F.log((bits + 0.5) / F.lit(float(1 << 48))))
 
 
-def importance_resample(docs: DataFrame, target_ids: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS, size: int = BUCKETS) -> DataFrame:
-    """One row per document: ``doc_id, log_weight, key, kept``.
+def importance_resample(docs: DataFrame, target_ids: DataFrame, share: float, id_col: str = "doc_id", text_col: str = "text", target_rows: int = TARGET_ROWS, size: int = BUCKETS, temper: float = TEMPER) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, log_weight, key, kept``.
 
     ``target_ids`` (``doc_id``) names the documents of the target; at most ``target_rows`` of them, those with the
     smallest hashes, teach its model, so the table that is broadcast to find them is bounded. The raw model counts
     the n-grams of all documents. Both are distributions over hashed words and word pairs with one added to each
-    count; a document's weight is their ratio over its n-grams. With Gumbel noise added to its logarithm the
-    ``share`` of the documents with the largest keys is a sample without replacement in proportion to the weights.
-    Null and empty texts have weight 1 and take part; without target ids all weights fall on the added ones; an empty
-    table gives an empty result; other columns are ignored.
+    count; a document's weight is their ratio over its n-grams, tempered to ``temper`` of them. With Gumbel noise added
+    to its logarithm the ``share`` of the documents with the largest keys is a sample without replacement in proportion
+    to the weights. Null and empty texts have weight 1 and take part, as do rows with null or repeated ids, each on its
+    own; without target ids all weights fall on the added ones; an empty table gives an empty result; other columns are
+    ignored.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    noise = gumbel(id_col, text_col).alias("noise")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), noise, F.col(text_col).alias("text"))
     target = target_ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows).withColumn("target", F.lit(True))
     counts = bucket_counts(base.join(F.broadcast(target), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")), size).toPandas()
     raw, aim = np.ones(size), np.ones(size)
     raw[counts["bucket"]] += counts["raw"]
     aim[counts["bucket"]] += counts["target"]
     ratio = np.log(aim / aim.sum()) - np.log(raw / raw.sum())
-    rows = log_weights(base, ratio).withColumn("key", F.col("log_weight") + gumbel("doc_id")).persist(StorageLevel.MEMORY_AND_DISK)
-    return top_k(rows, "key", "doc_id", round(rows.count() * share))
+    rows = log_weights(base, ratio, temper).select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("key"))
+    return top_k(rows, "key", "doc_id", round(docs.count() * share))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is documents labelled as good; as large a share of all documents is kept as of the labelled ones
-    is good."""
+    """The target is documents labelled as good, less a fifth that is held out by the id's crc32; as large a share of all
+    documents is kept as of the labelled ones is good."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     share = labels.agg(F.avg("quality")).first()[0] or 0.0
-    return importance_resample(docs, labels.where("quality = 1"), float(share))
+    held = id_remainder("doc_id", 5) == 0
+    chosen = importance_resample(docs, labels.where("quality = 1").where(~held), float(share))
+    return chosen.withColumn("held_out", held)
