@@ -24,7 +24,7 @@ WORDS, LONG_WORDS = 4, 32
 #: shares no bucket.
 SIGMAS, MISS = 3.0, 0.01
 #: Logarithm of the rows of a bucket of unlike fingerprints.
-BUCKET_BITS = 6
+BUCKET_BITS = 8
 #: Pairs within the radius for each row of a bucket, over which the bucket is searched in two steps.
 THICK = 2
 #: Slots of the bit maps that tell scans which texts matter.

@@ -17,8 +17,8 @@ from tidemill.llm.components import components
 
 #: Words of a shingle, radius in bits, fingerprints of one tile.
 SHINGLE, RADIUS, TILE = 3, 2, 512
-#: 64-bit words of counters that are updated at once.
-LANES = 1 << 14
+#: 64-bit words of counters that are updated at once, and bit planes that are laid out at once.
+LANES, SLAB = 1 << 14, 16
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -138,16 +138,17 @@ def near_in_groups(fp: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int) ->
             continue
         rows = x[part, 0][:, None] + np.minimum(np.arange(tall), np.maximum(x[part, 1], 1)[:, None] - 1)
         cols = y[part, 0][:, None] + np.minimum(np.arange(64 * wide), y[part, 1][:, None] - 1)
-        planes = np.ascontiguousarray(np.packbits(bits[:, cols], axis=2, bitorder="little")).view(np.uint64)
         # What pads a group is over from the start.
         inside = np.ascontiguousarray(np.packbits(np.arange(64 * wide) < y[part, 1][:, None], axis=1, bitorder="little")).view(np.uint64)
         state = Distances((len(part), tall, wide), radius)
         state.over |= ~inside[:, None, :]
         state.over[np.arange(tall) >= x[part, 1][:, None]] = ~np.uint64(0)
-        ones = np.ascontiguousarray(bits[:, rows]) * ~np.uint64(0)
-        for k in range(len(bits)):
-            state.add(planes[k][:, None, :] ^ ones[k][:, :, None])
-            if k % 16 == 15 and state.all_over():
+        for slab in range(0, len(bits), SLAB):
+            planes = np.ascontiguousarray(np.packbits(bits[slab : slab + SLAB, cols], axis=2, bitorder="little")).view(np.uint64)
+            ones = np.ascontiguousarray(bits[slab : slab + SLAB, rows]) * ~np.uint64(0)
+            for plane, one in zip(planes, ones, strict=True):
+                state.add(plane[:, None, :] ^ one[:, :, None])
+            if state.all_over():
                 break
         else:
             state.settle()
