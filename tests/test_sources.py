@@ -26,8 +26,8 @@ def test_files(spark, tmp_path):
     tables.write_json(df, f"{tmp_path}/j")
     rows = tables.read_jsonl(spark, f"{tmp_path}/j", "sym string, ts timestamp, x double", since="2024-01-02").collect()
     assert len(rows) == 1 and rows[0].x is None
-    tables.append_log(df, f"{tmp_path}/l")
-    tables.append_log(df, f"{tmp_path}/l")
+    tables.append_log(df, f"{tmp_path}/l", "first")
+    tables.append_log(df, f"{tmp_path}/l", "second")
     assert spark.read.json(f"{tmp_path}/l").select("id").distinct().count() == 4
     (tmp_path / "k.json").write_text(json.dumps({"i": [1, 2], "p": [0.1, 0.2]}))
     assert tables.read_columnar_json(spark, f"{tmp_path}/k.json", "i array<int>, p array<double>").count() == 2

@@ -1,6 +1,7 @@
 """Streams over several batches and models, on small tables."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -51,7 +52,53 @@ def test_outcomes_join_predictions(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     st.stream_outcome_join(p, o).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(out).awaitTermination()
     got = {r.id: r.actual for r in spark.read.parquet(out).collect()}
-    assert got[1] == 1 and got.get(2, None) is None
+    assert got[1] == 1 and 2 in got and got[2] is None
+
+
+def test_late_rows_change_no_state(spark, tmp_path):
+    first, second = [("a", at(i), float(i)) for i in range(10)], [("a", at(4), 99.0), ("a", at(10), 10.0), ("b", at(0), 5.0)]
+    stream = batches(spark, tmp_path, first, second, [("a", at(11), 11.0), ("b", at(1), 6.0)], schema="sym string, ts timestamp, x double")
+    got = {(r.sym, r.ts): r.ema for r in spark.read.parquet(st.stream_ema(stream, f"file://{tmp_path}", 5, "x")).where("x <> 99").collect()}
+    want = recurrence(row_position(spark.createDataFrame([("a", at(i), float(i)) for i in range(12)] + [("b", at(i), 5.0 + i) for i in range(2)], "sym string, ts timestamp, x double")), "x", "ema", 2 / 6)
+    assert all(abs(got[r.sym, r.ts] - r.ema) < 1e-12 for r in want.collect()) and len(got) == 14
+    assert [r.ema for r in spark.read.parquet(f"file://{tmp_path}/rows").where("x = 99").collect()] == [None]
+
+
+def test_wilder_means_of_a_stream(spark, tmp_path):
+    rows = [("a", at(i), float(i * 37 % 11), float(i % 5)) for i in range(40)]
+    stream = batches(spark, tmp_path, rows[:7], rows[7:], schema="sym string, ts timestamp, x double, z double")
+    got = spark.read.parquet(st.stream_wilder(stream, f"file://{tmp_path}", 4, ["x", "z"])).orderBy("ts").toPandas()
+    for c in "xz":
+        assert (got[f"wilder_{c}"] - got[c].ewm(alpha=0.25, adjust=False).mean()).abs().max() < 1e-12
+
+
+def test_monitoring_adds_up_over_batches(spark, tmp_path):
+    good, bad = [(at(i), 1, 1) for i in range(8)], [(at(i), 1, 0) for i in range(20, 22)]
+    stream = batches(spark, tmp_path, bad, [*good, (at(3000), 1, None)], [(at(1500), 0, 1)], schema="ts timestamp, prediction int, actual int")
+    alerts = spark.read.parquet(st.stream_monitoring(stream, f"file://{tmp_path}")).collect()
+    assert sorted((r.batch, r.subject, r.value) for r in alerts) == [(0, "2024-01-01", 0.0), (2, "2024-01-02", 0.0)]
+
+
+def test_parabolic_sar_by_blocks(spark):
+    from tidemill.operators.indicators import psar, sar_step
+
+    rows = [(s, i, 100 + 10 * math.sin(i / 9 + k) + (i * 37 % 11) / 4) for k, s in enumerate("ab") for i in range(500)]
+    bars = spark.createDataFrame([(s, i, x + 1, x - 1) for s, i, x in rows], "sym string, rn long, high double, low double")
+    want, state = {}, None
+    for s, i, x in rows:
+        state = sar_step(None if i == 0 else state, x + 1, x - 1, 0.02, 0.2)
+        want[s, i] = state[1] if state[0] else None
+    for block, lead in ((64, 8), (64, 1), (1000, 50)):
+        assert {(r.sym, r.rn): r.psar for r in psar(bars, block=block, lead=lead).collect()} == want
+
+
+def test_chi2_p_values(spark):
+    from tidemill.operators.metrics import upper_gamma
+
+    # Critical values of the chi-squared distribution: statistic, degrees of freedom, p.
+    known = [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (18.307038, 10, 0.05), (6.634897, 1, 0.01), (0.0, 4, 1.0), (43.772972, 30, 0.05), (500.0, 3, 0.0), (1.386294, 2, 0.5)]
+    got = spark.createDataFrame(known, "x double, k int, p double").select("p", upper_gamma(F.col("k") / 2, F.col("x") / 2).alias("q")).collect()
+    assert all(abs(r.p - r.q) < 1e-6 for r in got)
 
 
 def test_models_save_load_and_score(spark, tmp_path):
@@ -78,3 +125,19 @@ def test_small_tables(spark):
     assert sorted(r.subject for r in monitoring_alerts(tracked, drift).collect()) == ["2024-01-01", "x"]
     counts = spark.createDataFrame([(1, 0, 2, 1)], "missing int, spikes int, zero_or_negative int, gaps int")
     assert recommend_cleaning(counts).count() == 3
+
+
+def test_pipeline_stages_fit_save_and_load(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from tidemill.operators.stages import IndicatorStage, ScaleStage
+
+    rows = [("a", at(i), 100.0 + i % 7, 101.0 + i % 5, 99.0 - i % 3, 5.0) for i in range(80)]
+    bars = spark.createDataFrame(rows, "sym string, ts timestamp, close double, high double, low double, volume double")
+    stages = [IndicatorStage(kind="macd"), IndicatorStage(kind="rsi_sma"), ScaleStage(columns=["macd", "rsi_sma"], kind="robust")]
+    model = Pipeline(stages=stages).fit(bars)
+    model.write().overwrite().save(f"file://{tmp_path}/m")
+    got = PipelineModel.load(f"file://{tmp_path}/m").transform(bars).orderBy("ts").toPandas()
+    want = Pipeline(stages=stages[:2]).fit(bars).transform(bars).orderBy("ts").toPandas()
+    low, mid, high = want.macd.quantile([0.25, 0.5, 0.75])
+    assert (got.macd - (want.macd - mid) / (high - low)).abs().max() < 1e-9 and len(got) == 80

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.core import JOIN_PRODUCT, carry, cut, running
@@ -13,11 +13,30 @@ FAN = 64
 LEAST_EQUITY = 1e-9
 
 
-def entry_levels(df: DataFrame, sl: float, tp: float, slippage: float) -> DataFrame:
+def slippage_sanity(df: DataFrame, slippage: float, most: float = 0.1) -> DataFrame:
+    """``sym, mean_close, share, excessive`` : the slippage as a share of the mean close, and whether that is over
+    ``most``; a mean of 0 or less is never excessive."""
+    mean = df.groupBy("sym").agg(F.avg("close").alias("mean_close"))
+    share = F.when(F.col("mean_close") > 0, slippage / F.col("mean_close"))
+    return mean.withColumn("share", share).withColumn("excessive", F.coalesce(F.col("share") > most, F.lit(False)))
+
+
+def check_costs(risk: float, commission: float, equity: float = 0.0) -> None:
+    """Raises on a risked share outside of (0, 1], or a commission or an equity below 0."""
+    if not (0 < risk <= 1 and commission >= 0 and equity >= 0):
+        raise ValueError("risk must be in (0, 1], commission and equity 0 or more")
+
+
+def check_multipliers(sl: float | Column, tp: float | Column) -> None:
+    """Raises on a stop or target at no distance; columns of a parameter table are their owner's business."""
+    if any(not isinstance(x, Column) and x <= 0 for x in (sl, tp)):
+        raise ValueError("sl and tp must be positive")
+
+
+def entry_levels(df: DataFrame, sl: float | Column, tp: float | Column, slippage: float) -> DataFrame:
     """Long and Short rows with ``atr`` > 0: ``side`` (1 or -1), ``entry`` (close worsened by the slippage), ``stop`` and
     ``target`` at ``sl`` and ``tp`` times atr. Rows with an entry of 0 or less don't trade."""
-    if sl <= 0 or tp <= 0:
-        raise ValueError("sl and tp must be positive")
+    check_multipliers(sl, tp)
     side = F.when(F.col("signal") == "Long", 1).when(F.col("signal") == "Short", -1)
     e = df.withColumn("side", side).where("side is not null and atr > 0").withColumn("entry", F.col("close") + F.col("side") * slippage)
     e = e.where("entry > 0").withColumn("stop", F.col("entry") - F.col("side") * sl * F.col("atr")).withColumn("target", F.col("entry") + F.col("side") * tp * F.col("atr"))
@@ -51,7 +70,7 @@ def first_touch(entries: DataFrame, bars: DataFrame) -> DataFrame:
     return at.select("sym", "rn", "hit")
 
 
-def barrier_outcome(df: DataFrame, sl: float, tp: float, slippage: float) -> DataFrame:
+def barrier_outcome(df: DataFrame, sl: float | Column, tp: float | Column, slippage: float) -> DataFrame:
     """Each entry with its exit: the first later bar with a valid atr that touches the target (``TP``, which wins on a
     bar that touches both) or the stop (``SL``), else the symbol's last close (``EndOfData``), worsened by the slippage."""
     e = entry_levels(df, sl, tp, slippage)
@@ -87,8 +106,7 @@ def nonoverlap_trades(outcomes: DataFrame, df: DataFrame) -> DataFrame:
 def trade_log(trades: DataFrame, equity: float, risk: float, commission: float) -> DataFrame:
     """The trades with number, size, PnL and equity before and after: each multiplies the equity by a factor that doesn't
     depend on it, so the equity is a running product."""
-    if not (0 < risk <= 1 and commission >= 0):
-        raise ValueError("risk must be in (0, 1] and commission 0 or more")
+    check_costs(risk, commission, equity)
     u = F.least(risk / F.abs(F.col("entry") - F.col("stop")), 1 / F.col("entry"))
     t = trades.withColumn("__u", u).withColumn("__e", F.greatest(F.lit(0.0), 1 - commission * F.col("entry") * F.col("__u")))
     move = F.col("__u") * F.col("side") * (F.col("exit") - F.col("entry"))
@@ -98,7 +116,55 @@ def trade_log(trades: DataFrame, equity: float, risk: float, commission: float)
     before = F.lit(float(equity)) * F.col("__before")
     t = t.where(before > LEAST_EQUITY)
     size = before * F.col("__u")
-    return t.select("sym", F.col("trade_no").cast("long").alias("trade_no"), F.when(F.col("side") == 1, "Long").otherwise("Short").alias("type"), "ts", "rn", "entry", "stop", "target", size.alias("size"), (size * F.col("entry")).alias("entry_cost"), (size * F.col("entry") * commission).alias("entry_commission"), "exit", "exit_rn", (before * F.col("__m")).alias("pnl"), "reason", (before * F.col("__f")).alias("equity"))
+    return t.select("sym", F.col("trade_no").cast("long").alias("trade_no"), F.when(F.col("side") == 1, "Long").otherwise("Short").alias("type"), "ts", "rn", "entry", "stop", "target", size.alias("size"), (size * F.col("entry")).alias("entry_cost"), (size * F.col("entry") * commission).alias("entry_commission"), "exit", "exit_rn", (before * F.col("__m")).alias("pnl"), "reason", (before * F.col("__e")).alias("entry_equity"), (before * F.col("__f")).alias("equity"))
+
+
+def equity_curve(log: DataFrame, bars: DataFrame, equity: float) -> DataFrame:
+    """``sym, bar_no, ts, equity``: point 0 is the equity at the start, point k that after bar k - 1; n + 1 points for n
+    bars. An entry's commission counts from its bar on and a trade's result from its exit's; on a bar with both the
+    entry comes after the exit, unless the trade ends there with the data."""
+    check_costs(1.0, 0.0, equity)
+    event = lambda rn, value, order: F.struct(F.col(rn).alias("rn"), F.col(value).alias("equity"), (2 * F.col("trade_no") + order).alias("order"))
+    events = log.select("sym", F.inline(F.array(event("rn", "entry_equity", 0), event("exit_rn", "equity", 1))))
+    after = events.groupBy("sym", "rn").agg(F.max_by("equity", "order").alias("after"))
+    marked = bars.select("sym", "rn", "ts").join(after, ["sym", "rn"], "left")
+    points = carry(marked, ["after"], "_known").select("sym", (F.col("rn") + 1).alias("bar_no"), "ts", F.coalesce("after_known", F.lit(float(equity))).alias("equity"))
+    none = F.lit(None).cast(dict(bars.dtypes)["ts"]).alias("ts")
+    start = bars.select("sym").distinct().select("sym", F.lit(0).cast("long").alias("bar_no"), none, F.lit(float(equity)).alias("equity"))
+    return start.unionByName(points)
+
+
+def strategy_search(df: DataFrame, grid: DataFrame, slippage: float, equity: float, risk: float, commission: float) -> DataFrame:
+    """``run_id, sym, trades, final_equity, total_return`` of each run of ``grid`` (``run_id, sl, tp, least``: Long where
+    ``prob`` is over ``least``) on each symbol of ``df`` (bars with ``atr`` and ``prob``), all runs in one set of joins.
+
+    The grid is a parameter, so it is broadcast; a run's bars are a series of their own, keyed by run and symbol."""
+    runs = df.crossJoin(F.broadcast(grid)).withColumn("of", F.struct("run_id", "sym"))
+    runs = runs.withColumn("sym", F.concat_ws("\x1f", F.col("run_id").cast("string"), "sym"))
+    runs = cut(runs.withColumn("signal", F.when(F.col("prob") > F.col("least"), "Long").otherwise("Flat")))
+    outcomes = cut(barrier_outcome(runs, F.col("sl"), F.col("tp"), slippage))
+    log = trade_log(nonoverlap_trades(outcomes, runs), equity, risk, commission)
+    ends = log.groupBy("sym").agg(F.count(F.lit(1)).alias("trades"), F.max_by("equity", "trade_no").alias("final_equity"))
+    found = runs.groupBy("sym").agg(F.first("of").alias("of")).join(ends, "sym", "left")
+    final = F.coalesce("final_equity", F.lit(float(equity)))
+    return found.select("of.run_id", "of.sym", F.coalesce("trades", F.lit(0)).alias("trades"), final.alias("final_equity"), (final / equity - 1).alias("total_return"))
+
+
+def best_run(results: DataFrame, metric: str = "total_return", largest: bool = True) -> DataFrame:
+    """``run_id`` and mean ``metric`` of the best run of a search; the smaller run of equal ones."""
+    means = results.groupBy("run_id").agg(F.avg(metric).alias(metric))
+    return means.orderBy(F.desc(metric) if largest else F.asc(metric), "run_id").limit(1)
+
+
+def slippage_cost(log: DataFrame, slippage: float) -> DataFrame:
+    """``sym, cost``: the slippage of entry and exit on all sizes of a trade log."""
+    return log.groupBy("sym").agg((F.sum("size") * 2 * slippage).alias("cost"))
+
+
+def trade_summary(log: DataFrame, n: int) -> DataFrame:
+    """The first and last ``n`` trades of each symbol."""
+    last = log.groupBy("sym").agg(F.max("trade_no").alias("last"))
+    return log.join(last, "sym").where((F.col("trade_no") < n) | (F.col("trade_no") > F.col("last") - n)).drop("last")
 
 
 def trade_stats(log: DataFrame) -> DataFrame:

@@ -94,3 +94,67 @@ def validate_bars(df: DataFrame, required: list[str], positive: list[str]) -> Da
     for c in set(positive) - set(missing):
         low = low | F.coalesce(F.col(c) <= 0, F.lit(False))
     return df.agg(F.lit(",".join(missing)).alias("missing_columns"), F.count_if(some).alias("rows_with_nulls"), F.count_if(low).alias("rows_not_positive"))
+
+
+def keep_one(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """Of the rows with equal ``keys`` the first in the ``order``, or the last, with all columns; combined before the
+    shuffle, so that a hot key moves one row a task."""
+    pick = F.max_by if last else F.min_by
+    return df.groupBy(*keys).agg(pick(F.struct(*df.columns), F.struct(*order)).alias("__r")).select("__r.*")
+
+
+def union_newer(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both tables, by name; where both have a key, the newer one's."""
+    both = old.withColumn("__seq", F.lit(0)).unionByName(new.withColumn("__seq", F.lit(1)), allowMissingColumns=True)
+    return keep_one(both, keys, ["__seq"], last=True).select(*old.columns)
+
+
+def tail_rows(df: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` rows of each symbol by position."""
+    return df.join(df.groupBy("sym").agg(F.max("rn").alias("__last")), "sym").where(F.col("rn") > F.col("__last") - n).drop("__last")
+
+
+def head_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first ``n`` rows in the ``order``: each task keeps its first, and only those meet."""
+    return df.orderBy(*order).limit(n)
+
+
+def rows_any_missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``row_count, total``: rows that lack a value in any of ``columns``, and all values that are missing."""
+    some, total = F.lit(False), F.lit(0).cast("long")
+    for c in columns:
+        some = some | F.col(c).isNull()
+        total = total + F.count_if(F.col(c).isNull())
+    return df.agg(F.count_if(some).alias("row_count"), total.alias("total"))
+
+
+def align_report(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``matched, only_left, only_right``: rows of a full join on ``keys`` by the sides that have them."""
+    j = left.select(*keys, F.lit(1).alias("__l")).join(right.select(*keys, F.lit(1).alias("__r")), keys, "full")
+    has = lambda c: F.col(c).isNotNull()
+    return j.agg(F.count_if(has("__l") & has("__r")).alias("matched"), F.count_if(has("__l") & ~has("__r")).alias("only_left"), F.count_if(~has("__l") & has("__r")).alias("only_right"))
+
+
+def pad_predictions(bars: DataFrame, predictions: DataFrame, value: float = 0.5) -> DataFrame:
+    """Bars with their ``prob``, ``value`` where there is none."""
+    return bars.join(predictions.select("sym", "ts", "prob"), ["sym", "ts"], "left").fillna(value, ["prob"])
+
+
+def missing_columns(df: DataFrame, wanted: list[str]) -> list[str]:
+    """Those of ``wanted`` that the table lacks."""
+    return [c for c in wanted if c not in df.columns]
+
+
+def select_existing(df: DataFrame, wanted: list[str], keys: tuple[str, ...] = ("sym", "ts")) -> DataFrame:
+    """The keys and those of ``wanted`` that the table has, in the order asked for; :func:`missing_columns` names the rest."""
+    return df.select(*[c for c in (*keys, *wanted) if c in df.columns])
+
+
+def prefix_columns(df: DataFrame, prefix: str, keys: tuple[str, ...] = ("sym", "ts")) -> DataFrame:
+    """All columns but the keys, named ``<prefix>_<column>``."""
+    return df.select(*[F.col(c) if c in keys else F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
+
+
+def steps_back(df: DataFrame, order: str = "ts") -> DataFrame:
+    """``sym, steps_back``: rows whose time is before that of the row that stands before them (``rn``); 0 where sorted."""
+    return lagged(df, [order]).groupBy("sym").agg(F.count_if(F.col(order) < F.col(f"{order}_prev")).alias("steps_back"))

@@ -6,9 +6,11 @@ partitions by symbol alone where it orders raw rows: work is cut into days, or i
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a chunk.
@@ -45,26 +47,46 @@ def full(value: Column, counted: Column, n: int) -> Column:
     return F.when(counted == n, value)
 
 
-def recurrence(df: DataFrame, x: str, out: str, alpha: float, block: int = BLOCK) -> DataFrame:
-    """Adds ``out`` with y0 = x0 and y = (1 - alpha) * y_before + alpha * x in the order of ``rn``, for rows from 0 on
-    without nulls in ``x``.
+def _weighing(weight: float) -> Callable[[Column, Column], Column]:
+    return lambda acc, e: acc * F.lit(weight) + e
+
+
+def recurrences(df: DataFrame, means: dict[str, tuple[str, float]], block: int = BLOCK) -> DataFrame:
+    """Adds a column for each of ``means`` (name: source and alpha) with y0 = x0 and y = (1 - alpha) * y_before + alpha * x
+    in the order of ``rn``, for rows from 0 on without nulls in the sources.
 
-    Blocks of ``block`` rows are scanned on their own from 0; each block's end is then carried into the later ones with
-    weights that fall by (1 - alpha)^block a block, over as many blocks as still count."""
-    keep = 1.0 - alpha
+    Blocks of ``block`` rows, which carry all columns, are scanned once for all means, each from 0; the blocks' ends, one
+    row a block, are then carried into the later ones with weights that fall by (1 - alpha)^block a block, over as many
+    blocks as still count. Rows come back out of the blocks: nothing is joined by row."""
+    rest = [c for c in df.columns if c not in ("sym", "rn")]
     blocked = df.withColumn("__b", F.floor(F.col("rn") / block))
-    pairs = blocked.groupBy("sym", "__b").agg(F.sort_array(F.collect_list(F.struct("rn", F.col(x).alias("v")))).alias("rows"))
-    step = lambda acc, r: F.struct(F.when(r["rn"] == 0, r["v"]).otherwise(acc["y"] * keep + r["v"] * alpha).alias("y"), F.concat(acc["all"], F.array(F.when(r["rn"] == 0, r["v"]).otherwise(acc["y"] * keep + r["v"] * alpha))).alias("all"))
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("all"))
-    local = pairs.select("sym", "__b", F.transform("rows", lambda r: r["rn"]).alias("rns"), F.aggregate("rows", start, step, lambda acc: acc["all"]).alias("ys"))
-    weight, reach = keep**block, 1
-    while weight > 0 and weight**reach > LEAST_WEIGHT:
-        reach += 1
-    ends = Window.partitionBy("sym").orderBy("__b").rowsBetween(-reach, -1)
-    carried = F.aggregate(F.collect_list(F.element_at("ys", -1)).over(ends), F.lit(0.0), lambda acc, e: acc * F.lit(weight) + e)
-    rows = local.withColumn("__carry", carried).select("sym", "__b", "__carry", F.explode(F.arrays_zip("rns", "ys")).alias("z"))
-    rows = rows.select("sym", F.col("z.rns").alias("rn"), (F.col("z.ys") + F.col("__carry") * F.pow(F.lit(keep), F.col("z.rns") - F.col("__b") * block + 1)).alias(out))
-    return df.join(rows, ["sym", "rn"])
+    pairs = blocked.groupBy("sym", "__b").agg(F.sort_array(F.collect_list(F.struct("rn", *rest))).alias("rows"))
+
+    def step(acc: Column, r: Column) -> Column:
+        now = [F.when(r["rn"] == 0, r[x]).otherwise(acc[y] * (1.0 - alpha) + r[x] * alpha).alias(y) for y, (x, alpha) in means.items()]
+        return F.struct(*now, F.concat(acc["all"], F.array(F.struct(*now))).alias("all"))
+
+    kind = "array<struct<" + ",".join(f"`{y}`:double" for y in means) + ">>"
+    start = F.struct(*[F.lit(0.0).alias(y) for y in means], F.array().cast(kind).alias("all"))
+    local = pairs.withColumn("ys", F.aggregate("rows", start, step, lambda acc: acc["all"]))
+    ends = local.select("sym", "__b", F.element_at("ys", -1).alias("end"))
+    carried = []
+    for k, (y, (_, alpha)) in enumerate(means.items()):
+        weight, reach = (1.0 - alpha) ** block, 1
+        while weight > 0 and weight**reach > LEAST_WEIGHT:
+            reach += 1
+        before = Window.partitionBy("sym").orderBy("__b").rowsBetween(-reach, -1)
+        carried.append(F.aggregate(F.collect_list(F.col("end")[y]).over(before), F.lit(0.0), _weighing(weight)).alias(f"__c{k}"))
+    rows = local.join(ends.select("sym", "__b", *carried), ["sym", "__b"])
+    rows = rows.select("sym", "__b", *[f"__c{k}" for k in range(len(means))], F.explode(F.arrays_zip("rows", "ys")).alias("z"))
+    since = F.col("z.rows.rn") - F.col("__b") * block + 1
+    out = [(F.col("z.ys")[y] + F.col(f"__c{k}") * F.pow(F.lit(1.0 - alpha), since)).alias(y) for k, (y, (_, alpha)) in enumerate(means.items())]
+    return rows.select(*[F.col("sym") if c == "sym" else F.col("z.rows")[c].alias(c) for c in df.columns if c not in means], *out)
+
+
+def recurrence(df: DataFrame, x: str, out: str, alpha: float, block: int = BLOCK) -> DataFrame:
+    """One mean of :func:`recurrences`."""
+    return recurrences(df, {out: (x, alpha)}, block)
 
 
 #: How running aggregates join what comes before a bucket with what is inside it.
@@ -105,9 +127,56 @@ def lagged(df: DataFrame, columns: list[str], suffix: str = "_prev") -> DataFram
     return chunk_windows(df, 1, 0, lambda b, over: b.select("*", *[F.max(c).over(over(-1, -1)).alias(c + suffix) for c in columns]))
 
 
+def pct_change(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds the relative change from the row before; null in a symbol's first row and after a 0."""
+    b = lagged(df if "rn" in df.columns else row_position(df), [column], "__before")
+    return b.withColumn(out, F.try_divide(F.col(column), F.col(f"{column}__before")) - 1).drop(f"{column}__before")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a session in one process (as in tests) gets a
+    temporary folder; on a cluster, whose executors would not see that, it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a folder of its own only where none is set."""
-    session = df.sparkSession
-    if not session.conf.get("spark.checkpoint.dir", None) and session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    """A reliable checkpoint under :func:`scratch_root`."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        root = scratch_root(df.sparkSession)
+        if df.sparkSession.sparkContext.getCheckpointDir() is None:
+            df.sparkSession.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
+
+
+def kth_smallest(df: DataFrame, column: str, places: list[int], bins: int = 1024, few: int = 10_000) -> list[float]:
+    """Values at the 0-based ``places`` in rising order of a column's non-null values. Each is found by counting in
+    equal bins and again in its bin until that has ``few`` rows or one value; the driver gets counts only."""
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    out = []
+    for place in places:
+        (low, high), below = x.agg(F.min("x"), F.max("x")).first(), 0
+        while low < high:
+            width = (high - low) / bins
+            inside = x.where(F.col("x").between(low, high))
+            n = inside.count()
+            if n <= few or width <= 0:
+                for value, c in sorted(map(tuple, inside.groupBy("x").count().collect())):
+                    if below + c > place:
+                        low = high = value
+                        break
+                    below += c
+                break
+            at = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).alias("bin")
+            for r in sorted(inside.groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
+                low, high = r["lo"], r["hi"]
+                if below + r["n"] > place:
+                    break
+                below += r["n"]
+        out.append(low)
+    return out

@@ -9,6 +9,8 @@ from tidemill.operators.bars import asof_backward, enough_rows, resample_ohlcv
 from tidemill.operators.cleaning import drop_after_warmup, fill
 from tidemill.operators.core import cut, row_position
 
+#: Spans of the exponential means.
+SPANS = (9, 20, 50, 100, 200)
 #: Columns of longer bars that are joined to shorter ones.
 HTF = ("sma_20", "ema_20", "rsi_14", "atr_14", "adx", "obv", "macd")
 
@@ -18,9 +20,9 @@ def indicator_set(bars: DataFrame, warmup: int = 50) -> DataFrame:
     ones; after ``warmup`` bars, rows that still lack a value fall away (as where a symbol never has it)."""
     b = cut(row_position(bars))
     whole = ind.finite_indicators(b).drop("true_range", "diff", "tp", "bb_mid", "bb_sd", "fast_k")
-    more = [(ind.ema(ind.ema(ind.macd(b), 20), 50), ("macd", "macd_signal", "macd_diff", "ema_20", "ema_50")), (ind.rsi_wilder(b), ("rsi_14",)), (ind.atr_wilder(b), ("atr_14",)), (ind.adx(b), ("di_plus", "di_minus", "adx")), (ind.obv(b), ("obv",))]
-    for rows, columns in more:
-        whole = whole.join(rows.select("sym", "rn", *columns), ["sym", "rn"], "left")
+    for rows in (ind.macd(b, SPANS), ind.wilder_set(b), ind.obv(b), ind.psar(b)):
+        added = [c for c in rows.columns if c not in b.columns and c not in ("ema_12", "ema_26")]
+        whole = whole.join(rows.select("sym", "rn", *added), ["sym", "rn"], "left")
     added = [c for c in whole.columns if c not in b.columns]
     return drop_after_warmup(fill(cut(whole), added, backward_first=True), added, warmup)
 

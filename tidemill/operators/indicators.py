@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators.core import chunk_windows, full, lagged, recurrence, row_position, running
+from tidemill.operators.core import chunk_windows, cut, full, lagged, recurrence, recurrences, row_position, running
 
 
 def sma(c: str, n: int, over) -> Column:
@@ -51,17 +54,26 @@ def finite_indicators(bars: DataFrame) -> DataFrame:
         b = b.withColumn("bb_width_median", full(F.expr("percentile(bb_width, 0.5)").over(over(-39, 0)), F.count("bb_width").over(over(-39, 0)), 40))
         return b.drop("tps", "tp_mean", "rise", "fall", "prev")
 
-    return chunk_windows(bars if "rn" in bars.columns else row_position(bars), 64, 2, build)
+    return chunk_windows(positions(bars), 64, 2, build)
+
+
+def positions(bars: DataFrame) -> DataFrame:
+    return bars if "rn" in bars.columns else row_position(bars)
+
+
+def emas(bars: DataFrame, spans: Iterable[int], column: str = "close") -> DataFrame:
+    """Adds ``ema_<n>`` for each span: exponential means, begun with the first value, all in one pass."""
+    return recurrences(positions(bars), {f"ema_{n}": (column, 2.0 / (n + 1)) for n in spans})
 
 
 def ema(bars: DataFrame, n: int, column: str = "close", out: str | None = None) -> DataFrame:
     """Exponential mean of span ``n``, begun with the first value."""
-    return recurrence(bars if "rn" in bars.columns else row_position(bars), column, out or f"ema_{n}", 2.0 / (n + 1))
+    return recurrence(positions(bars), column, out or f"ema_{n}", 2.0 / (n + 1))
 
 
-def macd(bars: DataFrame) -> DataFrame:
-    """Difference of the 12 and 26 bar means, its 9 bar signal and their difference."""
-    b = ema(ema(bars, 12), 26).withColumn("macd", F.col("ema_12") - F.col("ema_26"))
+def macd(bars: DataFrame, spans: Iterable[int] = ()) -> DataFrame:
+    """Difference of the 12 and 26 bar means, its 9 bar signal and their difference; means of other spans come along."""
+    b = emas(bars, dict.fromkeys([12, 26, *spans])).withColumn("macd", F.col("ema_12") - F.col("ema_26"))
     return recurrence(b, "macd", "macd_signal", 0.2).withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
 
 
@@ -70,44 +82,172 @@ def regime_volatility(indicators: DataFrame) -> DataFrame:
     return indicators.withColumn("regime", F.when(F.col("atr_sma") > 1.5 * F.col("atr_median"), "volatile").otherwise("normal"))
 
 
-def wilder(df: DataFrame, sources: dict[str, str], n: int) -> DataFrame:
-    """Adds a Wilder mean (weight 1/n) of each source column from a symbol's second row on; its first row falls away."""
+def wilder(df: DataFrame, means: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds Wilder means (name: source and n, the weight is 1/n) from a symbol's second row on, all in one pass; its first
+    row falls away."""
     later = df.where("rn >= 1").withColumn("rn", F.col("rn") - 1)
-    for source, out in sources.items():
-        later = recurrence(later, source, out, 1.0 / n)
-    return later.withColumn("rn", F.col("rn") + 1)
+    return recurrences(later, {out: (x, 1.0 / n) for out, (x, n) in means.items()}).withColumn("rn", F.col("rn") + 1)
+
+
+MOVES = ("rise", "fall", "plus_dm", "minus_dm", "tr")
 
 
 def _moves(bars: DataFrame) -> DataFrame:
-    b = lagged(bars if "rn" in bars.columns else row_position(bars), ["close", "high", "low"])
+    b = lagged(positions(bars), ["close", "high", "low"])
     diff, up, down = F.col("close") - F.col("close_prev"), F.col("high") - F.col("high_prev"), F.col("low_prev") - F.col("low")
-    moves = {"rise": F.greatest(diff, F.lit(0.0)), "fall": F.greatest(-diff, F.lit(0.0)), "plus_dm": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus_dm": F.when((down > up) & (down > 0), down).otherwise(0.0), "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("close_prev")), F.abs(F.col("low") - F.col("close_prev")))}
+    true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("close_prev")), F.abs(F.col("low") - F.col("close_prev")))
+    moves = {
+        "rise": F.greatest(diff, F.lit(0.0)),
+        "fall": F.greatest(-diff, F.lit(0.0)),
+        "plus_dm": F.when((up > down) & (up > 0), up).otherwise(0.0),
+        "minus_dm": F.when((down > up) & (down > 0), down).otherwise(0.0),
+        "tr": true_range,
+    }
     return b.withColumns(moves).drop("close_prev", "high_prev", "low_prev")
 
 
+def _rsi(w: DataFrame, n: int) -> DataFrame:
+    value = F.when(F.col(f"__down{n}") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(f"__up{n}", f"__down{n}")))
+    return w.withColumn(f"rsi_{n}", value).drop(f"__up{n}", f"__down{n}")
+
+
+def _rsi_means(n: int) -> dict[str, tuple[str, int]]:
+    return {f"__up{n}": ("rise", n), f"__down{n}": ("fall", n)}
+
+
 def rsi_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     """Adds ``rsi_<n>`` by Wilder means of gains and losses, from the second row on; 100 where nothing fell."""
-    w = wilder(_moves(bars), {"rise": "__up", "fall": "__down"}, n)
-    value = F.when(F.col("__down") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("__up", "__down")))
-    return w.withColumn(f"rsi_{n}", value).drop("__up", "__down", "rise", "fall", "plus_dm", "minus_dm", "tr")
+    return _rsi(wilder(_moves(bars), _rsi_means(n)), n).drop(*MOVES)
 
 
 def atr_wilder(bars: DataFrame, n: int = 14) -> DataFrame:
     """Adds ``atr_<n>``, the Wilder mean of the true range, from the second row on."""
-    return wilder(_moves(bars), {"tr": f"atr_{n}"}, n).drop("rise", "fall", "plus_dm", "minus_dm", "tr")
+    return wilder(_moves(bars), {f"atr_{n}": ("tr", n)}).drop(*MOVES)
+
+
+def _dx(w: DataFrame) -> DataFrame:
+    w = w.withColumn("di_plus", F.try_divide(100 * F.col("__p"), F.col("__t"))).withColumn("di_minus", F.try_divide(100 * F.col("__m"), F.col("__t")))
+    dx = F.try_divide(100 * F.abs(F.col("__p") - F.col("__m")), F.col("__p") + F.col("__m"))
+    return w.withColumn("__dx", F.coalesce(dx, F.lit(0.0))).drop("__p", "__m", "__t")
 
 
 def adx(bars: DataFrame, n: int = 14) -> DataFrame:
     """Adds ``di_plus``, ``di_minus`` and ``adx`` from the second row on; without any movement DX counts as 0."""
-    w = wilder(_moves(bars), {"plus_dm": "__p", "minus_dm": "__m", "tr": "__t"}, n)
-    w = w.withColumn("di_plus", F.try_divide(100 * F.col("__p"), F.col("__t"))).withColumn("di_minus", F.try_divide(100 * F.col("__m"), F.col("__t")))
-    w = w.withColumn("__dx", F.coalesce(F.try_divide(100 * F.abs(F.col("__p") - F.col("__m")), F.col("__p") + F.col("__m")), F.lit(0.0)))
-    return wilder(w, {"__dx": "adx"}, n).drop("__p", "__m", "__t", "__dx", "rise", "fall", "plus_dm", "minus_dm", "tr")
+    w = _dx(wilder(_moves(bars), {"__p": ("plus_dm", n), "__m": ("minus_dm", n), "__t": ("tr", n)}))
+    return wilder(w, {"adx": ("__dx", n)}).drop("__dx", *MOVES)
+
+
+def wilder_set(bars: DataFrame, rsi: Iterable[int] = (2, 7, 14), n: int = 14) -> DataFrame:
+    """The Wilder indicators together: ``rsi_<k>`` of each k, ``atr_<n>``, ``di_plus``, ``di_minus`` and ``adx``, in two
+    passes for all."""
+    means = {"__p": ("plus_dm", n), "__m": ("minus_dm", n), "__t": ("tr", n), f"atr_{n}": ("tr", n)}
+    for k in rsi:
+        means |= _rsi_means(k)
+    w = wilder(_moves(bars), means)
+    for k in rsi:
+        w = _rsi(w, k)
+    return wilder(_dx(w), {"adx": ("__dx", n)}).drop("__dx", *MOVES)
+
+
+#: Acceleration of a Parabolic SAR: at the start of a trend and for each new extreme, and at most.
+ACCELERATION, MOST_ACCELERATION = 0.02, 0.2
+#: Rows of a block of a Parabolic SAR, and rows before it from which its first guess of a state starts.
+SAR_BLOCK, SAR_LEAD = 2048, 256
+#: State of a Parabolic SAR after a bar: the trend, the SAR, the extreme of the trend, the acceleration, and the last
+#: two bars' highs and lows.
+SAR_STATE = ("rising", "sar", "extreme", "speed", "high1", "low1", "high2", "low2")
+
+
+def sar_step(state: tuple | None, high: float, low: float, first: float, most: float) -> tuple:
+    """The state after one more bar. The SAR moves towards the trend's extreme and stays outside of the two bars before; a
+    bar beyond it turns the trend, whose SAR begins at the extreme of the one that ended. Trends begin rising."""
+    if state is None:
+        return True, low, high, first, high, low, high, low
+    rising, sar, extreme, speed, high1, low1, high2, low2 = state
+    sar += speed * (extreme - sar)
+    if rising:
+        sar, turned = min(sar, low1, low2), low < min(sar, low1, low2)
+    else:
+        sar, turned = max(sar, high1, high2), high > max(sar, high1, high2)
+    if turned:
+        rising, sar, speed = not rising, extreme, first
+        extreme = high if rising else low
+    elif high > extreme if rising else low < extreme:
+        extreme, speed = (high if rising else low), min(speed + first, most)
+    return rising, sar, extreme, speed, high, low, high1, low1
+
+
+def psar(bars: DataFrame, first: float = ACCELERATION, most: float = MOST_ACCELERATION, block: int = SAR_BLOCK, lead: int = SAR_LEAD) -> DataFrame:
+    """Adds ``psar``, the Parabolic SAR while the trend is rising, null while it falls.
+
+    A SAR's state is a recurrence that no algebra shortens, but it forgets: trends that turn on the same bar at the same
+    extreme go on alike. Blocks of ``block`` rows are therefore run at once, each from a state guessed by starting
+    ``lead`` rows before it. A guess is right if it is the end of the block before; the blocks whose guess was wrong run
+    again from that end, until none is. Each round makes one more block of a symbol right at least, so the result is
+    that of one run over all rows, and a task never holds more than a block."""
+    rows = cut(positions(bars))
+    narrow = rows.select("sym", "rn", "high", "low")
+    state = ", ".join(f"{c} {'boolean' if c == 'rising' else 'double'}" for c in SAR_STATE)
+
+    def run(pdf: pd.DataFrame, begin: tuple | None, at: int) -> tuple[tuple | None, list[tuple]]:
+        """The state before row ``at`` and those after it and each later row."""
+        now, out, before = begin, [], begin
+        for rn, high, low in pdf.sort_values("rn")[["rn", "high", "low"]].itertuples(index=False):
+            if rn == at:
+                before = now
+            now = sar_step(now, high, low, first, most)
+            if rn >= at:
+                out.append((rn, now))
+        return before, out
+
+    def framed(sym: str, b: int, before: tuple | None, after: tuple) -> pd.DataFrame:
+        none = (None,) * len(SAR_STATE)
+        names = [f"in_{c}" for c in SAR_STATE] + [f"out_{c}" for c in SAR_STATE]
+        return pd.DataFrame([[sym, b, *(before or none), *after]], columns=["sym", "b", *names])
+
+    def guess(pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(pdf["b"].iat[0])
+        before, out = run(pdf, None, b * block)
+        return framed(pdf["sym"].iat[0], b, before, out[-1][1])
+
+    def begin_of(pdf: pd.DataFrame) -> tuple | None:
+        one = tuple(pdf[f"in_{c}"].iat[0] for c in SAR_STATE)
+        return None if pd.isna(one[1]) else (bool(one[0]), *map(float, one[1:]))
+
+    def again(pdf: pd.DataFrame) -> pd.DataFrame:
+        b, before = int(pdf["b"].iat[0]), begin_of(pdf)
+        return framed(pdf["sym"].iat[0], b, before, run(pdf, before, b * block)[1][-1][1])
+
+    def values(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = run(pdf, begin_of(pdf), int(pdf["b"].iat[0]) * block)[1]
+        return pd.DataFrame({"sym": pdf["sym"].iat[0], "rn": [rn for rn, _ in out], "psar": [s[1] if s[0] else None for _, s in out]})
+
+    ins, outs = (state if p == "" else ", ".join(f"{p}{x.strip()}" for x in state.split(",")) for p in ("in_", "out_"))
+    schema = f"sym string, b long, {ins}, {outs}"
+    home = F.floor(F.col("rn") / block).cast("long")
+    ahead = F.floor((F.col("rn") + lead) / block).cast("long")
+    spread = narrow.withColumn("b", F.explode(F.sequence(home, ahead)))
+    last = narrow.groupBy("sym").agg(F.floor(F.max("rn") / block).cast("long").alias("last"))
+    spread = spread.join(last, "sym").where("b <= last").drop("last")
+    own = narrow.withColumn("b", home)
+    states = cut(spread.groupBy("sym", "b").applyInPandas(guess, schema))
+    names = [f"in_{c}" for c in SAR_STATE]
+    while True:
+        ends = states.select("sym", (F.col("b") + 1).alias("b"), *[F.col(f"out_{c}").alias(f"in_{c}") for c in SAR_STATE])
+        same = F.struct(*[f"x.{c}" for c in names]).eqNullSafe(F.struct(*[f"y.{c}" for c in names]))
+        wrong = states.alias("x").join(ends.alias("y"), ["sym", "b"]).where(~same).select("sym", "b", *[f"y.{c}" for c in names])
+        wrong = cut(wrong)
+        if wrong.isEmpty():
+            break
+        mended = own.join(wrong, ["sym", "b"]).groupBy("sym", "b").applyInPandas(again, schema)
+        states = cut(states.join(wrong.select("sym", "b"), ["sym", "b"], "left_anti").unionByName(mended))
+    found = own.join(states.select("sym", "b", *names), ["sym", "b"]).groupBy("sym", "b").applyInPandas(values, "sym string, rn long, psar double")
+    return rows.join(found, ["sym", "rn"])
 
 
 def obv(bars: DataFrame) -> DataFrame:
     """Adds ``obv``, the running volume signed by the direction of close; the first bar counts as rising."""
-    b = lagged(bars if "rn" in bars.columns else row_position(bars), ["close"])
+    b = lagged(positions(bars), ["close"])
     return running(b.withColumn("__v", F.coalesce(F.signum(F.col("close") - F.col("close_prev")), F.lit(1.0)) * F.col("volume")), "__v", "obv").drop("__v", "close_prev")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators.core import chunk_windows
+from tidemill.operators.core import chunk_windows, kth_smallest
 
 
 def forward_max_target(df: DataFrame, window: int, threshold: float, out: str = "target") -> DataFrame:
@@ -92,6 +93,11 @@ def cv_expanding_share(counted: DataFrame, folds: int) -> DataFrame:
     return f.where("train_end > 0 and test_end > test_start")
 
 
+def param_grid_cross(folds: DataFrame, grid: DataFrame) -> DataFrame:
+    """Every set of parameters (a row of ``grid``, which is a parameter and broadcast) with every fold."""
+    return folds.crossJoin(F.broadcast(grid))
+
+
 def fold_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
     """Each row with every fold whose train or test range holds it, and ``role``. Folds are spread over the blocks of
     256 positions they touch, so that the join is one on equal keys."""
@@ -101,14 +107,32 @@ def fold_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
     return found.withColumn("role", F.when(F.col("rn") < F.col("train_end"), "train").otherwise("test")).drop("__k")
 
 
+def quartiles(df: DataFrame, column: str) -> tuple[float, float, float]:
+    """Exact quartiles of a column's non-null values, interpolated between neighbours, by counting."""
+    n = df.where(F.col(column).isNotNull()).count()
+    places = [q * (n - 1) for q in (0.25, 0.5, 0.75)]
+    wanted = sorted({k for p in places for k in (math.floor(p), math.ceil(p))}) if n else []
+    at = dict(zip(wanted, kth_smallest(df, column, wanted), strict=True))
+    return tuple(at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) if n else 0.0 for p in places)
+
+
+def scale_statistics(train: DataFrame, columns: list[str], kind: str) -> list[tuple[float, float]]:
+    """Centre and spread of each column, nulls as 0 and a spread of 0 as 1. Kinds: standard (mean and population
+    deviation), minmax, and robust (median and the range between the quartiles). One row of figures."""
+    zero = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    if kind == "robust":
+        found = [(mid, high - low) for low, mid, high in (quartiles(zero, c) for c in columns)]
+    else:
+        pairs = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c))}[kind]
+        row = zero.agg(*[f(c).alias(f"{i}{k}") for k, c in enumerate(columns) for i, f in enumerate(pairs)]).first()
+        found = [(row[f"0{k}"], row[f"1{k}"]) for k in range(len(columns))]
+    return [(centre or 0.0, spread or 1.0) for centre, spread in found]
+
+
 def scale(df: DataFrame, columns: list[str], kind: str, train: Column) -> DataFrame:
-    """``columns`` scaled with statistics of the ``train`` rows; nulls count as 0 and a spread of 0 as 1. Kinds: standard
-    (mean and population deviation) and minmax."""
-    zero = df.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
-    pairs = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c))}[kind]
-    stats = zero.where(train).agg(*[f(c).alias(f"__{i}{k}") for k, c in enumerate(columns) for i, f in enumerate(pairs)])
-    unit = lambda k: F.when(F.col(f"__1{k}") == 0, 1.0).otherwise(F.col(f"__1{k}"))
-    return zero.crossJoin(F.broadcast(stats)).withColumns({c: (F.col(c) - F.col(f"__0{k}")) / unit(k) for k, c in enumerate(columns)}).select(*df.columns)
+    """``columns`` scaled with :func:`scale_statistics` of the ``train`` rows; nulls count as 0."""
+    found = zip(columns, scale_statistics(df.where(train), columns, kind), strict=True)
+    return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - centre) / spread for c, (centre, spread) in found})
 
 
 def variance_select(df: DataFrame, columns: list[str], threshold: float = 0.0) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from tidemill.operators.core import JOIN_MAX, pct_change, row_position, running
 
 
 def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -41,15 +47,25 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("value", "n", (F.col("n") / F.col("all")).alias("share"))
 
 
-def equity_metrics(curve: DataFrame, periods: int = 252) -> DataFrame:
-    """Per symbol: Sharpe, Sortino, CAGR, total return and largest drawdown of ``equity`` in the order of ``ts``. The
-    running maximum and the returns are windows over one curve, whose points are already aggregates of its bars."""
-    w = Window.partitionBy("sym").orderBy("ts")
-    c = curve.withColumn("r", F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1).withColumn("top", F.max("equity").over(w))
-    a = c.groupBy("sym").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"), F.stddev_pop(F.when(F.col("r") < 0, F.col("r"))).alias("d"), F.count(F.lit(1)).alias("n"), F.try_divide(F.max_by("equity", "ts"), F.min_by("equity", "ts")).alias("g"), F.min(F.try_divide(F.col("equity") - F.col("top"), F.col("top"))).alias("max_drawdown"))
+def curve_steps(curve: DataFrame) -> DataFrame:
+    """A curve's points with their place ``rn``, relative change ``r``, highest value so far ``top`` and ``drawdown`` from
+    it. Chunks of places are worked on apart, so a curve of one point a bar is never one task."""
+    placed = curve if "rn" in curve.columns else row_position(curve)
+    steps = running(pct_change(placed, "equity", "r"), "equity", "top", F.max, JOIN_MAX)
+    return steps.withColumn("drawdown", F.try_divide(F.col("equity") - F.col("top"), F.col("top")))
+
+
+def equity_metrics(curve: DataFrame, periods: int = 252, risk_free: float = 0.0) -> DataFrame:
+    """Per symbol: Sharpe, Sortino, CAGR, total return and largest drawdown of ``equity`` in the order of time. The yearly
+    ``risk_free`` rate is taken off the mean return; a deviation of 0 gives null."""
+    c = curve_steps(curve)
+    down = F.stddev_pop(F.when(F.col("r") < 0, F.col("r")))
+    grown = F.try_divide(F.max_by("equity", "rn"), F.min_by("equity", "rn"))
+    a = c.groupBy("sym").agg((F.avg("r") - risk_free / periods).alias("m"), F.stddev_pop("r").alias("s"), down.alias("d"), F.count(F.lit(1)).alias("n"), grown.alias("g"), F.min("drawdown").alias("max_drawdown"))
     scale = F.sqrt(F.lit(float(periods)))
     sharpe, sortino = F.try_divide(F.col("m"), F.nullif("s", F.lit(0.0))) * scale, F.try_divide(F.col("m"), F.nullif("d", F.lit(0.0))) * scale
-    return a.select("sym", sharpe.alias("sharpe"), sortino.alias("sortino"), (F.pow("g", F.lit(float(periods)) / F.col("n")) - 1).alias("cagr"), (F.col("g") - 1).alias("total_return"), "max_drawdown")
+    cagr = F.pow("g", F.lit(float(periods)) / F.col("n")) - 1
+    return a.select("sym", sharpe.alias("sharpe"), sortino.alias("sortino"), cagr.alias("cagr"), (F.col("g") - 1).alias("total_return"), "max_drawdown")
 
 
 def calmar() -> Column:
@@ -103,27 +119,57 @@ def chi2_contingency(df: DataFrame, current: str, column: str) -> DataFrame:
     return both.agg(F.sum(off * off / F.col("x.e")).alias("statistic"), (F.max("k") - 1).alias("dof"))
 
 
+def upper_gamma(a: Column, x: Column, terms: int = 400) -> Column:
+    """The regularised upper incomplete gamma function Q(a, x) for a multiple a of one half: 1 less the power series of
+    the lower one, whose first term is x^a e^-x / Gamma(a + 1) and the n-th x / (a + n) times the one before. Where the
+    series needs more than ``terms`` terms, Q is 0 to a double's precision."""
+    odd = F.pmod(F.round(2 * a), F.lit(2)) == 1
+    base = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(a), F.lit(1)).cast("int"))
+    log_gamma = F.when(odd, F.lit(math.log(math.pi) / 2)).otherwise(0.0) + F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.when(k - base > 0, F.ln(F.greatest(k - base, F.lit(0.5)))).otherwise(0.0))
+    first = F.exp(a * F.ln(x) - x - log_gamma)
+    start = F.struct(first.alias("t"), first.alias("s"))
+    add = lambda acc, n: F.struct((acc["t"] * x / (a + n)).alias("t"), (acc["s"] + acc["t"] * x / (a + n)).alias("s"))
+    lower = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, add, lambda acc: acc["s"])
+    return F.when(x <= 0, 1.0).when(x > a + 150, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - lower))
+
+
+def chi2_test(df: DataFrame, current: str, column: str) -> DataFrame:
+    """``statistic, dof, p_value`` of :func:`chi2_contingency`; without two categories the p-value is 1."""
+    c = chi2_contingency(df, current, column)
+    p = upper_gamma(F.col("dof") / 2, F.col("statistic") / 2)
+    return c.withColumn("p_value", F.when(F.col("dof") > 0, p).otherwise(1.0))
+
+
+def drift_report(df: DataFrame, current: str, columns: list[str], threshold: float = 0.05) -> DataFrame:
+    """``column, test, p_value, drift`` of each of ``columns`` between rows with ``current`` 0 and 1: numbers by the
+    two-sample Kolmogorov-Smirnov test, others by chi-squared; drift is a p-value under the threshold (0.05 for drift of
+    features, 0.1 for shifts of data)."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    parts = []
+    for c in columns:
+        found = ks_two_sample(df, current, c) if c in numeric else chi2_test(df, current, c)
+        parts.append(found.select(F.lit(c).alias("column"), F.lit("ks" if c in numeric else "chi2").alias("test"), "p_value"))
+    return reduce(DataFrame.unionByName, parts).withColumn("drift", F.col("p_value") < threshold)
+
+
 def returns_by_period(curve: DataFrame, period: str) -> DataFrame:
     """``sym, period, ret``: compounded return of each month or year between a curve's first and last, 0 where it has no
     point. The return of the first point is 0."""
-    w = Window.partitionBy("sym").orderBy("ts")
     day = F.to_date(F.trunc(F.to_date("ts"), period))
-    r = curve.select("sym", day.alias("period"), F.coalesce(F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1, F.lit(0.0)).alias("r"))
+    r = curve_steps(curve).select("sym", day.alias("period"), F.coalesce("r", F.lit(0.0)).alias("r"))
     g = r.groupBy("sym", "period").agg((F.product(1 + F.col("r")) - 1).alias("ret"))
-    slots = g.groupBy("sym").agg(F.min("period").alias("lo"), F.max("period").alias("hi")).select("sym", F.explode(F.expr(f"sequence(lo, hi, interval 1 {period})")).alias("period"))
+    ends = g.groupBy("sym").agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    slots = ends.select("sym", F.explode(F.expr(f"sequence(lo, hi, interval 1 {period})")).alias("period"))
     return slots.join(g, ["sym", "period"], "left").select("sym", "period", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
 def return_heatmap(curve: DataFrame) -> DataFrame:
     """Sum of relative changes by year and month, months as columns ``m1`` to ``m12``."""
-    w = Window.partitionBy("sym").orderBy("ts")
-    r = curve.withColumn("r", F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1)
     months = [F.sum(F.when(F.month("ts") == m, F.col("r"))).alias(f"m{m}") for m in range(1, 13)]
-    return r.groupBy("sym", F.year("ts").alias("year")).agg(*months)
+    return curve_steps(curve).groupBy("sym", F.year("ts").alias("year")).agg(*months)
 
 
 def top_drawdowns(curve: DataFrame, n: int) -> DataFrame:
     """The ``n`` points of a curve with the deepest drawdown below 0; the earlier of equal ones."""
-    top = F.max("equity").over(Window.partitionBy("sym").orderBy("ts"))
-    d = curve.withColumn("drawdown", F.try_divide(F.col("equity") - top, top)).where("drawdown < 0")
-    return d.orderBy("drawdown", "sym", "ts").limit(n).select("sym", "ts", "drawdown")
+    return curve_steps(curve).where("drawdown < 0").orderBy("drawdown", "sym", "ts").limit(n).select("sym", "ts", "drawdown")

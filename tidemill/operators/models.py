@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemill.operators.core import row_position
 
-#: Metrics of which less is better, by a part of their name.
+#: Metrics of which less is better. A name that holds one of them counts, so ``val_loss`` does too.
 LESS_IS_BETTER = ("loss", "error", "mse", "rmse", "mae")
 #: Numeric types from narrow to wide, their bytes and the largest whole number each holds.
 INTEGERS = [("tinyint", 1, 2**7 - 1), ("smallint", 2, 2**15 - 1), ("int", 4, 2**31 - 1), ("bigint", 8, 2**63 - 1)]

@@ -8,16 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.core import cut, row_position
 from tidemill.operators.learning import fold_rows, forward_max_target, split_time
-from tidemill.operators.metrics import classification_metrics
-
-#: Multiplier of the permutations of rows: a prime above any number of rows of a symbol.
-PRIME = 2_305_843_009_213_693_951
-
+from tidemill.operators.metrics import classification_metrics, roc_auc
 
 def training_set(features: DataFrame, columns: list[str], window: int = 60, threshold: float = 500.0) -> DataFrame:
     """``sym, ts, rn``, ``columns``, ``target`` and ``part`` (train, val, test in time order) of the rows without nulls."""
@@ -62,9 +58,10 @@ def load_models(paths: dict[str, str]) -> dict[str, PipelineModel]:
     return {n: PipelineModel.load(p) for n, p in there.items()}
 
 
-def quality(scored: DataFrame) -> DataFrame:
-    """accuracy, precision, recall and f1 at a probability of 0.5."""
-    return classification_metrics(scored.withColumn("said", (F.col("prob") > 0.5).cast("int")), "target", "said")
+def quality(scored: DataFrame, auc: bool = False) -> DataFrame:
+    """accuracy, precision, recall and f1 at a probability of 0.5, and with ``auc`` the area under the ROC curve."""
+    found = classification_metrics(scored.withColumn("said", (F.col("prob") > 0.5).cast("int")), "target", "said")
+    return found.crossJoin(F.broadcast(roc_auc(scored, "target", "prob"))) if auc else found
 
 
 def walk_forward(labelled: DataFrame, folds: DataFrame, columns: list[str], grid: list[dict], fit=train_random_forest) -> DataFrame:
@@ -86,15 +83,21 @@ def param_search(labelled: DataFrame, columns: list[str], grid: list[dict], metr
     trials = []
     for k, params in enumerate(grid):
         scored = score_batch(fit(rows.where("part = 'train'"), columns, **params), rows.where("part = 'val'"))
-        trials.append(quality(scored).select(F.lit(k).alias("trial"), F.lit("COMPLETE").alias("state"), F.col(metric).alias("value"), F.lit(str(params)).alias("parameters")))
+        trials.append(quality(scored, metric == "auc").select(F.lit(k).alias("trial"), F.lit("COMPLETE").alias("state"), F.col(metric).alias("value"), F.lit(str(params)).alias("parameters")))
     return reduce(DataFrame.unionByName, trials)
 
 
 def permuted(rows: DataFrame, column: str, seed: int) -> DataFrame:
-    """``rows`` (``sym, rn`` from 0 without gaps) with ``column`` moved between rows of a symbol by a bijection of positions."""
-    n = rows.groupBy("sym").agg(F.count(F.lit(1)).alias("__n"))
-    to = F.pmod(F.pmod(F.lit(PRIME), F.col("__n")) * F.col("rn") + 7919 * seed, F.col("__n"))
-    moved = rows.join(n, "sym").select("sym", to.alias("rn"), F.col(column).alias("__v"))
+    """``rows`` (``sym, rn`` from 0 without gaps) with ``column`` moved between rows of a symbol: its values in the order of
+    a hash of their positions and ``seed`` go to positions 0, 1, ... A hash's leading bits cut it into ranges, which
+    are counted and ordered apart, so no symbol is ordered in one task."""
+    h = F.xxhash64(F.lit(seed), "sym", "rn")
+    each = rows.select("sym", F.col(column).alias("__v"), h.alias("h"), F.shiftrightunsigned(h, 52).alias("r"), F.col("rn").alias("o"))
+    counts = each.groupBy("sym", "r").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("sym").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("sym", "r", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("sym", "r").orderBy("h", "o")) - 1
+    moved = each.withColumn("k", inside).join(starts, ["sym", "r"]).select("sym", (F.col("start") + F.col("k")).alias("rn"), "__v")
     return rows.join(moved, ["sym", "rn"]).withColumn(column, F.col("__v")).select(*rows.columns)
 
 

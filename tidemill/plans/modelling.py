@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemill.operators import indicators as ind
 from tidemill.operators import learning as le
 from tidemill.operators import metrics
+from tidemill.operators.bars import asof_backward
+from tidemill.operators.core import row_position
 from tidemill.plans.quality import HOLES, TS, holes, positioned, rounded
-from tidemill.plans.queries import BARS, SCORED, TR, X_ATR, _lr, _scored, _w, add, shown, table
+from tidemill.plans.queries import BARS, SCORED, TR, X_ATR, _bars_sql, _lr, _scored, _w, add, bars, shown, table
 
 LAGS = ", v AS (SELECT *, lag(close) OVER o AS c1, lag(high) OVER o AS h1, lag(low) OVER o AS l1 FROM bars WINDOW o AS (PARTITION BY sym ORDER BY rn))"
 MOVES = f"""{BARS}{LAGS}, m AS (SELECT *, greatest(close - c1, 0) AS rise, greatest(c1 - close, 0) AS fall, greatest(high - low, abs(high - c1), abs(low - c1)) AS tr,
@@ -74,6 +76,14 @@ add("fold_range_join", lambda s, d: shown(le.fold_rows(positioned(s, d), _splits
 add("cv_stability", lambda s, d: rounded(le.stability(le.fold_rows(positioned(s, d), _splits(s, d)).where("role = 'test'").groupBy("sym", "fold").agg(F.avg("close").alias("score")), "score")), f"{SPLIT}, q AS ({SPLITS}), e AS (SELECT avg(close) AS score FROM bars JOIN q ON bars.sym = q.sym AND rn >= test_start AND rn < test_end GROUP BY q.sym, fold) SELECT round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(stddev_pop(score) / avg(score), 6) AS cv_score FROM e")
 
 
+def _cells(s: SparkSession, d: str) -> DataFrame:
+    grid = s.createDataFrame([(depth, trees) for depth in (2, 4) for trees in (10, 20)], "depth long, trees long")
+    return le.param_grid_cross(_splits(s, d), grid).select("sym", "fold", "test_start", "depth", "trees")
+
+
+add("param_grid_cross", _cells, f"{SPLIT}, q AS ({SPLITS}) SELECT sym, fold, test_start, depth, trees FROM q, (VALUES (2::BIGINT), (4::BIGINT)) a(depth), (VALUES (10::BIGINT), (20::BIGINT)) b(trees)")
+
+
 def _part(s: SparkSession, d: str) -> DataFrame:
     return le.split_time(holes(s, d))
 
@@ -81,6 +91,11 @@ def _part(s: SparkSession, d: str) -> DataFrame:
 TRAIN = f"{HOLES}, t AS (SELECT *, coalesce(x, 0) AS z, rn < floor(count(*) OVER (PARTITION BY sym) * 0.7::DOUBLE) AS tr FROM d)"
 add("scale_standard", lambda s, d: shown(le.scale(_part(s, d), ["x"], "standard", F.col("part") == "train"), "x"), f"{TRAIN}, q AS (SELECT avg(z) AS m, stddev_pop(z) AS sd FROM t WHERE tr) SELECT sym, {TS}, round((z - m) / sd, 6) AS x FROM t, q")
 add("scale_minmax", lambda s, d: shown(le.scale(_part(s, d), ["x"], "minmax", F.col("part") == "train"), "x"), f"{TRAIN}, q AS (SELECT min(z) AS m, max(z) - min(z) AS sd FROM t WHERE tr) SELECT sym, {TS}, round((z - m) / sd, 6) AS x FROM t, q")
+add(
+    "scale_robust",
+    lambda s, d: shown(le.scale(_part(s, d), ["x"], "robust", F.col("part") == "train"), "x"),
+    f"{TRAIN}, q AS (SELECT quantile_cont(z, 0.5) AS m, quantile_cont(z, 0.75) - quantile_cont(z, 0.25) AS sd FROM t WHERE tr) SELECT sym, {TS}, round((z - m) / sd, 6) AS x FROM t, q",
+)
 L = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 add("variance_select", lambda s, d: rounded(le.variance_select(table(s, d, "lineitem"), L, 0.001)), "SELECT \"column\", round(v, 6) AS variance FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", var_pop(coalesce({c}, 0)) AS v FROM lineitem" for c in L) + ") WHERE v > 0.001")
 add("correlation_select", lambda s, d: le.correlation_select(table(s, d, "lineitem"), L, 0.5), "SELECT 'l_quantity' AS \"column\" UNION ALL " + " UNION ALL ".join(f"SELECT '{c}' FROM lineitem HAVING greatest({', '.join(f'abs(corr({e}, {c}))' for e in L[:k])}) <= 0.5" for k, c in enumerate(L) if k))
@@ -112,14 +127,35 @@ add("threshold_sweep", lambda s, d: rounded(le.threshold_sweep(_preds(s, d), "pr
 add("ab_assign", lambda s, d: le.ab_assign(table(s, d, "customer"), "c_custkey", 0.3, "s").select("c_custkey", "version"), "SELECT c_custkey, CASE WHEN ('0x' || substr(md5('s' || c_custkey), 1, 8))::BIGINT / 4294967296 < 0.3 THEN 'A' ELSE 'B' END AS version FROM customer")
 
 
+def _frame(b: DataFrame, frame: str) -> DataFrame:
+    """EMA and RSI of bars, named for their time frame; RSI is null in a symbol's first row."""
+    both = ind.emas(b, (20,)).select("sym", "ts", "rn", F.col("ema_20").alias(f"{frame}_ema_20"))
+    rsi = ind.rsi_wilder(b).select("sym", "rn", F.col("rsi_14").alias(f"{frame}_rsi_14"))
+    return both.join(rsi, ["sym", "rn"], "left").drop("rn")
+
+
 def _multi(s: SparkSession, d: str) -> DataFrame:
     b = positioned(s, d)
-    one = ind.ema(ind.rsi_wilder(b), 20).select("sym", "rn", F.col("ema_20").alias("1h_ema_20"), F.col("rsi_14").alias("1h_rsi_14"))
-    j = b.join(one, ["sym", "rn"], "left").withColumn("prob", F.expr(PROB.format(m=1)))
-    return le.signal_multi_timeframe(j, frames=("1h",))
+    longer = asof_backward(b, _frame(row_position(bars(s, d, "4 hours")), "4h"), ["4h_ema_20", "4h_rsi_14"])
+    return le.signal_multi_timeframe(longer.join(_frame(b, "1h"), ["sym", "ts"]).withColumn("prob", F.expr(PROB.format(m=1))))
+
 
+def _frame_sql(source: str, name: str) -> str:
+    """CTEs with ``ema`` and ``rsi`` of the bars in ``source``."""
+    return f"""{name}0 AS (SELECT *, close - lag(close) OVER (PARTITION BY sym ORDER BY rn) AS dc, {_lr('close', '(2.0::DOUBLE / 21)')} AS ema FROM {source}),
+{name}1 AS (SELECT sym, rn, {_lr('greatest(dc, 0)', A)} AS u, {_lr('greatest(-dc, 0)', A)} AS f FROM {name}0 WHERE rn >= 1),
+{name} AS (SELECT {name}0.sym, ts, ema, CASE WHEN f = 0 THEN 100 ELSE 100 - 100 / (1 + u / f) END AS rsi FROM {name}0 LEFT JOIN {name}1 USING (sym, rn))"""
 
-add("signal_multi_timeframe", lambda s, d: shown(_multi(s, d), "signal"), None)
+
+def _side_sql(op: str) -> str:
+    return " AND ".join(f"close {op} {n}.ema AND {n}.rsi {op} 50" for n in ("fh", "fl"))
+
+
+MULTI = f"""{BARS}, {_bars_sql('longer', '4 HOUR')}, lb AS (SELECT sym, b AS ts, close, row_number() OVER (PARTITION BY sym ORDER BY b) - 1 AS rn FROM longer),
+{_frame_sql('bars', 'fh')}, {_frame_sql('lb', 'fl')}
+SELECT bars.sym, strftime(bars.ts, '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN prob < 0.55 THEN 'Flat' WHEN {_side_sql('>')} THEN 'Long' WHEN {_side_sql('<')} THEN 'Short' ELSE 'Flat' END AS signal
+FROM (SELECT *, {PROB.format(m=1)} AS prob FROM bars) bars JOIN fh ON bars.sym = fh.sym AND bars.ts = fh.ts ASOF LEFT JOIN fl ON bars.sym = fl.sym AND bars.ts >= fl.ts"""
+add("signal_multi_timeframe", lambda s, d: shown(_multi(s, d), "signal"), MULTI)
 PSCORE = "least(s, 3000) / 3000"
 add("log_loss", lambda s, d: rounded(metrics.log_loss(_scored(s, d).withColumn("q", F.least(F.col("s"), F.lit(3000)) / 3000), "y", "q")), SCORED + f", q AS (SELECT y, greatest(least({PSCORE}, 1 - 1e-15), 1e-15) AS q FROM m) SELECT round(-avg(CASE WHEN y = 1 THEN ln(q) ELSE ln(1 - q) END), 6) AS log_loss FROM q")
 add("weighted_class_report", lambda s, d: rounded(metrics.weighted_class_report(_scored(s, d), "y", "p")), SCORED + ", c AS (SELECT k, count(*) FILTER (y = k) AS n, count(*) FILTER (p = k) AS said, count(*) FILTER (y = k AND p = k) AS tp FROM m, (VALUES (0), (1)) v(k) GROUP BY k) SELECT round(sum(n * coalesce(tp / nullif(said, 0), 0)) / sum(n), 6) AS precision, round(sum(n * coalesce(tp / nullif(n, 0), 0)) / sum(n), 6) AS recall, round(sum(n * coalesce(2 * tp / nullif(said + n, 0), 0)) / sum(n), 6) AS f1 FROM c")
@@ -130,6 +166,39 @@ def _drift(s: SparkSession, d: str) -> DataFrame:
 
 
 DRIFT = "WITH t AS (SELECT *, (l_shipdate >= TIMESTAMP '1997-01-01')::INTEGER AS late FROM lineitem)"
-add("ks_two_sample", lambda s, d: rounded(metrics.ks_two_sample(_drift(s, d), "late", "l_extendedprice")), DRIFT + ", h AS (SELECT l_extendedprice AS v, count(*) FILTER (late = 0) AS a, count(*) FILTER (late = 1) AS b FROM t GROUP BY 1), c AS (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM h), k AS (SELECT max(abs(ca / na - cb / nb)) AS d, max(sqrt(na::DOUBLE * nb / (na + nb))) AS sc FROM c) SELECT round(d, 6) AS statistic, round(CASE WHEN d * sc < 0.2 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda i: 2 * (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * i * i * d * sc * d * sc))))) END, 6) AS p_value FROM k")
+def _ks_sql(column: str, table: str = "t") -> str:
+    """A query of ``statistic, p_value`` of the Kolmogorov-Smirnov test, by running counts."""
+    return f"""SELECT round(d, 6) AS statistic, round(CASE WHEN d * sc < 0.2 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 101),
+lambda i: 2 * (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * i * i * d * sc * d * sc))))) END, 6) AS p_value
+FROM (SELECT max(abs(ca / na - cb / nb)) AS d, max(sqrt(na::DOUBLE * nb / (na + nb))) AS sc
+FROM (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb
+FROM (SELECT {column} AS v, count(*) FILTER (late = 0) AS a, count(*) FILTER (late = 1) AS b FROM {table} GROUP BY 1)))"""
+
+
+def _chi2_sql(column: str, table: str = "t") -> str:
+    """A query of ``statistic, dof`` and the p-value, in closed form for an even number of degrees of freedom."""
+    cells = f"(SELECT {column} AS c, count(*) FILTER (late = 0) AS a, count(*) FILTER (late = 1) AS b FROM {table} GROUP BY 1)"
+    sums = f"(SELECT sum(a)::DOUBLE AS na, sum(b)::DOUBLE AS nb, count(*) AS k FROM {cells})"
+    both = f"SELECT k, a AS o, (a + b) * na / (na + nb) AS e FROM {cells}, {sums} UNION ALL SELECT k, b, (a + b) * nb / (na + nb) FROM {cells}, {sums}"
+    off = "CASE WHEN k = 2 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE abs(o - e) END"
+    total = f"(SELECT sum(off * off / e) AS x, max(k) - 1 AS dof FROM (SELECT k, e, {off} AS off FROM ({both})))"
+    terms = "list_sum(list_transform(range(0, dof // 2), lambda j: exp(-x / 2 + j * ln(greatest(x / 2, 1e-300)) - lgamma(j + 1))))"
+    return f"SELECT round(x, 6) AS statistic, dof, round(CASE WHEN dof % 2 = 0 THEN {terms} END, 6) AS p_value FROM {total}"
+
+
+add("ks_two_sample", lambda s, d: rounded(metrics.ks_two_sample(_drift(s, d), "late", "l_extendedprice")), f"{DRIFT} {_ks_sql('l_extendedprice')}")
 for _c in ("l_returnflag", "l_linestatus"):
-    add("chi2_" + _c[2:], lambda s, d, c=_c: rounded(metrics.chi2_contingency(_drift(s, d), "late", c)), DRIFT + f", h AS (SELECT {_c}, count(*) FILTER (late = 0) AS a, count(*) FILTER (late = 1) AS b FROM t GROUP BY 1), n AS (SELECT sum(a)::DOUBLE AS na, sum(b)::DOUBLE AS nb, count(*) AS k FROM h), o AS (SELECT k, a AS o, (a + b) * na / (na + nb) AS e FROM h, n UNION ALL SELECT k, b, (a + b) * nb / (na + nb) FROM h, n), f AS (SELECT k, e, CASE WHEN k = 2 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE abs(o - e) END AS off FROM o) SELECT round(sum(off * off / e), 6) AS statistic, max(k) - 1 AS dof FROM f")
+    add("chi2_" + _c[2:], lambda s, d, c=_c: rounded(metrics.chi2_contingency(_drift(s, d), "late", c)), f"{DRIFT} SELECT statistic, dof FROM ({_chi2_sql(_c)})")
+
+
+def _columns(s: SparkSession, d: str) -> DataFrame:
+    """Lines with categories of 3, 5 and 7 values, of which the flags don't depend on the time and the quantity hardly does."""
+    keys = {"seven": F.concat(F.lit("c"), F.col("l_linenumber").cast("string")), "five": F.concat(F.lit("k"), (F.col("l_partkey") % 5).cast("string"))}
+    return _drift(s, d).withColumns(keys)
+
+
+COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "seven", "five"]
+DRIFT_COLUMNS = DRIFT + ", u AS (SELECT *, 'c' || l_linenumber AS seven, 'k' || (l_partkey % 5) AS five FROM t)"
+for _name, _level in (("drift_report", 0.05), ("shift_report", 0.1)):
+    _parts = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{'ks' if k < 3 else 'chi2'}' AS test, p_value FROM ({_ks_sql(c, 'u') if k < 3 else _chi2_sql(c, 'u')})" for k, c in enumerate(COLUMNS))
+    add(_name, lambda s, d, t=_level: rounded(metrics.drift_report(_columns(s, d), "late", COLUMNS, t)), f"{DRIFT_COLUMNS} SELECT *, p_value < {_level} AS drift FROM ({_parts})")

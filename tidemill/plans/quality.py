@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators import cleaning as cl
 from tidemill.operators.bars import ticks
-from tidemill.operators.core import lagged, row_position
+from tidemill.operators.core import pct_change, row_position
 from tidemill.plans.queries import BARS, DIGITS, add, bars, shown, table
 
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
@@ -44,7 +44,7 @@ add("drop_null_rows", lambda s, d: shown(holes(s, d).dropna(subset=["x"]), "x"),
 add("warmup_drop_null", lambda s, d: shown(cl.drop_after_warmup(holes(s, d), ["x"]), "rn", "x"), f"{HOLES} SELECT sym, {TS}, rn, round(x, 6) AS x FROM d WHERE rn < 50 OR x IS NOT NULL")
 add("fill_zero", lambda s, d: shown(holes(s, d).fillna(0, ["x"]), "x"), f"{HOLES} SELECT sym, {TS}, round(coalesce(x, 0), 6) AS x FROM d")
 add("dedup_rows", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus").dropDuplicates(), "SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus FROM lineitem")
-add("dedup_keep_first", lambda s, d: table(s, d, "events").groupBy("user_id", "event_type").agg(F.min_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "event_type", "x.event_id", "x.value"), "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+add("dedup_keep_first", lambda s, d: cl.keep_one(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value"), "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
 add("ffill_bfill", lambda s, d: shown(cl.fill(holes(s, d), ["x"]), "x"), f"{HOLES} SELECT sym, {TS}, round(coalesce({BEFORE}, {AFTER}), 6) AS x FROM d")
 add("bfill_ffill", lambda s, d: shown(cl.fill(holes(s, d), ["x"], backward_first=True), "x"), f"{HOLES} SELECT sym, {TS}, round(coalesce({AFTER}, {BEFORE}), 6) AS x FROM d")
 add("preprocess", lambda s, d: shown(cl.fill(row_position(bars(s, d).unionByName(bars(s, d)).dropDuplicates()).withColumn("x", F.when(~F.expr(HOLE), F.col("close"))), ["x"]), "x"), f"{HOLES} SELECT sym, {TS}, round(coalesce({BEFORE}, {AFTER}), 6) AS x FROM d")
@@ -70,21 +70,25 @@ def _marked(s: SparkSession, d: str) -> DataFrame:
 
 
 add("price_spikes", lambda s, d: shown(_marked(s, d).where("spike = 1"), "close"), f"{MARKS} SELECT sym, {TS}, round(close, 6) AS close FROM m WHERE spike = 1")
-add("nonpositive_prices", lambda s, d: table(s, d, "events").where("value <= 20").select("event_id", "value"), "SELECT event_id, value FROM events WHERE value <= 20")
+add("nonpositive_prices", lambda s, d: shown(cl.mark_anomalies(positioned(s, d).withColumn("x", F.col("close") - 40), "x").where("nonpositive = 1"), "x"), f"{BARS} SELECT sym, {TS}, round(close - 40, 6) AS x FROM bars WHERE close - 40 <= 0")
 add("time_gaps", lambda s, d: shown(_marked(s, d).where("gap = 1"), "delta_s"), f"{MARKS} SELECT sym, {TS}, delta_s FROM m WHERE gap = 1")
 add("anomaly_summary", lambda s, d: cl.anomaly_summary(_marked(s, d)), f"{MARKS} SELECT sym, sum(spike)::BIGINT AS spikes, sum(nonpositive)::BIGINT AS nonpositive, sum(gap)::BIGINT AS gaps, max(delta_s) AS max_delta_s, median(delta_s) FILTER (delta_s > 0) AS median_delta_s FROM m GROUP BY sym")
 add("validate_bars", lambda s, d: cl.validate_bars(holes(s, d), ["open", "x", "absent"], ["close"]), f"{HOLES} SELECT 'absent' AS missing_columns, count(*) FILTER (x IS NULL OR open IS NULL) AS rows_with_nulls, count(*) FILTER (close <= 0) AS rows_not_positive FROM d")
-add("rows_any_missing", lambda s, d: holes(s, d).agg(F.count_if(F.col("x").isNull() | F.col("close").isNull()).alias("row_count"), (F.count_if(F.col("x").isNull()) + F.count_if(F.col("close").isNull())).alias("total")), f"{HOLES} SELECT count(*) FILTER (x IS NULL OR close IS NULL) AS row_count, count(*) FILTER (x IS NULL) + count(*) FILTER (close IS NULL) AS total FROM d")
-add("sort_time", lambda s, d: lagged(positioned(s, d), ["ts"]).groupBy("sym").agg(F.count_if(F.col("ts") < F.col("ts_prev")).alias("steps_back")), f"{BARS} SELECT sym, count(*) FILTER (FALSE) AS steps_back FROM bars GROUP BY sym")
-add("head_sample", lambda s, d: table(s, d, "events").orderBy("ts", "event_id").limit(1000).select("event_id", "value"), "SELECT event_id, value FROM events ORDER BY ts, event_id LIMIT 1000")
+add("rows_any_missing", lambda s, d: cl.rows_any_missing(holes(s, d), ["x", "close"]), f"{HOLES} SELECT count(*) FILTER (x IS NULL OR close IS NULL) AS row_count, count(*) FILTER (x IS NULL) + count(*) FILTER (close IS NULL) AS total FROM d")
 
 
-def _tail(s: SparkSession, d: str) -> DataFrame:
-    b = positioned(s, d)
-    return b.join(b.groupBy("sym").agg(F.max("rn").alias("last")), "sym").where("rn > last - 50")
+def _shuffled(s: SparkSession, d: str) -> DataFrame:
+    """Bars in the order of a hash of their place."""
+    return row_position(bars(s, d)).withColumn("rn", F.row_number().over(Window.partitionBy("sym").orderBy(F.pmod(F.col("rn") * 7919, F.lit(1009)), "rn")) - 1)
 
 
-add("tail_n", lambda s, d: shown(_tail(s, d), "close"), f"{BARS} SELECT sym, {TS}, round(close, 6) AS close FROM bars QUALIFY row_number() OVER (PARTITION BY sym ORDER BY rn DESC) <= 50")
+SHUFFLED = f"{BARS}, h AS (SELECT sym, ts, row_number() OVER (PARTITION BY sym ORDER BY rn * 7919 % 1009, rn) AS k FROM bars), l AS (SELECT sym, ts, lag(ts) OVER (PARTITION BY sym ORDER BY k) AS p FROM h)"
+add("steps_back", lambda s, d: cl.steps_back(_shuffled(s, d)), f"{SHUFFLED} SELECT sym, count(*) FILTER (ts < p) AS steps_back FROM l GROUP BY sym")
+add("sort_time", lambda s, d: shown(row_position(_shuffled(s, d).drop("rn")), "rn", "close"), f"{BARS} SELECT sym, {TS}, rn, round(close, 6) AS close FROM bars")
+add("head_sample", lambda s, d: cl.head_rows(table(s, d, "events"), 1000, ["ts", "event_id"]).select("event_id", "value"), "SELECT event_id, value FROM events ORDER BY ts, event_id LIMIT 1000")
+
+
+add("tail_n", lambda s, d: shown(cl.tail_rows(positioned(s, d), 50), "close"), f"{BARS} SELECT sym, {TS}, round(close, 6) AS close FROM bars QUALIFY row_number() OVER (PARTITION BY sym ORDER BY rn DESC) <= 50")
 
 
 def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -107,18 +111,11 @@ def _joined(how: str, *columns: str):
 
 add("align_inner", _joined("inner", "close", "prob"), f"{SIDES} SELECT sym, {TS}, round(close, 6) AS close, round(prob, 6) AS prob FROM bars JOIN p USING (sym, ts)")
 add("left_reindex", _joined("left", "close", "prob"), f"{SIDES} SELECT sym, {TS}, round(close, 6) AS close, round(prob, 6) AS prob FROM bars LEFT JOIN p USING (sym, ts)")
-add("pad_predictions", lambda s, d: _joined("left", "prob")(s, d).fillna(0.5, ["prob"]), f"{SIDES} SELECT sym, {TS}, round(coalesce(prob, 0.5), 6) AS prob FROM bars LEFT JOIN p USING (sym, ts)")
+add("pad_predictions", lambda s, d: shown(cl.pad_predictions(*_sides(s, d)), "prob"), f"{SIDES} SELECT sym, {TS}, round(coalesce(prob, 0.5), 6) AS prob FROM bars LEFT JOIN p USING (sym, ts)")
 add("outer_align_models", _joined("full", "close", "prob"), f"{SIDES} SELECT sym, {TS}, round(close, 6) AS close, round(prob, 6) AS prob FROM bars FULL JOIN p USING (sym, ts)")
 
 
-def _report(s: SparkSession, d: str) -> DataFrame:
-    b, p = _sides(s, d)
-    j = b.join(p, ["sym", "ts"], "full")
-    has = lambda c: F.col(c).isNotNull()
-    return j.agg(F.count_if(has("close") & has("prob")).alias("matched"), F.count_if(has("close") & ~has("prob")).alias("only_left"), F.count_if(~has("close") & has("prob")).alias("only_right"))
-
-
-add("align_report", _report, f"{SIDES} SELECT count(*) FILTER (close IS NOT NULL AND prob IS NOT NULL) AS matched, count(*) FILTER (prob IS NULL) AS only_left, count(*) FILTER (close IS NULL) AS only_right FROM bars FULL JOIN p USING (sym, ts)")
+add("align_report", lambda s, d: cl.align_report(*_sides(s, d), ["sym", "ts"]), f"{SIDES} SELECT count(*) FILTER (close IS NOT NULL AND prob IS NOT NULL) AS matched, count(*) FILTER (prob IS NULL) AS only_left, count(*) FILTER (close IS NULL) AS only_right FROM bars FULL JOIN p USING (sym, ts)")
 add("intersect_keys", lambda s, d: shown(_sides(s, d)[0].select("sym", "ts").intersect(_sides(s, d)[1].select("sym", "ts"))), f"{SIDES} SELECT sym, {TS} FROM (SELECT sym, ts FROM bars INTERSECT SELECT sym, ts FROM p)")
 add("union_categories", lambda s, d: table(s, d, "lineitem").select(F.col("l_returnflag").alias("c")).union(table(s, d, "lineitem").select("l_linestatus")).distinct(), "SELECT l_returnflag AS c FROM lineitem UNION SELECT l_linestatus FROM lineitem")
 
@@ -126,8 +123,10 @@ add("union_categories", lambda s, d: table(s, d, "lineitem").select(F.col("l_ret
 def _union(s: SparkSession, d: str) -> DataFrame:
     """Bars with newer rows for some of their hours; the newer ones win."""
     old, new = bars(s, d), bars(s, d).where("hour(ts) = 5").withColumn("close", F.col("close") + 1)
-    both = old.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)), allowMissingColumns=True)
-    return both.groupBy("sym", "ts").agg(F.max_by("close", "seq").alias("close"))
+    return cl.union_newer(old, new, ["sym", "ts"])
 
 
 add("union_bars", lambda s, d: shown(_union(s, d), "close"), f"{BARS} SELECT sym, {TS}, round(CASE WHEN hour(ts) = 5 THEN close + 1 ELSE close END, 6) AS close FROM bars")
+add("pct_change", lambda s, d: shown(pct_change(positioned(s, d), "close", "change"), "change"), f"{BARS} SELECT sym, {TS}, round(close / lag(close) OVER (PARTITION BY sym ORDER BY rn) - 1, 6) AS change FROM bars")
+add("select_existing", lambda s, d: shown(cl.select_existing(bars(s, d), ["close", "absent", "volume"]), "close", "volume"), f"{BARS} SELECT sym, {TS}, round(close, 6) AS close, round(volume, 6) AS volume FROM bars")
+add("prefix_columns", lambda s, d: shown(cl.prefix_columns(bars(s, d), "1h"), "1h_open", "1h_close"), f'{BARS} SELECT sym, {TS}, round(open, 6) AS "1h_open", round(close, 6) AS "1h_close" FROM bars')

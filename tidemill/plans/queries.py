@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import indicators as ind
 from tidemill.operators import metrics
 from tidemill.operators.bars import asof_backward, enough_rows, resample_ohlcv, ticks
+from tidemill.operators.cleaning import keep_one
 from tidemill.operators.core import row_position
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,7 +96,7 @@ def _lr(c: str, alpha: str) -> str:
     return f"list_reduce(list({c}) OVER (PARTITION BY sym ORDER BY rn), lambda a, v: a * (1 - {alpha}) + v * {alpha})"
 
 
-add("ema", lambda s, d: shown(ind.ema(ind.ema(bars(s, d), 9), 50), "ema_9", "ema_50"), f"{BARS} SELECT sym, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round({_lr('close', '(2.0::DOUBLE / 10)')}, 6) AS ema_9, round({_lr('close', '(2.0::DOUBLE / 51)')}, 6) AS ema_50 FROM bars")
+add("ema", lambda s, d: shown(ind.emas(bars(s, d), (9, 50)), "ema_9", "ema_50"), f"{BARS} SELECT sym, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round({_lr('close', '(2.0::DOUBLE / 10)')}, 6) AS ema_9, round({_lr('close', '(2.0::DOUBLE / 51)')}, 6) AS ema_50 FROM bars")
 add("macd", lambda s, d: shown(ind.macd(bars(s, d)), "macd", "macd_signal"), f"{BARS}, y AS (SELECT *, {_lr('close', '(2.0::DOUBLE / 13)')} - {_lr('close', '(2.0::DOUBLE / 27)')} AS m FROM bars) SELECT sym, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(m, 6) AS macd, round({_lr('m', '0.2::DOUBLE')}, 6) AS macd_signal FROM y")
 add("resample_ohlcv", lambda s, d: shown(bars(s, d), "open", "high", "low", "close", "volume"), f"{BARS} SELECT sym, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {', '.join(f'round({c}, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars")
 add("htf_min_rows", lambda s, d: shown(enough_rows(bars(s, d, "1 day"), 20), "close"), f"WITH {_bars_sql('raw', '1 DAY')} SELECT sym, strftime(b, '%Y-%m-%d %H:%M:%S') AS ts, round(close, 6) AS close FROM raw QUALIFY count(*) OVER (PARTITION BY sym) >= 20")
@@ -132,8 +133,8 @@ def _curve(s: SparkSession, d: str) -> DataFrame:
 
 
 CURVE = "WITH c AS (SELECT o_orderdate AS ts, sum(o_totalprice::DOUBLE) AS equity FROM orders GROUP BY 1), r AS (SELECT *, equity / lag(equity) OVER (ORDER BY ts) - 1 AS r, max(equity) OVER (ORDER BY ts) AS top FROM c)"
-add("equity_metrics", lambda s, d: _rounded(metrics.equity_metrics(_curve(s, d))), CURVE + " SELECT 'all' AS sym, round(avg(r) / stddev_pop(r) * sqrt(252), 6) AS sharpe, round(avg(r) / (stddev_pop(r) FILTER (r < 0)) * sqrt(252), 6) AS sortino, round(pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(*)) - 1, 6) AS cagr, round(arg_max(equity, ts) / arg_min(equity, ts) - 1, 6) AS total_return, round(min((equity - top) / top), 6) AS max_drawdown FROM r")
-add("drawdown_curve", lambda s, d: _curve(s, d).withColumn("top", F.max("equity").over(Window.partitionBy("sym").orderBy("ts"))).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.round((F.col("equity") - F.col("top")) / F.col("top"), DIGITS).alias("drawdown")), CURVE + " SELECT strftime(ts, '%Y-%m-%d') AS day, round((equity - top) / top, 6) AS drawdown FROM r")
-add("dedup_keep_last", lambda s, d: table(s, d, "events").groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "event_type", "x.event_id", "x.value"), "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
+add("equity_metrics", lambda s, d: _rounded(metrics.equity_metrics(_curve(s, d), risk_free=0.02)), CURVE + " SELECT 'all' AS sym, round((avg(r) - 0.02 / 252) / stddev_pop(r) * sqrt(252), 6) AS sharpe, round((avg(r) - 0.02 / 252) / (stddev_pop(r) FILTER (r < 0)) * sqrt(252), 6) AS sortino, round(pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(*)) - 1, 6) AS cagr, round(arg_max(equity, ts) / arg_min(equity, ts) - 1, 6) AS total_return, round(min((equity - top) / top), 6) AS max_drawdown FROM r")
+add("drawdown_curve", lambda s, d: metrics.curve_steps(_curve(s, d)).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.round("drawdown", DIGITS).alias("drawdown")), CURVE + " SELECT strftime(ts, '%Y-%m-%d') AS day, round((equity - top) / top, 6) AS drawdown FROM r")
+add("dedup_keep_last", lambda s, d: keep_one(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], last=True).select("user_id", "event_type", "event_id", "value"), "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
 add("date_range_filter", lambda s, d: table(s, d, "events").where("ts >= timestamp_ntz'2024-01-05 00:00:00' and ts < timestamp_ntz'2024-01-08 00:00:00'").select("event_id", "value"), "SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'")
 add("signal_threshold", lambda s, d: shown(bars(s, d).withColumn("prob", F.pmod(F.expr("hour(ts) * 7919 + day(ts) * 104729 + length(sym)"), F.lit(1000)) / 1000).withColumn("signal", F.when(F.col("prob") > 0.55, "Long").otherwise("Flat")), "signal"), f"{BARS} SELECT sym, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN ((hour(ts) * 7919 + day(ts) * 104729 + length(sym)) % 1000) / 1000 > 0.55 THEN 'Long' ELSE 'Flat' END AS signal FROM bars")

@@ -10,7 +10,7 @@ from tidemill.operators import metrics
 from tidemill.operators.indicators import atr_wilder
 from tidemill.plans.modelling import MOVES, PROB, A
 from tidemill.plans.quality import TS, positioned, rounded
-from tidemill.plans.queries import CURVE, _curve, _lr, add, shown
+from tidemill.plans.queries import BARS, CURVE, _curve, _lr, add, shown
 
 SL, TP, SLIP, RISK, COMMISSION, EQUITY = 1.0, 2.0, 0.05, 0.02, 0.001, 10000.0
 
@@ -21,17 +21,30 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
     return a.withColumn("signal", F.when(F.col("prob") > 0.7, "Long").when(F.col("prob") < 0.2, "Short").otherwise("Flat"))
 
 
-SIGNALS = f"""{MOVES.replace('WITH raw', 'WITH RECURSIVE raw')}, r AS (SELECT sym, rn, {_lr('tr', A)} AS atr FROM m), s AS (SELECT bars.*, atr, {PROB.format(m=1)} AS prob FROM bars LEFT JOIN r USING (sym, rn)),
-e0 AS (SELECT *, CASE WHEN prob > 0.7 THEN 1 WHEN prob < 0.2 THEN -1 END AS side FROM s WHERE atr > 0), e AS (SELECT *, close + side * {SLIP} AS entry, close + side * {SLIP} - side * {SL} * atr AS stop, close + side * {SLIP} + side * {TP} * atr AS target FROM e0 WHERE side IS NOT NULL AND close + side * {SLIP} > 0)"""
-OUTCOMES = f"""{SIGNALS}, h AS (SELECT e.sym, e.rn, min(s.rn) AS hit FROM e JOIN s ON e.sym = s.sym AND s.rn > e.rn AND s.atr > 0 AND (s.high >= greatest(e.stop, e.target) OR s.low <= least(e.stop, e.target)) GROUP BY 1, 2),
+def _signals_sql(sl: float = SL, tp: float = TP, long: float = 0.7, short: float | None = 0.2) -> str:
+    side = f"CASE WHEN prob > {long} THEN 1" + (f" WHEN prob < {short} THEN -1" if short is not None else "") + " END"
+    return f"""{MOVES.replace('WITH raw', 'WITH RECURSIVE raw')}, r AS (SELECT sym, rn, {_lr('tr', A)} AS atr FROM m), s AS (SELECT bars.*, atr, {PROB.format(m=1)} AS prob FROM bars LEFT JOIN r USING (sym, rn)),
+e0 AS (SELECT *, {side} AS side FROM s WHERE atr > 0),
+e AS (SELECT *, close + side * {SLIP} AS entry, close + side * {SLIP} - side * {sl} * atr AS stop, close + side * {SLIP} + side * {tp} * atr AS target
+      FROM e0 WHERE side IS NOT NULL AND close + side * {SLIP} > 0)"""
+
+
+def _outcomes_sql(signals: str) -> str:
+    return f"""{signals}, h AS (SELECT e.sym, e.rn, min(s.rn) AS hit FROM e JOIN s ON e.sym = s.sym AND s.rn > e.rn AND s.atr > 0 AND (s.high >= greatest(e.stop, e.target) OR s.low <= least(e.stop, e.target)) GROUP BY 1, 2),
 z AS (SELECT sym, arg_max(close, rn) AS fin, max(rn) AS fin_rn FROM bars GROUP BY sym),
 o1 AS (SELECT e.*, hit, fin, fin_rn, CASE WHEN hit IS NULL THEN 'EndOfData' WHEN (e.side = 1 AND b.high >= e.target) OR (e.side = -1 AND b.low <= e.target) THEN 'TP' ELSE 'SL' END AS reason FROM e LEFT JOIN h USING (sym, rn) JOIN z USING (sym) LEFT JOIN bars b ON b.sym = e.sym AND b.rn = hit),
 o AS (SELECT sym, ts, rn, side, entry, stop, target, reason, CASE reason WHEN 'TP' THEN target WHEN 'SL' THEN stop ELSE fin END - side * {SLIP} AS "exit", coalesce(hit, fin_rn) AS exit_rn FROM o1)"""
-LOG = f"""{OUTCOMES}, nx AS (SELECT a.sym, a.rn, min(b.rn) AS nxt FROM o a JOIN e b ON a.sym = b.sym AND b.rn >= a.exit_rn AND a.reason <> 'EndOfData' GROUP BY 1, 2),
+def _log_sql(outcomes: str) -> str:
+    return f"""{outcomes}, nx AS (SELECT a.sym, a.rn, min(b.rn) AS nxt FROM o a JOIN e b ON a.sym = b.sym AND b.rn >= a.exit_rn AND a.reason <> 'EndOfData' GROUP BY 1, 2),
 f1 AS (SELECT o.*, nxt, least({RISK} / abs(entry - stop), 1 / entry) AS u FROM o LEFT JOIN nx USING (sym, rn)), f2 AS (SELECT *, u * side * ("exit" - entry) - {COMMISSION} * abs(u * side * ("exit" - entry)) AS m1, greatest(0, 1 - {COMMISSION} * entry * u) AS e1 FROM f1),
 f AS (SELECT *, greatest(0, e1 + m1) AS f FROM f2), chain AS (SELECT f.*, 0::BIGINT AS trade_no, {EQUITY}::DOUBLE AS before FROM f WHERE (sym, rn) IN (SELECT (sym, min(rn)) FROM f GROUP BY sym) UNION ALL SELECT f.*, trade_no + 1, chain.before * chain.f FROM chain JOIN f ON f.sym = chain.sym AND f.rn = chain.nxt)"""
 
 
+SIGNALS = _signals_sql()
+OUTCOMES = _outcomes_sql(SIGNALS)
+LOG = _log_sql(OUTCOMES)
+
+
 def _outcomes(s: SparkSession, d: str) -> DataFrame:
     return bt.barrier_outcome(_signals(s, d), SL, TP, SLIP)
 
@@ -48,15 +61,55 @@ add("barrier_outcome", lambda s, d: shown(_outcomes(s, d), "side", "reason", "ex
 add("nonoverlap_trades", lambda s, d: shown(_log(s, d), "trade_no", "type", "rn", "exit_rn"), f"{LOG} SELECT sym, {TS}, trade_no, CASE side WHEN 1 THEN 'Long' ELSE 'Short' END AS type, rn, exit_rn FROM chain")
 add("trade_log", lambda s, d: shown(_log(s, d), "trade_no", "size", "entry_commission", "pnl", "reason", "equity"), f"{LOG} SELECT sym, {TS}, trade_no, round(before * u, 6) AS size, round(before * u * entry * {COMMISSION}, 6) AS entry_commission, round(before * m1, 6) AS pnl, reason, round(before * f, 6) AS equity FROM chain")
 add("perf_trade_stats", lambda s, d: rounded(bt.trade_stats(_log(s, d))), f"{LOG} SELECT sym, count(*) AS trades, round(count(*) FILTER (m1 > 0) / count(*), 6) AS win_ratio, round(sum(before * m1) FILTER (m1 > 0) / abs(sum(before * m1) FILTER (m1 <= 0)), 6) AS profit_factor FROM chain GROUP BY sym")
-add("slippage_cost", lambda s, d: rounded(_log(s, d).groupBy("sym").agg((F.sum("size") * 2 * SLIP).alias("cost"))), f"{LOG} SELECT sym, round(sum(before * u) * {2 * SLIP}, 6) AS cost FROM chain GROUP BY sym")
+add("slippage_cost", lambda s, d: rounded(bt.slippage_cost(_log(s, d), SLIP)), f"{LOG} SELECT sym, round(sum(before * u) * {2 * SLIP}, 6) AS cost FROM chain GROUP BY sym")
+
+
+add("trade_summary", lambda s, d: shown(bt.trade_summary(_log(s, d), 3), "trade_no", "pnl"), f"{LOG} SELECT sym, {TS}, trade_no, round(before * m1, 6) AS pnl FROM chain QUALIFY trade_no < 3 OR trade_no > max(trade_no) OVER (PARTITION BY sym) - 3")
+
+
+def _equity(s: SparkSession, d: str) -> DataFrame:
+    b = positioned(s, d)
+    return bt.equity_curve(_log(s, d), b, EQUITY)
+
+
+EVENTS = f"""{LOG}, ev AS (SELECT sym, rn, before * e1 AS q, 2 * trade_no AS o FROM chain UNION ALL SELECT sym, exit_rn, before * f, 2 * trade_no + 1 FROM chain),
+la AS (SELECT sym, rn, arg_max(q, o) AS q FROM ev GROUP BY 1, 2), pts AS (SELECT bars.sym, bars.rn + 1 AS bar_no, bars.ts, coalesce(last_value(q IGNORE NULLS) OVER (PARTITION BY bars.sym ORDER BY bars.rn), {EQUITY}) AS equity
+FROM bars LEFT JOIN la ON la.sym = bars.sym AND la.rn = bars.rn UNION ALL SELECT DISTINCT sym, 0, NULL, {EQUITY} FROM bars)"""
+add("equity_curve", lambda s, d: shown(_equity(s, d), "bar_no", "equity"), f"{EVENTS} SELECT sym, {TS}, bar_no, round(equity, 6) AS equity FROM pts")
+
+
+def _backtest_metrics(s: SparkSession, d: str) -> DataFrame:
+    points = _equity(s, d).withColumn("rn", F.col("bar_no"))
+    return rounded(metrics.equity_metrics(bt.cut(points), risk_free=0.01))
+
+
+add(
+    "backtest_metrics",
+    _backtest_metrics,
+    f"""{EVENTS}, st AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, max(equity) OVER w AS top FROM pts WINDOW w AS (PARTITION BY sym ORDER BY bar_no))
+SELECT sym, round((avg(r) - 0.01 / 252) / stddev_pop(r) * sqrt(252), 6) AS sharpe, round((avg(r) - 0.01 / 252) / (stddev_pop(r) FILTER (r < 0)) * sqrt(252), 6) AS sortino,
+round(pow(arg_max(equity, bar_no) / arg_min(equity, bar_no), 252.0 / count(*)) - 1, 6) AS cagr, round(arg_max(equity, bar_no) / arg_min(equity, bar_no) - 1, 6) AS total_return,
+round(min((equity - top) / top), 6) AS max_drawdown FROM st GROUP BY sym""",
+)
+add("slippage_sanity", lambda s, d: rounded(bt.slippage_sanity(positioned(s, d), 5.0)), f"{BARS} SELECT sym, round(avg(close), 6) AS mean_close, round(5.0::DOUBLE / avg(close), 6) AS share, 5.0::DOUBLE / avg(close) > 0.1 AS excessive FROM bars GROUP BY sym")
+#: Runs of the strategy search: stop, target and least probability.
+RUNS = [(sl, tp, least) for sl in (1.0, 2.0) for tp in (1.5, 3.0) for least in (0.6, 0.8)]
+
+
+def _search(s: SparkSession, d: str) -> DataFrame:
+    grid = s.createDataFrame([(k, *run) for k, run in enumerate(RUNS)], "run_id long, sl double, tp double, least double")
+    return bt.strategy_search(_signals(s, d).drop("signal"), grid, SLIP, EQUITY, RISK, COMMISSION)
 
 
-def _ends(s: SparkSession, d: str, n: int = 3) -> DataFrame:
-    log = _log(s, d)
-    return log.join(log.groupBy("sym").agg(F.max("trade_no").alias("last")), "sym").where(f"trade_no < {n} or trade_no > last - {n}")
+def _run_sql(k: int, sl: float, tp: float, least: float) -> str:
+    log = _log_sql(_outcomes_sql(_signals_sql(sl, tp, least, None)))
+    ends = "z1 AS (SELECT sym, count(*) AS trades, arg_max(before * f, trade_no) AS q FROM chain GROUP BY sym)"
+    return f"SELECT * FROM ({log}, {ends} SELECT {k} AS run_id, b.sym, coalesce(trades, 0) AS trades, coalesce(q, {EQUITY}) AS q FROM (SELECT DISTINCT sym FROM bars) b LEFT JOIN z1 USING (sym))"
 
 
-add("trade_summary", lambda s, d: shown(_ends(s, d), "trade_no", "pnl"), f"{LOG} SELECT sym, {TS}, trade_no, round(before * m1, 6) AS pnl FROM chain QUALIFY trade_no < 3 OR trade_no > max(trade_no) OVER (PARTITION BY sym) - 3")
+SEARCH = " UNION ALL ".join(_run_sql(k, *run) for k, run in enumerate(RUNS))
+add("strategy_search", lambda s, d: rounded(_search(s, d)), f"SELECT run_id::BIGINT AS run_id, sym, trades, round(q, 6) AS final_equity, round(q / {EQUITY} - 1, 6) AS total_return FROM ({SEARCH})")
+add("strategy_best_run", lambda s, d: rounded(bt.best_run(_search(s, d))), f"SELECT run_id::BIGINT AS run_id, round(avg(q / {EQUITY} - 1), 6) AS total_return FROM ({SEARCH}) GROUP BY run_id ORDER BY avg(q / {EQUITY} - 1) DESC, run_id LIMIT 1")
 RETURNS = CURVE + ", p AS (SELECT date_trunc('{p}', ts)::DATE AS period, product(1 + coalesce(r, 0)) - 1 AS ret FROM r GROUP BY 1), g AS (SELECT unnest(generate_series(min(period), max(period), INTERVAL 1 {p}))::DATE AS period FROM p) SELECT 'all' AS sym, strftime(period, '%Y-%m-%d') AS period, round(coalesce(ret, 0), 6) AS ret FROM g LEFT JOIN p USING (period)"
 for _p in ("month", "year"):
     add(f"returns_by_{_p}", lambda s, d, p=_p: rounded(metrics.returns_by_period(_curve(s, d), p)).withColumn("period", F.date_format("period", "yyyy-MM-dd")), RETURNS.format(p=_p))

@@ -47,6 +47,6 @@ SELECT sym, CASE WHEN k < floor(c * 0.7::DOUBLE) THEN 'train' WHEN k < floor(c *
 add("score_batch", lambda s, d: shown(tr.score_batch(_forest(s, d), _part(s, d, "test")), "prob"), None)
 add("train_random_forest", lambda s, d: rounded(tr.quality(tr.score_batch(_forest(s, d), _part(s, d, "test")))), None)
 add("train_gbt", lambda s, d: rounded(tr.quality(_gbt(s, d))), None)
-add("param_search", lambda s, d: rounded(mo.best_trial(tr.param_search(_rows(s, d), X, GRID, "accuracy"))), None)
+add("param_search", lambda s, d: rounded(mo.best_trial(tr.param_search(_rows(s, d), X, GRID, "auc"))), None)
 add("walk_forward", lambda s, d: rounded(tr.walk_forward(_rows(s, d), _folds(s, d), X, GRID)), None)
 add("permutation_importance", lambda s, d: rounded(tr.permutation_importance(_forest(s, d), cut(_rows(s, d)), X, 2)), None)

@@ -19,10 +19,15 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, since: str | None = None, column: str = "ts") -> DataFrame:
-    """JSON lines, those at or after ``since`` if given."""
+def read_jsonl(spark: SparkSession, path: str, schema: str, since: str | None = None, column: str = "ts", period: str | None = None, now: str | None = None) -> DataFrame:
+    """JSON lines, those at or after ``since`` if given, or of the ``period`` (day, week, month) of ``now`` (by default the
+    current time) in the session's time zone."""
     rows = spark.read.schema(schema).json(path)
-    return rows.where(F.col(column) >= F.lit(since).cast(rows.schema[column].dataType)) if since else rows
+    kind = rows.schema[column].dataType
+    if period:
+        begin = F.date_trunc(period, F.lit(now).cast("timestamp") if now else F.current_timestamp())
+        rows = rows.where(F.col(column) >= begin.cast(kind))
+    return rows.where(F.col(column) >= F.lit(since).cast(kind)) if since else rows
 
 
 def read_columnar_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -70,6 +75,8 @@ def write_json(df: DataFrame, path: str) -> None:
     clean.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Adds events with new ids to a log of JSON lines."""
-    df.withColumn("id", F.expr("uuid()")).write.mode("append").json(path)
+def append_log(df: DataFrame, path: str, batch: str) -> None:
+    """Adds events to a log of JSON lines, with an ``id`` that is a hash of ``batch`` (a name of this call) and the event: a
+    task that runs again makes the same ids, and events that are alike share one."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns]
+    df.withColumn("id", F.sha2(F.concat_ws("\x1f", F.lit(batch), *values), 256)).write.mode("append").json(path)

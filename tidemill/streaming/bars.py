@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.bars import resample_ohlcv
+from tidemill.operators.core import scratch_root
 
 
 def tick_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -29,9 +29,8 @@ def stream_dedup(stream: DataFrame, keys: list[str], late: str = "1 hour") -> Da
 
 
 def new_folder(spark: SparkSession, folder: str | None = None) -> str:
-    """A new name under ``folder`` (by default that of ``spark.checkpoint.dir``; a local one only where none is set)."""
-    root = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new name under ``folder``, by default that of ``spark.checkpoint.dir`` (:func:`scratch_root`)."""
+    return f"{folder or scratch_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators.core import cut, recurrence, row_position
-from tidemill.operators.models import accuracy_tracking, monitoring_alerts
+from tidemill.operators.core import cut, recurrences, row_position
+from tidemill.operators.models import monitoring_alerts
 
 
 def each_batch(stream: DataFrame, folder: str, run: Callable[[DataFrame, int], None]) -> None:
@@ -28,13 +28,13 @@ def _stored(like: DataFrame, path: str) -> DataFrame:
 
 def stream_upsert(stream: DataFrame, folder: str, keys: tuple[str, ...] = ("sym", "ts"), newest: str = "loaded") -> str:
     """Merges a stream into the table ``folder/rows``, kept by day: of rows with equal ``keys`` the one with the largest
-    ``newest`` stays. Only days that a batch touches are read and replaced. Returns the table's path."""
+    ``newest`` stays, of equally new ones the one with the largest other columns. Only days that a batch touches are read and replaced. Returns the table's path."""
     path = f"{folder}/rows"
 
     def run(batch: DataFrame, _: int) -> None:
         rows = cut(batch.withColumn("dt", F.to_date("ts")))
         old = _stored(rows, path).join(F.broadcast(rows.select("dt").distinct()), "dt", "left_semi").select(*rows.columns)
-        best = old.unionByName(rows).groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), newest).alias("r")).select("r.*")
+        best = old.unionByName(rows).groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(newest, *[c for c in rows.columns if c != newest])).alias("r")).select("r.*")
         cut(best).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
 
     each_batch(stream, folder, run)
@@ -59,29 +59,61 @@ def stream_late_rows(stream: DataFrame, folder: str, late: str = "1 hour") -> tu
     return rows, behind
 
 
-def stream_ema(stream: DataFrame, folder: str, n: int, column: str) -> str:
-    """Exponential means of span ``n`` of a stream of ``sym, ts`` and ``column``, in order of time across batches. Each
-    batch goes on from the last value of each symbol, so nothing older is read. Returns the path of ``sym, ts, ema``."""
+def stream_recurrences(stream: DataFrame, folder: str, means: dict[str, tuple[str, float]]) -> str:
+    """Recurrent means (name: source column and alpha) of a stream of ``sym, ts``, in order of time across batches. Each batch
+    goes on from the last values of each symbol, so nothing older is read. A row that is not after its symbol's state came
+    too late for it: its means are null, and it changes no state. Returns the path of ``sym, ts``, sources and means."""
     out, states = f"{folder}/rows", f"{folder}/states"
+    sources = list(dict.fromkeys(x for x, _ in means.values()))
+    feeds = {f"__f{k}": (x, y, alpha) for k, (y, (x, alpha)) in enumerate(means.items())}
 
     def run(batch: DataFrame, number: int) -> None:
-        new = batch.select("sym", "ts", F.col(column).cast("double").alias("x"), F.lit(False).alias("known"))
-        like = new.select("sym", "ts", "x", F.lit(0).cast("long").alias("batch"))
-        state = _stored(like, states).where(F.col("batch") == number - 1).select("sym", "ts", "x", F.lit(True).alias("known"))
-        done = cut(recurrence(row_position(new.unionByName(state)), "x", "ema", 2.0 / (n + 1)))
-        done.where("not known").select("sym", "ts", "ema").write.mode("overwrite").parquet(f"{out}/batch={number}")
-        last = done.groupBy("sym").agg(F.max("ts").alias("ts"), F.max_by("ema", "ts").alias("x"))
-        last.write.mode("overwrite").parquet(f"{states}/batch={number}")
+        rows = batch.select("sym", "ts", *[F.col(x).cast("double").alias(x) for x in sources])
+        like = rows.select("sym", "ts", *[F.lit(0.0).alias(y) for y in means], F.lit(0).cast("long").alias("batch"))
+        state = cut(_stored(like, states).where(F.col("batch") == number - 1).drop("batch"))
+        since = rows.join(state.select("sym", F.col("ts").alias("__since")), "sym", "left")
+        late = F.coalesce(F.col("ts") <= F.col("__since"), F.lit(False))
+        new = since.where(~late).select("sym", "ts", *sources, *[F.col(x).alias(f) for f, (x, _, _) in feeds.items()], F.lit(False).alias("known"))
+        before = state.select("sym", "ts", *[F.lit(None).cast("double").alias(x) for x in sources], *[F.col(y).alias(f) for f, (_, y, _) in feeds.items()], F.lit(True).alias("known"))
+        done = cut(recurrences(row_position(new.unionByName(before)), {y: (f, alpha) for f, (_, y, alpha) in feeds.items()}))
+        found = done.where("not known").select("sym", "ts", *sources, *means)
+        behind = since.where(late).select("sym", "ts", *sources, *[F.lit(None).cast("double").alias(y) for y in means])
+        found.unionByName(behind).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last = done.groupBy("sym").agg(F.max("ts").alias("ts"), *[F.max_by(y, "ts").alias(y) for y in means])
+        kept = last.unionByName(state.join(last.select("sym"), "sym", "left_anti").select(*last.columns))
+        kept.write.mode("overwrite").parquet(f"{states}/batch={number}")
 
     each_batch(stream, folder, run)
     return out
 
 
+def stream_ema(stream: DataFrame, folder: str, n: int, column: str) -> str:
+    """Exponential means of span ``n``: :func:`stream_recurrences` of one column. Returns the path of ``sym, ts, ema``."""
+    return stream_recurrences(stream, folder, {"ema": (column, 2.0 / (n + 1))})
+
+
+def stream_wilder(stream: DataFrame, folder: str, n: int, columns: list[str]) -> str:
+    """Wilder means ``wilder_<column>`` of several columns, as for ATR, RSI or ADX of bars with their moves."""
+    return stream_recurrences(stream, folder, {f"wilder_{c}": (c, 1.0 / n) for c in columns})
+
+
 def stream_monitoring(matched: DataFrame, folder: str, period: str = "day", least: float = 0.7) -> str:
-    """Alerts of each batch of matched predictions whose accuracy in a period is under ``least``. Returns their path."""
-    path = f"{folder}/alerts"
-    each_batch(matched, folder, lambda batch, number: monitoring_alerts(accuracy_tracking(batch, period), least=least).write.mode("overwrite").parquet(f"{path}/batch={number}"))
-    return path
+    """Alerts of the periods whose accuracy is under ``least``, over all matched predictions of a period that have come so
+    far: a batch adds its sums to those stored and alerts on the periods that it touched. Returns the path of the alerts,
+    ``kind, subject, value, batch``; a period's last batch has its last figure."""
+    alerts, sums = f"{folder}/alerts", f"{folder}/sums"
+
+    def run(batch: DataFrame, number: int) -> None:
+        right = F.when(F.col("actual").isNotNull(), (F.col("prediction") == F.col("actual")).cast("long"))
+        own = batch.groupBy(F.date_trunc(period, "ts").alias("period")).agg(F.sum(right).alias("right"), F.count(right).alias("known"))
+        own = cut(own.withColumn("batch", F.lit(number).cast("long")))
+        own.drop("batch").write.mode("overwrite").parquet(f"{sums}/batch={number}")
+        before = _stored(own, sums).where(F.col("batch") < number).join(own.select("period"), "period", "left_semi").select(*own.columns)
+        both = before.unionByName(own).groupBy("period").agg(F.try_divide(F.sum("right"), F.sum("known")).alias("accuracy"))
+        monitoring_alerts(both, least=least).write.mode("overwrite").parquet(f"{alerts}/batch={number}")
+
+    each_batch(matched, folder, run)
+    return alerts
 
 
 def stream_outcome_join(predictions: DataFrame, outcomes: DataFrame, within: str = "1 day") -> DataFrame:
