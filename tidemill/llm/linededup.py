@@ -202,7 +202,11 @@ def line_links(lines: DataFrame, distance: int = DISTANCE, tile: int = TILE) ->
     slot = F.pmod("key", F.lit(SLOTS))
     slots = materialize(slot_map(live.select(slot.alias("slot"))))
     rows = marked(keyed(lines, distance), slot, slots).where("__marked").select("rep", "key", "filed")
-    rows = materialize(rows).join(lines.select("rep", "line"), "rep")
+    rows = materialize(rows)
+    # Another one lets only lines with a live key be shuffled.
+    own = F.pmod(F.xxhash64("rep"), F.lit(SLOTS))
+    some = marked(lines.select("rep", "line"), own, slot_map(rows.select(own.alias("slot")))).where("__marked").select("rep", "line")
+    rows = rows.join(some, "rep")
     return tiled(rows, ["key"], tile).mapInPandas(_verify(distance), "a long, b long")
 
 
@@ -212,7 +216,8 @@ def line_dedup(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
 
     Lines are compared without the white space around them. Equal lines are one group, and those of ``least_chars``
     code points or more also join others at ``distance`` edits or fewer (two edits make another word of a shorter one).
-    Of each group the first occurrence (smallest id, null last, then text hash and line number) stays; empty lines
+    Of each group the first occurrence (smallest id, null last, then text hash and line number; for a line that rows
+    of the same id share, in any one of them) stays; empty lines
     always stay. Null and empty texts have no lines. Rows with equal or null ids are documents of their own; of rows
     that repeat id and text one keeps the lines. Other columns are ignored; an empty table gives an empty result.
 
@@ -221,9 +226,12 @@ def line_dedup(docs: DataFrame, distance: int = DISTANCE, least_chars: int = LEA
     """
     rows = identified(docs, id_col, text_col)
     per = materialize(line_counts(rows).withColumn("row", F.monotonically_increasing_id()))
-    place = F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "h", "pos")
-    distinct = first_places(rows).groupBy("line").agg(F.min(place).alias("first"))
-    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("rep"), "line", "first"))
+    # Plain columns, so that Spark combines them by hashing; a null id comes last.
+    none = F.lit((1 << 63) - 1)
+    places = first_places(rows).withColumn("i", F.coalesce("doc_id", none))
+    distinct = places.groupBy("line").agg(F.min("i").alias("i"), F.min_by("h", "i").alias("h"), F.min_by("pos", "i").alias("pos"))
+    first = F.struct((F.col("i") == none).alias("o"), F.nullif("i", none).alias("doc_id"), "h", "pos")
+    distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("rep"), "line", first.alias("first")))
     comps = components(line_links(distinct.where(F.length("line") >= least_chars), distance))
     groups = distinct.select("rep", "first").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     first = groups.groupBy(F.coalesce("component", "rep").alias("g")).agg(F.min("first").alias("first"))
