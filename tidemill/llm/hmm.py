@@ -17,8 +17,6 @@ from tidemill.llm.common import id_remainder, materialize, sub_batches
 
 #: Latent states, symbols without the end, rounds of training, seed.
 STATES, SYMBOLS, ROUNDS, SEED = 8, 4096, 4, 11
-#: Tokens of a piece of a sequence and pieces worked on at once; results don't depend on either.
-PIECE, AT_ONCE = 128, 2048
 #: Bytes of text of a block of documents, which shares one table of words.
 BLOCK = 16_000_000
 
@@ -83,102 +81,40 @@ def begin(states: int = STATES, symbols: int = SYMBOLS, seed: int = SEED) -> tup
     return np.full(states, 1.0 / states), a / a.sum(axis=1, keepdims=True), b / b.sum(axis=1, keepdims=True)
 
 
-def observed(pieces: list[np.ndarray], emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Symbols (time, piece) and their emissions (time, piece, state) of pieces in falling order of length, their
-    lengths, and how many pieces go on at each time."""
-    size = np.array([len(p) for p in pieces])
-    obs = np.zeros((int(size[0]), len(pieces)), dtype=np.int64)
-    for i, p in enumerate(pieces):
-        obs[: len(p), i] = p
-    return obs, emit[obs], size, [int(np.searchsorted(-size, -t, side="left")) for t in range(len(obs))]
-
-
-def transfers(pieces: list[np.ndarray], a: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """For each piece the product of its emissions and transitions, from its first emission to its last, up to a
-    factor: what turns the state before a piece into that after it."""
-    order = np.argsort([-len(p) for p in pieces], kind="stable")
-    k = len(a)
-    out = np.empty((len(pieces), k, k), dtype=np.float32)
-    for at in range(0, len(order), AT_ONCE):
-        part = order[at : at + AT_ONCE]
-        _, e, _, active = observed([pieces[i] for i in part], emit)
-        x = np.zeros((len(part), k, k), dtype=np.float32)
-        x[:, np.arange(k), np.arange(k)] = e[0]
-        for t in range(1, len(e)):
-            m = active[t]
-            y = (x[:m].reshape(m * k, k) @ a).reshape(m, k, k) * e[t, :m, None, :]
-            x[:m] = y / y.max(axis=(1, 2), keepdims=True)
-        out[part] = x
-    return out
-
-
-def boundaries(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, emit: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The pieces of all sequences; for each the filtered states before it (zeros at the start of a sequence) and the
-    backward values after it, each up to a factor; and which pieces start a sequence."""
-    pieces = [s[i : i + PIECE] for s in seqs for i in range(0, len(s), PIECE)]
-    n = np.array([-(-len(s) // PIECE) for s in seqs])
-    begin = np.cumsum(n) - n
-    k = len(a)
-    before, after = np.zeros((len(pieces), k), dtype=np.float32), np.ones((len(pieces), k), dtype=np.float32)
-    is_first = np.zeros(len(pieces), dtype=bool)
-    is_first[begin] = True
-    several = np.nonzero(n > 1)[0]
-    if len(several):
-        several = several[np.argsort(-n[several], kind="stable")]
-        b, size = begin[several], n[several]
-        inner = np.concatenate([np.arange(x, x + m) for x, m in zip(b.tolist(), size.tolist(), strict=True)])
-        over = np.empty((len(pieces), k, k), dtype=np.float32)
-        over[inner] = transfers([pieces[i] for i in inner], a, emit)
-        for p in range(1, int(size[0])):  # the p-th piece of every sequence that has one
-            at = b[: int(np.searchsorted(-size, -p, side="left"))] + p
-            into = start[None, :] if p == 1 else before[at - 1] @ a
-            x = np.einsum("ni,nij->nj", np.broadcast_to(into, (len(at), k)), over[at - 1])
-            before[at] = x / x.sum(axis=1, keepdims=True)
-        for p in range(int(size[0]) - 1, 0, -1):
-            at = b[: int(np.searchsorted(-size, -p, side="left"))] + p
-            y = np.einsum("nij,nj->ni", over[at], after[at]) @ a.T
-            after[at - 1] = y / y.max(axis=1, keepdims=True)
-    return pieces, before, after, is_first
-
-
 def expected_counts(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, transitions and emissions of whole sequences, and their log10 likelihood.
 
-    Scaled forward-backward. A sequence is cut into pieces, which are worked on in step with all others; the states
-    before a piece and the backward values after it are carried over the cuts by the pieces' transfer matrices, so
-    the counts are those of the uncut sequence and memory is that of AT_ONCE pieces."""
+    Scaled forward-backward, all sequences in step: at each time the values of those that go on, longest first, lie side
+    by side, so memory is that of the batch's tokens, and a sequence of any length is one sequence."""
     k = len(start)
-    n_start, n_a, n_b, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(b), 0.0
-    emit, a32, start32 = np.ascontiguousarray(b.T.astype(np.float32)), a.astype(np.float32), start.astype(np.float32)
-    pieces, before, after, is_first = boundaries(seqs, start32, a32, emit)
-    order = np.argsort([-len(p) for p in pieces], kind="stable")
-    for at in range(0, len(order), AT_ONCE):
-        part = order[at : at + AT_ONCE]
-        obs, e, size, active = observed([pieces[i] for i in part], emit)
-        into = np.where(is_first[part, None], start32, before[part] @ a32)
-        alpha = np.zeros(e.shape, dtype=np.float32)
-        scale = np.ones(obs.shape, dtype=np.float32)
-        for t in range(len(obs)):
-            m = active[t]
-            x = (alpha[t - 1, :m] @ a32 if t else into) * e[t, :m]
-            scale[t, :m] = s = x.sum(axis=1)
-            alpha[t, :m] = x / s[:, None]
-        total += float(np.log10(scale).sum(dtype=np.float64))
-        end = alpha[size - 1, np.arange(len(part))]
-        beta = after[part] / (end * after[part]).sum(axis=1, keepdims=True)
-        gamma = np.zeros_like(alpha)
-        for t in range(len(obs) - 1, -1, -1):
-            m = active[t]
-            gamma[t, :m] = alpha[t, :m] * beta[:m]
-            y = beta[:m] * e[t, :m] / scale[t, :m, None]
-            n_a += (alpha[t - 1, :m] if t else before[part]).T @ y
-            beta[:m] = y @ a32.T
-        n_start += gamma[0][is_first[part]].sum(axis=0)
-        inside = np.arange(len(obs))[:, None] < size[None, :]
-        o, g = obs[inside], gamma[inside]
-        for s in range(k):
-            n_b[s] += np.bincount(o, weights=g[:, s], minlength=b.shape[1])
-    return n_start, n_a * a, n_b, total
+    emit, a32 = np.ascontiguousarray(b.T.astype(np.float32)), a.astype(np.float32)
+    seqs = sorted((s for s in seqs if len(s)), key=len, reverse=True)
+    size = np.array([len(s) for s in seqs], dtype=np.int64)
+    active = len(seqs) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), side="right")
+    off = np.concatenate([[0], np.cumsum(active)])
+    obs = np.empty(int(off[-1]), dtype=np.int64)
+    for i, s in enumerate(seqs):
+        obs[off[: len(s)] + i] = s
+    e = emit[obs]
+    alpha, scale = np.empty_like(e), np.empty(len(obs), dtype=np.float32)
+    for t, m in enumerate(active.tolist()):
+        now = slice(off[t], off[t] + m)
+        x = (alpha[off[t - 1] : off[t - 1] + m] @ a32 if t else start.astype(np.float32)[None, :]) * e[now]
+        scale[now] = s = x.sum(axis=1)
+        np.divide(x, s[:, None], out=alpha[now])
+    n_a, beta = np.zeros((k, k)), np.ones((len(seqs), k), dtype=np.float32)
+    for t in range(len(active) - 1, -1, -1):
+        m = int(active[t])
+        now = slice(off[t], off[t] + m)
+        y = beta[:m] * e[now]
+        y /= scale[now, None]
+        np.multiply(alpha[now], beta[:m], out=e[now])  # from here on e holds the states' probabilities
+        if t:
+            n_a += alpha[off[t - 1] : off[t - 1] + m].T @ y
+            np.matmul(y, a32.T, out=beta[:m])
+    n_b = np.stack([np.bincount(obs, weights=e[:, s], minlength=b.shape[1]) for s in range(k)])
+    n_start = e[: len(seqs)].sum(axis=0, dtype=np.float64)
+    return n_start, n_a * a, n_b, float(np.log10(scale).sum(dtype=np.float64))
 
 
 def log_likelihoods(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,7 +149,7 @@ def train(coded: DataFrame, rounds: int = ROUNDS, states: int = STATES, seed: in
 
         def run(frames: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = None
-            for batch in sub_batches(frames, "syms", chars=2_000_000, rows=1 << 30):
+            for batch in sub_batches(frames, "syms", chars=3_000_000, rows=1 << 30):
                 got = expected_counts([np.frombuffer(s, dtype="<u2") for s in batch.column(0).to_pylist()], *model)
                 total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
             if total is not None:
