@@ -90,7 +90,11 @@ def _shown(c: str, name: str) -> str:
 
 CTES, NAMES = indicators_sql()
 RECURSIVE = BARS.replace("WITH ", "WITH RECURSIVE ", 1)
-add("psar", lambda s, d: shown(ind.psar(positioned(s, d)), "psar"), f"{RECURSIVE}, {SAR} SELECT sym, {TS}, round(CASE WHEN rising THEN sar END, 6) AS psar FROM sar JOIN bars USING (sym, rn)")
+add(
+    "psar",
+    lambda s, d: shown(ind.psar(positioned(s, d)), "psar"),
+    f"{RECURSIVE}, {SAR} SELECT sym, {TS}, round(CASE WHEN rising THEN sar END, 6) AS psar FROM sar JOIN bars USING (sym, rn)",
+)
 
 
 def _set(s: SparkSession, d: str) -> DataFrame:

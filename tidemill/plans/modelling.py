@@ -17,12 +17,30 @@ LAGS = ", v AS (SELECT *, lag(close) OVER o AS c1, lag(high) OVER o AS h1, lag(l
 MOVES = f"""{BARS}{LAGS}, m AS (SELECT *, greatest(close - c1, 0) AS rise, greatest(c1 - close, 0) AS fall, greatest(high - low, abs(high - c1), abs(low - c1)) AS tr,
 CASE WHEN high - h1 > l1 - low AND high > h1 THEN high - h1 ELSE 0 END::DOUBLE AS pdm, CASE WHEN l1 - low > high - h1 AND low < l1 THEN l1 - low ELSE 0 END::DOUBLE AS mdm FROM v WHERE rn >= 1)"""
 A = "(1.0::DOUBLE / 14)"
-add("rsi_wilder", lambda s, d: shown(ind.rsi_wilder(positioned(s, d)), "rsi_14"), f"{MOVES}, r AS (SELECT *, {_lr('rise', A)} AS u, {_lr('fall', A)} AS f FROM m) SELECT sym, {TS}, round(CASE WHEN f = 0 THEN 100 ELSE 100 - 100 / (1 + u / f) END, 6) AS rsi_14 FROM r")
-add("atr_wilder", lambda s, d: shown(ind.atr_wilder(positioned(s, d)), "atr_14"), f"{MOVES} SELECT sym, {TS}, round({_lr('tr', A)}, 6) AS atr_14 FROM m")
+add(
+    "rsi_wilder",
+    lambda s, d: shown(ind.rsi_wilder(positioned(s, d)), "rsi_14"),
+    f"{MOVES}, r AS (SELECT *, {_lr('rise', A)} AS u, {_lr('fall', A)} AS f FROM m) SELECT sym, {TS}, round(CASE WHEN f = "
+    "0 THEN 100 ELSE 100 - 100 / (1 + u / f) END, 6) AS rsi_14 FROM r",
+)
+add(
+    "atr_wilder",
+    lambda s, d: shown(ind.atr_wilder(positioned(s, d)), "atr_14"),
+    f"{MOVES} SELECT sym, {TS}, round({_lr('tr', A)}, 6) AS atr_14 FROM m",
+)
 ADX = f"""{MOVES}, r AS (SELECT *, {_lr('pdm', A)} AS p, {_lr('mdm', A)} AS q, {_lr('tr', A)} AS t FROM m), x1 AS (SELECT *, coalesce(100 * abs(p - q) / nullif(p + q, 0), 0) AS dx FROM r),
 a AS (SELECT *, {_lr('dx', A)} AS adx FROM x1)"""
-add("adx", lambda s, d: shown(ind.adx(positioned(s, d)), "di_plus", "di_minus", "adx"), f"{ADX} SELECT sym, {TS}, round(100 * p / t, 6) AS di_plus, round(100 * q / t, 6) AS di_minus, round(adx, 6) AS adx FROM a")
-add("obv", lambda s, d: shown(ind.obv(positioned(s, d)), "obv"), f"{BARS}{LAGS} SELECT sym, {TS}, round(sum(coalesce(sign(close - c1), 1) * volume) OVER (PARTITION BY sym ORDER BY rn), 6) AS obv FROM v")
+add(
+    "adx",
+    lambda s, d: shown(ind.adx(positioned(s, d)), "di_plus", "di_minus", "adx"),
+    f"{ADX} SELECT sym, {TS}, round(100 * p / t, 6) AS di_plus, round(100 * q / t, 6) AS di_minus, round(adx, 6) AS adx FROM a",
+)
+add(
+    "obv",
+    lambda s, d: shown(ind.obv(positioned(s, d)), "obv"),
+    f"{BARS}{LAGS} SELECT sym, {TS}, round(sum(coalesce(sign(close - c1), 1) * volume) OVER (PARTITION BY sym ORDER BY "
+    "rn), 6) AS obv FROM v",
+)
 
 
 def _regimes(s: SparkSession, d: str) -> DataFrame:
@@ -39,9 +57,19 @@ k AS (SELECT *, CASE WHEN vol = 'volatile' THEN 'volatile' WHEN trend = 'trendin
 add("regime_trend", lambda s, d: shown(_regimes(s, d), "trend"), f"{REGIMES} SELECT sym, {TS}, trend FROM k")
 add("regime_range", lambda s, d: shown(_regimes(s, d), "range"), f'{REGIMES} SELECT sym, {TS}, "range" FROM k')
 add("regime_classify", lambda s, d: shown(_regimes(s, d), "market"), f"{REGIMES} SELECT sym, {TS}, market FROM k")
-add("regime_latest", lambda s, d: _regimes(s, d).groupBy("sym").agg(F.max_by("market", "rn").alias("market")), f"{REGIMES} SELECT sym, arg_max(market, rn) AS market FROM k GROUP BY sym")
+add(
+    "regime_latest",
+    lambda s, d: _regimes(s, d).groupBy("sym").agg(F.max_by("market", "rn").alias("market")),
+    f"{REGIMES} SELECT sym, arg_max(market, rn) AS market FROM k GROUP BY sym",
+)
 
-add("forward_max_target", lambda s, d: shown(le.forward_max_target(positioned(s, d), 60, 50.0), "target"), f"{BARS} SELECT sym, {TS}, CASE WHEN lead(rn, 60) OVER (PARTITION BY sym ORDER BY rn) IS NOT NULL AND max(close) OVER (PARTITION BY sym ORDER BY rn ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING) - close >= 50 THEN 1 ELSE 0 END AS target FROM bars")
+add(
+    "forward_max_target",
+    lambda s, d: shown(le.forward_max_target(positioned(s, d), 60, 50.0), "target"),
+    f"{BARS} SELECT sym, {TS}, CASE WHEN lead(rn, 60) OVER (PARTITION BY sym ORDER BY rn) IS NOT NULL AND max(close) OVER "
+    "(PARTITION BY sym ORDER BY rn ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING) - close >= 50 THEN 1 ELSE 0 END AS target "
+    "FROM bars",
+)
 
 
 def _sequences(s: SparkSession, d: str) -> DataFrame:
@@ -51,10 +79,24 @@ def _sequences(s: SparkSession, d: str) -> DataFrame:
 
 
 SEQ = f"{BARS}, y AS (SELECT *, volume::BIGINT AS v, list(volume::BIGINT || ' ' || rn) {_w(5)} AS l, lead(volume::BIGINT % 2) OVER (PARTITION BY sym ORDER BY rn) AS label FROM bars)"
-add("make_sequences", _sequences, f"{SEQ} SELECT sym, {TS}, array_to_string(l, ' ') AS sequence, label FROM y WHERE len(l) = 5 AND label IS NOT NULL")
+add(
+    "make_sequences",
+    _sequences,
+    f"{SEQ} SELECT sym, {TS}, array_to_string(l, ' ') AS sequence, label FROM y WHERE len(l) = 5 AND label IS NOT NULL",
+)
 COUNTED = f"{BARS}, c AS (SELECT *, count(*) OVER (PARTITION BY sym) AS n FROM bars), n AS (SELECT sym, count(*) AS n FROM bars GROUP BY sym)"
-add("split_time", lambda s, d: shown(le.split_time(positioned(s, d)), "part"), f"{COUNTED} SELECT sym, {TS}, CASE WHEN rn < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS part FROM c")
-add("split_holdout", lambda s, d: shown(le.split_holdout(positioned(s, d)), "part"), f"{COUNTED}, h AS (SELECT *, n - ceil(n * 0.2::DOUBLE) AS m FROM c) SELECT sym, {TS}, CASE WHEN rn >= m THEN 'test' WHEN rn >= m - ceil(m * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS part FROM h")
+add(
+    "split_time",
+    lambda s, d: shown(le.split_time(positioned(s, d)), "part"),
+    f"{COUNTED} SELECT sym, {TS}, CASE WHEN rn < floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn < floor(n * (0.7::DOUBLE + "
+    "0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS part FROM c",
+)
+add(
+    "split_holdout",
+    lambda s, d: shown(le.split_holdout(positioned(s, d)), "part"),
+    f"{COUNTED}, h AS (SELECT *, n - ceil(n * 0.2::DOUBLE) AS m FROM c) SELECT sym, {TS}, CASE WHEN rn >= m THEN 'test' "
+    "WHEN rn >= m - ceil(m * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS part FROM h",
+)
 
 
 def _counted(s: SparkSession, d: str) -> DataFrame:
@@ -70,10 +112,32 @@ def _splits(s: SparkSession, d: str) -> DataFrame:
 
 
 add("cv_timeseries_split", _splits, f"{SPLIT} {SPLITS}")
-add("cv_rolling_window", lambda s, d: le.cv_rolling_window(_counted(s, d), 100, 50, 25), f"{COUNTED}, f AS (SELECT sym, n, unnest(range(0, n - 124, 50)) AS a FROM n) SELECT sym, (a / 50)::INTEGER AS fold, a AS train_start, a + 100 AS train_end, a + 100 AS test_start, a + 125 AS test_end FROM f")
-add("cv_expanding_window", lambda s, d: le.cv_expanding_window(_counted(s, d), 100, 50, 25), f"{COUNTED}, f AS (SELECT sym, n, unnest(range(100, n - 24, 50)) AS a FROM n) SELECT sym, ((a - 100) / 50)::INTEGER AS fold, 0::BIGINT AS train_start, a AS train_end, a AS test_start, a + 25 AS test_end FROM f")
-add("fold_range_join", lambda s, d: shown(le.fold_rows(positioned(s, d), _splits(s, d)), "fold", "role"), f"{SPLIT}, q AS ({SPLITS}) SELECT bars.sym, {TS}, fold, CASE WHEN rn < train_end THEN 'train' ELSE 'test' END AS role FROM bars JOIN q ON bars.sym = q.sym AND rn >= train_start AND rn < test_end")
-add("cv_stability", lambda s, d: rounded(le.stability(le.fold_rows(positioned(s, d), _splits(s, d)).where("role = 'test'").groupBy("sym", "fold").agg(F.avg("close").alias("score")), "score")), f"{SPLIT}, q AS ({SPLITS}), e AS (SELECT avg(close) AS score FROM bars JOIN q ON bars.sym = q.sym AND rn >= test_start AND rn < test_end GROUP BY q.sym, fold) SELECT round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(stddev_pop(score) / avg(score), 6) AS cv_score FROM e")
+add(
+    "cv_rolling_window",
+    lambda s, d: le.cv_rolling_window(_counted(s, d), 100, 50, 25),
+    f"{COUNTED}, f AS (SELECT sym, n, unnest(range(0, n - 124, 50)) AS a FROM n) SELECT sym, (a / 50)::INTEGER AS fold, a "
+    "AS train_start, a + 100 AS train_end, a + 100 AS test_start, a + 125 AS test_end FROM f",
+)
+add(
+    "cv_expanding_window",
+    lambda s, d: le.cv_expanding_window(_counted(s, d), 100, 50, 25),
+    f"{COUNTED}, f AS (SELECT sym, n, unnest(range(100, n - 24, 50)) AS a FROM n) SELECT sym, ((a - 100) / 50)::INTEGER "
+    "AS fold, 0::BIGINT AS train_start, a AS train_end, a AS test_start, a + 25 AS test_end FROM f",
+)
+add(
+    "fold_range_join",
+    lambda s, d: shown(le.fold_rows(positioned(s, d), _splits(s, d)), "fold", "role"),
+    f"{SPLIT}, q AS ({SPLITS}) SELECT bars.sym, {TS}, fold, CASE WHEN rn < train_end THEN 'train' ELSE 'test' END AS role "
+    "FROM bars JOIN q ON bars.sym = q.sym AND rn >= train_start AND rn < test_end",
+)
+add(
+    "cv_stability",
+    lambda s, d: rounded(le.stability(le.fold_rows(positioned(s, d), _splits(s, d)).where("role = 'test'").groupBy("sym", "fold").agg(F.avg("close").alias("score")), "score")),
+    f"{SPLIT}, q AS ({SPLITS}), e AS (SELECT avg(close) AS score FROM bars JOIN q ON bars.sym = q.sym AND rn >= "
+    "test_start AND rn < test_end GROUP BY q.sym, fold) SELECT round(avg(score), 6) AS mean_score, "
+    "round(stddev_pop(score), 6) AS std_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, "
+    "round(stddev_pop(score) / avg(score), 6) AS cv_score FROM e",
+)
 
 
 def _cells(s: SparkSession, d: str) -> DataFrame:
@@ -81,7 +145,12 @@ def _cells(s: SparkSession, d: str) -> DataFrame:
     return le.param_grid_cross(_splits(s, d), grid).select("sym", "fold", "test_start", "depth", "trees")
 
 
-add("param_grid_cross", _cells, f"{SPLIT}, q AS ({SPLITS}) SELECT sym, fold, test_start, depth, trees FROM q, (VALUES (2::BIGINT), (4::BIGINT)) a(depth), (VALUES (10::BIGINT), (20::BIGINT)) b(trees)")
+add(
+    "param_grid_cross",
+    _cells,
+    f"{SPLIT}, q AS ({SPLITS}) SELECT sym, fold, test_start, depth, trees FROM q, (VALUES (2::BIGINT), (4::BIGINT)) "
+    "a(depth), (VALUES (10::BIGINT), (20::BIGINT)) b(trees)",
+)
 
 
 def _part(s: SparkSession, d: str) -> DataFrame:
@@ -89,16 +158,34 @@ def _part(s: SparkSession, d: str) -> DataFrame:
 
 
 TRAIN = f"{HOLES}, t AS (SELECT *, coalesce(x, 0) AS z, rn < floor(count(*) OVER (PARTITION BY sym) * 0.7::DOUBLE) AS tr FROM d)"
-add("scale_standard", lambda s, d: shown(le.scale(_part(s, d), ["x"], "standard", F.col("part") == "train"), "x"), f"{TRAIN}, q AS (SELECT avg(z) AS m, stddev_pop(z) AS sd FROM t WHERE tr) SELECT sym, {TS}, round((z - m) / sd, 6) AS x FROM t, q")
-add("scale_minmax", lambda s, d: shown(le.scale(_part(s, d), ["x"], "minmax", F.col("part") == "train"), "x"), f"{TRAIN}, q AS (SELECT min(z) AS m, max(z) - min(z) AS sd FROM t WHERE tr) SELECT sym, {TS}, round((z - m) / sd, 6) AS x FROM t, q")
+add(
+    "scale_standard",
+    lambda s, d: shown(le.scale(_part(s, d), ["x"], "standard", F.col("part") == "train"), "x"),
+    f"{TRAIN}, q AS (SELECT avg(z) AS m, stddev_pop(z) AS sd FROM t WHERE tr) SELECT sym, {TS}, round((z - m) / sd, 6) AS "
+    "x FROM t, q",
+)
+add(
+    "scale_minmax",
+    lambda s, d: shown(le.scale(_part(s, d), ["x"], "minmax", F.col("part") == "train"), "x"),
+    f"{TRAIN}, q AS (SELECT min(z) AS m, max(z) - min(z) AS sd FROM t WHERE tr) SELECT sym, {TS}, round((z - m) / sd, 6) "
+    "AS x FROM t, q",
+)
 add(
     "scale_robust",
     lambda s, d: shown(le.scale(_part(s, d), ["x"], "robust", F.col("part") == "train"), "x"),
     f"{TRAIN}, q AS (SELECT quantile_cont(z, 0.5) AS m, quantile_cont(z, 0.75) - quantile_cont(z, 0.25) AS sd FROM t WHERE tr) SELECT sym, {TS}, round((z - m) / sd, 6) AS x FROM t, q",
 )
 L = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-add("variance_select", lambda s, d: rounded(le.variance_select(table(s, d, "lineitem"), L, 0.001)), "SELECT \"column\", round(v, 6) AS variance FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", var_pop(coalesce({c}, 0)) AS v FROM lineitem" for c in L) + ") WHERE v > 0.001")
-add("correlation_select", lambda s, d: le.correlation_select(table(s, d, "lineitem"), L, 0.5), "SELECT 'l_quantity' AS \"column\" UNION ALL " + " UNION ALL ".join(f"SELECT '{c}' FROM lineitem HAVING greatest({', '.join(f'abs(corr({e}, {c}))' for e in L[:k])}) <= 0.5" for k, c in enumerate(L) if k))
+add(
+    "variance_select",
+    lambda s, d: rounded(le.variance_select(table(s, d, "lineitem"), L, 0.001)),
+    "SELECT \"column\", round(v, 6) AS variance FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", var_pop(coalesce({c}, 0)) AS v FROM lineitem" for c in L) + ") WHERE v > 0.001",
+)
+add(
+    "correlation_select",
+    lambda s, d: le.correlation_select(table(s, d, "lineitem"), L, 0.5),
+    "SELECT 'l_quantity' AS \"column\" UNION ALL " + " UNION ALL ".join(f"SELECT '{c}' FROM lineitem HAVING greatest({', '.join(f'abs(corr({e}, {c}))' for e in L[:k])}) <= 0.5" for k, c in enumerate(L) if k),
+)
 PROB = "((hour(ts) * 7919 + day(ts) * 104729 + length(sym)) * {m} % 1000) / 1000"
 
 
@@ -110,8 +197,17 @@ def _preds(s: SparkSession, d: str) -> DataFrame:
 
 
 PREDS = f"{HOLES}, p AS (" + " UNION ALL ".join(f"SELECT sym, ts, rn, 'm{m}' AS model, {'CASE WHEN x IS NOT NULL THEN ' if m == 7 else ''}{PROB.format(m=m)}{' END' if m == 7 else ''} AS prob FROM d" for m in (1, 3, 7)) + ")"
-add("ensemble_simple", lambda s, d: shown(le.ensemble_simple(_preds(s, d), ["sym", "ts"]), "prob", "confidence"), f"{PREDS} SELECT sym, {TS}, round(avg(prob), 6) AS prob, round(1.0::DOUBLE / count(prob), 6) AS confidence FROM p GROUP BY p.sym, p.ts")
-add("ensemble_mean", lambda s, d: shown(_preds(s, d).groupBy("sym", "ts").agg(F.avg("prob").alias("prob")), "prob"), f"{PREDS} SELECT sym, {TS}, round(avg(prob), 6) AS prob FROM p GROUP BY p.sym, p.ts")
+add(
+    "ensemble_simple",
+    lambda s, d: shown(le.ensemble_simple(_preds(s, d), ["sym", "ts"]), "prob", "confidence"),
+    f"{PREDS} SELECT sym, {TS}, round(avg(prob), 6) AS prob, round(1.0::DOUBLE / count(prob), 6) AS confidence FROM p "
+    "GROUP BY p.sym, p.ts",
+)
+add(
+    "ensemble_mean",
+    lambda s, d: shown(_preds(s, d).groupBy("sym", "ts").agg(F.avg("prob").alias("prob")), "prob"),
+    f"{PREDS} SELECT sym, {TS}, round(avg(prob), 6) AS prob FROM p GROUP BY p.sym, p.ts",
+)
 
 
 def _weighted(s: SparkSession, d: str) -> DataFrame:
@@ -120,11 +216,32 @@ def _weighted(s: SparkSession, d: str) -> DataFrame:
     return le.ensemble_weighted(p.join(perf, ["sym", "model"]), ["sym", "ts"], "perf")
 
 
-add("ensemble_weighted", lambda s, d: shown(_weighted(s, d), "prob", "confidence"), f"{PREDS}, w AS (SELECT sym, model, avg(prob * prob) AS perf FROM p GROUP BY 1, 2) SELECT p.sym, strftime(p.ts, '%Y-%m-%d %H:%M:%S') AS ts, round(sum(prob * perf) / sum(perf), 6) AS prob, round(max(perf) / sum(perf), 6) AS confidence FROM p JOIN w USING (sym, model) WHERE prob IS NOT NULL GROUP BY p.sym, p.ts")
-add("ensemble_vote", lambda s, d: shown(le.ensemble_vote(_preds(s, d).withColumn("v", (F.col("prob") > 0.5).cast("int")), ["sym", "ts"], "v"), "vote", "confidence"), f"{PREDS}, c AS (SELECT sym, ts, (prob > 0.5)::INTEGER AS v, count(*) AS c FROM p WHERE prob IS NOT NULL GROUP BY p.sym, p.ts, 3) SELECT sym, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, arg_max(v, (c, -v)) AS vote, round(max(c) / sum(c), 6) AS confidence FROM c GROUP BY c.sym, c.ts")
+add(
+    "ensemble_weighted",
+    lambda s, d: shown(_weighted(s, d), "prob", "confidence"),
+    f"{PREDS}, w AS (SELECT sym, model, avg(prob * prob) AS perf FROM p GROUP BY 1, 2) SELECT p.sym, strftime(p.ts, "
+    "'%Y-%m-%d %H:%M:%S') AS ts, round(sum(prob * perf) / sum(perf), 6) AS prob, round(max(perf) / sum(perf), 6) AS "
+    "confidence FROM p JOIN w USING (sym, model) WHERE prob IS NOT NULL GROUP BY p.sym, p.ts",
+)
+add(
+    "ensemble_vote",
+    lambda s, d: shown(le.ensemble_vote(_preds(s, d).withColumn("v", (F.col("prob") > 0.5).cast("int")), ["sym", "ts"], "v"), "vote", "confidence"),
+    f"{PREDS}, c AS (SELECT sym, ts, (prob > 0.5)::INTEGER AS v, count(*) AS c FROM p WHERE prob IS NOT NULL GROUP BY "
+    "p.sym, p.ts, 3) SELECT sym, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, arg_max(v, (c, -v)) AS vote, round(max(c) / "
+    "sum(c), 6) AS confidence FROM c GROUP BY c.sym, c.ts",
+)
 SWEEP = [0.5, 0.65, 0.8, 2.0]
-add("threshold_sweep", lambda s, d: rounded(le.threshold_sweep(_preds(s, d), "prob", SWEEP)), " UNION ALL ".join(f"SELECT * FROM ({PREDS} SELECT {t}::DOUBLE AS threshold, round(coalesce(avg(prob) FILTER (prob > {t}), '-infinity'::DOUBLE), 6) AS score FROM p)" for t in SWEEP))
-add("ab_assign", lambda s, d: le.ab_assign(table(s, d, "customer"), "c_custkey", 0.3, "s").select("c_custkey", "version"), "SELECT c_custkey, CASE WHEN ('0x' || substr(md5('s' || c_custkey), 1, 8))::BIGINT / 4294967296 < 0.3 THEN 'A' ELSE 'B' END AS version FROM customer")
+add(
+    "threshold_sweep",
+    lambda s, d: rounded(le.threshold_sweep(_preds(s, d), "prob", SWEEP)),
+    " UNION ALL ".join(f"SELECT * FROM ({PREDS} SELECT {t}::DOUBLE AS threshold, round(coalesce(avg(prob) FILTER (prob > {t}), '-infinity'::DOUBLE), 6) AS score FROM p)" for t in SWEEP),
+)
+add(
+    "ab_assign",
+    lambda s, d: le.ab_assign(table(s, d, "customer"), "c_custkey", 0.3, "s").select("c_custkey", "version"),
+    "SELECT c_custkey, CASE WHEN ('0x' || substr(md5('s' || c_custkey), 1, 8))::BIGINT / 4294967296 < 0.3 THEN 'A' ELSE "
+    "'B' END AS version FROM customer",
+)
 
 
 def _frame(b: DataFrame, frame: str) -> DataFrame:
@@ -157,8 +274,16 @@ SELECT bars.sym, strftime(bars.ts, '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN prob <
 FROM (SELECT *, {PROB.format(m=1)} AS prob FROM bars) bars JOIN fh ON bars.sym = fh.sym AND bars.ts = fh.ts ASOF LEFT JOIN fl ON bars.sym = fl.sym AND bars.ts >= fl.ts"""
 add("signal_multi_timeframe", lambda s, d: shown(_multi(s, d), "signal"), MULTI)
 PSCORE = "least(s, 3000) / 3000"
-add("log_loss", lambda s, d: rounded(metrics.log_loss(_scored(s, d).withColumn("q", F.least(F.col("s"), F.lit(3000)) / 3000), "y", "q")), SCORED + f", q AS (SELECT y, greatest(least({PSCORE}, 1 - 1e-15), 1e-15) AS q FROM m) SELECT round(-avg(CASE WHEN y = 1 THEN ln(q) ELSE ln(1 - q) END), 6) AS log_loss FROM q")
-add("weighted_class_report", lambda s, d: rounded(metrics.weighted_class_report(_scored(s, d), "y", "p")), SCORED + ", c AS (SELECT k, count(*) FILTER (y = k) AS n, count(*) FILTER (p = k) AS said, count(*) FILTER (y = k AND p = k) AS tp FROM m, (VALUES (0), (1)) v(k) GROUP BY k) SELECT round(sum(n * coalesce(tp / nullif(said, 0), 0)) / sum(n), 6) AS precision, round(sum(n * coalesce(tp / nullif(n, 0), 0)) / sum(n), 6) AS recall, round(sum(n * coalesce(2 * tp / nullif(said + n, 0), 0)) / sum(n), 6) AS f1 FROM c")
+add(
+    "log_loss",
+    lambda s, d: rounded(metrics.log_loss(_scored(s, d).withColumn("q", F.least(F.col("s"), F.lit(3000)) / 3000), "y", "q")),
+    SCORED + f", q AS (SELECT y, greatest(least({PSCORE}, 1 - 1e-15), 1e-15) AS q FROM m) SELECT round(-avg(CASE WHEN y = 1 THEN ln(q) ELSE ln(1 - q) END), 6) AS log_loss FROM q",
+)
+add(
+    "weighted_class_report",
+    lambda s, d: rounded(metrics.weighted_class_report(_scored(s, d), "y", "p")),
+    SCORED + ", c AS (SELECT k, count(*) FILTER (y = k) AS n, count(*) FILTER (p = k) AS said, count(*) FILTER (y = k AND p = k) AS tp FROM m, (VALUES (0), (1)) v(k) GROUP BY k) SELECT round(sum(n * coalesce(tp / nullif(said, 0), 0)) / sum(n), 6) AS precision, round(sum(n * coalesce(tp / nullif(n, 0), 0)) / sum(n), 6) AS recall, round(sum(n * coalesce(2 * tp / nullif(said + n, 0), 0)) / sum(n), 6) AS f1 FROM c",
+)
 
 
 def _drift(s: SparkSession, d: str) -> DataFrame:
@@ -186,9 +311,17 @@ def _chi2_sql(column: str, table: str = "t") -> str:
     return f"SELECT round(x, 6) AS statistic, dof, round(CASE WHEN dof % 2 = 0 THEN {terms} END, 6) AS p_value FROM {total}"
 
 
-add("ks_two_sample", lambda s, d: rounded(metrics.ks_two_sample(_drift(s, d), "late", "l_extendedprice")), f"{DRIFT} {_ks_sql('l_extendedprice')}")
+add(
+    "ks_two_sample",
+    lambda s, d: rounded(metrics.ks_two_sample(_drift(s, d), "late", "l_extendedprice")),
+    f"{DRIFT} {_ks_sql('l_extendedprice')}",
+)
 for _c in ("l_returnflag", "l_linestatus"):
-    add("chi2_" + _c[2:], lambda s, d, c=_c: rounded(metrics.chi2_contingency(_drift(s, d), "late", c)), f"{DRIFT} SELECT statistic, dof FROM ({_chi2_sql(_c)})")
+    add(
+        "chi2_" + _c[2:],
+        lambda s, d, c=_c: rounded(metrics.chi2_contingency(_drift(s, d), "late", c)),
+        f"{DRIFT} SELECT statistic, dof FROM ({_chi2_sql(_c)})",
+    )
 
 
 def _columns(s: SparkSession, d: str) -> DataFrame:
@@ -201,4 +334,8 @@ COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "seven
 DRIFT_COLUMNS = DRIFT + ", u AS (SELECT *, 'c' || l_linenumber AS seven, 'k' || (l_partkey % 5) AS five FROM t)"
 for _name, _level in (("drift_report", 0.05), ("shift_report", 0.1)):
     _parts = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{'ks' if k < 3 else 'chi2'}' AS test, p_value FROM ({_ks_sql(c, 'u') if k < 3 else _chi2_sql(c, 'u')})" for k, c in enumerate(COLUMNS))
-    add(_name, lambda s, d, t=_level: rounded(metrics.drift_report(_columns(s, d), "late", COLUMNS, t)), f"{DRIFT_COLUMNS} SELECT *, p_value < {_level} AS drift FROM ({_parts})")
+    add(
+        _name,
+        lambda s, d, t=_level: rounded(metrics.drift_report(_columns(s, d), "late", COLUMNS, t)),
+        f"{DRIFT_COLUMNS} SELECT *, p_value < {_level} AS drift FROM ({_parts})",
+    )

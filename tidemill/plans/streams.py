@@ -9,7 +9,11 @@ from tidemill.plans.queries import _lr, add, shown
 from tidemill.streaming import stateful as st
 from tidemill.streaming.bars import new_folder, run_available, stream_dedup, stream_ohlcv, tick_stream
 
-add("stream_ohlcv", lambda s, d: shown(run_available(stream_ohlcv(tick_stream(s, f"{d}/event[s].parquet"), "1 hour")), "open", "high", "low", "close", "volume"), None)
+add(
+    "stream_ohlcv",
+    lambda s, d: shown(run_available(stream_ohlcv(tick_stream(s, f"{d}/event[s].parquet"), "1 hour")), "open", "high", "low", "close", "volume"),
+    None,
+)
 
 
 def _twice(s: SparkSession, d: str) -> DataFrame:
@@ -18,7 +22,11 @@ def _twice(s: SparkSession, d: str) -> DataFrame:
     return one.unionByName(tick_stream(s, f"{d}/event[s].parquet").where("event_id % 3 = 0"))
 
 
-add("stream_dedup", lambda s, d: run_available(stream_dedup(_twice(s, d), ["event_id"], "60 days")).select("sym", "event_id", F.round("price", 6).alias("price")), "SELECT event_type AS sym, event_id, round(value, 6) AS price FROM events")
+add(
+    "stream_dedup",
+    lambda s, d: run_available(stream_dedup(_twice(s, d), ["event_id"], "60 days")).select("sym", "event_id", F.round("price", 6).alias("price")),
+    "SELECT event_type AS sym, event_id, round(value, 6) AS price FROM events",
+)
 
 
 def _ticks(s: SparkSession, d: str) -> DataFrame:
@@ -35,9 +43,24 @@ def _matched(s: SparkSession, d: str) -> DataFrame:
     return _ticks(s, d).select("ts", (F.col("price") > 10).cast("int").alias("prediction"), F.col("sym").isin("click", "view").cast("int").alias("actual"))
 
 
-add("stream_upsert", lambda s, d: shown(_upserted(s, d), "event_id", "price"), "SELECT event_type AS sym, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS ts, max(event_id) AS event_id, round(arg_max(value, event_id), 6) AS price FROM events GROUP BY event_type, date_trunc('hour', ts)")
-add("stream_prediction_log", lambda s, d: run_available(_ticks(s, d).select("event_id", "sym", (F.col("price") > 10).cast("int").alias("prediction"))), "SELECT event_id, event_type AS sym, (value > 10)::INTEGER AS prediction FROM events")
-add("stream_monitoring", lambda s, d: s.read.parquet(st.stream_monitoring(_matched(s, d), new_folder(s))).select("kind", "subject", F.round("value", 6).alias("value")), "SELECT 'accuracy' AS kind, strftime(date_trunc('day', ts), '%Y-%m-%d') AS subject, round(avg(((value > 10) = (event_type IN ('click', 'view')))::INTEGER), 6) AS value FROM events GROUP BY date_trunc('day', ts) HAVING avg(((value > 10) = (event_type IN ('click', 'view')))::INTEGER) < 0.7")
+add(
+    "stream_upsert",
+    lambda s, d: shown(_upserted(s, d), "event_id", "price"),
+    "SELECT event_type AS sym, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS ts, max(event_id) AS event_id, "
+    "round(arg_max(value, event_id), 6) AS price FROM events GROUP BY event_type, date_trunc('hour', ts)",
+)
+add(
+    "stream_prediction_log",
+    lambda s, d: run_available(_ticks(s, d).select("event_id", "sym", (F.col("price") > 10).cast("int").alias("prediction"))),
+    "SELECT event_id, event_type AS sym, (value > 10)::INTEGER AS prediction FROM events",
+)
+add(
+    "stream_monitoring",
+    lambda s, d: s.read.parquet(st.stream_monitoring(_matched(s, d), new_folder(s))).select("kind", "subject", F.round("value", 6).alias("value")),
+    "SELECT 'accuracy' AS kind, strftime(date_trunc('day', ts), '%Y-%m-%d') AS subject, round(avg(((value > 10) = "
+    "(event_type IN ('click', 'view')))::INTEGER), 6) AS value FROM events GROUP BY date_trunc('day', ts) HAVING "
+    "avg(((value > 10) = (event_type IN ('click', 'view')))::INTEGER) < 0.7",
+)
 
 
 def _in_two(s: SparkSession, d: str) -> DataFrame:
@@ -56,7 +79,12 @@ def _sides(s: SparkSession, d: str) -> DataFrame:
 
 
 TWO = "WITH t AS (SELECT *, day(ts) < 15 OR event_id % 10 = 0 AS second FROM events)"
-add("stream_late_rows", _sides, f"{TWO} SELECT event_type AS sym, event_id, second AND ts < (SELECT max(ts) FROM t WHERE NOT second) - INTERVAL 1 HOUR AS late FROM t")
+add(
+    "stream_late_rows",
+    _sides,
+    f"{TWO} SELECT event_type AS sym, event_id, second AND ts < (SELECT max(ts) FROM t WHERE NOT second) - INTERVAL 1 "
+    "HOUR AS late FROM t",
+)
 TICKS = "WITH t AS (SELECT event_type AS sym, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events)"
 
 
@@ -64,5 +92,13 @@ def _mean_sql(alpha: str, name: str) -> str:
     return f"{TICKS} SELECT sym, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round({_lr('value', alpha)}, 6) AS {name} FROM t"
 
 
-add("stream_ema", lambda s, d: shown(s.read.parquet(st.stream_ema(_ticks(s, d), new_folder(s), 20, "price")), "ema"), _mean_sql("(2.0::DOUBLE / 21)", "ema"))
-add("stream_wilder", lambda s, d: shown(s.read.parquet(st.stream_wilder(_ticks(s, d), new_folder(s), 14, ["price"])), "wilder_price"), _mean_sql("(1.0::DOUBLE / 14)", "wilder_price"))
+add(
+    "stream_ema",
+    lambda s, d: shown(s.read.parquet(st.stream_ema(_ticks(s, d), new_folder(s), 20, "price")), "ema"),
+    _mean_sql("(2.0::DOUBLE / 21)", "ema"),
+)
+add(
+    "stream_wilder",
+    lambda s, d: shown(s.read.parquet(st.stream_wilder(_ticks(s, d), new_folder(s), 14, ["price"])), "wilder_price"),
+    _mean_sql("(1.0::DOUBLE / 14)", "wilder_price"),
+)

@@ -56,15 +56,46 @@ def _log(s: SparkSession, d: str) -> DataFrame:
 
 
 LEVELS = ("side", "entry", "stop", "target")
-add("entry_levels", lambda s, d: shown(bt.entry_levels(_signals(s, d), SL, TP, SLIP), *LEVELS), f"{SIGNALS} SELECT sym, {TS}, side, round(entry, 6) AS entry, round(stop, 6) AS stop, round(target, 6) AS target FROM e")
-add("barrier_outcome", lambda s, d: shown(_outcomes(s, d), "side", "reason", "exit", "exit_rn"), f'{OUTCOMES} SELECT sym, {TS}, side, reason, round("exit", 6) AS "exit", exit_rn FROM o')
-add("nonoverlap_trades", lambda s, d: shown(_log(s, d), "trade_no", "type", "rn", "exit_rn"), f"{LOG} SELECT sym, {TS}, trade_no, CASE side WHEN 1 THEN 'Long' ELSE 'Short' END AS type, rn, exit_rn FROM chain")
-add("trade_log", lambda s, d: shown(_log(s, d), "trade_no", "size", "entry_commission", "pnl", "reason", "equity"), f"{LOG} SELECT sym, {TS}, trade_no, round(before * u, 6) AS size, round(before * u * entry * {COMMISSION}, 6) AS entry_commission, round(before * m1, 6) AS pnl, reason, round(before * f, 6) AS equity FROM chain")
-add("perf_trade_stats", lambda s, d: rounded(bt.trade_stats(_log(s, d))), f"{LOG} SELECT sym, count(*) AS trades, round(count(*) FILTER (m1 > 0) / count(*), 6) AS win_ratio, round(sum(before * m1) FILTER (m1 > 0) / abs(sum(before * m1) FILTER (m1 <= 0)), 6) AS profit_factor FROM chain GROUP BY sym")
-add("slippage_cost", lambda s, d: rounded(bt.slippage_cost(_log(s, d), SLIP)), f"{LOG} SELECT sym, round(sum(before * u) * {2 * SLIP}, 6) AS cost FROM chain GROUP BY sym")
+add(
+    "entry_levels",
+    lambda s, d: shown(bt.entry_levels(_signals(s, d), SL, TP, SLIP), *LEVELS),
+    f"{SIGNALS} SELECT sym, {TS}, side, round(entry, 6) AS entry, round(stop, 6) AS stop, round(target, 6) AS target FROM e",
+)
+add(
+    "barrier_outcome",
+    lambda s, d: shown(_outcomes(s, d), "side", "reason", "exit", "exit_rn"),
+    f'{OUTCOMES} SELECT sym, {TS}, side, reason, round("exit", 6) AS "exit", exit_rn FROM o',
+)
+add(
+    "nonoverlap_trades",
+    lambda s, d: shown(_log(s, d), "trade_no", "type", "rn", "exit_rn"),
+    f"{LOG} SELECT sym, {TS}, trade_no, CASE side WHEN 1 THEN 'Long' ELSE 'Short' END AS type, rn, exit_rn FROM chain",
+)
+add(
+    "trade_log",
+    lambda s, d: shown(_log(s, d), "trade_no", "size", "entry_commission", "pnl", "reason", "equity"),
+    f"{LOG} SELECT sym, {TS}, trade_no, round(before * u, 6) AS size, round(before * u * entry * {COMMISSION}, 6) AS "
+    "entry_commission, round(before * m1, 6) AS pnl, reason, round(before * f, 6) AS equity FROM chain",
+)
+add(
+    "perf_trade_stats",
+    lambda s, d: rounded(bt.trade_stats(_log(s, d))),
+    f"{LOG} SELECT sym, count(*) AS trades, round(count(*) FILTER (m1 > 0) / count(*), 6) AS win_ratio, round(sum(before "
+    "* m1) FILTER (m1 > 0) / abs(sum(before * m1) FILTER (m1 <= 0)), 6) AS profit_factor FROM chain GROUP BY sym",
+)
+add(
+    "slippage_cost",
+    lambda s, d: rounded(bt.slippage_cost(_log(s, d), SLIP)),
+    f"{LOG} SELECT sym, round(sum(before * u) * {2 * SLIP}, 6) AS cost FROM chain GROUP BY sym",
+)
 
 
-add("trade_summary", lambda s, d: shown(bt.trade_summary(_log(s, d), 3), "trade_no", "pnl"), f"{LOG} SELECT sym, {TS}, trade_no, round(before * m1, 6) AS pnl FROM chain QUALIFY trade_no < 3 OR trade_no > max(trade_no) OVER (PARTITION BY sym) - 3")
+add(
+    "trade_summary",
+    lambda s, d: shown(bt.trade_summary(_log(s, d), 3), "trade_no", "pnl"),
+    f"{LOG} SELECT sym, {TS}, trade_no, round(before * m1, 6) AS pnl FROM chain QUALIFY trade_no < 3 OR trade_no > "
+    "max(trade_no) OVER (PARTITION BY sym) - 3",
+)
 
 
 def _equity(s: SparkSession, d: str) -> DataFrame:
@@ -75,7 +106,11 @@ def _equity(s: SparkSession, d: str) -> DataFrame:
 EVENTS = f"""{LOG}, ev AS (SELECT sym, rn, before * e1 AS q, 2 * trade_no AS o FROM chain UNION ALL SELECT sym, exit_rn, before * f, 2 * trade_no + 1 FROM chain),
 la AS (SELECT sym, rn, arg_max(q, o) AS q FROM ev GROUP BY 1, 2), pts AS (SELECT bars.sym, bars.rn + 1 AS bar_no, bars.ts, coalesce(last_value(q IGNORE NULLS) OVER (PARTITION BY bars.sym ORDER BY bars.rn), {EQUITY}) AS equity
 FROM bars LEFT JOIN la ON la.sym = bars.sym AND la.rn = bars.rn UNION ALL SELECT DISTINCT sym, 0, NULL, {EQUITY} FROM bars)"""
-add("equity_curve", lambda s, d: shown(_equity(s, d), "bar_no", "equity"), f"{EVENTS} SELECT sym, {TS}, bar_no, round(equity, 6) AS equity FROM pts")
+add(
+    "equity_curve",
+    lambda s, d: shown(_equity(s, d), "bar_no", "equity"),
+    f"{EVENTS} SELECT sym, {TS}, bar_no, round(equity, 6) AS equity FROM pts",
+)
 
 
 def _backtest_metrics(s: SparkSession, d: str) -> DataFrame:
@@ -91,7 +126,12 @@ SELECT sym, round((avg(r) - 0.01 / 252) / stddev_pop(r) * sqrt(252), 6) AS sharp
 round(pow(arg_max(equity, bar_no) / arg_min(equity, bar_no), 252.0 / count(*)) - 1, 6) AS cagr, round(arg_max(equity, bar_no) / arg_min(equity, bar_no) - 1, 6) AS total_return,
 round(min((equity - top) / top), 6) AS max_drawdown FROM st GROUP BY sym""",
 )
-add("slippage_sanity", lambda s, d: rounded(bt.slippage_sanity(positioned(s, d), 5.0)), f"{BARS} SELECT sym, round(avg(close), 6) AS mean_close, round(5.0::DOUBLE / avg(close), 6) AS share, 5.0::DOUBLE / avg(close) > 0.1 AS excessive FROM bars GROUP BY sym")
+add(
+    "slippage_sanity",
+    lambda s, d: rounded(bt.slippage_sanity(positioned(s, d), 5.0)),
+    f"{BARS} SELECT sym, round(avg(close), 6) AS mean_close, round(5.0::DOUBLE / avg(close), 6) AS share, 5.0::DOUBLE / "
+    "avg(close) > 0.1 AS excessive FROM bars GROUP BY sym",
+)
 #: Runs of the strategy search: stop, target and least probability.
 RUNS = [(sl, tp, least) for sl in (1.0, 2.0) for tp in (1.5, 3.0) for least in (0.6, 0.8)]
 
@@ -108,10 +148,32 @@ def _run_sql(k: int, sl: float, tp: float, least: float) -> str:
 
 
 SEARCH = " UNION ALL ".join(_run_sql(k, *run) for k, run in enumerate(RUNS))
-add("strategy_search", lambda s, d: rounded(_search(s, d)), f"SELECT run_id::BIGINT AS run_id, sym, trades, round(q, 6) AS final_equity, round(q / {EQUITY} - 1, 6) AS total_return FROM ({SEARCH})")
-add("strategy_best_run", lambda s, d: rounded(bt.best_run(_search(s, d))), f"SELECT run_id::BIGINT AS run_id, round(avg(q / {EQUITY} - 1), 6) AS total_return FROM ({SEARCH}) GROUP BY run_id ORDER BY avg(q / {EQUITY} - 1) DESC, run_id LIMIT 1")
+add(
+    "strategy_search",
+    lambda s, d: rounded(_search(s, d)),
+    f"SELECT run_id::BIGINT AS run_id, sym, trades, round(q, 6) AS final_equity, round(q / {EQUITY} - 1, 6) AS "
+    f"total_return FROM ({SEARCH})",
+)
+add(
+    "strategy_best_run",
+    lambda s, d: rounded(bt.best_run(_search(s, d))),
+    f"SELECT run_id::BIGINT AS run_id, round(avg(q / {EQUITY} - 1), 6) AS total_return FROM ({SEARCH}) GROUP BY run_id "
+    f"ORDER BY avg(q / {EQUITY} - 1) DESC, run_id LIMIT 1",
+)
 RETURNS = CURVE + ", p AS (SELECT date_trunc('{p}', ts)::DATE AS period, product(1 + coalesce(r, 0)) - 1 AS ret FROM r GROUP BY 1), g AS (SELECT unnest(generate_series(min(period), max(period), INTERVAL 1 {p}))::DATE AS period FROM p) SELECT 'all' AS sym, strftime(period, '%Y-%m-%d') AS period, round(coalesce(ret, 0), 6) AS ret FROM g LEFT JOIN p USING (period)"
 for _p in ("month", "year"):
-    add(f"returns_by_{_p}", lambda s, d, p=_p: rounded(metrics.returns_by_period(_curve(s, d), p)).withColumn("period", F.date_format("period", "yyyy-MM-dd")), RETURNS.format(p=_p))
-add("return_heatmap", lambda s, d: rounded(metrics.return_heatmap(_curve(s, d))).withColumn("year", F.col("year").cast("long")), CURVE + " SELECT 'all' AS sym, year(ts) AS year, " + ", ".join(f"round(sum(r) FILTER (month(ts) = {m}), 6) AS m{m}" for m in range(1, 13)) + " FROM r GROUP BY year(ts)")
-add("top_drawdowns", lambda s, d: shown(metrics.top_drawdowns(_curve(s, d), 5), "drawdown"), CURVE + f" SELECT 'all' AS sym, {TS}, round((equity - top) / top, 6) AS drawdown FROM r WHERE equity < top ORDER BY (equity - top) / top, r.ts LIMIT 5")
+    add(
+        f"returns_by_{_p}",
+        lambda s, d, p=_p: rounded(metrics.returns_by_period(_curve(s, d), p)).withColumn("period", F.date_format("period", "yyyy-MM-dd")),
+        RETURNS.format(p=_p),
+    )
+add(
+    "return_heatmap",
+    lambda s, d: rounded(metrics.return_heatmap(_curve(s, d))).withColumn("year", F.col("year").cast("long")),
+    CURVE + " SELECT 'all' AS sym, year(ts) AS year, " + ", ".join(f"round(sum(r) FILTER (month(ts) = {m}), 6) AS m{m}" for m in range(1, 13)) + " FROM r GROUP BY year(ts)",
+)
+add(
+    "top_drawdowns",
+    lambda s, d: shown(metrics.top_drawdowns(_curve(s, d), 5), "drawdown"),
+    CURVE + f" SELECT 'all' AS sym, {TS}, round((equity - top) / top, 6) AS drawdown FROM r WHERE equity < top ORDER BY (equity - top) / top, r.ts LIMIT 5",
+)
