@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import subprocess
 import sys
 import zlib
@@ -286,18 +287,80 @@ def test_line_edit_join(spark, odd, empty):
     assert line_dedup(empty).count() == 0 and line_dedup(odd).count() == len(ODD)
 
 
-def test_pipeline(spark):
+def cosines(text, names, sums):
+    """Best language and cosine of a text, n-gram by n-gram, and the number of its distinct ones."""
+    v, n = plain_profile(text)
+    if not n:
+        return "und", 0.0, 0
+    cos = [float(v @ sums[x] / np.linalg.norm(v) / np.linalg.norm(sums[x])) for x in names]
+    k = int(np.argmax(cos))
+    return names[k], min(max(cos[k], 0.0), 1.0), n
+
+
+def plain_profile(text):
+    from tidemill.llm.langid import DIM, SEED
+
+    letter = lambda c: np.random.default_rng([SEED, ord(c) if c != " " else 0]).integers(0, 2, DIM) * 2 - 1
+    clean = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + "  "
+    grams = Counter(clean[k : k + 3] for k in range(len(clean) - 2) if clean[k : k + 3] != "   ")
+    v = np.zeros(DIM)
+    for g, c in grams.items():
+        v += math.log1p(c) * np.roll(letter(g[0]), 2) * np.roll(letter(g[1]), 1) * letter(g[2])
+    return v, len(grams)
+
+
+def test_language_brute_force(spark):
+    from tidemill.llm.langid import DIM, known_language, least_score, predict_language
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40)
+    extra = [(900_001, "съешь же ещё этих мягких французских булок " * 9, "en"), (900_003, "1234", "de"), (900_004, None, "fr")]
+    docs = docs.select("doc_id", F.substring("text", 1, 400).alias("text"), "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
+    rows = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    sums = {}
+    for i, (t, lang) in rows.items():
+        if zlib.crc32(str(i).encode()) % 3 != 1 and plain_profile(t)[1]:
+            v = plain_profile(t)[0]
+            sums[lang] = sums.get(lang, np.zeros(DIM)) + v / np.linalg.norm(v)
+    want = {i: cosines(t, sorted(sums), sums) for i, (t, _) in rows.items()}
+    for r in predict_language(docs).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-4
+    kept = {i for i, (_, score, n) in want.items() if n and score >= least_score(n)}
+    assert {r.doc_id for r in known_language(docs).collect()} == kept and kept < {*rows} - {900_001, 900_003, 900_004} | {900_001}
+
+
+def test_pipeline_brute_force(spark):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
+    from tidemill.llm.bpe import vocabulary
+    from tidemill.llm.langid import predict_language
+    from tidemill.llm.mixing import mix
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    names, outs = [name for name, _ in p.STAGES], {}
     for name, stage in p.STAGES[:4]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
-        docs = spark.createDataFrame(out.collect(), out.schema)
-        if name == "exact_dedup":
-            bare = [hashlib.sha256("".join(r.text.split()).encode()).digest() for r in docs.collect()]
-            assert len(bare) == len({*bare})
-    assert p.STAGES[4][1](spark, docs, SF).count() == docs.count()
+        outs[name] = sorted(r.doc_id for r in out.collect())
+        docs = spark.createDataFrame(out.collect(), out.schema).coalesce(2)
+    known = {r.doc_id for r in predict_language(spark.read.parquet(f"{SF}/documents.parquet")).where("lang_pred <> 'und'").collect()}
+    assert {*outs["language_id"]} <= known and len(outs["language_id"]) >= len(known) - 1  # tested by itself above
+    best = {}
+    for i in outs["language_id"]:
+        bare = re.sub(r"[\x20\x09-\x0D]", "", rows[i].text)
+        best[bare] = min(best.get(bare, (0, i)), (-len(rows[i].text), i))
+    assert outs["exact_dedup"] == sorted(i for _, i in best.values())
+    classes = components_of({i: shingle_tuples(rows[i].text) for i in outs["exact_dedup"]}, 0.8)
+    assert outs["near_dedup"] == sorted({*classes.values()})
+    kept = spark.createDataFrame([rows[i] for i in outs["near_dedup"]], docs.schema)
+    times = {r.doc_id: -(-r.taken // r["size"]) for r in mix(kept).collect() if r.taken}  # mix equals its SQL
+    assert Counter(outs["mixing"]) == times
+    t = Tokenizer.from_file(vocabulary())
+    for r in p.STAGES[4][1](spark, docs, SF).collect():
+        ids = t.encode(rows[r.doc_id].text, add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert names == ["language_id", "exact_dedup", "near_dedup", "mixing", "encoding"]
 
 
 def test_round_trip_equals_encode_then_decode(spark):

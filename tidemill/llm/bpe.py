@@ -34,12 +34,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def check_settings(spec: dict) -> None:
+    """Raises on a vocabulary file whose settings aren't those that this module follows."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("normalizer", "post_processor") if spec.get(k)]
+    wrong += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    for token in spec["added_tokens"]:
+        wrong += [k for k in ("single_word", "lstrip", "rstrip", "normalized") if token.get(k)]
+    if wrong:
+        raise ValueError(f"unsupported settings of a vocabulary: {', '.join(dict.fromkeys(wrong))}")
+
+
 class Merges:
     """The merge table of a vocabulary file and its segment trees."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
         stand = byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -252,7 +266,9 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     A text is split by the vocabulary's pattern; each piece is merged by a segment tree over the ranks of its
     adjacent pairs: the root names the leftmost pair of the lowest rank, and a merge changes three leaves. A
     special token written in a text becomes its id. Null and empty texts have no ids; there is no limit on a
-    text's or a piece's length; rows are independent, so nothing is shuffled.
+    text's or a piece's length. Rows are independent, so nothing is shuffled: null and repeated ids come out as they went
+    in, other columns are ignored and an empty table gives an empty result. A file with settings other than those
+    followed here raises.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
