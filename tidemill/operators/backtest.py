@@ -39,7 +39,9 @@ def entry_levels(df: DataFrame, sl: float | Column, tp: float | Column, slippage
     check_multipliers(sl, tp)
     side = F.when(F.col("signal") == "Long", 1).when(F.col("signal") == "Short", -1)
     e = df.withColumn("side", side).where("side is not null and atr > 0").withColumn("entry", F.col("close") + F.col("side") * slippage)
-    e = e.where("entry > 0").withColumn("stop", F.col("entry") - F.col("side") * sl * F.col("atr")).withColumn("target", F.col("entry") + F.col("side") * tp * F.col("atr"))
+    e = e.where("entry > 0").withColumn("stop", F.col("entry") - F.col("side") * sl * F.col("atr")).withColumn(
+        "target", F.col("entry") + F.col("side") * tp * F.col("atr"),
+    )
     return e.select("sym", "ts", "rn", "side", "entry", "stop", "target")
 
 
@@ -83,7 +85,10 @@ def barrier_outcome(df: DataFrame, sl: float | Column, tp: float | Column, slipp
     won = F.when(F.col("side") == 1, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
     reason = F.when(F.col("hit").isNull(), "EndOfData").when(won, "TP").otherwise("SL")
     level = F.when(reason == "TP", F.col("target")).when(reason == "SL", F.col("stop")).otherwise(F.col("end")) - F.col("side") * slippage
-    return o.select("sym", "ts", "rn", "side", "entry", "stop", "target", reason.alias("reason"), level.alias("exit"), F.coalesce("hit", "end_rn").alias("exit_rn"))
+    return o.select(
+        "sym", "ts", "rn", "side", "entry", "stop", "target", reason.alias("reason"), level.alias("exit"),
+        F.coalesce("hit", "end_rn").alias("exit_rn"),
+    )
 
 
 def nonoverlap_trades(outcomes: DataFrame, df: DataFrame) -> DataFrame:
@@ -111,12 +116,21 @@ def trade_log(trades: DataFrame, equity: float, risk: float, commission: float)
     t = trades.withColumn("__u", u).withColumn("__e", F.greatest(F.lit(0.0), 1 - commission * F.col("entry") * F.col("__u")))
     move = F.col("__u") * F.col("side") * (F.col("exit") - F.col("entry"))
     t = t.withColumn("__m", move - commission * F.abs(move)).withColumn("__one", F.lit(1))
-    t = t.withColumn("__f", F.when((F.col("reason") == "EndOfData") & (F.col("__e") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("__e") + F.col("__m"))))
+    t = t.withColumn(
+        "__f",
+        F.when((F.col("reason") == "EndOfData") & (F.col("__e") == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("__e") + F.col("__m"))),
+    )
     t = running(running(t, "__f", "__before", F.product, JOIN_PRODUCT, upto=-1), "__one", "trade_no", upto=-1)
     before = F.lit(float(equity)) * F.col("__before")
     t = t.where(before > LEAST_EQUITY)
     size = before * F.col("__u")
-    return t.select("sym", F.col("trade_no").cast("long").alias("trade_no"), F.when(F.col("side") == 1, "Long").otherwise("Short").alias("type"), "ts", "rn", "entry", "stop", "target", size.alias("size"), (size * F.col("entry")).alias("entry_cost"), (size * F.col("entry") * commission).alias("entry_commission"), "exit", "exit_rn", (before * F.col("__m")).alias("pnl"), "reason", (before * F.col("__e")).alias("entry_equity"), (before * F.col("__f")).alias("equity"))
+    return t.select(
+        "sym", F.col("trade_no").cast("long").alias("trade_no"),
+        F.when(F.col("side") == 1, "Long").otherwise("Short").alias("type"), "ts", "rn", "entry", "stop", "target",
+        size.alias("size"), (size * F.col("entry")).alias("entry_cost"),
+        (size * F.col("entry") * commission).alias("entry_commission"), "exit", "exit_rn", (before * F.col("__m")).alias("pnl"),
+        "reason", (before * F.col("__e")).alias("entry_equity"), (before * F.col("__f")).alias("equity"),
+    )
 
 
 def equity_curve(log: DataFrame, bars: DataFrame, equity: float) -> DataFrame:
@@ -128,7 +142,9 @@ def equity_curve(log: DataFrame, bars: DataFrame, equity: float) -> DataFrame:
     events = log.select("sym", F.inline(F.array(event("rn", "entry_equity", 0), event("exit_rn", "equity", 1))))
     after = events.groupBy("sym", "rn").agg(F.max_by("equity", "order").alias("after"))
     marked = bars.select("sym", "rn", "ts").join(after, ["sym", "rn"], "left")
-    points = carry(marked, ["after"], "_known").select("sym", (F.col("rn") + 1).alias("bar_no"), "ts", F.coalesce("after_known", F.lit(float(equity))).alias("equity"))
+    points = carry(marked, ["after"], "_known").select(
+        "sym", (F.col("rn") + 1).alias("bar_no"), "ts", F.coalesce("after_known", F.lit(float(equity))).alias("equity"),
+    )
     none = F.lit(None).cast(dict(bars.dtypes)["ts"]).alias("ts")
     start = bars.select("sym").distinct().select("sym", F.lit(0).cast("long").alias("bar_no"), none, F.lit(float(equity)).alias("equity"))
     return start.unionByName(points)
@@ -147,7 +163,10 @@ def strategy_search(df: DataFrame, grid: DataFrame, slippage: float, equity: flo
     ends = log.groupBy("sym").agg(F.count(F.lit(1)).alias("trades"), F.max_by("equity", "trade_no").alias("final_equity"))
     found = runs.groupBy("sym").agg(F.first("of").alias("of")).join(ends, "sym", "left")
     final = F.coalesce("final_equity", F.lit(float(equity)))
-    return found.select("of.run_id", "of.sym", F.coalesce("trades", F.lit(0)).alias("trades"), final.alias("final_equity"), (final / equity - 1).alias("total_return"))
+    return found.select(
+        "of.run_id", "of.sym", F.coalesce("trades", F.lit(0)).alias("trades"), final.alias("final_equity"),
+        (final / equity - 1).alias("total_return"),
+    )
 
 
 def best_run(results: DataFrame, metric: str = "total_return", largest: bool = True) -> DataFrame:
@@ -170,4 +189,7 @@ def trade_summary(log: DataFrame, n: int) -> DataFrame:
 def trade_stats(log: DataFrame) -> DataFrame:
     """Number of trades, share won and profit factor (infinite without losses) by symbol."""
     won, lost = F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.abs(F.sum(F.when(F.col("pnl") <= 0, F.col("pnl"))))
-    return log.groupBy("sym").agg(F.count(F.lit(1)).alias("trades"), (F.count_if(F.col("pnl") > 0) / F.count(F.lit(1))).alias("win_ratio"), F.coalesce(F.try_divide(F.coalesce(won, F.lit(0.0)), lost), F.lit(float("inf"))).alias("profit_factor"))
+    return log.groupBy("sym").agg(
+        F.count(F.lit(1)).alias("trades"), (F.count_if(F.col("pnl") > 0) / F.count(F.lit(1))).alias("win_ratio"),
+        F.coalesce(F.try_divide(F.coalesce(won, F.lit(0.0)), lost), F.lit(float("inf"))).alias("profit_factor"),
+    )

@@ -16,7 +16,10 @@ def resample_ohlcv(t: DataFrame, rule: str) -> DataFrame:
     ticks; empty bars don't come out. Order within a bar is by (ts, event_id)."""
     key = F.struct("ts", "event_id")
     g = t.groupBy("sym", F.window("ts", rule).alias("w"))
-    b = g.agg(F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"))
+    b = g.agg(
+        F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", key).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
+    )
     return b.select("sym", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 

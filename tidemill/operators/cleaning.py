@@ -41,7 +41,10 @@ def smooth_outliers(df: DataFrame, column: str, z: float = 4.0) -> DataFrame:
     """Values further than ``z`` sample deviations from the symbol's mean are replaced by interpolation."""
     stats = df.groupBy("sym").agg(F.avg(column).alias("__m"), F.stddev_samp(column).alias("__s"))
     far = F.abs((F.col(column) - F.col("__m")) / (F.col("__s") + 1e-9)) > z
-    return interpolate_linear(df.join(stats, "sym").withColumn(column, F.when(F.coalesce(far, F.lit(False)), None).otherwise(F.col(column))).select(*df.columns), column)
+    return interpolate_linear(
+        df.join(stats, "sym").withColumn(column, F.when(F.coalesce(far, F.lit(False)), None).otherwise(F.col(column))).select(*df.columns),
+        column,
+    )
 
 
 def drop_after_warmup(df: DataFrame, columns: list[str], warmup: int = 50) -> DataFrame:
@@ -56,7 +59,10 @@ def calendar(df: DataFrame, step: str) -> DataFrame:
     """``sym, ts`` of every ``step`` (a part of a day) between a symbol's first and last row, made day by day."""
     ends = df.groupBy("sym").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     days = ends.select("*", F.explode(F.expr("sequence(to_date(lo), to_date(hi), interval 1 day)")).alias("day"))
-    slots = days.select("sym", "lo", "hi", F.explode(F.expr(f"sequence(cast(day as timestamp_ntz), cast(day as timestamp_ntz) + interval 1 day - interval {step}, interval {step})")).alias("ts"))
+    slots = days.select(
+        "sym", "lo", "hi",
+        F.explode(F.expr(f"sequence(cast(day as timestamp_ntz), cast(day as timestamp_ntz) + interval 1 day - interval {step}, interval {step})")).alias("ts"),
+    )
     return slots.where("ts between lo and hi").select("sym", "ts")
 
 
@@ -73,8 +79,13 @@ def standardize_sampling(df: DataFrame, columns: list[str], step: str) -> DataFr
 def mark_anomalies(df: DataFrame, column: str = "close", spread: float = 5.0, gap: float = 3.0) -> DataFrame:
     """Adds ``delta_s`` and 0/1 marks: ``spike`` where the absolute difference exceeds ``spread`` of its sample
     deviations, ``nonpositive``, and ``gap`` where the time since the row before exceeds ``gap`` medians of such times."""
-    d = lagged(df, [column, "ts"]).withColumn("__d", F.abs(F.col(column) - F.col(f"{column}_prev"))).withColumn("delta_s", F.expr("timestampdiff(SECOND, ts_prev, ts)"))
-    stats = d.groupBy("sym").agg(F.stddev_samp("__d").alias("__sd"), F.percentile(F.when(F.col("delta_s") > 0, F.col("delta_s")), F.lit(0.5)).alias("__med"))
+    d = lagged(df, [column, "ts"]).withColumn("__d", F.abs(F.col(column) - F.col(f"{column}_prev"))).withColumn(
+        "delta_s", F.expr("timestampdiff(SECOND, ts_prev, ts)"),
+    )
+    stats = d.groupBy("sym").agg(
+        F.stddev_samp("__d").alias("__sd"),
+        F.percentile(F.when(F.col("delta_s") > 0, F.col("delta_s")), F.lit(0.5)).alias("__med"),
+    )
     mark = lambda c: F.when(c, 1).otherwise(0)
     m = d.join(stats, "sym").withColumns({"spike": mark(F.col("__d") > spread * F.col("__sd")), "nonpositive": mark(F.col(column) <= 0), "gap": mark(F.col("delta_s") > gap * F.col("__med"))})
     return m.drop("__d", "__sd", "__med", f"{column}_prev", "ts_prev")
@@ -82,7 +93,11 @@ def mark_anomalies(df: DataFrame, column: str = "close", spread: float = 5.0, ga
 
 def anomaly_summary(marked: DataFrame) -> DataFrame:
     """Counts of each kind by symbol, with the largest and the median time between rows."""
-    return marked.groupBy("sym").agg(F.count_if(F.col("spike") == 1).alias("spikes"), F.count_if(F.col("nonpositive") == 1).alias("nonpositive"), F.count_if(F.col("gap") == 1).alias("gaps"), F.max("delta_s").alias("max_delta_s"), F.percentile(F.when(F.col("delta_s") > 0, F.col("delta_s")), F.lit(0.5)).alias("median_delta_s"))
+    return marked.groupBy("sym").agg(
+        F.count_if(F.col("spike") == 1).alias("spikes"), F.count_if(F.col("nonpositive") == 1).alias("nonpositive"),
+        F.count_if(F.col("gap") == 1).alias("gaps"), F.max("delta_s").alias("max_delta_s"),
+        F.percentile(F.when(F.col("delta_s") > 0, F.col("delta_s")), F.lit(0.5)).alias("median_delta_s"),
+    )
 
 
 def validate_bars(df: DataFrame, required: list[str], positive: list[str]) -> DataFrame:
@@ -93,7 +108,10 @@ def validate_bars(df: DataFrame, required: list[str], positive: list[str]) -> Da
         some = some | F.col(c).isNull()
     for c in set(positive) - set(missing):
         low = low | F.coalesce(F.col(c) <= 0, F.lit(False))
-    return df.agg(F.lit(",".join(missing)).alias("missing_columns"), F.count_if(some).alias("rows_with_nulls"), F.count_if(low).alias("rows_not_positive"))
+    return df.agg(
+        F.lit(",".join(missing)).alias("missing_columns"), F.count_if(some).alias("rows_with_nulls"),
+        F.count_if(low).alias("rows_not_positive"),
+    )
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
@@ -132,7 +150,10 @@ def align_report(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     """``matched, only_left, only_right``: rows of a full join on ``keys`` by the sides that have them."""
     j = left.select(*keys, F.lit(1).alias("__l")).join(right.select(*keys, F.lit(1).alias("__r")), keys, "full")
     has = lambda c: F.col(c).isNotNull()
-    return j.agg(F.count_if(has("__l") & has("__r")).alias("matched"), F.count_if(has("__l") & ~has("__r")).alias("only_left"), F.count_if(~has("__l") & has("__r")).alias("only_right"))
+    return j.agg(
+        F.count_if(has("__l") & has("__r")).alias("matched"), F.count_if(has("__l") & ~has("__r")).alias("only_left"),
+        F.count_if(~has("__l") & has("__r")).alias("only_right"),
+    )
 
 
 def pad_predictions(bars: DataFrame, predictions: DataFrame, value: float = 0.5) -> DataFrame:

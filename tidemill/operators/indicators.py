@@ -25,13 +25,17 @@ def finite_indicators(bars: DataFrame) -> DataFrame:
         b = b.withColumn("prev", lag("close")).withColumn("diff", F.col("close") - F.col("prev"))
         high_low, rise, fall = F.col("high") - F.col("low"), F.greatest(F.coalesce("diff", F.lit(0.0)), F.lit(0.0)), F.greatest(-F.coalesce("diff", F.lit(0.0)), F.lit(0.0))
         tr = F.when(F.col("prev").isNotNull(), F.greatest(high_low, F.abs(F.col("high") - F.col("prev")), F.abs(F.col("low") - F.col("prev"))))
-        b = b.withColumn("true_range", tr).withColumn("rise", rise).withColumn("fall", fall).withColumn("tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
+        b = b.withColumn("true_range", tr).withColumn("rise", rise).withColumn("fall", fall).withColumn(
+            "tp", (F.col("high") + F.col("low") + F.col("close")) / 3,
+        )
         for n in (10, 20, 50):
             b = b.withColumn(f"sma_{n}", sma("close", n, over))
         w14, w20 = over(-13, 0), over(-19, 0)
         top, low = F.max("high").over(w14), F.min("low").over(w14)
         is14, is20 = F.count("close").over(w14), F.count("close").over(w20)
-        b = b.withColumn("bb_std", full(F.stddev_pop("close").over(w20), is20, 20)).withColumn("bb_mid", F.avg("close").over(w20)).withColumn("bb_sd", F.stddev_samp("close").over(w20))
+        b = b.withColumn("bb_std", full(F.stddev_pop("close").over(w20), is20, 20)).withColumn("bb_mid", F.avg("close").over(w20)).withColumn(
+            "bb_sd", F.stddev_samp("close").over(w20),
+        )
         b = b.withColumn("bb_upper", F.col("sma_20") + 2 * F.col("bb_std")).withColumn("bb_lower", F.col("sma_20") - 2 * F.col("bb_std"))
         b = b.withColumn("rsi_sma", 100 - 100 / (1 + F.avg("rise").over(w14) / (F.avg("fall").over(w14) + 1e-9)))
         b = b.withColumn("fast_k", full(F.try_divide(100 * (F.col("close") - low), top - low), is14, 14))
@@ -248,7 +252,9 @@ def psar(bars: DataFrame, first: float = ACCELERATION, most: float = MOST_ACCELE
 def obv(bars: DataFrame) -> DataFrame:
     """Adds ``obv``, the running volume signed by the direction of close; the first bar counts as rising."""
     b = lagged(positions(bars), ["close"])
-    return running(b.withColumn("__v", F.coalesce(F.signum(F.col("close") - F.col("close_prev")), F.lit(1.0)) * F.col("volume")), "__v", "obv").drop("__v", "close_prev")
+    return running(b.withColumn("__v", F.coalesce(F.signum(F.col("close") - F.col("close_prev")), F.lit(1.0)) * F.col("volume")), "__v", "obv").drop(
+        "__v", "close_prev",
+    )
 
 
 def regimes(indicators: DataFrame) -> DataFrame:
@@ -258,4 +264,7 @@ def regimes(indicators: DataFrame) -> DataFrame:
     trend = F.when(F.col("adx") >= 25, "trending").when(F.col("adx") <= 20, "not_trending").otherwise("neutral")
     narrow = F.when(F.col("bb_width") < 0.7 * F.col("bb_width_median"), "range").otherwise("not_range")
     r = regime_volatility(indicators).withColumn("trend", trend).withColumn("range", narrow)
-    return r.withColumn("market", F.when(F.col("regime") == "volatile", "volatile").when(F.col("trend") == "trending", "trending").when(F.col("range") == "range", "ranging").otherwise("normal"))
+    return r.withColumn(
+        "market",
+        F.when(F.col("regime") == "volatile", "volatile").when(F.col("trend") == "trending", "trending").when(F.col("range") == "range", "ranging").otherwise("normal"),
+    )

@@ -27,9 +27,13 @@ def make_sequences(df: DataFrame, columns: list[str], steps: int, target: str, o
     """``sym, ts, sequence, label``: each full run of ``steps`` rows of ``columns`` and the target ``offset`` rows after its last."""
 
     def build(b: DataFrame, over) -> DataFrame:
-        return b.withColumn("sequence", F.collect_list(F.array(*columns)).over(over(1 - steps, 0))).withColumn("label", F.max(target).over(over(offset, offset)))
+        return b.withColumn("sequence", F.collect_list(F.array(*columns)).over(over(1 - steps, 0))).withColumn(
+            "label", F.max(target).over(over(offset, offset)),
+        )
 
-    return chunk_windows(df, steps - 1, offset, build).where((F.size("sequence") == steps) & F.col("label").isNotNull()).select("sym", "ts", "sequence", "label")
+    return chunk_windows(df, steps - 1, offset, build).where((F.size("sequence") == steps) & F.col("label").isNotNull()).select(
+        "sym", "ts", "sequence", "label",
+    )
 
 
 def _with_count(df: DataFrame) -> DataFrame:
@@ -54,7 +58,10 @@ def split_holdout(df: DataFrame, test: float = 0.2, val: float = 0.2) -> DataFra
 def _folds(counted: DataFrame, test_start: Column, train_start: Column, test: Column) -> DataFrame:
     """Folds from an array of the starts of their test ranges; ends are exclusive."""
     f = counted.select("sym", "n", F.posexplode(test_start).alias("fold", "a")).withColumn("t", test)
-    f = f.select("sym", "fold", train_start.alias("train_start"), F.col("a").alias("train_end"), F.col("a").alias("test_start"), (F.col("a") + F.col("t")).alias("test_end"), "n")
+    f = f.select(
+        "sym", "fold", train_start.alias("train_start"), F.col("a").alias("train_end"), F.col("a").alias("test_start"),
+        (F.col("a") + F.col("t")).alias("test_end"), "n",
+    )
     return f.where("test_end <= n").drop("n")
 
 
@@ -89,7 +96,10 @@ def cv_expanding_share(counted: DataFrame, folds: int) -> DataFrame:
     and fold k trains on the parts before part k + 1 and tests on it. Empty ranges fall away."""
     cut = lambda k: F.floor(F.col("n") * k / (folds + 1)).cast("long")
     f = counted.select("sym", "n", F.posexplode(F.sequence(_long(1), _long(folds))).alias("fold", "k"))
-    f = f.select("sym", "fold", _long(0).alias("train_start"), cut(F.col("k")).alias("train_end"), cut(F.col("k")).alias("test_start"), cut(F.col("k") + 1).alias("test_end"))
+    f = f.select(
+        "sym", "fold", _long(0).alias("train_start"), cut(F.col("k")).alias("train_end"), cut(F.col("k")).alias("test_start"),
+        cut(F.col("k") + 1).alias("test_end"),
+    )
     return f.where("train_end > 0 and test_end > test_start")
 
 
@@ -157,7 +167,10 @@ def threshold_sweep(df: DataFrame, prob: str, thresholds: list[float]) -> DataFr
 def stability(scores: DataFrame, column: str) -> DataFrame:
     """Mean, population deviation, extremes and coefficient of variation of fold scores."""
     mean, std = F.avg(column), F.stddev_pop(column)
-    return scores.agg(mean.alias("mean_score"), std.alias("std_score"), F.min(column).alias("min_score"), F.max(column).alias("max_score"), F.try_divide(std, mean).alias("cv_score"))
+    return scores.agg(
+        mean.alias("mean_score"), std.alias("std_score"), F.min(column).alias("min_score"), F.max(column).alias("max_score"),
+        F.try_divide(std, mean).alias("cv_score"),
+    )
 
 
 def ensemble_simple(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,7 +182,10 @@ def ensemble_weighted(preds: DataFrame, keys: list[str], weight: str) -> DataFra
     """Mean weighted by performance (null as 0), plain where the weights add up to 0; the largest share is the confidence."""
     some = preds.where("prob is not null").withColumn("__w", F.coalesce(weight, F.lit(0.0)))
     total = F.sum("__w")
-    a = some.groupBy(*keys).agg(F.when(total == 0, F.avg("prob")).otherwise(F.try_divide(F.sum(F.col("prob") * F.col("__w")), total)).alias("prob"), F.when(total == 0, 1.0 / F.count(F.lit(1))).otherwise(F.try_divide(F.max("__w"), total)).alias("confidence"))
+    a = some.groupBy(*keys).agg(
+        F.when(total == 0, F.avg("prob")).otherwise(F.try_divide(F.sum(F.col("prob") * F.col("__w")), total)).alias("prob"),
+        F.when(total == 0, 1.0 / F.count(F.lit(1))).otherwise(F.try_divide(F.max("__w"), total)).alias("confidence"),
+    )
     return a
 
 
@@ -188,7 +204,10 @@ def signal_multi_timeframe(df: DataFrame, threshold: float = 0.55, frames: tuple
         return df.withColumn("signal", F.lit("Flat"))
     all_of = lambda side: reduce(lambda a, b: a & b, [side(F.col("close"), F.col(f"{f}_ema_20")) & side(F.col(f"{f}_rsi_14"), F.lit(50.0)) for f in frames])
     sure = F.col("prob") >= threshold
-    return df.withColumn("signal", F.when(sure & all_of(lambda a, b: a > b), "Long").when(sure & all_of(lambda a, b: a < b), "Short").otherwise("Flat"))
+    return df.withColumn(
+        "signal",
+        F.when(sure & all_of(lambda a, b: a > b), "Long").when(sure & all_of(lambda a, b: a < b), "Short").otherwise("Flat"),
+    )
 
 
 def ab_assign(df: DataFrame, key: str, ratio: float, salt: str) -> DataFrame:

@@ -17,7 +17,10 @@ def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     tp, fp, fn = F.count_if((F.col(y) == 1) & (F.col(p) == 1)), F.count_if((F.col(y) == 0) & (F.col(p) == 1)), F.count_if((F.col(y) == 1) & (F.col(p) == 0))
     ok = F.count_if(F.col(y) == F.col(p))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return df.agg(ratio(ok, F.count(F.lit(1))).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return df.agg(
+        ratio(ok, F.count(F.lit(1))).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
+        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+    )
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -28,7 +31,10 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     at = F.coalesce(F.floor(F.try_divide((F.col("s") - F.col("lo")) * 1024, F.col("hi") - F.col("lo"))), F.lit(0))
     h = h.crossJoin(F.broadcast(ends)).withColumn("k", at)
     ranges = h.groupBy("k").agg(F.sum("n").alias("n_k"))
-    before = ranges.select("k", F.coalesce(F.sum("n_k").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    before = ranges.select(
+        "k",
+        F.coalesce(F.sum("n_k").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
+    )
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     area = h.withColumn("inside", inside).join(F.broadcast(before), "k")
     return area.agg(F.try_divide(F.sum(F.col("p") * (F.col("start") + F.col("inside") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
@@ -61,11 +67,17 @@ def equity_metrics(curve: DataFrame, periods: int = 252, risk_free: float = 0.0)
     c = curve_steps(curve)
     down = F.stddev_pop(F.when(F.col("r") < 0, F.col("r")))
     grown = F.try_divide(F.max_by("equity", "rn"), F.min_by("equity", "rn"))
-    a = c.groupBy("sym").agg((F.avg("r") - risk_free / periods).alias("m"), F.stddev_pop("r").alias("s"), down.alias("d"), F.count(F.lit(1)).alias("n"), grown.alias("g"), F.min("drawdown").alias("max_drawdown"))
+    a = c.groupBy("sym").agg(
+        (F.avg("r") - risk_free / periods).alias("m"), F.stddev_pop("r").alias("s"), down.alias("d"),
+        F.count(F.lit(1)).alias("n"), grown.alias("g"), F.min("drawdown").alias("max_drawdown"),
+    )
     scale = F.sqrt(F.lit(float(periods)))
     sharpe, sortino = F.try_divide(F.col("m"), F.nullif("s", F.lit(0.0))) * scale, F.try_divide(F.col("m"), F.nullif("d", F.lit(0.0))) * scale
     cagr = F.pow("g", F.lit(float(periods)) / F.col("n")) - 1
-    return a.select("sym", sharpe.alias("sharpe"), sortino.alias("sortino"), cagr.alias("cagr"), (F.col("g") - 1).alias("total_return"), "max_drawdown")
+    return a.select(
+        "sym", sharpe.alias("sharpe"), sortino.alias("sortino"), cagr.alias("cagr"), (F.col("g") - 1).alias("total_return"),
+        "max_drawdown",
+    )
 
 
 def calmar() -> Column:
@@ -87,33 +99,52 @@ def weighted_class_report(df: DataFrame, y: str, p: str) -> DataFrame:
     g = sides.groupBy("c").agg(F.sum("is").alias("is"), F.sum("said").alias("said"), F.sum("tp").alias("tp"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     weigh = lambda e: F.try_divide(F.sum(F.col("is") * e), F.sum("is"))
-    return g.agg(weigh(ratio(F.col("tp"), F.col("said"))).alias("precision"), weigh(ratio(F.col("tp"), F.col("is"))).alias("recall"), weigh(ratio(2 * F.col("tp"), F.col("said") + F.col("is"))).alias("f1"))
+    return g.agg(
+        weigh(ratio(F.col("tp"), F.col("said"))).alias("precision"), weigh(ratio(F.col("tp"), F.col("is"))).alias("recall"),
+        weigh(ratio(2 * F.col("tp"), F.col("said") + F.col("is"))).alias("f1"),
+    )
 
 
 def ks_two_sample(df: DataFrame, current: str, column: str) -> DataFrame:
     """``statistic, p_value`` of the two-sample Kolmogorov-Smirnov test between rows with ``current`` 0 and 1, over counts
     by distinct value; p by the asymptotic series. Values are cut into ranges at approximate quantiles, each ordered on
     its own from the sums before it."""
-    h = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count_if(F.col(current) == 0).alias("a"), F.count_if(F.col(current) == 1).alias("b"))
+    h = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
+        F.count_if(F.col(current) == 0).alias("a"), F.count_if(F.col(current) == 1).alias("b"),
+    )
     cuts = h.agg(F.percentile_approx("v", F.array(*[F.lit(k / 128) for k in range(1, 128)]), F.lit(1000)).alias("cuts"))
     h = h.crossJoin(F.broadcast(cuts)).withColumn("k", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
     before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = h.groupBy("k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb")).select("k", F.coalesce(F.sum("ka").over(before), F.lit(0)).alias("sa"), F.coalesce(F.sum("kb").over(before), F.lit(0)).alias("sb"))
+    starts = h.groupBy("k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb")).select(
+        "k", F.coalesce(F.sum("ka").over(before), F.lit(0)).alias("sa"),
+        F.coalesce(F.sum("kb").over(before), F.lit(0)).alias("sb"),
+    )
     inside = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     c = h.withColumn("ca", F.sum("a").over(inside)).withColumn("cb", F.sum("b").over(inside)).join(F.broadcast(starts), "k")
     total = h.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    d = c.crossJoin(F.broadcast(total)).agg(F.max(F.abs((F.col("sa") + F.col("ca")) / F.col("na") - (F.col("sb") + F.col("cb")) / F.col("nb"))).alias("statistic"), F.max(F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))).alias("scale"))
+    d = c.crossJoin(F.broadcast(total)).agg(
+        F.max(F.abs((F.col("sa") + F.col("ca")) / F.col("na") - (F.col("sb") + F.col("cb")) / F.col("nb"))).alias("statistic"),
+        F.max(F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))).alias("scale"),
+    )
     lam = F.col("statistic") * F.col("scale")
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + 2 * F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * lam * lam))
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
+        lambda s, k: s + 2 * F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * lam * lam),
+    )
     return d.select("statistic", F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))).alias("p_value"))
 
 
 def chi2_contingency(df: DataFrame, current: str, column: str) -> DataFrame:
     """``statistic, dof`` of the 2 x k test of a category between rows with ``current`` 0 and 1; categories that one side
     lacks count 0, and a 2 x 2 table is corrected for continuity."""
-    cells = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count_if(F.col(current) == 0).alias("a"), F.count_if(F.col(current) == 1).alias("b"))
+    cells = df.where(F.col(column).isNotNull()).groupBy(column).agg(
+        F.count_if(F.col(current) == 0).alias("a"), F.count_if(F.col(current) == 1).alias("b"),
+    )
     total = cells.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("k"))
-    both = cells.crossJoin(F.broadcast(total)).select("k", F.explode(F.array(*[F.struct(F.col(o).cast("double").alias("o"), ((F.col("a") + F.col("b")) * F.col(n) / (F.col("na") + F.col("nb"))).alias("e")) for o, n in (("a", "na"), ("b", "nb"))])).alias("x"))
+    both = cells.crossJoin(F.broadcast(total)).select(
+        "k",
+        F.explode(F.array(*[F.struct(F.col(o).cast("double").alias("o"), ((F.col("a") + F.col("b")) * F.col(n) / (F.col("na") + F.col("nb"))).alias("e")) for o, n in (("a", "na"), ("b", "nb"))])).alias("x"),
+    )
     off = F.abs(F.col("x.o") - F.col("x.e"))
     off = F.when(F.col("k") == 2, off - F.least(F.lit(0.5), off)).otherwise(off)
     return both.agg(F.sum(off * off / F.col("x.e")).alias("statistic"), (F.max("k") - 1).alias("dof"))

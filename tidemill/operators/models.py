@@ -30,7 +30,9 @@ def accuracy_tracking(matched: DataFrame, period: str = "day") -> DataFrame:
 
 def monitoring_alerts(tracked: DataFrame, drift: DataFrame | None = None, least: float = 0.7, level: float = 0.05) -> DataFrame:
     """``kind, subject, value``: periods whose accuracy is under ``least``, and columns (``column, p_value``) that drift."""
-    low = tracked.where(F.col("accuracy") < least).select(F.lit("accuracy").alias("kind"), F.date_format("period", "yyyy-MM-dd").alias("subject"), F.col("accuracy").alias("value"))
+    low = tracked.where(F.col("accuracy") < least).select(
+        F.lit("accuracy").alias("kind"), F.date_format("period", "yyyy-MM-dd").alias("subject"), F.col("accuracy").alias("value"),
+    )
     if drift is None:
         return low
     return low.unionByName(drift.where(F.col("p_value") < level).select(F.lit("drift").alias("kind"), F.col("column").alias("subject"), F.col("p_value").alias("value")))
@@ -109,7 +111,9 @@ def compare_parameters(versions: DataFrame, column: str = "parameters") -> DataF
 
 def performance_by_condition(versions: DataFrame, metric: str, condition: str) -> DataFrame:
     """``condition, model_type, score``: the mean metric of the versions that name the condition."""
-    rows = versions.where(F.map_contains_key("conditions", condition)).select(F.col("conditions")[condition].alias("condition"), "model_type", F.col("metrics")[metric].alias("m"))
+    rows = versions.where(F.map_contains_key("conditions", condition)).select(
+        F.col("conditions")[condition].alias("condition"), "model_type", F.col("metrics")[metric].alias("m"),
+    )
     return rows.where("m is not null").groupBy("condition", "model_type").agg(F.avg("m").alias("score"))
 
 
@@ -158,7 +162,9 @@ def registry_state(events: DataFrame) -> DataFrame:
     last = used.groupBy("model_id", "version").agg(F.max("event_no").alias("at")).groupBy("model_id")
     active = last.agg(F.max_by("version", "at").alias("active"), F.max("at").alias("at"))
     earlier = used.join(active, "model_id").where(F.col("event_no") < F.col("at")).groupBy("model_id").agg(F.max_by("version", "event_no").alias("before"))
-    return made.groupBy("model_id").agg(F.count(F.lit(1)).alias("versions")).join(active.drop("at"), "model_id", "left").join(earlier, "model_id", "left")
+    return made.groupBy("model_id").agg(F.count(F.lit(1)).alias("versions")).join(active.drop("at"), "model_id", "left").join(
+        earlier, "model_id", "left",
+    )
 
 
 def unknown_activations(events: DataFrame) -> DataFrame:

@@ -13,7 +13,10 @@ from tidemill.operators.core import row_position
 from tidemill.plans.quality import HOLES, TS, holes, positioned, rounded
 from tidemill.plans.queries import BARS, SCORED, TR, X_ATR, _bars_sql, _lr, _scored, _w, add, bars, shown, table
 
-LAGS = ", v AS (SELECT *, lag(close) OVER o AS c1, lag(high) OVER o AS h1, lag(low) OVER o AS l1 FROM bars WINDOW o AS (PARTITION BY sym ORDER BY rn))"
+LAGS = (
+    ", v AS (SELECT *, lag(close) OVER o AS c1, lag(high) OVER o AS h1, lag(low) OVER o AS l1 FROM bars WINDOW o AS "
+    "(PARTITION BY sym ORDER BY rn))"
+)
 MOVES = f"""{BARS}{LAGS}, m AS (SELECT *, greatest(close - c1, 0) AS rise, greatest(c1 - close, 0) AS fall, greatest(high - low, abs(high - c1), abs(low - c1)) AS tr,
 CASE WHEN high - h1 > l1 - low AND high > h1 THEN high - h1 ELSE 0 END::DOUBLE AS pdm, CASE WHEN l1 - low > high - h1 AND low < l1 THEN l1 - low ELSE 0 END::DOUBLE AS mdm FROM v WHERE rn >= 1)"""
 A = "(1.0::DOUBLE / 14)"
@@ -78,7 +81,10 @@ def _sequences(s: SparkSession, d: str) -> DataFrame:
     return shown(q.withColumn("sequence", F.array_join(F.flatten("sequence").cast("array<string>"), " ")), "sequence", "label")
 
 
-SEQ = f"{BARS}, y AS (SELECT *, volume::BIGINT AS v, list(volume::BIGINT || ' ' || rn) {_w(5)} AS l, lead(volume::BIGINT % 2) OVER (PARTITION BY sym ORDER BY rn) AS label FROM bars)"
+SEQ = (
+    f"{BARS}, y AS (SELECT *, volume::BIGINT AS v, list(volume::BIGINT || ' ' || rn) {_w(5)} AS l, lead(volume::BIGINT % "
+    "2) OVER (PARTITION BY sym ORDER BY rn) AS label FROM bars)"
+)
 add(
     "make_sequences",
     _sequences,
@@ -104,7 +110,10 @@ def _counted(s: SparkSession, d: str) -> DataFrame:
 
 
 SPLIT = f"{COUNTED}, f AS (SELECT sym, k AS fold, n, n // 6 AS t, n // 6 + k * 40 AS a FROM n, range(0, 5) r(k))"
-SPLITS = "SELECT sym, fold::INTEGER AS fold, greatest(0, a - 200) AS train_start, a AS train_end, a AS test_start, a + t AS test_end FROM f WHERE a + t <= n"
+SPLITS = (
+    "SELECT sym, fold::INTEGER AS fold, greatest(0, a - 200) AS train_start, a AS train_end, a AS test_start, a + t AS "
+    "test_end FROM f WHERE a + t <= n"
+)
 
 
 def _splits(s: SparkSession, d: str) -> DataFrame:
@@ -304,7 +313,10 @@ def _chi2_sql(column: str, table: str = "t") -> str:
     """A query of ``statistic, dof`` and the p-value, in closed form for an even number of degrees of freedom."""
     cells = f"(SELECT {column} AS c, count(*) FILTER (late = 0) AS a, count(*) FILTER (late = 1) AS b FROM {table} GROUP BY 1)"
     sums = f"(SELECT sum(a)::DOUBLE AS na, sum(b)::DOUBLE AS nb, count(*) AS k FROM {cells})"
-    both = f"SELECT k, a AS o, (a + b) * na / (na + nb) AS e FROM {cells}, {sums} UNION ALL SELECT k, b, (a + b) * nb / (na + nb) FROM {cells}, {sums}"
+    both = (
+        f"SELECT k, a AS o, (a + b) * na / (na + nb) AS e FROM {cells}, {sums} UNION ALL SELECT k, b, (a + b) * nb / (na + "
+        f"nb) FROM {cells}, {sums}"
+    )
     off = "CASE WHEN k = 2 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE abs(o - e) END"
     total = f"(SELECT sum(off * off / e) AS x, max(k) - 1 AS dof FROM (SELECT k, e, {off} AS off FROM ({both})))"
     terms = "list_sum(list_transform(range(0, dof // 2), lambda j: exp(-x / 2 + j * ln(greatest(x / 2, 1e-300)) - lgamma(j + 1))))"

@@ -13,12 +13,19 @@ from tidemill.plans.queries import _curve, add, table
 
 def _predictions(s: SparkSession, d: str) -> DataFrame:
     """Each order is a prediction that one of its lines comes back; its lines tell whether one did."""
-    said = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") > 150000).cast("int").alias("prediction"))
+    said = table(s, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"),
+        (F.col("o_totalprice") > 150000).cast("int").alias("prediction"),
+    )
     actual = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("actual"))
     return mo.prediction_outcomes(said, actual)
 
 
-PREDICTED = "WITH a AS (SELECT l_orderkey AS id, max((l_returnflag = 'R')::INTEGER) AS actual FROM lineitem GROUP BY 1), p AS (SELECT o_orderkey AS id, o_orderdate AS ts, (o_totalprice > 150000)::INTEGER AS prediction, actual FROM orders LEFT JOIN a ON id = o_orderkey)"
+PREDICTED = (
+    "WITH a AS (SELECT l_orderkey AS id, max((l_returnflag = 'R')::INTEGER) AS actual FROM lineitem GROUP BY 1), p AS "
+    "(SELECT o_orderkey AS id, o_orderdate AS ts, (o_totalprice > 150000)::INTEGER AS prediction, actual FROM orders "
+    "LEFT JOIN a ON id = o_orderkey)"
+)
 TRACKED = PREDICTED + ", t AS (SELECT date_trunc('{p}', ts)::TIMESTAMP AS period, count(*) AS n, avg((prediction = actual)::INTEGER) AS acc FROM p GROUP BY 1)"
 add(
     "prediction_outcome_join",
@@ -40,7 +47,10 @@ add(
 
 def _quality(s: SparkSession, d: str) -> DataFrame:
     zero = F.count_if(F.col("value") <= 0)
-    return table(s, d, "events").agg(F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("value") > 100).alias("spikes"), zero.alias("zero_or_negative"), F.lit(0).alias("gaps"))
+    return table(s, d, "events").agg(
+        F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("value") > 100).alias("spikes"),
+        zero.alias("zero_or_negative"), F.lit(0).alias("gaps"),
+    )
 
 
 add("recommend_cleaning", lambda s, d: mo.recommend_cleaning(_quality(s, d)), """WITH q AS (SELECT count(*) FILTER (value IS NULL) AS m, count(*) FILTER (value > 100 OR value <= 0) AS o FROM events)
@@ -56,10 +66,19 @@ add(
 def _new(s: SparkSession, d: str) -> DataFrame:
     """Orders as model versions of their customer: the time of an order is its date and, in microseconds, its key."""
     o = table(s, d, "orders").withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")))
-    metric = F.create_map(F.lit("accuracy"), F.col("o_totalprice") % 1000 / 1000, F.lit("log_loss"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") % 77 / 77))
+    metric = F.create_map(
+        F.lit("accuracy"), F.col("o_totalprice") % 1000 / 1000, F.lit("log_loss"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") % 77 / 77),
+    )
     condition = F.when(F.col("o_orderstatus") != "O", F.create_map(F.lit("market"), F.col("o_orderpriority")))
-    parameters = F.struct(F.struct((F.col("o_orderkey") % 10).alias("depth"), (F.col("o_orderkey") % 64).alias("leaves")).alias("tree"), F.col("o_orderstatus").alias("kind"))
-    return o.select(F.col("o_custkey").alias("model_id"), "ts", F.col("o_orderstatus").alias("model_type"), metric.alias("metrics"), condition.alias("conditions"), parameters.alias("parameters"), "o_orderkey", "o_orderdate")
+    parameters = F.struct(
+        F.struct((F.col("o_orderkey") % 10).alias("depth"), (F.col("o_orderkey") % 64).alias("leaves")).alias("tree"),
+        F.col("o_orderstatus").alias("kind"),
+    )
+    return o.select(
+        F.col("o_custkey").alias("model_id"), "ts", F.col("o_orderstatus").alias("model_type"), metric.alias("metrics"),
+        condition.alias("conditions"), parameters.alias("parameters"), "o_orderkey", "o_orderdate",
+    )
 
 
 def _versions(s: SparkSession, d: str) -> DataFrame:
@@ -121,11 +140,18 @@ add(
 
 def _regime_events(s: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("s_suppkey") % 4 == 0, "remove").otherwise("register")
-    return table(s, d, "supplier").select(F.col("s_nationkey").alias("regime"), F.concat(F.lit("m"), F.col("s_suppkey") % 3).alias("model"), kind.alias("kind"), F.col("s_acctbal").alias("performance"), (F.col("s_suppkey") % 7 + 1).alias("trades"), F.col("s_suppkey").alias("event_no"))
+    return table(s, d, "supplier").select(
+        F.col("s_nationkey").alias("regime"), F.concat(F.lit("m"), F.col("s_suppkey") % 3).alias("model"), kind.alias("kind"),
+        F.col("s_acctbal").alias("performance"), (F.col("s_suppkey") % 7 + 1).alias("trades"),
+        F.col("s_suppkey").alias("event_no"),
+    )
 
 
 def _observed(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "customer").select(F.col("c_nationkey").alias("regime"), F.concat(F.lit("m"), F.col("c_custkey") % 4).alias("model"), F.col("c_acctbal").alias("performance"))
+    return table(s, d, "customer").select(
+        F.col("c_nationkey").alias("regime"), F.concat(F.lit("m"), F.col("c_custkey") % 4).alias("model"),
+        F.col("c_acctbal").alias("performance"),
+    )
 
 
 REGISTRY = """WITH e AS (SELECT s_nationkey AS regime, 'm' || s_suppkey % 3 AS model, s_suppkey % 4 = 0 AS gone, s_acctbal AS performance, s_suppkey % 7 + 1 AS trades, s_suppkey FROM supplier),
@@ -155,10 +181,16 @@ add(
 
 def _trials(s: SparkSession, d: str) -> DataFrame:
     state = F.when(F.col("p_size") < 25, "COMPLETE").otherwise("PRUNED")
-    return table(s, d, "part").select(F.col("p_partkey").alias("trial"), state.alias("state"), F.col("p_retailprice").alias("value"), F.col("p_brand").alias("parameters"))
+    return table(s, d, "part").select(
+        F.col("p_partkey").alias("trial"), state.alias("state"), F.col("p_retailprice").alias("value"),
+        F.col("p_brand").alias("parameters"),
+    )
 
 
-TRIALS = " SELECT p_partkey AS trial, 'COMPLETE' AS state, p_retailprice AS value, p_brand AS parameters FROM part WHERE p_size < 25 ORDER BY p_retailprice {o}, p_partkey LIMIT 1"
+TRIALS = (
+    " SELECT p_partkey AS trial, 'COMPLETE' AS state, p_retailprice AS value, p_brand AS parameters FROM part WHERE "
+    "p_size < 25 ORDER BY p_retailprice {o}, p_partkey LIMIT 1"
+)
 add("best_trial", lambda s, d: mo.best_trial(_trials(s, d)), TRIALS.format(o="DESC"))
 add("best_trial_least", lambda s, d: mo.best_trial(_trials(s, d), maximize=False), TRIALS.format(o=""))
 add(
@@ -170,7 +202,10 @@ add(
 
 def _registry_events(s: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("click", "view"), "activate").otherwise("register")
-    return table(s, d, "events").select(F.col("user_id").alias("model_id"), F.get_json_object("props", "$.k").alias("version"), kind.alias("kind"), F.col("event_id").alias("event_no"))
+    return table(s, d, "events").select(
+        F.col("user_id").alias("model_id"), F.get_json_object("props", "$.k").alias("version"), kind.alias("kind"),
+        F.col("event_id").alias("event_no"),
+    )
 
 
 EVENTS = """WITH e AS (SELECT user_id AS model_id, json_extract_string(props, '$.k') AS version, event_type IN ('click', 'view') AS act, event_id FROM events), m AS (SELECT DISTINCT model_id, version FROM e WHERE NOT act),
@@ -186,7 +221,10 @@ add(
     EVENTS + " SELECT model_id, version, event_id AS event_no FROM e ANTI JOIN m USING (model_id, version) WHERE act",
 )
 
-SMALLEST = "CASE WHEN max({c}) <= 127 AND min({c}) >= -128 THEN 'tinyint' WHEN max({c}) <= 32767 AND min({c}) >= -32768 THEN 'smallint' WHEN max({c}) <= 2147483647 AND min({c}) >= -2147483648 THEN 'int' ELSE 'bigint' END"
+SMALLEST = (
+    "CASE WHEN max({c}) <= 127 AND min({c}) >= -128 THEN 'tinyint' WHEN max({c}) <= 32767 AND min({c}) >= -32768 THEN "
+    "'smallint' WHEN max({c}) <= 2147483647 AND min({c}) >= -2147483648 THEN 'int' ELSE 'bigint' END"
+)
 FLOATS = "CASE WHEN bool_and(p_retailprice::FLOAT::DOUBLE = p_retailprice) THEN 'float' ELSE 'double' END"
 NARROW = f"SELECT 'p_partkey' AS \"column\", 'bigint' AS before, {SMALLEST.format(c='p_partkey')} AS after FROM part UNION ALL SELECT 'p_size', 'int', {SMALLEST.format(c='p_size')} FROM part UNION ALL SELECT 'p_retailprice', 'double', {FLOATS} FROM part"
 add("downcast_dtypes", lambda s, d: mo.narrow_types(table(s, d, "part").select("p_partkey", "p_size", "p_retailprice")), NARROW)
@@ -205,7 +243,12 @@ def _strategies(s: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("sym").alias("strategy"), "cagr", "max_drawdown", metrics.calmar().alias("calmar"))
 
 
-BY = "WITH c AS (SELECT {k} AS strategy, o_orderdate AS ts, sum(o_totalprice) AS equity FROM orders GROUP BY ALL), r AS (SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY ts) AS top FROM c), m AS (SELECT strategy, pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(*)) - 1 AS g, min((equity - top) / top) AS dd FROM r GROUP BY 1)"
+BY = (
+    "WITH c AS (SELECT {k} AS strategy, o_orderdate AS ts, sum(o_totalprice) AS equity FROM orders GROUP BY ALL), r AS "
+    "(SELECT *, max(equity) OVER (PARTITION BY strategy ORDER BY ts) AS top FROM c), m AS (SELECT strategy, "
+    "pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(*)) - 1 AS g, min((equity - top) / top) AS dd FROM r "
+    "GROUP BY 1)"
+)
 add(
     "compare_strategies",
     lambda s, d: rounded(_strategies(s, d)),

@@ -35,7 +35,10 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
     return t.withColumn("x", F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.col("price").cast("string")))
 
 
-TEXTS = "WITH t AS (SELECT event_type AS sym, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS rn, CASE WHEN event_id % 13 <> 0 THEN value END AS x FROM events)"
+TEXTS = (
+    "WITH t AS (SELECT event_type AS sym, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS rn, "
+    "CASE WHEN event_id % 13 <> 0 THEN value END AS x FROM events)"
+)
 add(
     "coerce_numeric",
     lambda s, d: rounded(cl.fill(cl.coerce_numeric(_texts(s, d), ["x"]), ["x"]).select("sym", "event_id", "x")),
@@ -97,7 +100,10 @@ add(
 
 def _line(source: str) -> str:
     at = [f"{f}(CASE WHEN x IS NOT NULL THEN rn END IGNORE NULLS) OVER {w}" for f, w in (("last_value", UP), ("first_value", AHEAD))]
-    return f", l AS (SELECT *, {BEFORE} AS xb, {AFTER} AS xa, {at[0]} AS rb, {at[1]} AS ra FROM {source}) SELECT sym, {TS}, round(coalesce(x, xb + (xa - xb) * (rn - rb) / (ra - rb), xb, xa), 6) AS x FROM l"
+    return (
+        f", l AS (SELECT *, {BEFORE} AS xb, {AFTER} AS xa, {at[0]} AS rb, {at[1]} AS ra FROM {source}) SELECT sym, {TS}, "
+        "round(coalesce(x, xb + (xa - xb) * (rn - rb) / (ra - rb), xb, xa), 6) AS x FROM l"
+    )
 
 
 add("interpolate_linear", lambda s, d: shown(cl.interpolate_linear(holes(s, d), "x"), "x"), HOLES + _line("d"))
@@ -161,10 +167,15 @@ add(
 
 def _shuffled(s: SparkSession, d: str) -> DataFrame:
     """Bars in the order of a hash of their place."""
-    return row_position(bars(s, d)).withColumn("rn", F.row_number().over(Window.partitionBy("sym").orderBy(F.pmod(F.col("rn") * 7919, F.lit(1009)), "rn")) - 1)
+    return row_position(bars(s, d)).withColumn(
+        "rn", F.row_number().over(Window.partitionBy("sym").orderBy(F.pmod(F.col("rn") * 7919, F.lit(1009)), "rn")) - 1,
+    )
 
 
-SHUFFLED = f"{BARS}, h AS (SELECT sym, ts, row_number() OVER (PARTITION BY sym ORDER BY rn * 7919 % 1009, rn) AS k FROM bars), l AS (SELECT sym, ts, lag(ts) OVER (PARTITION BY sym ORDER BY k) AS p FROM h)"
+SHUFFLED = (
+    f"{BARS}, h AS (SELECT sym, ts, row_number() OVER (PARTITION BY sym ORDER BY rn * 7919 % 1009, rn) AS k FROM bars), l "
+    "AS (SELECT sym, ts, lag(ts) OVER (PARTITION BY sym ORDER BY k) AS p FROM h)"
+)
 add(
     "steps_back",
     lambda s, d: cl.steps_back(_shuffled(s, d)),
@@ -193,11 +204,16 @@ add(
 def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Bars, and predictions for those in the first 20 hours of a day with some more a year later."""
     b = bars(s, d).select("sym", "ts", "close")
-    p = b.where("hour(ts) < 20").select("sym", F.expr("if(hour(ts) = 3, ts + interval 365 days, ts)").alias("ts"), (F.col("close") / 1000).alias("prob"))
+    p = b.where("hour(ts) < 20").select(
+        "sym", F.expr("if(hour(ts) = 3, ts + interval 365 days, ts)").alias("ts"), (F.col("close") / 1000).alias("prob"),
+    )
     return b, p
 
 
-SIDES = f"{BARS}, p AS (SELECT sym, CASE WHEN hour(ts) = 3 THEN ts + INTERVAL 365 DAYS ELSE ts END AS ts, close / 1000 AS prob FROM bars WHERE hour(ts) < 20)"
+SIDES = (
+    f"{BARS}, p AS (SELECT sym, CASE WHEN hour(ts) = 3 THEN ts + INTERVAL 365 DAYS ELSE ts END AS ts, close / 1000 AS "
+    "prob FROM bars WHERE hour(ts) < 20)"
+)
 
 
 def _joined(how: str, *columns: str):

@@ -101,7 +101,10 @@ indicator(
     "fractals",
     {"fractal_high": f"CASE WHEN count(*) {_w(3, 2)} = 5 AND high = max(high) {_w(3, 2)} THEN 1 ELSE 0 END::INTEGER", "fractal_low": f"CASE WHEN count(*) {_w(3, 2)} = 5 AND low = min(low) {_w(3, 2)} THEN 1 ELSE 0 END::INTEGER"},
 )
-X_ATR = f"{X_TR.replace('x AS', 'z AS')}, y AS (SELECT *, {_sma('tr', 14)} AS atr FROM z), x AS (SELECT *, {_full(f'median(atr) {_w(28)}', 'atr', 28)} AS med FROM y)"
+X_ATR = (
+    f"{X_TR.replace('x AS', 'z AS')}, y AS (SELECT *, {_sma('tr', 14)} AS atr FROM z), x AS (SELECT *, "
+    f"{_full(f'median(atr) {_w(28)}', 'atr', 28)} AS med FROM y)"
+)
 add(
     "rolling_median",
     lambda s, d: shown(ind.finite_indicators(bars(s, d)), "atr_median"),
@@ -202,7 +205,10 @@ def _curve(s: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.lit("all").alias("sym"), F.col("o_orderdate").alias("ts")).agg(F.sum(F.col("o_totalprice").cast("double")).alias("equity"))
 
 
-CURVE = "WITH c AS (SELECT o_orderdate AS ts, sum(o_totalprice::DOUBLE) AS equity FROM orders GROUP BY 1), r AS (SELECT *, equity / lag(equity) OVER (ORDER BY ts) - 1 AS r, max(equity) OVER (ORDER BY ts) AS top FROM c)"
+CURVE = (
+    "WITH c AS (SELECT o_orderdate AS ts, sum(o_totalprice::DOUBLE) AS equity FROM orders GROUP BY 1), r AS (SELECT *, "
+    "equity / lag(equity) OVER (ORDER BY ts) - 1 AS r, max(equity) OVER (ORDER BY ts) AS top FROM c)"
+)
 add(
     "equity_metrics",
     lambda s, d: _rounded(metrics.equity_metrics(_curve(s, d), risk_free=0.02)),

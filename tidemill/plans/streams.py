@@ -40,7 +40,10 @@ def _upserted(s: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(s: SparkSession, d: str) -> DataFrame:
-    return _ticks(s, d).select("ts", (F.col("price") > 10).cast("int").alias("prediction"), F.col("sym").isin("click", "view").cast("int").alias("actual"))
+    return _ticks(s, d).select(
+        "ts", (F.col("price") > 10).cast("int").alias("prediction"),
+        F.col("sym").isin("click", "view").cast("int").alias("actual"),
+    )
 
 
 add(

@@ -144,7 +144,10 @@ def _search(s: SparkSession, d: str) -> DataFrame:
 def _run_sql(k: int, sl: float, tp: float, least: float) -> str:
     log = _log_sql(_outcomes_sql(_signals_sql(sl, tp, least, None)))
     ends = "z1 AS (SELECT sym, count(*) AS trades, arg_max(before * f, trade_no) AS q FROM chain GROUP BY sym)"
-    return f"SELECT * FROM ({log}, {ends} SELECT {k} AS run_id, b.sym, coalesce(trades, 0) AS trades, coalesce(q, {EQUITY}) AS q FROM (SELECT DISTINCT sym FROM bars) b LEFT JOIN z1 USING (sym))"
+    return (
+        f"SELECT * FROM ({log}, {ends} SELECT {k} AS run_id, b.sym, coalesce(trades, 0) AS trades, coalesce(q, {EQUITY}) AS q "
+        "FROM (SELECT DISTINCT sym FROM bars) b LEFT JOIN z1 USING (sym))"
+    )
 
 
 SEARCH = " UNION ALL ".join(_run_sql(k, *run) for k, run in enumerate(RUNS))

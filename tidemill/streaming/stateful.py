@@ -74,7 +74,10 @@ def stream_recurrences(stream: DataFrame, folder: str, means: dict[str, tuple[st
         since = rows.join(state.select("sym", F.col("ts").alias("__since")), "sym", "left")
         late = F.coalesce(F.col("ts") <= F.col("__since"), F.lit(False))
         new = since.where(~late).select("sym", "ts", *sources, *[F.col(x).alias(f) for f, (x, _, _) in feeds.items()], F.lit(False).alias("known"))
-        before = state.select("sym", "ts", *[F.lit(None).cast("double").alias(x) for x in sources], *[F.col(y).alias(f) for f, (_, y, _) in feeds.items()], F.lit(True).alias("known"))
+        before = state.select(
+            "sym", "ts", *[F.lit(None).cast("double").alias(x) for x in sources],
+            *[F.col(y).alias(f) for f, (_, y, _) in feeds.items()], F.lit(True).alias("known"),
+        )
         done = cut(recurrences(row_position(new.unionByName(before)), {y: (f, alpha) for f, (_, y, alpha) in feeds.items()}))
         found = done.where("not known").select("sym", "ts", *sources, *means)
         behind = since.where(late).select("sym", "ts", *sources, *[F.lit(None).cast("double").alias(y) for y in means])
