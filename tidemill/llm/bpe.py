@@ -316,7 +316,10 @@ def encoded_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document's ids and of the text decoded from them."""
     path = path or vocabulary()
     back = bpe_round_trip(docs, path)
-    return back.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return back.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,7 +174,9 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, miss: float = M
     # 128 bits that stand for the label and the vector.
     v = v.withColumns({"h": F.xxhash64("label", "embedding"), "h2": F.xxhash64("embedding", "label")})
     first = [F.first(c).alias(c) for c in ("label", "embedding")]
-    classes = v.where("label is not null and embedding is not null").groupBy("h", "h2").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"), *first)
+    classes = v.where("label is not null and embedding is not null").groupBy("h", "h2").agg(
+        F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"), *first,
+    )
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))
     bits, keys = key_plan(classes.count(), cosine, miss)
     nodes = materialize(coded(classes, bits, keys, seed))
@@ -182,7 +184,9 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, miss: float = M
     rows = each.select("rep", "signs", F.xxhash64("label", "dim", "t", "k").alias("key"))
     place = ["key", "i", "j"]
     near = materialize(tiled(rows, ["key"], tile).mapInPandas(_with_company(sign_radius(cosine, sigmas)), "key long, i int, j int, own int, rep long"))
-    full = near.join(nodes.drop("signs"), "rep").withColumn("t", F.expr("array_position(transform(keys, (k, t) -> xxhash64(label, dim, t, k)), key) - 1"))
+    full = near.join(nodes.drop("signs"), "rep").withColumn(
+        "t", F.expr("array_position(transform(keys, (k, t) -> xxhash64(label, dim, t, k)), key) - 1"),
+    )
     found = full.repartition(*place).sortWithinPartitions(*place).mapInPandas(_links(cosine, sigmas, seed), "a long, b long, links long")
     found = materialize(found)
     comps = components(found.select("a", "b")).withColumnRenamed("node", "rep")

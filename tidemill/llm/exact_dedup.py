@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,25 +21,30 @@ def normalized(text: str | Column) -> Column:
     return out
 
 
-def refined(rows: DataFrame, text_col: str, prefix_chars: int = PREFIX_CHARS, slots: int = SLOTS) -> DataFrame:
+def refined(rows: DataFrame, text_col: str, prefix_chars: int = PREFIX_CHARS, slots: int = SLOTS, hashed: bool = False) -> DataFrame:
     """``rows`` with ``full``: the SHA-256 of the normalised text where another row may have the same one, null where
-    its length, or its length and the hash of its first ``prefix_chars`` code points, is nobody else's.
+    its length, or its length and the hash of its first ``prefix_chars`` code points, is nobody else's. With ``hashed``
+    there is ``text_sha256`` as well, of every row.
 
     Lengths are counted first; only texts of a shared length have their beginning hashed and counted, and only those
     that share that too are hashed in full. Shared keys of both levels are told to the next scan by a bit map of
     ``slots`` bits, the only broadcast, of a fixed size for any input; a slot shared by chance costs one hash and
     changes nothing. Counts are combined before each shuffle.
     """
-    norm = normalized(text_col)
-    size = F.length(norm)
+    # A column of its own, so that a scan normalises each text once.
+    norm, size = F.col("__norm"), F.length("__norm")
     head = F.xxhash64(size, F.substring(norm, 1, prefix_chars))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
     shared = lambda keys: materialize(slot_map(keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(slot("k").alias("slot"))))
-    lengths = shared(rows.select(size.alias("k")))
-    heads = shared(marked(rows.select(text_col), slot(size), lengths).where("__marked").select(head.alias("k")))
-    left = marked(rows, slot(size), lengths).withColumnRenamed("__marked", "__sized")
+    texts = rows.select(normalized(text_col).alias("__norm"))
+    lengths = shared(texts.select(size.alias("k")))
+    heads = shared(marked(texts, slot(size), lengths).where("__marked").select(head.alias("k")))
+    left = marked(rows.withColumn("__norm", normalized(text_col)), slot(size), lengths).withColumnRenamed("__marked", "__sized")
     left = marked(left, F.when(F.col("__sized"), slot(head)), heads)
-    return left.withColumn("full", F.when(F.col("__marked"), F.sha2(norm.cast("binary"), 256))).drop("__sized", "__marked")
+    digest = F.sha2(norm.cast("binary"), 256)
+    if hashed:
+        left, digest = left.withColumn("text_sha256", digest), F.col("text_sha256")
+    return left.withColumn("full", F.when(F.col("__marked"), digest)).drop("__norm", "__sized", "__marked")
 
 
 def rank(points: str, doc_id: str, *more: str) -> Column:
@@ -49,8 +52,8 @@ def rank(points: str, doc_id: str, *more: str) -> Column:
     return F.struct((-F.col(points)).alias("p"), F.col(doc_id).isNull().alias("o"), F.col(doc_id).alias("id"), *more)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept`` and the columns ``carry``.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS, hashed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept``, and with ``hashed`` ``text_sha256``.
 
     Texts are equal when identical after white space is deleted; of equal texts the one with the most code
     points in the original text, then the smallest id (null last), stays. Null and empty texts form one group. Other
@@ -61,13 +64,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that tells repeated ones apart; groups are counted with map-side combining and joined back by their hash, which is
     a plain equi-join of two exchanges, whose hot keys Spark splits.
     """
-    more = [f"__c{k}" for k in range(len(carry))]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, more, strict=True)])
+    out = ["text_sha256"] if hashed else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     points = F.length(F.coalesce("text", F.lit(""))).alias("points")
-    keyed = refined(rows, "text", prefix_chars).select("doc_id", points, "full", F.monotonically_increasing_id().alias("key"), *more)
+    keyed = refined(rows, "text", prefix_chars, hashed=hashed).select("doc_id", points, "full", F.monotonically_increasing_id().alias("key"), *out)
     keyed = materialize(keyed)
     one = F.lit(1).cast("long")
-    out = [F.col(m).alias(c) for m, c in zip(more, carry, strict=True)]
     alone = keyed.where("full is null").select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), *out)
     many = keyed.where("full is not null")
     groups = many.groupBy("full").agg(F.min(rank("points", "doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("group_size"))
@@ -91,9 +93,7 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    digest = F.sha2(normalized("text").cast("binary"), 256)
-    return exact_dedup(docs.withColumn("text_sha256", digest), carry=["text_sha256"])
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), hashed=True)
 
 
 OP3_SQL = r"""

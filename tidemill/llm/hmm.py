@@ -212,7 +212,10 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
 
     out = coded.mapInArrow(scored, schema)
     base = F.col("logs") - F.col("n_tokens") * F.lit(unit)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known",
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+    )
 
 
 def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

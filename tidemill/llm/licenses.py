@@ -108,7 +108,10 @@ def template_blocks(docs: DataFrame, templates: Sequence[tuple[str, str, str]] =
     seen = materialize(token.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     # One row for each word of a template: there are as many as the parameter has.
     ranked = words.select("word").distinct().join(F.broadcast(seen), "word", "left")
-    ranked = ranked.select("word", F.coalesce("n", F.lit(0)).alias("n"), F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "word")).alias("rank"))
+    ranked = ranked.select(
+        "word", F.coalesce("n", F.lit(0)).alias("n"),
+        F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "word")).alias("rank"),
+    )
     ranked = materialize(ranked)
     need = F.ceil(F.col("t") * F.lit(threshold) - F.lit(1e-9)).cast("int")
     order = words.join(F.broadcast(ranked), "word")
@@ -123,7 +126,10 @@ def template_blocks(docs: DataFrame, templates: Sequence[tuple[str, str, str]] =
     at = at.join(F.broadcast(ranked.select("word", "rank")), "word")
     steps = F.explode(F.array(*[F.lit(x) for x in sorted({r[2] for r in rows})])) if rows else F.lit(STEP)
     at = at.select("tid", "rank", "pos", steps.alias("step")).withColumn("here", F.expr("cast(pos div step as long)"))
-    at = at.select("tid", "rank", "step", F.explode(F.when(F.col("here") > 0, F.array(F.col("here") - 1, "here")).otherwise(F.array("here"))).alias("block"))
+    at = at.select(
+        "tid", "rank", "step",
+        F.explode(F.when(F.col("here") > 0, F.array(F.col("here") - 1, "here")).otherwise(F.array("here"))).alias("block"),
+    )
     blocks = at.groupBy("tid", "step", "block").agg(F.sort_array(F.collect_set("rank")).alias("held")).withColumn("n", F.size("held"))
     probe = blocks.select("*", F.posexplode("held").alias("j", "rank"))
     pairs = probe.join(F.broadcast(prefix), ["rank", "step"]).where((F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")))
@@ -133,7 +139,9 @@ def template_blocks(docs: DataFrame, templates: Sequence[tuple[str, str, str]] =
     first = first.where(F.least(F.col("t") - F.col("i"), F.col("n") - F.col("j")) >= F.col("need"))
     common = F.size(F.array_intersect("held", "ranks"))
     whole = F.size(F.array_intersect("held", "musts")) == F.size("musts")
-    return first.where((common >= F.col("need")) & whole).select("tid", "step", "block", "template", "label", (common / F.col("t")).alias("containment"))
+    return first.where((common >= F.col("need")) & whole).select(
+        "tid", "step", "block", "template", "label", (common / F.col("t")).alias("containment"),
+    )
 
 
 def phrase_places(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +165,10 @@ def phrase_places(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, id_col:
         last.append((F.col("n_words") - (spaces(F.element_at(cut, -1)) - 1) - len(phrase.split())).cast("long"))
     labels = F.array_compact(F.array(*[F.when(F.col(f"cut{k}").isNotNull(), F.lit(label)) for k, label in enumerate(phrases.values())]))
     lowest, highest = (first[0], last[0]) if len(phrases) == 1 else (F.least(*first), F.greatest(*last))
-    return found.select("doc_id", "tid", "n_words", sum(times[1:], times[0]).cast("long").alias("n_base"), lowest.alias("first_word"), highest.alias("last_word"), labels.alias("base_labels"))
+    return found.select(
+        "doc_id", "tid", "n_words", sum(times[1:], times[0]).cast("long").alias("n_base"), lowest.alias("first_word"),
+        highest.alias("last_word"), labels.alias("base_labels"),
+    )
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -172,7 +183,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     text = lambda c: F.array_join(F.sort_array(F.array_distinct(c)), ",")
     both = F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
-    return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", text("base_labels").alias("base_labels"), text(both).alias("labels"), score.alias("score"))
+    return joined.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", text("base_labels").alias("base_labels"),
+        text(both).alias("labels"), score.alias("score"),
+    )
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,10 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     the words of the epoch in part that are left when its turn comes."""
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), named.alias("name"), n_words(text_col).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("tie"))
+    d = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), named.alias("name"), n_words(text_col).alias("size"),
+        key.alias("key"), F.xxhash64(text_col).alias("tie"),
+    )
     d = materialize(d)
     stats = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = source_targets(stats, weights, share, epochs)

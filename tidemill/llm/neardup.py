@@ -156,7 +156,9 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     named = materialize(nodes.select("rep", "tid").join(ends, "rep"))
     sets = materialize(named.join(shingle_sets(docs, named.select("tid"), text_col, shingle), "tid").select("rep", "shingles"))
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b",
+    )
     both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
     return both.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared"))).select("a", "b")
 
@@ -180,7 +182,10 @@ def apart_tiles(rows: DataFrame, tile: int) -> DataFrame:
     parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     parts = parts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("all"))
     tiles = lambda c: F.ceil(c / tile).cast("int")
-    parts = parts.where("all > most.c").select("key", F.col("most.component").alias("main"), tiles(F.col("most.c")).alias("m"), tiles(F.col("all") - F.col("most.c")).alias("o"))
+    parts = parts.where("all > most.c").select(
+        "key", F.col("most.component").alias("main"), tiles(F.col("most.c")).alias("m"),
+        tiles(F.col("all") - F.col("most.c")).alias("o"),
+    )
     dealt = rows.join(materialize(parts), "key").withColumn("h", F.xxhash64("rep"))
     inside = F.col("component") == F.col("main")
     dealt = dealt.withColumn("own", F.when(inside, F.pmod("h", "m")).otherwise(F.col("m") + F.pmod("h", "o")).cast("int"))
@@ -243,7 +248,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("__id"), text_key(text_col).alias("__tid"))
     rows = marked(rows, slot(), slot_map(named.select(slot().alias("slot"))))
     free = rows.where("not __marked").select("row.*")
-    held = rows.where("__marked").alias("x").join(named.alias("y"), F.col("x.__id").eqNullSafe(F.col("y.__id")) & (F.col("x.__tid") == F.col("y.__tid")), "left")
+    held = rows.where("__marked").alias("x").join(
+        named.alias("y"), F.col("x.__id").eqNullSafe(F.col("y.__id")) & (F.col("x.__tid") == F.col("y.__tid")), "left",
+    )
     held = held.select("row", F.col("x.__id").alias("__id"), F.col("x.__tid").alias("__tid"), "stays")
     other = held.where("stays is null").select("row.*")
     one = held.where("stays").groupBy("__id", "__tid").agg(F.first("row").alias("row")).select("row.*")
