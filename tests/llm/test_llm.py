@@ -300,7 +300,7 @@ def cosines(text, names, sums):
 def plain_profile(text):
     from tidemill.llm.langid import DIM, SEED
 
-    letter = lambda c: np.random.default_rng([SEED, ord(c) if c != " " else 0]).integers(0, 2, DIM) * 2 - 1
+    letter = lambda c: np.random.default_rng([SEED, ord(c) if c != " " else 0]).integers(0, 2, DIM, dtype=np.int8) * 2.0 - 1
     clean = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + "  "
     grams = Counter(clean[k : k + 3] for k in range(len(clean) - 2) if clean[k : k + 3] != "   ")
     v = np.zeros(DIM)
