@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -41,18 +42,19 @@ def blocks(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         part = TaskContext.get().partitionId()
         for k, b in enumerate(sub_batches(batches, chars=BLOCK, rows=1 << 30)):
             texts, held = b.column(1).to_pylist(), b.column(2).to_pylist()
-            split = [(t.encode().lower().split() if t else []) + [b""] for t in texts]
-            counts: Counter[bytes] = Counter()
-            for words, h in zip(split, held, strict=True):
-                if not h:
-                    counts.update(words)
-            names = sorted(set().union(*split))
-            place = {w: i for i, w in enumerate(names)}
-            seqs = [zlib.compress(np.fromiter(map(place.__getitem__, words), dtype="<i4", count=len(words)).tobytes(), 1) for words in split]
+            # Places in the order of first use: a token costs one look-up.
+            place: defaultdict[bytes, int] = defaultdict(count().__next__)
+            ids = []
+            for t in texts:
+                words = (t.encode().lower().split() if t else []) + [b""]
+                ids.append(np.fromiter(map(place.__getitem__, words), dtype="<i4", count=len(words)))
+            taught = [x for x, h in zip(ids, held, strict=True) if not h]
+            counts = np.bincount(np.concatenate(taught), minlength=len(place)) if taught else np.zeros(len(place), dtype=np.int64)
+            names, seqs = list(place), [zlib.compress(x.tobytes(), 1) for x in ids]
             name = part << 32 | k
             d, w = b.num_rows, len(names)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(d, np.int32)), pa.array(np.full(d, name)), b.column(0), b.column(2), pa.array(seqs, pa.binary()), pa.nulls(d, pa.int32()), pa.nulls(d, pa.binary()), pa.nulls(d, pa.int64())], NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(w, np.int32)), pa.array(np.full(w, name)), pa.nulls(w, pa.string()), pa.nulls(w, pa.bool_()), pa.nulls(w, pa.binary()), pa.array(np.arange(w, dtype=np.int32)), pa.array(names, pa.binary()), pa.array([counts[x] for x in names], pa.int64())], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(w, np.int32)), pa.array(np.full(w, name)), pa.nulls(w, pa.string()), pa.nulls(w, pa.bool_()), pa.nulls(w, pa.binary()), pa.array(np.arange(w, dtype=np.int32)), pa.array(names, pa.binary()), pa.array(counts, pa.int64())], NAMES)
 
     narrow = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.col(held_out).alias("held"))
     return narrow.mapInArrow(run, "kind int, block long, doc_id string, held boolean, seq binary, place int, word binary, n long")
