@@ -127,3 +127,29 @@ def sub_batches(batches: Iterator[pa.RecordBatch], text: str = "text", chars: in
             held += n
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def finite_vectors(column: pa.ListArray, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and components ``floor(scale * x)`` (whole doubles) of the rows of an array of lists of doubles, by
+    length of the list. Rows that are null or hold a null or non-finite component don't come out. Components beyond
+    4,096 in size raise: products and squares of larger ones would not stay exact."""
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), -1)
+    for dim in np.unique(size[size >= 0]).tolist():
+        at = np.nonzero(size == dim)[0]
+        x = flat[ends[at][:, None] + np.arange(dim, dtype=np.int64)].astype(np.float64)
+        good = np.isfinite(x).all(axis=1)
+        if (np.abs(x[good]) > 4096).any():
+            raise ValueError("a vector has a component beyond 4,096")
+        yield at[good], np.floor(x[good] * scale)
+
+
+def packed_rows(x: np.ndarray) -> pa.Array:
+    """Rows of whole numbers as binary values of 32-bit integers; :func:`unpacked_rows` is the way back."""
+    return pa.array([r.tobytes() for r in x.astype("<i4")], pa.binary())
+
+
+def unpacked_rows(column: pa.Array) -> np.ndarray:
+    """The matrix (doubles) of binary values of one length."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype="<i4").reshape(len(rows), -1).astype(np.float64)

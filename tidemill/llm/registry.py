@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, embeddings, exact_dedup, hmm, langid, licenses, linededup, mixing, resample, simhash
+from tidemill.llm import bpe, embeddings, exact_dedup, hmm, langid, licenses, linededup, mixing, negatives, resample, simhash, vectorcodes
 
 QUERIES = {
     "op1_quality": resample.op1_quality,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_hmm_scores": hmm.op8_hmm_scores,
     "op9_embedding_groups": embeddings.op9_embedding_groups,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op12_vector_codes": vectorcodes.op12_vector_codes,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
+}
+ORACLE_SQL = {
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_license_scan": licenses.OP5_SQL,
+    "op7_mixing": mixing.OP7_SQL,
+    "op12_vector_codes": vectorcodes.OP12_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op5_license_scan": licenses.OP5_SQL, "op7_mixing": mixing.OP7_SQL}
