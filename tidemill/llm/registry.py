@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import bpe, embeddings, exact_dedup, hmm, langid, licenses, linededup, mixing, negatives, resample, simhash, vectorcodes
+from tidemill.llm import bpe, embeddings, exact_dedup, hmm, htmltext, langid, licenses, linededup, mixing, negatives, resample, simhash, vectorcodes
 
 QUERIES = {
     "op1_quality": resample.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_hmm_scores": hmm.op8_hmm_scores,
     "op9_embedding_groups": embeddings.op9_embedding_groups,
     "op10_line_dedup": linededup.op10_line_dedup,
+    "op11_main_text": htmltext.op11_main_text,
     "op12_vector_codes": vectorcodes.op12_vector_codes,
     "op13_hard_negatives": negatives.op13_hard_negatives,
 }
