@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.core import chunk_windows, cut, full, lagged, recurrence, recurrences, row_position, running
@@ -181,72 +181,110 @@ def sar_step(state: tuple | None, high: float, low: float, first: float, most: f
     return rising, sar, extreme, speed, high, low, high1, low1
 
 
-def psar(bars: DataFrame, first: float = ACCELERATION, most: float = MOST_ACCELERATION, block: int = SAR_BLOCK, lead: int = SAR_LEAD) -> DataFrame:
-    """Adds ``psar``, the Parabolic SAR while the trend is rising, null while it falls.
+def _sar_fields(prefix: str) -> str:
+    return ", ".join(f"{prefix}{c} {'boolean' if c == 'rising' else 'double'}" for c in SAR_STATE)
 
-    A SAR's state is a recurrence that no algebra shortens, but it forgets: trends that turn on the same bar at the same
-    extreme go on alike. Blocks of ``block`` rows are therefore run at once, each from a state guessed by starting
-    ``lead`` rows before it. A guess is right if it is the end of the block before; the blocks whose guess was wrong run
-    again from that end, until none is. Each round makes one more block of a symbol right at least, so the result is
-    that of one run over all rows, and a task never holds more than a block."""
-    rows = cut(positions(bars))
-    narrow = rows.select("sym", "rn", "high", "low")
-    state = ", ".join(f"{c} {'boolean' if c == 'rising' else 'double'}" for c in SAR_STATE)
 
-    def run(pdf: pd.DataFrame, begin: tuple | None, at: int) -> tuple[tuple | None, list[tuple]]:
-        """The state before row ``at`` and those after it and each later row."""
-        now, out, before = begin, [], begin
-        for rn, high, low in pdf.sort_values("rn")[["rn", "high", "low"]].itertuples(index=False):
-            if rn == at:
-                before = now
-            now = sar_step(now, high, low, first, most)
-            if rn >= at:
-                out.append((rn, now))
-        return before, out
+def _sar_begin(row: pd.Series, prefix: str) -> tuple | None:
+    one = tuple(row[prefix + c] for c in SAR_STATE)
+    return None if pd.isna(one[1]) else (bool(one[0]), *map(float, one[1:]))
 
-    def framed(sym: str, b: int, before: tuple | None, after: tuple) -> pd.DataFrame:
-        none = (None,) * len(SAR_STATE)
-        names = [f"in_{c}" for c in SAR_STATE] + [f"out_{c}" for c in SAR_STATE]
-        return pd.DataFrame([[sym, b, *(before or none), *after]], columns=["sym", "b", *names])
 
-    def guess(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["b"].iat[0])
-        before, out = run(pdf, None, b * block)
-        return framed(pdf["sym"].iat[0], b, before, out[-1][1])
+def _sar_same(a: tuple | None, b: tuple | None) -> bool:
+    """Whether two states go on alike: all but the SAR are equal, which may differ by what rounding leaves of a difference."""
+    return a is None and b is None or bool(a and b) and (a[0], *a[2:]) == (b[0], *b[2:]) and abs(a[1] - b[1]) <= 1e-12 * max(1.0, abs(b[1]))
 
-    def begin_of(pdf: pd.DataFrame) -> tuple | None:
-        one = tuple(pdf[f"in_{c}"].iat[0] for c in SAR_STATE)
-        return None if pd.isna(one[1]) else (bool(one[0]), *map(float, one[1:]))
 
-    def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, before = int(pdf["b"].iat[0]), begin_of(pdf)
-        return framed(pdf["sym"].iat[0], b, before, run(pdf, before, b * block)[1][-1][1])
+def sar_states(bars: DataFrame, first: float = ACCELERATION, most: float = MOST_ACCELERATION, block: int = SAR_BLOCK, lead: int = SAR_LEAD) -> tuple[DataFrame, int]:
+    """``sym, b, in_*, out_*``: the states of a Parabolic SAR before and after each block of ``block`` rows (``bars`` has
+    ``rn``), and the number of rounds that this took.
 
-    def values(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = run(pdf, begin_of(pdf), int(pdf["b"].iat[0]) * block)[1]
-        return pd.DataFrame({"sym": pdf["sym"].iat[0], "rn": [rn for rn, _ in out], "psar": [s[1] if s[0] else None for _, s in out]})
+    A SAR's state is a recurrence that no algebra shortens, but it forgets: trends that turn on the same bar at the same
+    extreme go on alike. All blocks are run at once, each from a state guessed by starting ``lead`` rows before it. A guess
+    is right if it is the end of the block before. Blocks whose guess was wrong run again from that end, and on through
+    the blocks behind them until one ends as it did before: through at most one block in the first round, two in the second, four
+    in the third. So a stretch that forgets nothing, such as a flat one, of n blocks takes about log2(n) rounds, and
+    one that forgets at once takes one. Rows stream through a task in order; it holds a batch of them."""
+    narrow = bars.select("sym", "rn", "high", "low")
+    names = [f"in_{c}" for c in SAR_STATE] + [f"out_{c}" for c in SAR_STATE]
+    schema = f"sym string, b long, {_sar_fields('in_')}, {_sar_fields('out_')}"
+
+    def guess(pdf: pd.DataFrame) -> pd.DataFrame:
+        b, now, before = int(pdf["b"].iat[0]), None, None
+        for rn, high, low in pdf.sort_values("rn")[["rn", "high", "low"]].itertuples(index=False):
+            before = now if rn == b * block else before
+            now = sar_step(now, high, low, first, most)
+        return pd.DataFrame([[pdf["sym"].iat[0], b, *(before or (None,) * len(SAR_STATE)), *now]], columns=["sym", "b", *names])
+
+    def go_on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, now, before, over = None, None, None, False
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if (r.sym, r.head) != run:
+                    run, over = (r.sym, r.head), False
+                    now = before = None if pd.isna(r.in_sar) else (bool(r.in_rising), *(float(getattr(r, f"in_{c}")) for c in SAR_STATE[1:]))
+                if over:
+                    continue
+                now = sar_step(now, r.high, r.low, first, most)
+                if not pd.isna(r.was_sar):  # a block's last row, with the state in which it ended before
+                    out.append([r.sym, r.b, *(before or (None,) * len(SAR_STATE)), *now])
+                    over = _sar_same(now, (bool(r.was_rising), *(float(getattr(r, f"was_{c}")) for c in SAR_STATE[1:])))
+                    before = now
+            if out:
+                yield pd.DataFrame(out, columns=["sym", "b", *names])
 
-    ins, outs = (state if p == "" else ", ".join(f"{p}{x.strip()}" for x in state.split(",")) for p in ("in_", "out_"))
-    schema = f"sym string, b long, {ins}, {outs}"
     home = F.floor(F.col("rn") / block).cast("long")
-    ahead = F.floor((F.col("rn") + lead) / block).cast("long")
-    spread = narrow.withColumn("b", F.explode(F.sequence(home, ahead)))
-    last = narrow.groupBy("sym").agg(F.floor(F.max("rn") / block).cast("long").alias("last"))
-    spread = spread.join(last, "sym").where("b <= last").drop("last")
     own = narrow.withColumn("b", home)
+    last = narrow.groupBy("sym").agg(F.max("rn").alias("top"))
+    spread = narrow.withColumn("b", F.explode(F.sequence(home, F.floor((F.col("rn") + lead) / block).cast("long"))))
+    spread = spread.join(last, "sym").where(F.col("b") * block <= F.col("top")).drop("top")
     states = cut(spread.groupBy("sym", "b").applyInPandas(guess, schema))
-    names = [f"in_{c}" for c in SAR_STATE]
+    exact = [c for c in SAR_STATE if c != "sar"]
+    rounds = 0
     while True:
-        ends = states.select("sym", (F.col("b") + 1).alias("b"), *[F.col(f"out_{c}").alias(f"in_{c}") for c in SAR_STATE])
-        same = F.struct(*[f"x.{c}" for c in names]).eqNullSafe(F.struct(*[f"y.{c}" for c in names]))
-        wrong = states.alias("x").join(ends.alias("y"), ["sym", "b"]).where(~same).select("sym", "b", *[f"y.{c}" for c in names])
-        wrong = cut(wrong)
+        ends = states.select("sym", (F.col("b") + 1).alias("b"), *[F.col(f"out_{c}").alias(f"end_{c}") for c in SAR_STATE])
+        same = F.struct(*[f"in_{c}" for c in exact]).eqNullSafe(F.struct(*[f"end_{c}" for c in exact]))
+        near = F.coalesce(F.abs(F.col("in_sar") - F.col("end_sar")) <= 1e-12 * F.greatest(F.lit(1.0), F.abs("end_sar")), F.lit(False))
+        wrong = states.join(ends, ["sym", "b"]).where(~(same & near)).select("sym", F.col("b").alias("head"), *[F.col(f"end_{c}").alias(f"in_{c}") for c in SAR_STATE])
+        # One row a wrong block; a run ends where the next one begins.
+        following = F.lead("head").over(Window.partitionBy("sym").orderBy("head"))
+        wrong = cut(wrong.withColumn("stop", F.least(F.col("head") + 2**rounds, F.coalesce(following, F.col("head") + 2**rounds))))
         if wrong.isEmpty():
-            break
-        mended = own.join(wrong, ["sym", "b"]).groupBy("sym", "b").applyInPandas(again, schema)
-        states = cut(states.join(wrong.select("sym", "b"), ["sym", "b"], "left_anti").unionByName(mended))
-    found = own.join(states.select("sym", "b", *names), ["sym", "b"]).groupBy("sym", "b").applyInPandas(values, "sym string, rn long, psar double")
-    return rows.join(found, ["sym", "rn"])
+            return states, rounds
+        rounds += 1
+        blocks = wrong.withColumn("b", F.explode(F.sequence("head", F.col("stop") - 1))).drop("stop")
+        ended = states.select("sym", "b", *[F.col(f"out_{c}").alias(f"was_{c}") for c in SAR_STATE])
+        rows = own.join(blocks.join(ended, ["sym", "b"]), ["sym", "b"]).join(last, "sym")
+        at_end = (F.col("rn") == (F.col("b") + 1) * block - 1) | (F.col("rn") == F.col("top"))
+        rows = rows.withColumns({f"was_{c}": F.when(at_end, F.col(f"was_{c}")) for c in SAR_STATE}).drop("top")
+        mended = cut(rows.repartition("sym", "head").sortWithinPartitions("sym", "head", "rn").mapInPandas(go_on, schema))
+        states = cut(states.join(mended.select("sym", "b"), ["sym", "b"], "left_anti").unionByName(mended))
+
+
+def psar(bars: DataFrame, first: float = ACCELERATION, most: float = MOST_ACCELERATION, block: int = SAR_BLOCK, lead: int = SAR_LEAD) -> DataFrame:
+    """Adds ``psar``, the Parabolic SAR while the trend is rising, null while it falls: each block of rows runs from its
+    state in :func:`sar_states`, so the result is that of one run over all rows. Trends begin rising at the first bar."""
+    rows = cut(positions(bars))
+    states, _ = sar_states(rows, first, most, block, lead)
+
+    def values(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        now, out = _sar_begin(pdf.iloc[0], "in_"), []
+        for high, low in pdf[["high", "low"]].itertuples(index=False):
+            now = sar_step(now, high, low, first, most)
+            out.append(now[1] if now[0] else None)
+        return pd.DataFrame({"sym": pdf["sym"].iat[0], "rn": pdf["rn"], "psar": out})
+
+    own = rows.select("sym", "rn", "high", "low", F.floor(F.col("rn") / block).cast("long").alias("b"))
+    begun = own.join(states.select("sym", "b", *[f"in_{c}" for c in SAR_STATE]), ["sym", "b"])
+    return rows.join(begun.groupBy("sym", "b").applyInPandas(values, "sym string, rn long, psar double"), ["sym", "rn"])
+
+
+def sar_last(bars: DataFrame) -> DataFrame:
+    """``sym`` and the SAR's state after the symbol's last bar."""
+    states, _ = sar_states(cut(positions(bars)))
+    return states.groupBy("sym").agg(*[F.max_by(f"out_{c}", "b").alias(c) for c in SAR_STATE])
 
 
 def obv(bars: DataFrame) -> DataFrame:

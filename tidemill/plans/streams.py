@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.plans.queries import _lr, add, shown
+from tidemill.operators.core import cut
+from tidemill.plans.features import CTES, RECURSIVE
+from tidemill.plans.quality import TS
+from tidemill.plans.queries import _lr, add, bars, shown
 from tidemill.streaming import stateful as st
+from tidemill.streaming import live
 from tidemill.streaming.bars import new_folder, run_available, stream_dedup, stream_ohlcv, tick_stream
 
 add(
@@ -66,18 +70,13 @@ add(
 )
 
 
-def _in_two(s: SparkSession, d: str) -> DataFrame:
-    """Ticks in two batches: first those from the 15th on, of which each tenth is missing, then the others."""
-    at = new_folder(s)
-    rows = s.read.parquet(f"{d}/events.parquet").withColumn("second", F.expr("int(day(ts) < 15 or event_id % 10 = 0)"))
-    for k in (0, 1):
-        rows.where(F.col("second") == k).drop("second").coalesce(1).write.parquet(f"{at}/{k}")
-    stream = s.readStream.schema(rows.drop("second").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/*")
-    return stream.select(F.col("event_type").alias("sym"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"))
-
-
 def _sides(s: SparkSession, d: str) -> DataFrame:
-    rows, late = st.stream_late_rows(_in_two(s, d), new_folder(s))
+    """Ticks that come in two batches: first those from the 15th on, of which each tenth is missing, then the others."""
+    at, folder = new_folder(s), new_folder(s)
+    ticks = s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("sym"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"))
+    for k, part in enumerate(("day(ts) >= 15 and event_id % 10 <> 0", "day(ts) < 15 or event_id % 10 = 0")):
+        ticks.where(part).write.parquet(f"{at}/{k}")
+        rows, late = st.stream_late_rows(s.readStream.schema(ticks.schema).parquet(f"{at}/*"), folder)
     return s.read.parquet(rows).select("sym", "event_id", F.lit(False).alias("late")).union(s.read.parquet(late).select("sym", "event_id", F.lit(True)))
 
 
@@ -105,3 +104,24 @@ add(
     lambda s, d: shown(s.read.parquet(st.stream_wilder(_ticks(s, d), new_folder(s), 14, ["price"])), "wilder_price"),
     _mean_sql("(1.0::DOUBLE / 14)", "wilder_price"),
 )
+
+
+def _live(s: SparkSession, d: str) -> DataFrame:
+    """Hourly bars that come in three runs of the query, each going on from the one before; every seventh bar of the day before a
+    run's end comes with the next run."""
+    at, folder = new_folder(s), new_folder(s)
+    whole = cut(bars(s, d).select("sym", F.col("ts").cast("timestamp").alias("ts"), "high", "low", "close"))
+    day = F.day("ts")
+    run = F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2) + F.when(day.isin(10, 20) & (F.hour("ts") % 7 == 0), 1).otherwise(0)
+    for k in range(3):
+        whole.where(run == k).write.parquet(f"{at}/{k}")
+        live.run_live(s.readStream.schema(whole.schema).parquet(f"{at}/*"), folder, "2 days")
+    return s.read.parquet(f"{folder}/rows")
+
+
+LIVE = ("ema_20", "rsi_14", "atr_14", "psar")
+add(
+    "stream_indicators",
+    lambda s, d: shown(_live(s, d), *LIVE),
+    f"{RECURSIVE}, {CTES} SELECT sym, {TS}, {', '.join(f'round({c}, 6) AS {c}' for c in LIVE)} FROM whole WHERE ts <= (SELECT max(ts) FROM bars) - INTERVAL 2 DAY",
+)
