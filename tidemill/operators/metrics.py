@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tidemill.operators.core import JOIN_MAX, pct_change, row_position, running
+from tidemill.operators.core import JOIN_MAX, cut, pct_change, row_position, running
 
 
 def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -23,13 +23,31 @@ def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     )
 
 
+#: Distinct values of one range of :func:`quantile_ranges`, and ranges of a column at least and at most.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 100_000, 128, 8192
+
+
+def quantile_ranges(h: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Adds ``k``: the range of ``value`` (a double) among ranges of about as many rows each, cut at approximate quantiles
+    of each group of ``by``, so that what orders the values can order each range apart. Their number follows the rows of ``h``,
+    which is counted; a group's cuts are one row of at most MOST_RANGES numbers."""
+    n = min(max(LEAST_RANGES, h.count() // RANGE_ROWS), MOST_RANGES)
+    coarse = 64
+    at = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = F.percentile_approx(value, at, F.lit(10 * n)).alias("__cuts")
+    per = (h.groupBy(*by).agg(cuts) if by else h.agg(cuts)).withColumn("__coarse", F.expr(f"filter(__cuts, (c, i) -> i % {coarse} = {coarse - 1})"))
+    both = h.join(F.broadcast(per), by) if by else h.crossJoin(F.broadcast(per))
+    # As many whole runs of cuts lie below the value as coarse cuts do; the rest is counted in the next run.
+    both = both.withColumn("__full", F.size(F.filter("__coarse", lambda c: c < F.col(value))) * coarse)
+    rest = F.slice("__cuts", F.col("__full") + 1, coarse)
+    return both.withColumn("k", F.col("__full") + F.size(F.filter(rest, lambda c: c < F.col(value)))).drop("__cuts", "__coarse", "__full")
+
+
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Area under the ROC curve with ties halved, over counts by distinct score. Distinct scores are cut into 1,024
-    ranges; each is ordered on its own and starts from the sums of the ranges before."""
-    h = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
-    ends = h.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    at = F.coalesce(F.floor(F.try_divide((F.col("s") - F.col("lo")) * 1024, F.col("hi") - F.col("lo"))), F.lit(0))
-    h = h.crossJoin(F.broadcast(ends)).withColumn("k", at)
+    """Area under the ROC curve with ties halved, over counts by distinct score. Distinct scores are cut into ranges at
+    quantiles; each is ordered on its own and starts from the sums of the ranges before."""
+    h = cut(df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n")))
+    h = quantile_ranges(h, "s")
     ranges = h.groupBy("k").agg(F.sum("n").alias("n_k"))
     before = ranges.select(
         "k",
@@ -105,24 +123,26 @@ def weighted_class_report(df: DataFrame, y: str, p: str) -> DataFrame:
     )
 
 
-def ks_two_sample(df: DataFrame, current: str, column: str) -> DataFrame:
-    """``statistic, p_value`` of the two-sample Kolmogorov-Smirnov test between rows with ``current`` 0 and 1, over counts
-    by distinct value; p by the asymptotic series. Values are cut into ranges at approximate quantiles, each ordered on
-    its own from the sums before it."""
-    h = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
-        F.count_if(F.col(current) == 0).alias("a"), F.count_if(F.col(current) == 1).alias("b"),
-    )
-    cuts = h.agg(F.percentile_approx("v", F.array(*[F.lit(k / 128) for k in range(1, 128)]), F.lit(1000)).alias("cuts"))
-    h = h.crossJoin(F.broadcast(cuts)).withColumn("k", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = h.groupBy("k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb")).select(
-        "k", F.coalesce(F.sum("ka").over(before), F.lit(0)).alias("sa"),
-        F.coalesce(F.sum("kb").over(before), F.lit(0)).alias("sb"),
+def _histogram(df: DataFrame, current: str, columns: list[str], numeric: set[str]) -> DataFrame:
+    """``column, v, c, a, b``: how often each value of each of ``columns`` (``v`` of numbers, ``c`` of others) stands in rows with
+    ``current`` 0 and 1. All columns are counted in one scan, combined before the shuffle, and written once."""
+    none = F.lit(None)
+    each = [F.struct(F.lit(c).alias("column"), (F.col(c) if c in numeric else none).cast("double").alias("v"), (none if c in numeric else F.col(c)).cast("string").alias("c")) for c in columns]
+    long = df.select(F.col(current).alias("__side"), F.inline(F.array(*each))).where("v is not null or c is not null")
+    return cut(long.groupBy("column", "v", "c").agg(F.count_if(F.col("__side") == 0).alias("a"), F.count_if(F.col("__side") == 1).alias("b")))
+
+
+def _ks(h: DataFrame) -> DataFrame:
+    """``column, statistic, p_value`` of the Kolmogorov-Smirnov test of all columns of a histogram of numbers at once."""
+    h = quantile_ranges(h.select("column", "v", "a", "b"), "v", ["column"])
+    before = Window.partitionBy("column").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = h.groupBy("column", "k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb")).select(
+        "column", "k", F.coalesce(F.sum("ka").over(before), F.lit(0)).alias("sa"), F.coalesce(F.sum("kb").over(before), F.lit(0)).alias("sb"),
     )
-    inside = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    c = h.withColumn("ca", F.sum("a").over(inside)).withColumn("cb", F.sum("b").over(inside)).join(F.broadcast(starts), "k")
-    total = h.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    d = c.crossJoin(F.broadcast(total)).agg(
+    inside = Window.partitionBy("column", "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    c = h.withColumn("ca", F.sum("a").over(inside)).withColumn("cb", F.sum("b").over(inside)).join(F.broadcast(starts), ["column", "k"])
+    total = h.groupBy("column").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    d = c.join(F.broadcast(total), "column").groupBy("column").agg(
         F.max(F.abs((F.col("sa") + F.col("ca")) / F.col("na") - (F.col("sb") + F.col("cb")) / F.col("nb"))).alias("statistic"),
         F.max(F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))).alias("scale"),
     )
@@ -131,56 +151,92 @@ def ks_two_sample(df: DataFrame, current: str, column: str) -> DataFrame:
         F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
         lambda s, k: s + 2 * F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * lam * lam),
     )
-    return d.select("statistic", F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))).alias("p_value"))
+    return d.select("column", "statistic", F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))).alias("p_value"))
+
+
+def _chi2(h: DataFrame) -> DataFrame:
+    """``column, statistic, dof`` of all columns of a histogram of categories at once."""
+    total = h.groupBy("column").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("k"))
+    sides = [F.struct(F.col(o).cast("double").alias("o"), ((F.col("a") + F.col("b")) * F.col(n) / (F.col("na") + F.col("nb"))).alias("e")) for o, n in (("a", "na"), ("b", "nb"))]
+    both = h.join(F.broadcast(total), "column").select("column", "k", F.explode(F.array(*sides)).alias("x"))
+    off = F.abs(F.col("x.o") - F.col("x.e"))
+    off = F.when(F.col("k") == 2, off - F.least(F.lit(0.5), off)).otherwise(off)
+    return both.groupBy("column").agg(F.sum(off * off / F.col("x.e")).alias("statistic"), (F.max("k") - 1).alias("dof"))
+
+
+def ks_two_sample(df: DataFrame, current: str, column: str) -> DataFrame:
+    """``statistic, p_value`` of the two-sample Kolmogorov-Smirnov test between rows with ``current`` 0 and 1, over counts
+    by distinct value; p by the asymptotic series. Values are cut into ranges at approximate quantiles, each ordered on
+    its own from the sums before it."""
+    return _ks(_histogram(df, current, [column], {column})).drop("column")
 
 
 def chi2_contingency(df: DataFrame, current: str, column: str) -> DataFrame:
     """``statistic, dof`` of the 2 x k test of a category between rows with ``current`` 0 and 1; categories that one side
     lacks count 0, and a 2 x 2 table is corrected for continuity."""
-    cells = df.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.count_if(F.col(current) == 0).alias("a"), F.count_if(F.col(current) == 1).alias("b"),
-    )
-    total = cells.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("k"))
-    both = cells.crossJoin(F.broadcast(total)).select(
-        "k",
-        F.explode(F.array(*[F.struct(F.col(o).cast("double").alias("o"), ((F.col("a") + F.col("b")) * F.col(n) / (F.col("na") + F.col("nb"))).alias("e")) for o, n in (("a", "na"), ("b", "nb"))])).alias("x"),
+    return _chi2(_histogram(df, current, [column], set())).drop("column")
+
+
+def _log_density(a: Column, x: Column) -> Column:
+    """ln(x^a e^-x / Gamma(a)). From a = 10 on around its peak, where ln(x / a) is taken as a whole, so that nothing large cancels."""
+    stirling = lambda z: 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))
+    z = a + 10
+    shifted = F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(0.0), lambda s, i: s + F.ln(a + i))
+    small = a * F.ln(x) - x - ((z - 0.5) * F.ln(z) - z + math.log(2 * math.pi) / 2 + stirling(z) - shifted)
+    u = (x - a) / a
+    large = -a * (u - F.log1p(u)) + F.ln(a / (2 * math.pi)) / 2 - stirling(a)
+    return F.when(a < 10, small).otherwise(large)
+
+
+def upper_gamma(a: Column, x: Column) -> Column:
+    """The regularised upper incomplete gamma function Q(a, x): below x = a + 1 as 1 less the power series of the lower one,
+    whose n-th term is x / (a + n) times the one before, above by Lentz's continued fraction. Both need a number of terms that
+    grows with the root of a, and have it; the relative error stays under 1e-8 up to a = 500,000."""
+    terms = F.lit(100) + F.ceil(12 * F.sqrt(a)).cast("int")
+    steps = F.sequence(F.lit(1), terms)
+    density = F.exp(_log_density(a, x))
+    series = F.aggregate(
+        steps, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+        lambda acc, n: F.struct((acc["t"] * x / (a + n)).alias("t"), (acc["s"] + acc["t"] * x / (a + n)).alias("s")),
+        lambda acc: acc["s"],
     )
-    off = F.abs(F.col("x.o") - F.col("x.e"))
-    off = F.when(F.col("k") == 2, off - F.least(F.lit(0.5), off)).otherwise(off)
-    return both.agg(F.sum(off * off / F.col("x.e")).alias("statistic"), (F.max("k") - 1).alias("dof"))
+    tiny = 1e-300
+    kept = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+
+    def lentz(acc: Column, n: Column) -> Column:
+        top, bottom = -n * (n - a), x + (2 * n + 1) - a
+        d = 1 / kept(bottom + top * acc["d"])
+        c = kept(bottom + top / acc["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    first = 1 / kept(x + 1 - a)
+    start = F.struct(F.lit(1 / tiny).alias("c"), first.alias("d"), first.alias("h"))
+    fraction = F.aggregate(steps, start, lentz, lambda acc: acc["h"])
+    return F.when(x <= 0, 1.0).when(x < a + 1, F.greatest(F.lit(0.0), 1 - density / a * series)).otherwise(density * fraction)
 
 
-def upper_gamma(a: Column, x: Column, terms: int = 400) -> Column:
-    """The regularised upper incomplete gamma function Q(a, x) for a multiple a of one half: 1 less the power series of
-    the lower one, whose first term is x^a e^-x / Gamma(a + 1) and the n-th x / (a + n) times the one before. Where the
-    series needs more than ``terms`` terms, Q is 0 to a double's precision."""
-    odd = F.pmod(F.round(2 * a), F.lit(2)) == 1
-    base = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
-    steps = F.sequence(F.lit(1), F.greatest(F.ceil(a), F.lit(1)).cast("int"))
-    log_gamma = F.when(odd, F.lit(math.log(math.pi) / 2)).otherwise(0.0) + F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.when(k - base > 0, F.ln(F.greatest(k - base, F.lit(0.5)))).otherwise(0.0))
-    first = F.exp(a * F.ln(x) - x - log_gamma)
-    start = F.struct(first.alias("t"), first.alias("s"))
-    add = lambda acc, n: F.struct((acc["t"] * x / (a + n)).alias("t"), (acc["s"] + acc["t"] * x / (a + n)).alias("s"))
-    lower = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, add, lambda acc: acc["s"])
-    return F.when(x <= 0, 1.0).when(x > a + 150, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - lower))
+def _p_value() -> Column:
+    """Of ``statistic`` and ``dof``; without two categories 1."""
+    return F.when(F.col("dof") > 0, upper_gamma(F.col("dof") / 2, F.col("statistic") / 2)).otherwise(1.0)
 
 
 def chi2_test(df: DataFrame, current: str, column: str) -> DataFrame:
     """``statistic, dof, p_value`` of :func:`chi2_contingency`; without two categories the p-value is 1."""
-    c = chi2_contingency(df, current, column)
-    p = upper_gamma(F.col("dof") / 2, F.col("statistic") / 2)
-    return c.withColumn("p_value", F.when(F.col("dof") > 0, p).otherwise(1.0))
+    return chi2_contingency(df, current, column).withColumn("p_value", _p_value())
 
 
 def drift_report(df: DataFrame, current: str, columns: list[str], threshold: float = 0.05) -> DataFrame:
     """``column, test, p_value, drift`` of each of ``columns`` between rows with ``current`` 0 and 1: numbers by the
     two-sample Kolmogorov-Smirnov test, others by chi-squared; drift is a p-value under the threshold (0.05 for drift of
-    features, 0.1 for shifts of data)."""
+    features, 0.1 for shifts of data). However many columns there are, the table is read once, for their histogram; a column
+    without values has no row."""
     numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    h = _histogram(df, current, columns, numeric)
     parts = []
-    for c in columns:
-        found = ks_two_sample(df, current, c) if c in numeric else chi2_test(df, current, c)
-        parts.append(found.select(F.lit(c).alias("column"), F.lit("ks" if c in numeric else "chi2").alias("test"), "p_value"))
+    if numeric.intersection(columns):
+        parts.append(_ks(h.where("v is not null")).select("column", F.lit("ks").alias("test"), "p_value"))
+    if set(columns) - numeric:
+        parts.append(_chi2(h.where("c is not null")).select("column", F.lit("chi2").alias("test"), _p_value().alias("p_value")))
     return reduce(DataFrame.unionByName, parts).withColumn("drift", F.col("p_value") < threshold)
 
 

@@ -310,7 +310,7 @@ FROM (SELECT {column} AS v, count(*) FILTER (late = 0) AS a, count(*) FILTER (la
 
 
 def _chi2_sql(column: str, table: str = "t") -> str:
-    """A query of ``statistic, dof`` and the p-value, in closed form for an even number of degrees of freedom."""
+    """A query of ``statistic, dof`` and the p-value: 1 less the power series of the lower incomplete gamma function."""
     cells = f"(SELECT {column} AS c, count(*) FILTER (late = 0) AS a, count(*) FILTER (late = 1) AS b FROM {table} GROUP BY 1)"
     sums = f"(SELECT sum(a)::DOUBLE AS na, sum(b)::DOUBLE AS nb, count(*) AS k FROM {cells})"
     both = (
@@ -319,8 +319,9 @@ def _chi2_sql(column: str, table: str = "t") -> str:
     )
     off = "CASE WHEN k = 2 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE abs(o - e) END"
     total = f"(SELECT sum(off * off / e) AS x, max(k) - 1 AS dof FROM (SELECT k, e, {off} AS off FROM ({both})))"
-    terms = "list_sum(list_transform(range(0, dof // 2), lambda j: exp(-x / 2 + j * ln(greatest(x / 2, 1e-300)) - lgamma(j + 1))))"
-    return f"SELECT round(x, 6) AS statistic, dof, round(CASE WHEN dof % 2 = 0 THEN {terms} END, 6) AS p_value FROM {total}"
+    # Terms under 1e-300 are left out; x / 2 has its largest terms around n = x / 2 - dof / 2.
+    power = "list_sum([exp(greatest(-x / 2 + (dof / 2 + n) * ln(x / 2) - lgamma(dof / 2 + n + 1), -690)) for n in range(0, 4000)])"
+    return f"SELECT round(x, 6) AS statistic, dof, round(CASE WHEN x > 0 THEN greatest(0, 1 - {power}) ELSE 1 END, 6) AS p_value FROM {total}"
 
 
 add(
@@ -337,13 +338,15 @@ for _c in ("l_returnflag", "l_linestatus"):
 
 
 def _columns(s: SparkSession, d: str) -> DataFrame:
-    """Lines with categories of 3, 5 and 7 values, of which the flags don't depend on the time and the quantity hardly does."""
-    keys = {"seven": F.concat(F.lit("c"), F.col("l_linenumber").cast("string")), "five": F.concat(F.lit("k"), (F.col("l_partkey") % 5).cast("string"))}
+    """Lines with categories of 2, 3, 4, 5, 7 and 1,999 values, most of which don't depend on the time."""
+    keys = {"seven": F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))}
+    keys |= {name: F.concat(F.lit("k"), (F.col("l_partkey") % n).cast("string")) for name, n in PART_KEYS.items()}
     return _drift(s, d).withColumns(keys)
 
 
-COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "seven", "five"]
-DRIFT_COLUMNS = DRIFT + ", u AS (SELECT *, 'c' || l_linenumber AS seven, 'k' || (l_partkey % 5) AS five FROM t)"
+PART_KEYS = {"two": 2, "four": 4, "five": 5, "many": 1999}
+COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "seven", *PART_KEYS]
+DRIFT_COLUMNS = DRIFT + ", u AS (SELECT *, 'c' || l_linenumber AS seven, " + ", ".join(f"'k' || (l_partkey % {n}) AS {name}" for name, n in PART_KEYS.items()) + " FROM t)"
 for _name, _level in (("drift_report", 0.05), ("shift_report", 0.1)):
     _parts = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{'ks' if k < 3 else 'chi2'}' AS test, p_value FROM ({_ks_sql(c, 'u') if k < 3 else _chi2_sql(c, 'u')})" for k, c in enumerate(COLUMNS))
     add(
