@@ -444,7 +444,8 @@ def test_lines_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
     rows = {r.doc_id: lines_of(r.text) for r in docs.collect()}
     random.seed(3)
-    pool = [x for ls in rows.values() for x in ls if x][:150]
+    pool = [x for ls in rows.values() for x in ls if x][:110]
+    pool += [x[: 3 + k] for k, x in enumerate(y for y in pool if len(y) > 40) if k < 40]
     near = [x[:k] + random.choice("qz ") + x[k + random.randrange(2) :] for x in pool for k in [random.randrange(len(x))]]
     rows |= {900_000 + k: near[k::7] + ["menu", "", "menus"] for k in range(7)}
     first, root = {}, {}
@@ -456,7 +457,7 @@ def test_lines_brute_force(spark, tmp_path):
     for k, x in enumerate(lines):
         root[x] = x
         for y in lines[:k]:
-            if min(len(x), len(y)) >= 20 and within(x, y):
+            if within(x, y, min(2, min(len(x), len(y)) // 10)):
                 a, b = root[x], root[y]
                 if a != b:
                     low, high = sorted((a, b), key=first.get)

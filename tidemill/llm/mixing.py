@@ -21,6 +21,12 @@ def n_words(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def mix_key(id_col: str, text_col: str, seed: str) -> Column:
+    """The random order of documents: a hash of seed and id, and of the text where the id is null, so that rows without ids
+    don't share one key."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.hex(F.xxhash64(text_col))))))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size``: sources in code point order, null last, take the
     weights in turn; no target exceeds ``epochs`` times its source, and what is over is shared again by weight.
@@ -45,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
 def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, epochs: float, seed: str, bucket_rows: int) -> DataFrame:
     """``doc_id, size, key, tie, name, source_size, target, whole, rest`` of each row: whole epochs of its source, and
     the words of the epoch in part that are left when its turn comes."""
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
+    key = mix_key(id_col, text_col, seed)
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
     d = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), named.alias("name"), n_words(text_col).alias("size"),
@@ -78,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``size`` counts the words of the text (null: 0) and ``taken`` those the mix takes: the source's whole epochs,
     then the documents in the order of a hash of id and seed until the words of a rounded target are used up; the
     last one is taken in part, so that a source's words equal its target to half a word. The hash depends on
-    nothing but id and seed, so runs agree. Null is a source of its own; empty texts take nothing; an empty table
+    nothing but id (text where that is null) and seed, so runs agree. Null is a source of its own; empty texts take nothing; an empty table
     gives an empty result. Rows with equal or null ids count each, in the order of a hash of their texts; rows that
     are alike in both differ in nothing but which of them is cut. Other columns are ignored.
 
@@ -104,7 +110,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("key", F.col("doc_id").alias("id"), "tie")
     ends = rows.groupBy("name").agg(F.max("whole").alias("whole"), F.max(F.when((F.col("rest") > 0) & (F.col("size") > 0), place)).alias("last"))
     ends = materialize(ends)
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
+    key = mix_key(id_col, text_col, seed)
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
     own = F.struct(key.alias("key"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"))
     each = docs.select(F.struct("*").alias("row"), named.alias("name"), own.alias("own"), (n_words(text_col) > 0).alias("some"))
