@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.bars import asof_backward
-from tidemill.operators.core import carry, lagged
+from tidemill.operators.core import carry, cut, grouped_quantiles, lagged, row_position
 
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -79,25 +79,43 @@ def standardize_sampling(df: DataFrame, columns: list[str], step: str) -> DataFr
 def mark_anomalies(df: DataFrame, column: str = "close", spread: float = 5.0, gap: float = 3.0) -> DataFrame:
     """Adds ``delta_s`` and 0/1 marks: ``spike`` where the absolute difference exceeds ``spread`` of its sample
     deviations, ``nonpositive``, and ``gap`` where the time since the row before exceeds ``gap`` medians of such times."""
-    d = lagged(df, [column, "ts"]).withColumn("__d", F.abs(F.col(column) - F.col(f"{column}_prev"))).withColumn(
+    d = cut(lagged(df, [column, "ts"]).withColumn("__d", F.abs(F.col(column) - F.col(f"{column}_prev"))).withColumn(
         "delta_s", F.expr("timestampdiff(SECOND, ts_prev, ts)"),
-    )
-    stats = d.groupBy("sym").agg(
-        F.stddev_samp("__d").alias("__sd"),
-        F.percentile(F.when(F.col("delta_s") > 0, F.col("delta_s")), F.lit(0.5)).alias("__med"),
-    )
+    ))
+    stats = d.groupBy("sym").agg(F.stddev_samp("__d").alias("__sd")).join(_median_step(d, "__med"), "sym", "left")
     mark = lambda c: F.when(c, 1).otherwise(0)
     m = d.join(stats, "sym").withColumns({"spike": mark(F.col("__d") > spread * F.col("__sd")), "nonpositive": mark(F.col(column) <= 0), "gap": mark(F.col("delta_s") > gap * F.col("__med"))})
     return m.drop("__d", "__sd", "__med", f"{column}_prev", "ts_prev")
 
 
+def _median_step(d: DataFrame, out: str) -> DataFrame:
+    """``sym`` and the exact median of the times between rows that are over 0."""
+    return grouped_quantiles(d.where("delta_s > 0"), ["sym"], ["delta_s"], [0.5]).select("sym", F.col("value").alias(out))
+
+
 def anomaly_summary(marked: DataFrame) -> DataFrame:
     """Counts of each kind by symbol, with the largest and the median time between rows."""
-    return marked.groupBy("sym").agg(
+    counts = marked.groupBy("sym").agg(
         F.count_if(F.col("spike") == 1).alias("spikes"), F.count_if(F.col("nonpositive") == 1).alias("nonpositive"),
         F.count_if(F.col("gap") == 1).alias("gaps"), F.max("delta_s").alias("max_delta_s"),
-        F.percentile(F.when(F.col("delta_s") > 0, F.col("delta_s")), F.lit(0.5)).alias("median_delta_s"),
     )
+    return counts.join(_median_step(marked, "median_delta_s"), "sym", "left")
+
+
+def align_checked(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of both tables that match on ``keys``; without any it raises, with the counts of both sides."""
+    found = left.join(right, keys)
+    if found.isEmpty():
+        report = align_report(left, right, keys).first()
+        raise ValueError(f"no rows match on {', '.join(keys)}: {report.only_left} on the left, {report.only_right} on the right")
+    return found
+
+
+def preprocess(df: DataFrame, required: list[str]) -> DataFrame:
+    """Raw rows made ready: of rows that repeat ``sym`` and ``ts`` one stays, columns are filled by the value before and then the one
+    after, and rows that still lack one of ``required`` fall away."""
+    one = keep_one(df, ["sym", "ts"], [c for c in df.columns if c not in ("sym", "ts")] or ["ts"])
+    return fill(row_position(one), [c for c in required if c in df.columns]).dropna(subset=required).drop("rn")
 
 
 def validate_bars(df: DataFrame, required: list[str], positive: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -154,29 +155,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kth_smallest(df: DataFrame, column: str, places: list[int], bins: int = 1024, few: int = 10_000) -> list[float]:
-    """Values at the 0-based ``places`` in rising order of a column's non-null values. Each is found by counting in
-    equal bins and again in its bin until that has ``few`` rows or one value; the driver gets counts only."""
-    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    out = []
-    for place in places:
-        (low, high), below = x.agg(F.min("x"), F.max("x")).first(), 0
-        while low < high:
-            width = (high - low) / bins
-            inside = x.where(F.col("x").between(low, high))
-            n = inside.count()
-            if n <= few or width <= 0:
-                for value, c in sorted(map(tuple, inside.groupBy("x").count().collect())):
-                    if below + c > place:
-                        low = high = value
-                        break
-                    below += c
-                break
-            at = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).alias("bin")
-            for r in sorted(inside.groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
-                low, high = r["lo"], r["hi"]
-                if below + r["n"] > place:
-                    break
-                below += r["n"]
-        out.append(low)
-    return out
+def grouped_quantiles(df: DataFrame, by: list[str], columns: list[str], shares: list[float], accuracy: int = 2000) -> DataFrame:
+    """``*by, column, share, value``: the exact quantiles, interpolated between neighbours, of the non-null values of each of
+    ``columns`` in each group of ``by``; a group without values has no row.
+
+    Two scans, however many groups, columns and shares there are. The first has approximate quantiles a little to either side of each,
+    the second counts what is below and the distinct values between, of which the wanted places are read off. Should a bracket
+    miss its place, all are widened and counted again. No task holds more than a bracket's share of a group's distinct values."""
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(*by, F.inline(values)).where("x is not null")
+    keys, margin = [*by, "column"], 3 / accuracy
+    while True:
+        ends = [F.lit(min(max(p + side * margin, 0.0), 1.0)) for p in shares for side in (-1, 1)]
+        found = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.array(*ends), F.lit(accuracy)).alias("e"))
+        marks = F.array(*[F.struct(F.lit(p).alias("share"), (p * (F.col("n") - 1)).alias("place"), F.get("e", F.lit(2 * k)).alias("low"), F.get("e", F.lit(2 * k + 1)).alias("high")) for k, p in enumerate(shares)])
+        marked = cut(found.select(*keys, marks.alias("marks")))
+        same = [long[k].eqNullSafe(marked[k]) for k in keys]
+        seen = long.join(marked, reduce(lambda a, b: a & b, same)).select(*[long[k] for k in keys], "x", F.posexplode("marks").alias("k", "m"))
+        # Below the bracket a row counts without its value, beyond it not at all.
+        seen = seen.where("x <= m.high").select(*keys, "k", "m.share", "m.place", F.when(F.col("x") >= F.col("m.low"), F.col("x")).alias("x"))
+        counts = seen.groupBy(*keys, "k", "share", "place", "x").agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.partitionBy(*keys, "k").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counts.withColumn("upto", upto)
+        at = lambda place: F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place), F.col("x")))
+        low, high = at(F.floor("place")), at(F.ceil("place"))
+        out = cut(ranked.groupBy(*keys, "share", "place").agg(low.alias("low"), high.alias("high")))
+        if margin >= 1 or out.where("low is null or high is null").isEmpty():
+            return out.select(*keys, "share", (F.col("low") + (F.col("place") - F.floor("place")) * (F.col("high") - F.col("low"))).alias("value"))
+        margin *= 8

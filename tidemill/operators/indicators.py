@@ -21,42 +21,45 @@ def finite_indicators(bars: DataFrame) -> DataFrame:
     mean, volume oscillator and fractals. Values whose frame isn't full are null where the definition asks for it."""
 
     def build(b: DataFrame, over) -> DataFrame:
-        lag = lambda c: F.max(c).over(over(-1, -1))  # noqa: E731  the one row before
-        b = b.withColumn("prev", lag("close")).withColumn("diff", F.col("close") - F.col("prev"))
-        high_low, rise, fall = F.col("high") - F.col("low"), F.greatest(F.coalesce("diff", F.lit(0.0)), F.lit(0.0)), F.greatest(-F.coalesce("diff", F.lit(0.0)), F.lit(0.0))
-        tr = F.when(F.col("prev").isNotNull(), F.greatest(high_low, F.abs(F.col("high") - F.col("prev")), F.abs(F.col("low") - F.col("prev"))))
-        b = b.withColumn("true_range", tr).withColumn("rise", rise).withColumn("fall", fall).withColumn(
-            "tp", (F.col("high") + F.col("low") + F.col("close")) / 3,
-        )
-        for n in (10, 20, 50):
-            b = b.withColumn(f"sma_{n}", sma("close", n, over))
-        w14, w20 = over(-13, 0), over(-19, 0)
+        # Columns come in few steps, each on the columns of the ones before, as Spark analyses the whole plan at every step.
+        w14, w20, five = over(-13, 0), over(-19, 0), over(-2, 2)
         top, low = F.max("high").over(w14), F.min("low").over(w14)
         is14, is20 = F.count("close").over(w14), F.count("close").over(w20)
-        b = b.withColumn("bb_std", full(F.stddev_pop("close").over(w20), is20, 20)).withColumn("bb_mid", F.avg("close").over(w20)).withColumn(
-            "bb_sd", F.stddev_samp("close").over(w20),
-        )
-        b = b.withColumn("bb_upper", F.col("sma_20") + 2 * F.col("bb_std")).withColumn("bb_lower", F.col("sma_20") - 2 * F.col("bb_std"))
-        b = b.withColumn("rsi_sma", 100 - 100 / (1 + F.avg("rise").over(w14) / (F.avg("fall").over(w14) + 1e-9)))
-        b = b.withColumn("fast_k", full(F.try_divide(100 * (F.col("close") - low), top - low), is14, 14))
-        b = b.withColumn("willr_14", full(F.try_divide(-100 * (top - F.col("close")), top - low), is14, 14))
-        b = b.withColumn("stoch_k", sma("fast_k", 3, over))
-        b = b.withColumn("stoch_d", sma("stoch_k", 3, over))
-        mean = F.avg("tp").over(w20)
-        b = b.withColumn("tps", F.collect_list("tp").over(w20)).withColumn("tp_mean", mean)
-        mad = F.aggregate("tps", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("tp_mean"))) / 20
-        b = b.withColumn("cci_20", full(F.try_divide(F.col("tp") - F.col("tp_mean"), 0.015 * mad), F.size("tps"), 20))
-        for n in (1, 5, 15):
-            b = b.withColumn(f"roc_{n}", 100 * (F.try_divide(F.col("close"), F.max("close").over(over(-n, -n))) - 1))
-        b = b.withColumn("atr_sma", sma("true_range", 14, over)).withColumn("volume_osc", sma("volume", 14, over) - sma("volume", 28, over))
-        five = over(-2, 2)
         whole = F.count("close").over(five) == 5
-        b = b.withColumn("fractal_high", F.when(whole & (F.col("high") == F.max("high").over(five)), 1).otherwise(0))
-        b = b.withColumn("fractal_low", F.when(whole & (F.col("low") == F.min("low").over(five)), 1).otherwise(0))
-        b = b.withColumn("atr_median", full(F.expr("percentile(atr_sma, 0.5)").over(over(-27, 0)), F.count("atr_sma").over(over(-27, 0)), 28))
-        b = b.withColumn("bb_width", F.try_divide(4 * F.when(is20 == 20, F.col("bb_sd")), "close"))
-        b = b.withColumn("bb_width_median", full(F.expr("percentile(bb_width, 0.5)").over(over(-39, 0)), F.count("bb_width").over(over(-39, 0)), 40))
-        return b.drop("tps", "tp_mean", "rise", "fall", "prev")
+        first = {
+            "prev": F.max("close").over(over(-1, -1)),
+            "tp": (F.col("high") + F.col("low") + F.col("close")) / 3,
+            "bb_std": full(F.stddev_pop("close").over(w20), is20, 20),
+            "bb_mid": F.avg("close").over(w20),
+            "bb_sd": F.stddev_samp("close").over(w20),
+            "bb_width": F.try_divide(4 * F.when(is20 == 20, F.stddev_samp("close").over(w20)), "close"),
+            "fast_k": full(F.try_divide(100 * (F.col("close") - low), top - low), is14, 14),
+            "willr_14": full(F.try_divide(-100 * (top - F.col("close")), top - low), is14, 14),
+            "volume_osc": sma("volume", 14, over) - sma("volume", 28, over),
+            "fractal_high": F.when(whole & (F.col("high") == F.max("high").over(five)), 1).otherwise(0),
+            "fractal_low": F.when(whole & (F.col("low") == F.min("low").over(five)), 1).otherwise(0),
+        }
+        first |= {f"sma_{n}": sma("close", n, over) for n in (10, 20, 50)}
+        first |= {f"roc_{n}": 100 * (F.try_divide(F.col("close"), F.max("close").over(over(-n, -n))) - 1) for n in (1, 5, 15)}
+        b = b.withColumns(first)
+        diff, high_low = F.col("close") - F.col("prev"), F.col("high") - F.col("low")
+        tr = F.when(F.col("prev").isNotNull(), F.greatest(high_low, F.abs(F.col("high") - F.col("prev")), F.abs(F.col("low") - F.col("prev"))))
+        b = b.withColumns({
+            "diff": diff, "true_range": tr,
+            "rise": F.greatest(F.coalesce(diff, F.lit(0.0)), F.lit(0.0)), "fall": F.greatest(-F.coalesce(diff, F.lit(0.0)), F.lit(0.0)),
+            "bb_upper": F.col("sma_20") + 2 * F.col("bb_std"), "bb_lower": F.col("sma_20") - 2 * F.col("bb_std"),
+            "stoch_k": sma("fast_k", 3, over),
+            "tps": F.collect_list("tp").over(w20), "tp_mean": F.avg("tp").over(w20),
+            "bb_width_median": full(F.expr("percentile(bb_width, 0.5)").over(over(-39, 0)), F.count("bb_width").over(over(-39, 0)), 40),
+        })
+        mad = F.aggregate("tps", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("tp_mean"))) / 20
+        b = b.withColumns({
+            "rsi_sma": 100 - 100 / (1 + F.avg("rise").over(w14) / (F.avg("fall").over(w14) + 1e-9)),
+            "stoch_d": sma("stoch_k", 3, over), "atr_sma": sma("true_range", 14, over),
+            "cci_20": full(F.try_divide(F.col("tp") - F.col("tp_mean"), 0.015 * mad), F.size("tps"), 20),
+        })
+        median = full(F.expr("percentile(atr_sma, 0.5)").over(over(-27, 0)), F.count("atr_sma").over(over(-27, 0)), 28)
+        return b.withColumn("atr_median", median).drop("tps", "tp_mean", "rise", "fall", "prev")
 
     return chunk_windows(positions(bars), 64, 2, build)
 

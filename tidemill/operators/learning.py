@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators.core import chunk_windows, kth_smallest
+from tidemill.operators.core import chunk_windows, grouped_quantiles
 
 
 def forward_max_target(df: DataFrame, window: int, threshold: float, out: str = "target") -> DataFrame:
@@ -117,21 +116,14 @@ def fold_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
     return found.withColumn("role", F.when(F.col("rn") < F.col("train_end"), "train").otherwise("test")).drop("__k")
 
 
-def quartiles(df: DataFrame, column: str) -> tuple[float, float, float]:
-    """Exact quartiles of a column's non-null values, interpolated between neighbours, by counting."""
-    n = df.where(F.col(column).isNotNull()).count()
-    places = [q * (n - 1) for q in (0.25, 0.5, 0.75)]
-    wanted = sorted({k for p in places for k in (math.floor(p), math.ceil(p))}) if n else []
-    at = dict(zip(wanted, kth_smallest(df, column, wanted), strict=True))
-    return tuple(at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) if n else 0.0 for p in places)
-
-
 def scale_statistics(train: DataFrame, columns: list[str], kind: str) -> list[tuple[float, float]]:
     """Centre and spread of each column, nulls as 0 and a spread of 0 as 1. Kinds: standard (mean and population
     deviation), minmax, and robust (median and the range between the quartiles). One row of figures."""
     zero = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     if kind == "robust":
-        found = [(mid, high - low) for low, mid, high in (quartiles(zero, c) for c in columns)]
+        rows = grouped_quantiles(zero, [], columns, [0.25, 0.5, 0.75]).collect()  # three rows a column
+        at = {(r.column, r.share): r.value for r in rows}
+        found = [(at.get((c, 0.5)), at.get((c, 0.75), 0.0) - at.get((c, 0.25), 0.0)) for c in columns]
     else:
         pairs = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c))}[kind]
         row = zero.agg(*[f(c).alias(f"{i}{k}") for k, c in enumerate(columns) for i, f in enumerate(pairs)]).first()

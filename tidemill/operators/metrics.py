@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tidemill.operators.core import JOIN_MAX, cut, pct_change, row_position, running
+from tidemill.operators.core import CHUNK, chunk_windows, cut, row_position
 
 
 def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -27,11 +27,11 @@ def classification_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 100_000, 128, 8192
 
 
-def quantile_ranges(h: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+def quantile_ranges(h: DataFrame, value: str, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Adds ``k``: the range of ``value`` (a double) among ranges of about as many rows each, cut at approximate quantiles
-    of each group of ``by``, so that what orders the values can order each range apart. Their number follows the rows of ``h``,
-    which is counted; a group's cuts are one row of at most MOST_RANGES numbers."""
-    n = min(max(LEAST_RANGES, h.count() // RANGE_ROWS), MOST_RANGES)
+    of each group of ``by``, so that what orders the values can order each range apart. Where ``ranges`` isn't given their
+    number follows the rows of ``h``, which is counted; a group's cuts are one row of at most MOST_RANGES numbers."""
+    n = ranges or min(max(LEAST_RANGES, h.count() // RANGE_ROWS), MOST_RANGES)
     coarse = 64
     at = F.array(*[F.lit(i / n) for i in range(1, n)])
     cuts = F.percentile_approx(value, at, F.lit(10 * n)).alias("__cuts")
@@ -44,10 +44,10 @@ def quantile_ranges(h: DataFrame, value: str, by: list[str] | None = None) -> Da
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Area under the ROC curve with ties halved, over counts by distinct score. Distinct scores are cut into ranges at
-    quantiles; each is ordered on its own and starts from the sums of the ranges before."""
-    h = cut(df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n")))
-    h = quantile_ranges(h, "s")
+    """Area under the ROC curve with ties halved, over counts by distinct score. Distinct scores are cut into 1,024 ranges
+    at quantiles; each is ordered on its own and starts from the sums of the ranges before."""
+    h = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum(1 - F.col(y).cast("long")).alias("n"))
+    h = quantile_ranges(h, "s", ranges=1024)
     ranges = h.groupBy("k").agg(F.sum("n").alias("n_k"))
     before = ranges.select(
         "k",
@@ -75,7 +75,16 @@ def curve_steps(curve: DataFrame) -> DataFrame:
     """A curve's points with their place ``rn``, relative change ``r``, highest value so far ``top`` and ``drawdown`` from
     it. Chunks of places are worked on apart, so a curve of one point a bar is never one task."""
     placed = curve if "rn" in curve.columns else row_position(curve)
-    steps = running(pct_change(placed, "equity", "r"), "equity", "top", F.max, JOIN_MAX)
+    b = placed.withColumn("__b", F.floor(F.col("rn") / CHUNK))
+    before = Window.partitionBy("sym").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = b.groupBy("sym", "__b").agg(F.max("equity").alias("__t")).select("sym", "__b", F.max("__t").over(before).alias("__s"))
+
+    def build(rows: DataFrame, over) -> DataFrame:
+        # The copy of the row before a chunk is in its running maximum, where it changes nothing.
+        last, inside = F.max("equity").over(over(-1, -1)), F.max("equity").over(over(Window.unboundedPreceding, 0))
+        return rows.withColumns({"r": F.try_divide(F.col("equity"), last) - 1, "__v": inside})
+
+    steps = chunk_windows(b, 1, 0, build).join(tops, ["sym", "__b"]).withColumn("top", F.greatest("__s", "__v")).drop("__b", "__s", "__v")
     return steps.withColumn("drawdown", F.try_divide(F.col("equity") - F.col("top"), F.col("top")))
 
 
