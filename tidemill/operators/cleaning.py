@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.bars import asof_backward
@@ -21,6 +21,15 @@ def coerce_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*columns)))
 
 
+def coerce_offenders(df: DataFrame, columns: list[str], place: str, n: int = 5) -> DataFrame:
+    """``column, place, value``: the first ``n`` values of each column, in the order of ``place``, that aren't numbers. Each
+    task keeps its first ones before anything is shuffled."""
+    bad = [F.struct(F.lit(c).alias("column"), F.col(place).alias("place"), F.when(F.col(c).try_cast("double").isNull(), F.col(c)).cast("string").alias("value")) for c in columns]
+    each = df.select(F.inline(F.array(*bad))).where("value is not null")
+    first = F.row_number().over(Window.partitionBy("column").orderBy("place", "value"))
+    return each.withColumn("__k", first).where(F.col("__k") <= n).drop("__k")
+
+
 def fill(df: DataFrame, columns: list[str], backward_first: bool = False) -> DataFrame:
     """Nulls filled by the last value before and, where there is none, the first after; the other way round with
     ``backward_first``. A column without values stays null."""

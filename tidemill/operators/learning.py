@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from tidemill.operators.core import chunk_windows, grouped_quantiles
 
 
-def forward_max_target(df: DataFrame, window: int, threshold: float, out: str = "target") -> DataFrame:
-    """1 where the highest close of this row and the ``window - 1`` after it is ``threshold`` or more above this close;
-    0 elsewhere and in a symbol's last ``window`` rows."""
+def forward_max_target(df: DataFrame, window: int, threshold: float, out: str = "target", tail: str = "zero") -> DataFrame:
+    """1 where the highest close of this row and the ``window - 1`` after it is ``threshold`` or more above this close, 0
+    elsewhere. A symbol's last ``window`` rows, whose future isn't known in full, have 0 (``tail`` "zero") or null ("null")."""
+    if tail not in ("zero", "null"):
+        raise ValueError("tail is zero or null")
 
     def build(b: DataFrame, over) -> DataFrame:
         ahead, whole = over(0, window - 1), F.count(F.lit(1)).over(over(0, window)) == window + 1
         hit = whole & (F.count("close").over(ahead) == window) & (F.max("close").over(ahead) - F.col("close") >= threshold)
-        return b.withColumn(out, F.when(hit, 1).otherwise(0))
+        target = F.when(hit, 1).otherwise(0)
+        return b.withColumn(out, F.when(whole, target) if tail == "null" else target)
 
     return chunk_windows(df, 0, window, build)
 

@@ -72,6 +72,17 @@ def version_lookup(versions: DataFrame, version: int | None = None) -> DataFrame
     return versions.groupBy("model_id").agg(F.max_by(F.struct(*versions.columns), "version").alias("__v")).select("__v.*")
 
 
+def chosen_versions(versions: DataFrame, chosen: dict | None = None) -> DataFrame:
+    """One row for each model of ``chosen`` (id and version, or None for the latest) that exists; without it the latest version of
+    every model. The choice is a parameter and goes to every task."""
+    if chosen is None:
+        return version_lookup(versions)
+    kinds = {c: versions.schema[c].dataType.simpleString() for c in ("model_id", "version")}
+    wanted = versions.sparkSession.createDataFrame(list(chosen.items()), f"model_id {kinds['model_id']}, __wanted {kinds['version']}")
+    rows = versions.join(F.broadcast(wanted), "model_id").where("__wanted is null or __wanted = version").drop("__wanted")
+    return version_lookup(rows.select(*versions.columns))
+
+
 def less_is_better(metric: str) -> bool:
     return any(part in metric.lower() for part in LESS_IS_BETTER)
 
@@ -93,20 +104,20 @@ def best_model(versions: DataFrame, metric: str, model_type: str | None = None,
     return best.where("__v is not null").select("__v.*")
 
 
-def compare_models(versions: DataFrame, metrics: list[str]) -> DataFrame:
-    """``model_id, version`` and the chosen metrics of each model's latest version, null where absent."""
-    return version_lookup(versions).select("model_id", "version", *[F.try_element_at("metrics", F.lit(m)).alias(m) for m in metrics])
+def compare_models(versions: DataFrame, metrics: list[str], chosen: dict | None = None) -> DataFrame:
+    """``model_id, version`` and the ``metrics`` of :func:`chosen_versions`, null where absent."""
+    return chosen_versions(versions, chosen).select("model_id", "version", *[F.try_element_at("metrics", F.lit(m)).alias(m) for m in metrics])
 
 
 def _leaves(schema: T.StructType, prefix: str = "") -> list[str]:
     return [leaf for f in schema for leaf in (_leaves(f.dataType, f"{prefix}{f.name}.") if isinstance(f.dataType, T.StructType) else [prefix + f.name])]
 
 
-def compare_parameters(versions: DataFrame, column: str = "parameters") -> DataFrame:
-    """``model_id, parameter, value``: the nested ``column`` of each model's latest version, by dotted names."""
+def compare_parameters(versions: DataFrame, column: str = "parameters", chosen: dict | None = None) -> DataFrame:
+    """``model_id, parameter, value``: the nested ``column`` of :func:`chosen_versions`, by dotted names."""
     names = _leaves(versions.schema[column].dataType)
     pairs = F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(f"{column}.{n}").cast("string").alias("value")) for n in names])
-    return version_lookup(versions).select("model_id", F.inline(pairs))
+    return chosen_versions(versions, chosen).select("model_id", F.inline(pairs))
 
 
 def performance_by_condition(versions: DataFrame, metric: str, condition: str) -> DataFrame:

@@ -57,7 +57,7 @@ def indicators_sql() -> tuple[str, list[str]]:
         f"{_lr('close', '(2.0::DOUBLE / 13)')} - {_lr('close', '(2.0::DOUBLE / 27)')} AS macd",
     ]
     second = [
-        "sma_20 + 2 * bb_std AS bb_upper, sma_20 - 2 * bb_std AS bb_lower",
+        "sma_20 + 2 * bb_std AS bb_upper, sma_20 - 2 * bb_std AS bb_lower, sma_20 AS bb_middle",
         f"{_sma('fast_k', 3)} AS stoch_k",
         "CASE WHEN len(tps) = 20 THEN (tp - tp_mean) / nullif(0.015 * list_sum(list_transform(tps, lambda v: abs(v - tp_mean))) / 20, 0) END AS cci_20",
         f"{_full(f'median(atr_sma) {_w(28)}', 'atr_sma', 28)} AS atr_median",
@@ -69,7 +69,7 @@ def indicators_sql() -> tuple[str, list[str]]:
     sql = f"""{LAGS.lstrip(', ')}, m AS (SELECT *, greatest(close - c1, 0) AS rise, greatest(c1 - close, 0) AS fall, greatest(high - low, abs(high - c1), abs(low - c1)) AS tr, {moves} FROM v WHERE rn >= 1),
 w1 AS (SELECT sym, rn, {', '.join(_rsi(n) for n in RSI)}, {_lr('tr', A)} AS atr_14, {_lr('pdm', A)} AS p, {_lr('mdm', A)} AS q FROM m),
 w2 AS (SELECT *, 100 * p / nullif(atr_14, 0) AS di_plus, 100 * q / nullif(atr_14, 0) AS di_minus, coalesce(100 * abs(p - q) / nullif(p + q, 0), 0) AS dx FROM w1),
-w3 AS (SELECT *, {_lr('dx', A)} AS adx FROM w2),
+w3 AS (SELECT *, {_lr('dx', A)} AS adx_14 FROM w2),
 f0 AS (SELECT *, {TR} AS tr0, (high + low + close) / 3 AS tp, coalesce(greatest(close - {LAG}, 0), 0) AS r0, coalesce(greatest({LAG} - close, 0), 0) AS f0,
   coalesce(sign(close - {LAG}), 1) * volume AS signed FROM bars),
 f1 AS (SELECT *, {', '.join(first)} FROM f0), f2 AS (SELECT *, {', '.join(second)} FROM f1), f3 AS (SELECT *, {', '.join(third)} FROM f2),
@@ -77,7 +77,7 @@ f1 AS (SELECT *, {', '.join(first)} FROM f0), f2 AS (SELECT *, {', '.join(second
                  FROM f3 LEFT JOIN w3 ON f3.sym = w3.sym AND f3.rn = w3.rn JOIN sar ON f3.sym = sar.sym AND f3.rn = sar.rn)"""
     names = [x.rsplit(" ", 1)[1] for part in (*first, *second, *third) for x in part.split(", ") if " AS " in x]
     names = [n for n in names if n not in ("tp_mean", "tps", "fast_k")]
-    return sql, [*names, *[f"rsi_{n}" for n in RSI], "atr_14", "di_plus", "di_minus", "adx", "psar"]
+    return sql, [*names, *[f"rsi_{n}" for n in RSI], "atr_14", "di_plus", "di_minus", "adx_14", "psar"]
 
 
 def _filled(c: str) -> str:
@@ -104,22 +104,27 @@ def _set(s: SparkSession, d: str) -> DataFrame:
 
 
 add("indicator_set", _set, f"{RECURSIVE}, {CTES} SELECT sym, {TS}, {', '.join(_shown(_filled(c), c) for c in NAMES)} FROM whole")
-RULES = {"5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "4h": "4 hours"}
+RULES = {"5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "4h": "4 hours"}
 
 
-def _longer(s: SparkSession, d: str, prefix: str) -> DataFrame:
+def _longer(s: SparkSession, d: str, prefix: str, availability: str) -> DataFrame:
     """Hourly bars with the indicators of one rule's bars."""
-    found = htf_features(bars(s, d), ticks(table(s, d, "events")), {prefix: RULES[prefix]})
+    found = htf_features(bars(s, d), ticks(table(s, d, "events")), {prefix: RULES[prefix]}, availability=availability)
     return shown(found, *[f"{prefix}_{c}" for c in HTF])
 
 
-for _p, _rule in RULES.items():
-    _source = _bars_sql("longer", _rule.upper().rstrip("S"))
-    _inner = f"lb AS (SELECT sym, b AS ts, open, high, low, close, volume, row_number() OVER (PARTITION BY sym ORDER BY b) - 1 AS rn FROM longer)"
-    _ctes = CTES.replace("FROM bars", "FROM lb").replace("JOIN bars b", "JOIN lb b")
-    _hf = ", ".join(f'{_filled(c)} AS "{_p}_{c}"' for c in HTF)
-    _join = ", ".join(f'h."{_p}_{c}"' for c in HTF)
-    _last = ", ".join(_shown(_filled(f'"{_p}_{c}"'), f"{_p}_{c}") for c in HTF)
-    _sql = f"""{RECURSIVE}, {_source}, {_inner}, {_ctes}, hf AS (SELECT sym, ts, {_hf} FROM whole),
-j AS (SELECT bars.sym, bars.ts, bars.rn, {_join} FROM bars ASOF LEFT JOIN hf h ON bars.sym = h.sym AND bars.ts >= h.ts) SELECT sym, {TS}, {_last} FROM j"""
-    add(f"htf_features_{_p}", lambda s, d, p=_p: _longer(s, d, p), _sql)
+def _longer_sql(prefix: str, availability: str) -> str:
+    rule = RULES[prefix].upper().rstrip("S")
+    inner = "lb AS (SELECT sym, b AS ts, open, high, low, close, volume, row_number() OVER (PARTITION BY sym ORDER BY b) - 1 AS rn FROM longer)"
+    ctes = CTES.replace("FROM bars", "FROM lb").replace("JOIN bars b", "JOIN lb b")
+    hf = ", ".join(f'{_filled(c)} AS "{prefix}_{c}"' for c in HTF)
+    joined = ", ".join(f'h."{prefix}_{c}"' for c in HTF)
+    last = ", ".join(_shown(_filled(f'"{prefix}_{c}"'), f"{prefix}_{c}") for c in HTF)
+    known = f"h.ts + INTERVAL {rule}" if availability == "close" else "h.ts"
+    return f"""{RECURSIVE}, {_bars_sql("longer", rule)}, {inner}, {ctes}, hf AS (SELECT sym, ts, {hf} FROM whole),
+j AS (SELECT bars.sym, bars.ts, bars.rn, {joined} FROM bars ASOF LEFT JOIN hf h ON bars.sym = h.sym AND bars.ts >= {known}) SELECT sym, {TS}, {last} FROM j"""
+
+
+for _p in RULES:
+    add(f"htf_features_{_p}", lambda s, d, p=_p: _longer(s, d, p, "open"), _longer_sql(_p, "open"))
+add("htf_features_4h_close", lambda s, d: _longer(s, d, "4h", "close"), _longer_sql("4h", "close"))

@@ -73,6 +73,12 @@ add(
     "(PARTITION BY sym ORDER BY rn ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING) - close >= 50 THEN 1 ELSE 0 END AS target "
     "FROM bars",
 )
+add(
+    "forward_max_target_known",
+    lambda s, d: shown(le.forward_max_target(positioned(s, d), 60, 50.0, tail="null"), "target"),
+    f"{BARS} SELECT sym, {TS}, CASE WHEN lead(rn, 60) OVER (PARTITION BY sym ORDER BY rn) IS NOT NULL THEN (max(close) OVER "
+    "(PARTITION BY sym ORDER BY rn ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING) - close >= 50)::INTEGER END AS target FROM bars",
+)
 
 
 def _sequences(s: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import metrics
 from tidemill.operators import models as mo
-from tidemill.plans.quality import rounded
+from tidemill.operators.cleaning import anomaly_summary, mark_anomalies
+from tidemill.plans.quality import MARKS, positioned, rounded
 from tidemill.plans.queries import _curve, add, table
 
 
@@ -46,15 +47,16 @@ add(
 
 
 def _quality(s: SparkSession, d: str) -> DataFrame:
-    zero = F.count_if(F.col("value") <= 0)
-    return table(s, d, "events").agg(
-        F.count_if(F.col("value").isNull()).alias("missing"), F.count_if(F.col("value") > 100).alias("spikes"),
-        zero.alias("zero_or_negative"), F.lit(0).alias("gaps"),
+    """What the anomalies of hourly bars add up to, with the events without a value."""
+    sums = anomaly_summary(mark_anomalies(positioned(s, d), spread=3.0, gap=1.5)).agg(
+        F.sum("spikes").alias("spikes"), F.sum("nonpositive").alias("zero_or_negative"), F.sum("gaps").alias("gaps"),
     )
+    return sums.crossJoin(F.broadcast(table(s, d, "events").agg(F.count_if(F.col("value").isNull()).alias("missing"))))
 
 
-add("recommend_cleaning", lambda s, d: mo.recommend_cleaning(_quality(s, d)), """WITH q AS (SELECT count(*) FILTER (value IS NULL) AS m, count(*) FILTER (value > 100 OR value <= 0) AS o FROM events)
-SELECT 'Fill or interpolate missing values.' AS step FROM q WHERE m > 0 UNION ALL SELECT 'Smooth outliers and remove zero/negative prices.' FROM q WHERE o > 0 UNION ALL SELECT 'No major issues detected. Proceed to modeling.' FROM q WHERE m = 0 AND o = 0""")
+add("recommend_cleaning", lambda s, d: mo.recommend_cleaning(_quality(s, d)), f"""{MARKS}, q AS (SELECT (SELECT count(*) FILTER (value IS NULL) FROM events) AS m, sum(spike + nonpositive) AS o, sum(gap) AS g FROM m)
+SELECT 'Fill or interpolate missing values.' AS step FROM q WHERE m > 0 UNION ALL SELECT 'Smooth outliers and remove zero/negative prices.' FROM q WHERE o > 0
+UNION ALL SELECT 'Fill time gaps and standardize sampling.' FROM q WHERE g > 0 UNION ALL SELECT 'No major issues detected. Proceed to modeling.' FROM q WHERE m = 0 AND o = 0 AND g = 0""")
 L = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 add(
     "top_features",
@@ -126,6 +128,19 @@ add(
     lambda s, d: mo.compare_parameters(_versions(s, d)),
     V + " SELECT model_id, 'tree.depth' AS parameter, (k % 10)::VARCHAR AS value FROM l UNION ALL SELECT model_id, 'tree.leaves', (k % 64)::VARCHAR FROM l UNION ALL SELECT model_id, 'kind', model_type FROM l",
 )
+#: Models and versions to compare; the last two don't exist.
+CHOSEN = {1: None, 2: 2, 4: 1, 5: None, 7: 900, -1: None}
+C = V + ", c AS (SELECT * FROM v WHERE (model_id, version) IN ((2, 2), (4, 1)) OR model_id IN (1, 5) QUALIFY version = max(version) OVER (PARTITION BY model_id))"
+add(
+    "compare_models_chosen",
+    lambda s, d: rounded(mo.compare_models(_versions(s, d), ["accuracy", "log_loss"], CHOSEN)),
+    C + " SELECT model_id, version, round(acc, 6) AS accuracy, round(loss, 6) AS log_loss FROM c",
+)
+add(
+    "compare_parameters_chosen",
+    lambda s, d: mo.compare_parameters(_versions(s, d), chosen=CHOSEN),
+    C + " SELECT model_id, 'tree.depth' AS parameter, (k % 10)::VARCHAR AS value FROM c UNION ALL SELECT model_id, 'tree.leaves', (k % 64)::VARCHAR FROM c UNION ALL SELECT model_id, 'kind', model_type FROM c",
+)
 add(
     "perf_by_condition",
     lambda s, d: rounded(mo.performance_by_condition(_versions(s, d), "accuracy", "market")),

@@ -93,7 +93,7 @@ add(
 )
 add(
     "preprocess",
-    lambda s, d: shown(cl.fill(row_position(bars(s, d).unionByName(bars(s, d)).dropDuplicates()).withColumn("x", F.when(~F.expr(HOLE), F.col("close"))), ["x"]), "x"),
+    lambda s, d: shown(cl.preprocess(bars(s, d).unionByName(bars(s, d)).withColumn("x", F.when(~F.expr(HOLE), F.col("close"))), ["x"]), "x"),
     f"{HOLES} SELECT sym, {TS}, round(coalesce({BEFORE}, {AFTER}), 6) AS x FROM d",
 )
 
@@ -151,6 +151,11 @@ add(
     f"{MARKS} SELECT sym, sum(spike)::BIGINT AS spikes, sum(nonpositive)::BIGINT AS nonpositive, sum(gap)::BIGINT AS "
     "gaps, max(delta_s) AS max_delta_s, median(delta_s) FILTER (delta_s > 0) AS median_delta_s FROM m GROUP BY sym",
 )
+add(
+    "coerce_offenders",
+    lambda s, d: cl.coerce_offenders(table(s, d, "documents"), ["source", "lang"], "doc_id"),
+    "WITH b AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", doc_id AS place, {c} AS value FROM documents WHERE {c} IS NOT NULL AND try_cast({c} AS DOUBLE) IS NULL" for c in ("source", "lang")) + ") SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY \"column\" ORDER BY place, value) <= 5",
+)
 add(
     "validate_bars",
     lambda s, d: cl.validate_bars(holes(s, d), ["open", "x", "absent"], ["close"]),

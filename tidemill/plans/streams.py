@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.core import cut
 from tidemill.plans.features import CTES, RECURSIVE
 from tidemill.plans.quality import TS
-from tidemill.plans.queries import _lr, add, bars, shown
+from tidemill.plans.queries import BARS, _lr, add, bars, shown
 from tidemill.streaming import stateful as st
 from tidemill.streaming import live
 from tidemill.streaming.bars import new_folder, run_available, stream_dedup, stream_ohlcv, tick_stream
@@ -16,7 +16,9 @@ from tidemill.streaming.bars import new_folder, run_available, stream_dedup, str
 add(
     "stream_ohlcv",
     lambda s, d: shown(run_available(stream_ohlcv(tick_stream(s, f"{d}/event[s].parquet"), "1 hour")), "open", "high", "low", "close", "volume"),
-    None,
+    # Bars whose end the watermark, the last tick less the delay, has passed.
+    f"{BARS} SELECT sym, {TS}, {', '.join(f'round({c}, 6) AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM bars "
+    "WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
 )
 
 
@@ -125,3 +127,19 @@ add(
     lambda s, d: shown(_live(s, d), *LIVE),
     f"{RECURSIVE}, {CTES} SELECT sym, {TS}, {', '.join(f'round({c}, 6) AS {c}' for c in LIVE)} FROM whole WHERE ts <= (SELECT max(ts) FROM bars) - INTERVAL 2 DAY",
 )
+
+
+def _outcomes(s: SparkSession, d: str) -> DataFrame:
+    """Each tick is a prediction; two of three get their outcome, ten minutes later."""
+    p = _ticks(s, d).select(F.col("event_id").alias("id"), "ts", (F.col("price") > 10).cast("int").alias("prediction"))
+    o = _ticks(s, d).where("event_id % 3 > 0").select(F.col("event_id").alias("id"), (F.col("ts") + F.expr("interval 10 minutes")).alias("ts"), F.col("sym").isin("click", "view").cast("int").alias("actual"))
+    return run_available(st.stream_outcome_join(p, o)).select("id", "prediction", "actual")
+
+
+add(
+    "stream_outcome_join",
+    _outcomes,
+    "WITH e AS (SELECT *, event_id % 3 > 0 AS known FROM events), w AS (SELECT least(max(ts), max(ts) FILTER (known) + INTERVAL 10 MINUTE) - INTERVAL 1 DAY AS mark FROM e) "
+    "SELECT event_id AS id, (value > 10)::INTEGER AS prediction, CASE WHEN known THEN (event_type IN ('click', 'view'))::INTEGER END AS actual "
+    "FROM e, w WHERE known OR ts + INTERVAL 1 DAY < mark",
+)

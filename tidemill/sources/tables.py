@@ -30,9 +30,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, since: str | None =
     return rows.where(F.col(column) >= F.lit(since).cast(kind)) if since else rows
 
 
-def read_columnar_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Documents of equally long lists by column name, as rows. Lists of different lengths raise."""
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+def read_columnar_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Documents of equally long lists by column name, as rows; with ``lines`` each line is a document, so that a file can be
+    split. Lists of different lengths raise."""
+    doc = spark.read.schema(schema).option("multiLine", not lines).json(path)
     columns = doc.columns
     uneven = F.lit(False)
     for c in columns[1:]:
@@ -80,3 +81,55 @@ def append_log(df: DataFrame, path: str, batch: str) -> None:
     task that runs again makes the same ids, and events that are alike share one."""
     values = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns]
     df.withColumn("id", F.sha2(F.concat_ws("\x1f", F.lit(batch), *values), 256)).write.mode("append").json(path)
+
+
+def append_dated_log(df: DataFrame, path: str, batch: str, time: str = "ts") -> None:
+    """Adds events to a log kept by day (``dt=...`` folders), under a folder of the call's name: a call that runs again replaces what it
+    wrote. Files of a day are few, as rows are dealt by day before they are written."""
+    dated = df.withColumn("dt", F.to_date(time)).withColumn("batch", F.lit(batch))
+    spread = dated.repartition("dt", F.pmod(F.xxhash64(*df.columns), F.lit(4)))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").json(path)
+
+
+def read_dated_log(spark: SparkSession, path: str, schema: str, period: str | None = None, now: str | None = None, time: str = "ts") -> DataFrame:
+    """Events of a log of :func:`append_dated_log`, all or those of the ``period`` (day, week, month) of ``now`` (by default the current
+    time): the days of other periods are not listed."""
+    rows = spark.read.schema(f"{schema}, dt date, batch string").json(path)
+    if period:
+        begin = F.date_trunc(period, F.lit(now).cast("timestamp_ntz").cast("timestamp") if now else F.current_timestamp())
+        rows = rows.where(F.col("dt") >= F.to_date(begin)).where(F.col(time) >= begin.cast(rows.schema[time].dataType))
+    return rows.drop("dt", "batch")
+
+
+#: Bytes of a file of a compacted log.
+LOG_FILE = 128 << 20
+
+
+def compact_log(spark: SparkSession, path: str, schema: str, before: str | None = None) -> None:
+    """Writes each day of a log, those before a date if given, as one batch of files of about LOG_FILE bytes.
+
+    The names of the batches to replace are written first, then the new batch under a hidden name; only when that is whole do
+    the old ones go, and it takes its name. A run that was cut short is finished by the next one from those names, so nothing is lost
+    or repeated, and batches that have come meanwhile stay. Readers should not run while a day's folders change."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda at: fs.exists(fs_path(at))
+    names = lambda at, start: sorted(n for n in (s.getPath().getName() for s in fs.listStatus(fs_path(at))) if n.startswith(start)) if there(at) else []
+
+    for day in names(path, "dt="):
+        at = f"{path}/{day}"
+        marked, new = f"{at}/_replaced", f"{at}/_new"
+        if not there(f"{marked}/_SUCCESS"):
+            old = names(at, "batch=")
+            if before and day[3:] >= before or old in ([], ["batch=all"]):
+                continue
+            spark.createDataFrame([(b,) for b in old], "name string").coalesce(1).write.mode("overwrite").text(marked)
+        old = [f"{at}/{r.value}" for r in spark.read.text(marked).collect() if there(f"{at}/{r.value}")]
+        if not there(f"{new}/_SUCCESS") and old:
+            size = sum(fs.getContentSummary(fs_path(b)).getLength() for b in old)
+            spark.read.schema(schema).json(old).repartition(max(1, -(-size // LOG_FILE))).write.mode("overwrite").json(new)
+        if there(f"{new}/_SUCCESS"):
+            for b in old:
+                fs.delete(fs_path(b), True)
+            fs.rename(fs_path(new), fs_path(f"{at}/batch=all"))
+        fs.delete(fs_path(marked), True)
