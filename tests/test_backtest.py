@@ -21,7 +21,7 @@ def frame(spark, rows, signals, atr=1.0, sym="a"):
 
 def trades(bars, sl, tp, slippage=0.0, equity=10000.0, risk=1.0, commission=0.0):
     outcomes = bt.cut(bt.barrier_outcome(bars, sl, tp, slippage))
-    return bt.cut(bt.trade_log(bt.nonoverlap_trades(outcomes, bars), equity, risk, commission))
+    return bt.cut(bt.trade_log(bt.nonoverlap_trades(outcomes), equity, risk, commission))
 
 
 def three(price, low=None, high=None):

@@ -47,7 +47,7 @@ def test_empty_and_null_series(spark):
     empty = spark.createDataFrame([], "sym string, ts timestamp_ntz, rn long, close double, high double, low double, atr double, signal string")
     assert cleaning.fill(empty, ["close"]).count() == 0
     assert learning.split_time(empty).count() == 0
-    assert backtest.nonoverlap_trades(backtest.barrier_outcome(empty, 1, 2, 0), empty).count() == 0
+    assert backtest.nonoverlap_trades(backtest.barrier_outcome(empty, 1, 2, 0)).count() == 0
     nulls = spark.range(20).selectExpr("'a' sym", "id rn", "cast(null as double) x")
     assert cleaning.interpolate_linear(nulls, "x").where("x is not null").count() == 0
     assert cleaning.fill(nulls, ["x"]).count() == 20

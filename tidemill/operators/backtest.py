@@ -33,8 +33,8 @@ def check_multipliers(sl: float | Column, tp: float | Column) -> None:
         raise ValueError("sl and tp must be positive")
 
 
-def entry_levels(df: DataFrame, sl: float | Column, tp: float | Column, slippage: float) -> DataFrame:
-    """Long and Short rows with ``atr`` > 0: ``side`` (1 or -1), ``entry`` (close worsened by the slippage), ``stop`` and
+def entry_levels(df: DataFrame, sl: float | Column, tp: float | Column, slippage: float, *keep: str) -> DataFrame:
+    """Long and Short rows with ``atr`` > 0 and the columns ``keep``: ``side`` (1 or -1), ``entry`` (close worsened by the slippage), ``stop`` and
     ``target`` at ``sl`` and ``tp`` times atr. Rows with an entry of 0 or less don't trade."""
     check_multipliers(sl, tp)
     side = F.when(F.col("signal") == "Long", 1).when(F.col("signal") == "Short", -1)
@@ -42,11 +42,11 @@ def entry_levels(df: DataFrame, sl: float | Column, tp: float | Column, slippage
     e = e.where("entry > 0").withColumn("stop", F.col("entry") - F.col("side") * sl * F.col("atr")).withColumn(
         "target", F.col("entry") + F.col("side") * tp * F.col("atr"),
     )
-    return e.select("sym", "ts", "rn", "side", "entry", "stop", "target")
+    return e.select("sym", "ts", "rn", "side", "entry", "stop", "target", *keep)
 
 
 def first_touch(entries: DataFrame, bars: DataFrame) -> DataFrame:
-    """``sym, rn, hit``: for each entry (``up``, ``down``) the first later bar with high >= up or low <= down, if any.
+    """``sym, rn, up, down, hit``: for each entry (``up``, ``down``) the first later bar with high >= up or low <= down, if any.
 
     Bars are summed up in a tree of blocks, ``FAN`` to a block. An entry looks at later blocks of its own parent, level
     by level, until one touches, and then goes down in it: a few joins on equal keys with ``FAN`` candidates each,
@@ -69,32 +69,38 @@ def first_touch(entries: DataFrame, bars: DataFrame) -> DataFrame:
     for blocks, here in zip(levels[-2::-1], found[::-1], strict=True):
         inside = at.join(blocks.withColumn("hit", F.floor(F.col("i") / FAN)), ["sym", "hit"]).where(touches)
         at = inside.groupBy(*keys).agg(F.min("i").alias("hit")).unionByName(here)
-    return at.select("sym", "rn", "hit")
+    return at.select(*keys, "hit")
 
 
 def barrier_outcome(df: DataFrame, sl: float | Column, tp: float | Column, slippage: float) -> DataFrame:
     """Each entry with its exit: the first later bar with a valid atr that touches the target (``TP``, which wins on a
     bar that touches both) or the stop (``SL``), else the symbol's last close (``EndOfData``), worsened by the slippage."""
-    e = entry_levels(df, sl, tp, slippage)
-    e = e.withColumn("up", F.greatest("stop", "target")).withColumn("down", F.least("stop", "target"))
+    return _outcomes(entry_levels(df, sl, tp, slippage), df, slippage)
+
+
+def _outcomes(entries: DataFrame, df: DataFrame, slippage: float) -> DataFrame:
+    """The exits of entries with levels on the bars of ``df``. The tree of blocks is built once, and asked once for the entries of a bar
+    that have equal levels, whatever else (as ``run_id``) they differ in."""
+    e = entries.withColumn("up", F.greatest("stop", "target")).withColumn("down", F.least("stop", "target"))
     valid = F.col("atr") > 0
     live = df.select("sym", "rn", F.when(valid, F.col("high")).alias("high"), F.when(valid, F.col("low")).alias("low"))
     last = df.groupBy("sym").agg(F.max_by("close", "rn").alias("end"), F.max("rn").alias("end_rn"))
-    hit = first_touch(e, live).join(live.withColumnRenamed("rn", "hit"), ["sym", "hit"])
-    o = e.join(hit, ["sym", "rn"], "left").join(last, "sym")
+    keys = ["sym", "rn", "up", "down"]
+    asked = e.select(*keys).distinct() if "run_id" in e.columns else e
+    hit = first_touch(asked, live).join(live.withColumnRenamed("rn", "hit"), ["sym", "hit"])
+    o = e.join(hit, keys, "left").join(last, "sym")
     won = F.when(F.col("side") == 1, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
     reason = F.when(F.col("hit").isNull(), "EndOfData").when(won, "TP").otherwise("SL")
     level = F.when(reason == "TP", F.col("target")).when(reason == "SL", F.col("stop")).otherwise(F.col("end")) - F.col("side") * slippage
-    return o.select(
-        "sym", "ts", "rn", "side", "entry", "stop", "target", reason.alias("reason"), level.alias("exit"),
-        F.coalesce("hit", "end_rn").alias("exit_rn"),
-    )
+    return o.select(*entries.columns, reason.alias("reason"), level.alias("exit"), F.coalesce("hit", "end_rn").alias("exit_rn"))
 
 
-def nonoverlap_trades(outcomes: DataFrame, df: DataFrame) -> DataFrame:
+def nonoverlap_trades(outcomes: DataFrame) -> DataFrame:
     """The outcomes that trade when only one position is open: the first, and after each exit the first entry at or after
     the exit bar. Pointers to the next trade are doubled: as many rounds as the logarithm of the longest chain."""
-    marks = df.select("sym", "rn").join(outcomes.select("sym", "rn", F.col("rn").alias("e")), ["sym", "rn"], "left")
+    none = F.lit(None).cast("long").alias("e")
+    marks = outcomes.select("sym", "rn", F.col("rn").alias("e")).unionByName(outcomes.select("sym", F.col("exit_rn").alias("rn"), none))
+    marks = marks.groupBy("sym", "rn").agg(F.max("e").alias("e"))
     ahead = carry(marks, ["e"], "_next", ahead=True).select("sym", F.col("rn").alias("exit_rn"), F.col("e_next").alias("to"))
     over = F.col("reason") != "EndOfData"
     jump = cut(outcomes.where(over).select("sym", "rn", "exit_rn").join(ahead, ["sym", "exit_rn"]).where("to is not null").select("sym", "rn", "to"))
@@ -154,17 +160,22 @@ def strategy_search(df: DataFrame, grid: DataFrame, slippage: float, equity: flo
     """``run_id, sym, trades, final_equity, total_return`` of each run of ``grid`` (``run_id, sl, tp, least``: Long where
     ``prob`` is over ``least``) on each symbol of ``df`` (bars with ``atr`` and ``prob``), all runs in one set of joins.
 
-    The grid is a parameter, so it is broadcast; a run's bars are a series of their own, keyed by run and symbol."""
-    runs = df.crossJoin(F.broadcast(grid)).withColumn("of", F.struct("run_id", "sym"))
-    runs = runs.withColumn("sym", F.concat_ws("\x1f", F.col("run_id").cast("string"), "sym"))
-    runs = cut(runs.withColumn("signal", F.when(F.col("prob") > F.col("least"), "Long").otherwise("Flat")))
-    outcomes = cut(barrier_outcome(runs, F.col("sl"), F.col("tp"), slippage))
-    log = trade_log(nonoverlap_trades(outcomes, runs), equity, risk, commission)
+    The grid is a parameter, so it is broadcast. Only entries are a row for each run; the bars' tree is one for all of them, and
+    runs that put equal levels on a bar ask it once."""
+    bars = cut(df)
+    # Bars that no run enters don't meet the grid.
+    lowest = grid.agg(F.min("least").alias("__lowest"))
+    some = bars.where("atr > 0").crossJoin(F.broadcast(lowest)).where("prob > __lowest").drop("__lowest")
+    runs = some.crossJoin(F.broadcast(grid)).where("prob > least").withColumn("signal", F.lit("Long"))
+    levels = entry_levels(runs, F.col("sl"), F.col("tp"), slippage, "run_id")
+    outcomes = cut(_outcomes(levels, bars, slippage).withColumnRenamed("sym", "of").withColumn("sym", F.concat_ws("\x1f", F.col("run_id").cast("string"), "of")))
+    log = trade_log(nonoverlap_trades(outcomes), equity, risk, commission)
     ends = log.groupBy("sym").agg(F.count(F.lit(1)).alias("trades"), F.max_by("equity", "trade_no").alias("final_equity"))
-    found = runs.groupBy("sym").agg(F.first("of").alias("of")).join(ends, "sym", "left")
+    every = bars.select(F.col("sym").alias("of")).distinct().crossJoin(F.broadcast(grid.select("run_id")))
+    found = every.withColumn("sym", F.concat_ws("\x1f", F.col("run_id").cast("string"), "of")).join(ends, "sym", "left")
     final = F.coalesce("final_equity", F.lit(float(equity)))
     return found.select(
-        "of.run_id", "of.sym", F.coalesce("trades", F.lit(0)).alias("trades"), final.alias("final_equity"),
+        "run_id", F.col("of").alias("sym"), F.coalesce("trades", F.lit(0)).alias("trades"), final.alias("final_equity"),
         (final / equity - 1).alias("total_return"),
     )
 

@@ -52,7 +52,7 @@ def _outcomes(s: SparkSession, d: str) -> DataFrame:
 def _log(s: SparkSession, d: str) -> DataFrame:
     b = bt.cut(_signals(s, d))
     o = bt.cut(bt.barrier_outcome(b, SL, TP, SLIP))
-    return bt.trade_log(bt.nonoverlap_trades(o, b), EQUITY, RISK, COMMISSION)
+    return bt.trade_log(bt.nonoverlap_trades(o), EQUITY, RISK, COMMISSION)
 
 
 LEVELS = ("side", "entry", "stop", "target")
