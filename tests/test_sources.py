@@ -62,3 +62,35 @@ def test_first_touch_over_levels(spark):
     touch = [i for i in range(n) if i * 7919 % 1009 >= 1007.5 or -(i * 104729 % 1013) <= -1011.5]
     want = {e: next((t for t in touch if t > e), None) for e in range(5, n, 37)}
     assert got == {k: v for k, v in want.items() if v is not None}
+
+
+def test_dated_log_prunes_and_compacts(spark, tmp_path):
+    import os
+
+    from tidemill.sources import tables as so
+
+    at, schema = f"file://{tmp_path}/log", "id long, ts timestamp, x double"
+    rows = spark.createDataFrame([(k, f"2024-01-{1 + k % 3:02d} 0{k % 8}:00:00", float(k)) for k in range(30)], "id long, ts string, x double").withColumn("ts", F.col("ts").cast("timestamp"))
+    for batch, part in (("one", "id < 20"), ("two", "id >= 20"), ("two", "id >= 20")):  # the second call runs again
+        so.append_dated_log(rows.where(part), at, batch)
+    whole = sorted(tuple(r) for r in rows.collect())
+    read = lambda: sorted(tuple(r) for r in so.read_dated_log(spark, at, schema).collect())
+    assert read() == whole
+    today = so.read_dated_log(spark, at, schema, "day", "2024-01-03 12:00:00")
+    assert sorted(r.id for r in today.collect()) == [r[0] for r in whole if r[0] % 3 == 2]
+    assert all("dt=2024-01-03" in f for f in today.inputFiles()) or "PartitionFilters: [isnotnull(dt" in today._jdf.queryExecution().toString()
+    # A run that was cut short: the new batch is whole, one of the old ones is gone.
+    day = f"{tmp_path}/log/dt=2024-01-01"
+    spark.createDataFrame([("batch=one",), ("batch=two",)], "name string").coalesce(1).write.text(f"file://{day}/_replaced")
+    spark.read.schema(schema).json([f"file://{day}/batch=one", f"file://{day}/batch=two"]).write.json(f"file://{day}/_new")
+    for f in os.listdir(f"{day}/batch=one"):
+        os.remove(f"{day}/batch=one/{f}")
+    os.rmdir(f"{day}/batch=one")
+    so.append_dated_log(rows.where("id = 0").withColumn("id", F.lit(900).cast("long")), at, "three")  # and one has come meanwhile
+    so.compact_log(spark, at, schema, before="2024-01-03")
+    later = sorted([*whole, (900, *whole[0][1:])])
+    assert read() == later and sorted(os.listdir(day)) == ["batch=all", "batch=three"] and len(os.listdir(f"{tmp_path}/log/dt=2024-01-03")) == 2
+    so.compact_log(spark, at, schema)
+    so.compact_log(spark, at, schema)
+    assert read() == later and os.listdir(day) == ["batch=all"]
+    assert len([f for f in os.listdir(f"{day}/batch=all") if f.startswith("part")]) == 1

@@ -92,7 +92,7 @@ def fitted_trials(labelled: DataFrame, columns: list[str], metric: str = "auc",
             return trial.trial, quality(score_batch(model, held), metric == "auc").select(metric).first()[0]
 
         with ThreadPoolExecutor(parallel) as pool:
-            found = list(pool.map(inheritable_thread_target(measured), sorted(trials.collect())))
+            found = list(pool.map(inheritable_thread_target(rows.sparkSession)(measured), sorted(trials.collect())))
         return rows.sparkSession.createDataFrame(found, "trial long, value double")
 
     return evaluate
