@@ -317,3 +317,35 @@ def test_one_tree_of_bars_for_all_runs(spark):
         one = bars.withColumn("signal", F.when(F.col("prob") > run.least, "Long").otherwise("Flat"))
         log = bt.trade_log(bt.nonoverlap_trades(bt.cut(bt.barrier_outcome(one, run.sl, run.tp, 0.1))), 1000.0, 0.02, 0.001).orderBy("trade_no").collect()
         assert got[run.run_id][0] == len(log) and abs(got[run.run_id][1] - (log[-1].equity if log else 1000.0)) < 1e-9
+
+
+def test_text_columns_by_sketches(spark):
+    from tidemill.operators import models as mo
+
+    rows = [(at(i * 60), f"k{i % 20}", str(at(i)), f"n{i}", f"h{i // 2}", None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "ts timestamp, kind string, moment string, name string, half string, none string")
+    columns = ["kind", "moment", "name", "half", "none"]
+    days = mo.string_summaries(df, columns)
+    assert days.count() == 5 * 167
+    merged = {r["column"]: r for r in mo.string_kinds(days).collect()}
+    for c, n in (("kind", 20), ("moment", 4000), ("name", 4000), ("half", 2000), ("none", 1)):
+        assert abs(merged[c]["distinct"] - n) <= 4 * mo.SKETCH_ERROR * n + 0.5
+    assert merged["half"].kind == "unsure"
+    kinds = mo.narrow_strings(df, columns)
+    got = {r["column"]: r.kind for r in kinds.collect()}
+    assert got == {"kind": "category", "moment": "timestamp", "name": "string", "half": "string", "none": "category"}
+    assert dict(mo.parse_times(df, kinds).dtypes) == {**dict(df.dtypes), "moment": "timestamp"}
+
+
+def test_folds_from_sql(spark):
+    import pytest
+
+    from tidemill.operators.folds import register_folds
+
+    register_folds(spark)
+    spark.createDataFrame([("a", 10), ("b", 3)], "name string, n long").createOrReplaceTempView("sizes")
+    rows = spark.sql("SELECT * FROM cv_folds(TABLE(sizes) PARTITION BY name, kind => 'expanding', start => 4, step => 3, test => 2)")
+    assert rows.columns[0] == "name" and sorted(tuple(r) for r in rows.collect()) == [("a", 0, 0, 4, 4, 6), ("a", 1, 0, 7, 7, 9)]
+    for wrong in ("kind => 'expanding', start => 4", "kind => 'other', start => 4", "kind => 'rolling', window => 0, step => 1, test => 1"):
+        with pytest.raises(Exception, match="kind is one of|not right|over 0"):
+            spark.sql(f"SELECT * FROM cv_folds(TABLE(sizes) PARTITION BY name, {wrong})").collect()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.operators.core import row_position
+from tidemill.operators.core import cut, row_position
 
 #: Metrics of which less is better. A name that holds one of them counts, so ``val_loss`` does too.
 LESS_IS_BETTER = ("loss", "error", "mse", "rmse", "mae")
@@ -200,6 +200,56 @@ def narrow_types(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*parts).alias("__p")).select(F.inline("__p"))
 
 
+#: Bits of a distinct-count sketch's buckets, the relative standard error that follows from them, and the share of distinct
+#: values under which text is a category.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / (1 << SKETCH_BITS) ** 0.5
+CATEGORY_SHARE = 0.5
+
+
+def string_summaries(df: DataFrame, columns: list[str], time: str = "ts", period: str = "day") -> DataFrame:
+    """``column, period, rows, nulls, parsed, sketch`` of text columns by period of time: how many values are missing and how many are
+    times, and a sketch of the distinct ones. Summaries of new periods are added to those stored; none is made again."""
+    each = [F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in columns]
+    long = df.select(F.date_trunc(period, time).alias("period"), F.inline(F.array(*each)))
+    return long.groupBy("column", "period").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("v").isNull()).alias("nulls"), F.count(F.col("v").try_cast("timestamp")).alias("parsed"),
+        F.hll_sketch_agg("v", SKETCH_BITS).alias("sketch"),
+    )
+
+
+def string_kinds(summaries: DataFrame, share: float = CATEGORY_SHARE) -> DataFrame:
+    """``column, rows, nulls, parsed, distinct, kind`` from summaries of all periods: ``category`` where fewer than ``share`` of the rows are
+    distinct values (null is one), else ``timestamp`` where a value is a time, else ``string``; ``unsure`` where the sketch's error, three
+    times its standard, leaves the share open."""
+    merged = summaries.groupBy("column").agg(*[F.sum(c).alias(c) for c in ("rows", "nulls", "parsed")], F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+    distinct = F.col("distinct") + F.when(F.col("nulls") > 0, 1).otherwise(0)
+    ratio = distinct / F.col("rows")
+    open_ = F.abs(ratio - share) <= 3 * SKETCH_ERROR * ratio
+    kind = F.when(open_, "unsure").when(ratio < share, "category").when(F.col("parsed") > 0, "timestamp").otherwise("string")
+    return merged.select("column", "rows", "nulls", "parsed", distinct.alias("distinct"), kind.alias("kind"))
+
+
+def narrow_strings(df: DataFrame, columns: list[str], time: str = "ts", share: float = CATEGORY_SHARE) -> DataFrame:
+    """:func:`string_kinds` of a table. Only columns whose share the sketch leaves open are counted exactly, in one more scan."""
+    found = cut(string_kinds(string_summaries(df, columns, time), share))
+    unsure = [r["column"] for r in found.where("kind = 'unsure'").collect()]  # a row a column at most
+    if not unsure:
+        return found
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in unsure]))).distinct()
+    exact = values.groupBy("column").agg(F.count(F.lit(1)).alias("exact"))
+    kind = F.when(F.col("exact") / F.col("rows") < share, "category").when(F.col("parsed") > 0, "timestamp").otherwise("string")
+    both = found.join(F.broadcast(exact), "column", "left")
+    return both.select("column", "rows", "nulls", "parsed", F.coalesce("exact", "distinct").alias("distinct"), F.when(F.col("exact").isNull(), F.col("kind")).otherwise(kind).alias("kind"))
+
+
+def parse_times(df: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``df`` with its columns of kind ``timestamp`` as timestamps, null where a value is none. Categories stay text: files encode
+    them by dictionaries as they are."""
+    times = {r["column"] for r in kinds.where("kind = 'timestamp'").collect()}
+    return df.withColumns({c: F.col(c).try_cast("timestamp") for c in df.columns if c in times})
+
+
 def downcast(df: DataFrame) -> DataFrame:
     """``df`` in the types of ``narrow_types`` (one row a column comes to the driver)."""
     plan = {r["column"]: r["after"] for r in narrow_types(df).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from tidemill.operators import learning as le
 from tidemill.operators import metrics
 from tidemill.operators.bars import asof_backward
 from tidemill.operators.core import row_position
+from tidemill.operators.folds import register_folds
 from tidemill.plans.quality import HOLES, TS, holes, positioned, rounded
-from tidemill.plans.queries import BARS, SCORED, TR, X_ATR, _bars_sql, _lr, _scored, _w, add, bars, shown, table
+from tidemill.plans.queries import BARS, ORACLE_SQL, SCORED, TR, X_ATR, _bars_sql, _lr, _scored, _w, add, bars, shown, table
 
 LAGS = (
     ", v AS (SELECT *, lag(close) OVER o AS c1, lag(high) OVER o AS h1, lag(low) OVER o AS l1 FROM bars WINDOW o AS "
@@ -155,6 +158,22 @@ add(
 )
 
 
+def _folds_of(s: SparkSession, d: str, arguments: str) -> DataFrame:
+    """The folds of the table function, from SQL."""
+    register_folds(s)
+    view = f"counts_{uuid.uuid4().hex}"
+    _counted(s, d).createOrReplaceTempView(view)
+    return s.sql(f"SELECT * FROM cv_folds(TABLE(SELECT sym, n FROM {view}) PARTITION BY sym, {arguments})")
+
+
+for _kind, _arguments in (
+    ("cv_timeseries_split", "kind => 'timeseries', splits => 5, step => 40, max_train => 200"),
+    ("cv_rolling_window", "kind => 'rolling', window => 100, step => 50, test => 25"),
+    ("cv_expanding_window", "kind => 'expanding', start => 100, step => 50, test => 25"),
+):
+    add(f"fold_udtf_{_kind[3:]}", lambda s, d, a=_arguments: _folds_of(s, d, a), ORACLE_SQL[_kind])
+
+
 def _cells(s: SparkSession, d: str) -> DataFrame:
     grid = s.createDataFrame([(depth, trees) for depth in (2, 4) for trees in (10, 20)], "depth long, trees long")
     return le.param_grid_cross(_splits(s, d), grid).select("sym", "fold", "test_start", "depth", "trees")

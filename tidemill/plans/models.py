@@ -250,6 +250,24 @@ add(
     f"WITH w AS ({NARROW}), n AS (SELECT count(*) AS n FROM part) SELECT \"column\", {WIDE.format(c='before')} * n AS bytes_before, {WIDE.format(c='after')} * n AS bytes_after FROM w, n",
 )
 
+#: Text columns of events: few kinds, times, names and values that a third lack.
+TEXTS = {"kind": "event_type", "at": "strftime(ts, '%Y-%m-%d %H:%M:%S')", "name": "'e' || event_id", "some": "CASE WHEN event_id % 3 > 0 THEN 'x' || event_id // 6 END"}
+
+
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    name = lambda c: F.concat(F.lit(c), F.col("event_id").cast("string"))
+    some = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("x"), F.expr("event_id div 6").cast("string")))
+    return e.select("ts", F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), name("e").alias("name"), some.alias("some"))
+
+
+_text_sql = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (v IS NULL) AS nulls, count(try_cast(v AS TIMESTAMP)) AS parsed, count(DISTINCT v) + max((v IS NULL)::INTEGER) AS d FROM (SELECT {e} AS v FROM events)" for c, e in TEXTS.items())
+add(
+    "narrow_strings",
+    lambda s, d: mo.narrow_strings(_texts(s, d), list(TEXTS)).drop("distinct"),
+    f"SELECT \"column\", rows, nulls, parsed, CASE WHEN d / rows < 0.5 THEN 'category' WHEN parsed > 0 THEN 'timestamp' ELSE 'string' END AS kind FROM ({_text_sql})",
+)
+
 
 def _strategies(s: SparkSession, d: str) -> DataFrame:
     """A curve for each order priority, a strategy each."""
