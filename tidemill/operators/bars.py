@@ -29,7 +29,7 @@ def enough_rows(b: DataFrame, least: int) -> DataFrame:
     return b.join(counts, "sym", "left_semi")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, columns: list[str], bucket: str = "week") -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, columns: list[str], bucket: str = "day") -> DataFrame:
     """Each left row with the ``columns`` of the latest right row at or before its ``ts``.
 
     Both sides are cut into buckets of time. Within a bucket one ordered pass carries the last right row; what a bucket

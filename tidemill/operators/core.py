@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 #: Rows of a block of a recurrence, and the weight under which an earlier block no longer counts.
 BLOCK, LEAST_WEIGHT = 256, 1e-18
+#: Blocks that meet in one task to hand on their ends, at least.
+SUPER = 256
 
 
 def row_position(df: DataFrame, bucket: str = "day") -> DataFrame:
     """Adds ``rn``, the 0-based position in time order within the symbol. Rows are counted per ``bucket`` of time
-    (combined before the shuffle), the counts are summed over those few rows, and only rows of one bucket are ordered."""
+    (combined before the shuffle), the counts are summed over those few rows, and only rows of one bucket are ordered: a day of
+    a symbol's bars; for ticks, of which a day may be too much for a task, an hour or a minute."""
     day = df.withColumn("__day", F.date_trunc(bucket, "ts").cast("string"))
     counts = day.groupBy("sym", "__day").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("sym").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,9 +59,10 @@ def recurrences(df: DataFrame, means: dict[str, tuple[str, float]], block: int =
     """Adds a column for each of ``means`` (name: source and alpha) with y0 = x0 and y = (1 - alpha) * y_before + alpha * x
     in the order of ``rn``, for rows from 0 on without nulls in the sources.
 
-    Blocks of ``block`` rows, which carry all columns, are scanned once for all means, each from 0; the blocks' ends, one
-    row a block, are then carried into the later ones with weights that fall by (1 - alpha)^block a block, over as many
-    blocks as still count. Rows come back out of the blocks: nothing is joined by row."""
+    Blocks of ``block`` rows, which carry all columns, are scanned once for all means, each from 0; the blocks' ends are then
+    carried into the later ones with weights that fall by (1 - alpha)^block a block, over as many blocks as still count.
+    Blocks meet for that in runs of SUPER, to which the ends of the last blocks before them are copied. Rows come back out
+    of the blocks: nothing is joined, and ``df`` stands in the plan once, however many recurrences are chained."""
     rest = [c for c in df.columns if c not in ("sym", "rn")]
     blocked = df.withColumn("__b", F.floor(F.col("rn") / block))
     pairs = blocked.groupBy("sym", "__b").agg(F.sort_array(F.collect_list(F.struct("rn", *rest))).alias("rows"))
@@ -70,15 +74,23 @@ def recurrences(df: DataFrame, means: dict[str, tuple[str, float]], block: int =
     kind = "array<struct<" + ",".join(f"`{y}`:double" for y in means) + ">>"
     start = F.struct(*[F.lit(0.0).alias(y) for y in means], F.array().cast(kind).alias("all"))
     local = pairs.withColumn("ys", F.aggregate("rows", start, step, lambda acc: acc["all"]))
-    ends = local.select("sym", "__b", F.element_at("ys", -1).alias("end"))
+    reaches = {}
+    for y, (_, alpha) in means.items():
+        weight, reaches[y] = (1.0 - alpha) ** block, 1
+        while weight > 0 and weight ** reaches[y] > LEAST_WEIGHT:
+            reaches[y] += 1
+    # A run is longer than what its blocks look back on, so each block is copied to the next run at most.
+    run = max(SUPER, max(reaches.values()) + 1)
+    own = F.floor(F.col("__b") / run)
+    near = F.pmod("__b", F.lit(run)) >= run - max(reaches.values())
+    homes = F.when(near, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = local.select("sym", "__b", "rows", "ys", F.element_at("ys", -1).alias("end"), F.posexplode(homes).alias("__copy", "__run"))
+    spread = spread.withColumns({c: F.when(F.col("__copy") == 0, F.col(c)) for c in ("rows", "ys")})
     carried = []
     for k, (y, (_, alpha)) in enumerate(means.items()):
-        weight, reach = (1.0 - alpha) ** block, 1
-        while weight > 0 and weight**reach > LEAST_WEIGHT:
-            reach += 1
-        before = Window.partitionBy("sym").orderBy("__b").rowsBetween(-reach, -1)
-        carried.append(F.aggregate(F.collect_list(F.col("end")[y]).over(before), F.lit(0.0), _weighing(weight)).alias(f"__c{k}"))
-    rows = local.join(ends.select("sym", "__b", *carried), ["sym", "__b"])
+        before = Window.partitionBy("sym", "__run").orderBy("__b").rowsBetween(-reaches[y], -1)
+        carried.append(F.aggregate(F.collect_list(F.col("end")[y]).over(before), F.lit(0.0), _weighing((1.0 - alpha) ** block)).alias(f"__c{k}"))
+    rows = spread.select("sym", "__b", "__copy", "rows", "ys", *carried).where("__copy = 0")
     rows = rows.select("sym", "__b", *[f"__c{k}" for k in range(len(means))], F.explode(F.arrays_zip("rows", "ys")).alias("z"))
     since = F.col("z.rows.rn") - F.col("__b") * block + 1
     out = [(F.col("z.ys")[y] + F.col(f"__c{k}") * F.pow(F.lit(1.0 - alpha), since)).alias(y) for k, (y, (_, alpha)) in enumerate(means.items())]

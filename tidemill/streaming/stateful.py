@@ -78,7 +78,7 @@ def stream_recurrences(stream: DataFrame, folder: str, means: dict[str, tuple[st
             "sym", "ts", *[F.lit(None).cast("double").alias(x) for x in sources],
             *[F.col(y).alias(f) for f, (_, y, _) in feeds.items()], F.lit(True).alias("known"),
         )
-        done = cut(recurrences(row_position(new.unionByName(before)), {y: (f, alpha) for f, (_, y, alpha) in feeds.items()}))
+        done = cut(recurrences(row_position(new.unionByName(before), "hour"), {y: (f, alpha) for f, (_, y, alpha) in feeds.items()}))
         found = done.where("not known").select("sym", "ts", *sources, *means)
         behind = since.where(late).select("sym", "ts", *sources, *[F.lit(None).cast("double").alias(y) for y in means])
         found.unionByName(behind).write.mode("overwrite").parquet(f"{out}/batch={number}")
