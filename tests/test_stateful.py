@@ -79,6 +79,18 @@ def test_monitoring_adds_up_over_batches(spark, tmp_path):
     assert sorted((r.batch, r.subject, r.value) for r in alerts) == [(0, "2024-01-01", 0.0), (2, "2024-01-02", 0.0)]
 
 
+def test_monitoring_compacts_its_sums(spark, tmp_path):
+    parts = [[(at(1500 * (k % 2)), 1, int(k % 3 > 0))] * (k + 1) for k in range(6)]
+    stream = batches(spark, tmp_path, *parts, schema="ts timestamp, prediction int, actual int")
+    alerts = spark.read.parquet(st.stream_monitoring(stream, f"file://{tmp_path}", least=2.0, every=2))
+    got = {r.batch: r.value for r in alerts.collect()}
+    for k in range(6):
+        seen = [row for j in range(k % 2, k + 1, 2) for row in parts[j]]
+        assert abs(got[k] - sum(r[1] == r[2] for r in seen) / len(seen)) < 1e-12
+    wholes = spark.read.parquet(f"file://{tmp_path}/wholes")
+    assert {r.batch: r.n for r in wholes.groupBy("batch").agg(F.sum("known").alias("n")).collect()} == {1: 3, 3: 10, 5: 21}
+
+
 def test_parabolic_sar_by_blocks(spark):
     from tidemill.operators.indicators import psar, sar_step
 

@@ -171,10 +171,13 @@ add(
 
 
 def _shuffled(s: SparkSession, d: str) -> DataFrame:
-    """Bars in the order of a hash of their place."""
-    return row_position(bars(s, d)).withColumn(
-        "rn", F.row_number().over(Window.partitionBy("sym").orderBy(F.pmod(F.col("rn") * 7919, F.lit(1009)), "rn")) - 1,
-    )
+    """Bars in the order of a hash of their place: of 1,009 values, each of which is counted and ordered apart."""
+    rows = row_position(bars(s, d)).withColumn("k", F.pmod(F.col("rn") * 7919, F.lit(1009)))
+    counts = rows.groupBy("sym", "k").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("sym").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("sym", "k", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("sym", "k").orderBy("rn")) - 1
+    return rows.withColumn("i", inside).join(starts, ["sym", "k"]).withColumn("rn", F.col("start") + F.col("i")).drop("k", "i", "start")
 
 
 SHUFFLED = (

@@ -100,20 +100,30 @@ def stream_wilder(stream: DataFrame, folder: str, n: int, columns: list[str]) ->
     return stream_recurrences(stream, folder, {f"wilder_{c}": (c, 1.0 / n) for c in columns})
 
 
-def stream_monitoring(matched: DataFrame, folder: str, period: str = "day", least: float = 0.7) -> str:
+def stream_monitoring(matched: DataFrame, folder: str, period: str = "day", least: float = 0.7, every: int = 32) -> str:
     """Alerts of the periods whose accuracy is under ``least``, over all matched predictions of a period that have come so
-    far: a batch adds its sums to those stored and alerts on the periods that it touched. Returns the path of the alerts,
+    far: a batch adds its sums to those stored and alerts on the periods that it touched. Every ``every`` batches the sums so far
+    are written as one table, so a batch reads that and the sums of fewer than ``every`` batches. Returns the path of the alerts,
     ``kind, subject, value, batch``; a period's last batch has its last figure."""
-    alerts, sums = f"{folder}/alerts", f"{folder}/sums"
+    alerts, sums, wholes = f"{folder}/alerts", f"{folder}/sums", f"{folder}/wholes"
 
     def run(batch: DataFrame, number: int) -> None:
         right = F.when(F.col("actual").isNotNull(), (F.col("prediction") == F.col("actual")).cast("long"))
         own = batch.groupBy(F.date_trunc(period, "ts").alias("period")).agg(F.sum(right).alias("right"), F.count(right).alias("known"))
         own = cut(own.withColumn("batch", F.lit(number).cast("long")))
         own.drop("batch").write.mode("overwrite").parquet(f"{sums}/batch={number}")
-        before = _stored(own, sums).where(F.col("batch") < number).join(own.select("period"), "period", "left_semi").select(*own.columns)
-        both = before.unionByName(own).groupBy("period").agg(F.try_divide(F.sum("right"), F.sum("known")).alias("accuracy"))
+        # Only what earlier batches wrote counts, so a batch that runs again finds what it found before.
+        whole = _stored(own, wholes).where(F.col("batch") < number)
+        base = whole.agg(F.max("batch")).first()[0]
+        base = -1 if base is None else base
+        rest = _stored(own, sums).where((F.col("batch") > base) & (F.col("batch") < number))
+        before = whole.where(F.col("batch") == base).unionByName(rest)
+        touched = before.join(own.select("period"), "period", "left_semi").select(*own.columns).unionByName(own)
+        both = touched.groupBy("period").agg(F.try_divide(F.sum("right"), F.sum("known")).alias("accuracy"))
         monitoring_alerts(both, least=least).write.mode("overwrite").parquet(f"{alerts}/batch={number}")
+        if number % every == every - 1:
+            all_sums = before.unionByName(own).groupBy("period").agg(F.sum("right").alias("right"), F.sum("known").alias("known"))
+            all_sums.write.mode("overwrite").parquet(f"{wholes}/batch={number}")
 
     each_batch(matched, folder, run)
     return alerts
