@@ -68,3 +68,14 @@ def test_planted_neighbours_are_found(spark):
     got = embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(6))
     found = got.where("vec_id < 6000 and n_links > 0").count() / 6000
     assert found >= 0.999 and got.where("vec_id >= 10000 and n_links > 0").count() == 0
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    import os
+
+    from tidemill.llm.common import drop_scratch, materialize
+
+    drop_scratch(spark)
+    kept = materialize(spark.range(3))
+    folder = kept.inputFiles()[0].removeprefix("file:").lstrip("/").rsplit("/", 1)[0]
+    assert os.path.isdir(f"/{folder}") and drop_scratch(spark) == 1 and not os.path.exists(f"/{folder}") and drop_scratch(spark) == 0

@@ -323,4 +323,5 @@ def encoded_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded, as digests."""
     return encoded_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -41,11 +41,26 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back: cuts lineage,
     survives lost executors and is computed a single time."""
     path = f"{scratch_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that :func:`materialize` wrote, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that this driver's operators have written to the scratch folder and returns their number. To be called
+    when results are stored, as what an operator returned may still read them."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    fs_path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        fs_path(p).getFileSystem(conf).delete(fs_path(p), True)
+    return len(paths)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
     """Join with ``right`` unique on ``keys``; the rows of a hot key of ``left`` are spread over ``salts`` tasks."""
     rest = [c for c in left.columns if c not in keys] or keys

@@ -203,4 +203,5 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, miss: float = M
 
 
 def op9_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all embeddings at a cosine of 0.93 or more."""
     return embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

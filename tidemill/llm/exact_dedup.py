@@ -93,6 +93,7 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are equal without white space, the longest of each kept."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), hashed=True)
 
 

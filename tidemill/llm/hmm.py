@@ -221,5 +221,6 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
 
 
 def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from those whose id has another remainder than 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_texts(docs.withColumn("held", id_remainder("doc_id", 7) == 2), "held")

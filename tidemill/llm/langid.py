@@ -192,4 +192,5 @@ def known_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose id has another remainder than 1."""
     return predict_language(spark.read.parquet(f"{sf_dir}/documents.parquet"))

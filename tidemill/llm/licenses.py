@@ -190,6 +190,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and whole notices in every document."""
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -120,6 +120,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of 150 % of all words takes of every document."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -248,4 +248,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and their groups at two differing bits."""
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
