@@ -421,6 +421,25 @@ def test_near_dedup_brute_force(spark, texts, monkeypatch, tile):
     assert neardup.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_pairs_of_a_hub_are_dealt(spark):
+    """Pairs that share a row are checked like any other, whichever end it is, and meet copies of its set in parts."""
+    from tidemill.llm import neardup
+
+    base = [f"w{i}" for i in range(60)]
+    rows = {k: " ".join([*base[: 60 - k % 9], *(f"n{k}x{i}" for i in range(k % 9))]) for k in range(40)}
+    docs = spark.createDataFrame([*rows.items(), *rows.items()], "doc_id long, text string").repartition(3)
+    nodes = docs.distinct().select(F.col("doc_id").alias("rep"), neardup.text_key("text").alias("tid"))
+    pairs = [(min(h, k), max(h, k)) for h in (0, 19) for k in range(40) if k != h] + [(3, 30)]
+    pairs = sorted({*pairs})
+    sets = {k: shingle_tuples(t) for k, t in rows.items()}
+    want = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 0 < len(want) < len(pairs)
+    for hub_pairs in (4, 256):
+        got = neardup.similar(spark.createDataFrame(pairs, "a long, b long"), nodes, docs, "text", 5, 0.8, hub_pairs)
+        assert sorted(map(tuple, got.collect())) == want
+    assert neardup.similar(spark.createDataFrame([], "a long, b long"), nodes, docs, "text", 5, 0.8).count() == 0
+
+
 def test_null_and_repeated_ids(spark):
     from tidemill.llm.exact_dedup import exact_dedup, keep_distinct
     from tidemill.llm.langid import known_language

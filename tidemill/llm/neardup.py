@@ -27,6 +27,8 @@ SIGMAS, MISS = 3.0, 0.01
 BUCKET_BITS = 8
 #: Pairs within the radius for each row of a bucket, over which the bucket is searched in two steps.
 THICK = 2
+#: Pairs that meet a copy of the set of the row they share.
+HUB_PAIRS = 256
 #: Slots of the bit maps that tell scans which texts matter.
 SLOTS = 1 << 25
 SEED = 7
@@ -69,20 +71,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return narrow.mapInArrow(run, f"doc_id {kind}, tid binary, digest binary, fp binary")
 
 
-def shingle_sets(docs: DataFrame, tids: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """``tid, shingles`` of the texts named by ``tids``. A bit map of fixed size drops other texts in the scan."""
+def shingle_sets(docs: DataFrame, named: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """The columns of ``named``, which has a row for each ``tid``, and ``shingles`` of the texts that it names. A bit map of
+    fixed size drops other texts in the scan."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches):
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(b.num_columns - 1).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["tid", "shingles"])
+            arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], arrays], [*b.schema.names[:-1], "shingles"])
 
     slot = F.pmod(F.xxhash64("tid"), F.lit(SLOTS))
     texts = docs.select(text_key(text_col).alias("tid"), F.col(text_col).alias("text"))
-    near = marked(texts, slot, slot_map(tids.select(slot.alias("slot")))).where("__marked").select("tid", "text")
-    one = near.join(tids, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    return materialize(one.mapInArrow(run, "tid binary, shingles array<long>"))
+    near = marked(texts, slot, slot_map(named.select(slot.alias("slot")))).where("__marked").select("tid", "text")
+    one = near.join(named, "tid").groupBy(*named.columns).agg(F.first("text").alias("text"))
+    return materialize(one.mapInArrow(run, f"{kinds}, shingles array<long>"))
 
 
 def keyed(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -151,16 +156,32 @@ def _second_step(limit: int) -> Callable:
     return whole_groups(solve, ["key", "i", "j"])
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the ``a, b`` whose whole sets of shingles have the similarity."""
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    named = materialize(nodes.select("rep", "tid").join(ends, "rep"))
-    sets = materialize(named.join(shingle_sets(docs, named.select("tid"), text_col, shingle), "tid").select("rep", "shingles"))
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b",
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float, hub_pairs: int = HUB_PAIRS) -> DataFrame:
+    """Those of the distinct ``a, b`` whose whole sets of shingles have the similarity.
+
+    A pair takes the set of its end with fewer pairs to the set of the other end, its hub. A hub's set is copied once for
+    each ``hub_pairs`` of its pairs, among which they are dealt: what moves is a set a pair, however many share a hub, and
+    no task gets all of them."""
+    degrees = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("deg")))
+    ends = pairs.join(degrees.select(F.col("rep").alias("a"), F.struct("deg", "rep").alias("of_a")), "a").join(
+        degrees.select(F.col("rep").alias("b"), F.struct("deg", "rep").alias("of_b")), "b",
+    )
+    ends = ends.select(F.least("of_a", "of_b")["rep"].alias("leaf"), F.greatest("of_a", "of_b").alias("hub"))
+    parts = F.ceil(F.col("hub.deg") / hub_pairs).cast("int")
+    ends = materialize(ends.select("leaf", "hub.rep", parts.alias("parts")).withColumnRenamed("rep", "hub"))
+    roles = ends.select(F.col("leaf").alias("rep"), F.lit(True).alias("leaf"), F.lit(0).alias("parts")).unionByName(
+        ends.select(F.col("hub").alias("rep"), F.lit(False).alias("leaf"), "parts"),
     )
-    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    return both.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared"))).select("a", "b")
+    roles = roles.groupBy("rep").agg(F.max("leaf").alias("leaf"), F.max("parts").alias("parts"))
+    named = materialize(nodes.select("rep", "tid").join(roles, "rep"))
+    sets = shingle_sets(docs, named, text_col, shingle)
+    sent = ends.join(sets.where("leaf").select(F.col("rep").alias("leaf"), F.col("shingles").alias("x")), "leaf")
+    sent = sent.withColumn("part", F.pmod(F.xxhash64("leaf"), F.col("parts")).cast("int")).drop("parts")
+    hubs = sets.where("parts > 0").select(F.col("rep").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("y"))
+    both = sent.join(hubs, ["hub", "part"])
+    both = both.select("leaf", "hub", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    near = both.where(F.col("shared") >= similarity * (F.col("n") - F.col("shared")))
+    return near.select(F.least("leaf", "hub").alias("a"), F.greatest("leaf", "hub").alias("b"))
 
 
 def long_fingerprints(nodes: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -171,8 +192,7 @@ def long_fingerprints(nodes: DataFrame, docs: DataFrame, text_col: str, shingle:
             fps = [simhash(np.array(s, dtype=np.int64).view(np.uint64), LONG_WORDS).tobytes() for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["rep", "fp"])
 
-    sets = nodes.join(shingle_sets(docs, nodes.select("tid"), text_col, shingle), "tid").select("rep", "shingles")
-    return sets.mapInArrow(run, "rep long, fp binary")
+    return shingle_sets(docs, nodes, text_col, shingle).select("rep", "shingles").mapInArrow(run, "rep long, fp binary")
 
 
 def apart_tiles(rows: DataFrame, tile: int) -> DataFrame:
