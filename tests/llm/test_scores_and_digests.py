@@ -79,3 +79,37 @@ def test_scratch_tables_can_be_dropped(spark, tmp_path):
     kept = materialize(spark.range(3))
     folder = kept.inputFiles()[0].removeprefix("file:").lstrip("/").rsplit("/", 1)[0]
     assert os.path.isdir(f"/{folder}") and drop_scratch(spark) == 1 and not os.path.exists(f"/{folder}") and drop_scratch(spark) == 0
+
+
+def test_training_in_pieces_equals_training_at_once():
+    """Expected counts don't depend on the pieces whose values are held; a long text's memory is that of a piece and its symbols."""
+    import tracemalloc
+
+    from tidemill.llm.hmm import begin, expected_counts, time_cuts
+
+    rng = np.random.default_rng(5)
+    seqs = [rng.integers(0, 41, n).astype("<u2") for n in (1, 1, 2, 7, 40, 40, 333, 1000)]
+    model = begin(3, 40)
+    want = expected_counts(seqs, *model)
+    assert time_cuts(np.array([len(s) for s in seqs]), 1 << 30) == [0, 1000]
+    for piece in (1, 2, 5, 100, 1001):
+        for x, y in zip(want, expected_counts(seqs, *model, piece=piece), strict=True):
+            np.testing.assert_allclose(y, x, rtol=1e-4, atol=1e-5)
+    none = expected_counts([np.empty(0, "<u2")], *model)
+    assert [float(np.sum(x)) for x in none] == [0.0] * 4
+    long = [rng.integers(0, 41, 100_000).astype("<u2")]
+    tracemalloc.start()
+    expected_counts(long, *model, piece=5000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(long[0])
+
+
+def test_words_of_pieces_are_those_of_the_text():
+    from tidemill.llm.hmm import word_pieces
+
+    for text in (None, "", " ", "a", "  Ab \t\x0bc\x1cd ÄB\n", "x" * 30 + " " * 30 + "Y z", "one two three four five six "):
+        for size in (1, 3, 8, 1 << 20):
+            pieces = list(word_pieces(text, size))
+            assert [w for p in pieces for w in p] == [*(text or "").encode().lower().split(), b""]
+    assert max(len(p) for p in word_pieces("ab " * 100, 8)) <= 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,8 +19,12 @@ from tidemill.llm.common import id_remainder, materialize, sub_batches
 
 #: Latent states, symbols without the end, rounds of training, seed.
 STATES, SYMBOLS, ROUNDS, SEED = 8, 4096, 4, 11
-#: Bytes of text of a block of documents, which shares one table of words.
-BLOCK = 16_000_000
+#: Bytes of text of a block of documents, which shares one table of words; of a piece of a text that is split at once.
+BLOCK, SPLIT = 16_000_000, 1 << 20
+#: Bytes of symbols that a task trains on at once, and tokens whose values it holds for that.
+TRAIN, PIECE = 3_000_000, 1_500_000
+
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def symbol(word: str = "word") -> Column:
@@ -30,6 +35,18 @@ def symbol(word: str = "word") -> Column:
     return F.when(F.length(w) == 0, SYMBOLS).otherwise(F.pmod(F.crc32(seen), F.lit(SYMBOLS))).cast("int")
 
 
+def word_pieces(text: str | None, size: int = SPLIT) -> Iterator[list[bytes]]:
+    """The lower-cased words of the text and its end, in lists of about ``size`` bytes of text, cut at white space."""
+    raw, at = (text or "").encode().lower(), 0
+    while True:
+        gap = SPACE.search(raw, at + size)
+        stop = gap.start() if gap else len(raw)
+        words, at = raw[at:stop].split(), stop
+        yield words if gap else [*words, b""]
+        if not gap:
+            return
+
+
 def blocks(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as numbers: rows of kind 0 are documents (``doc_id, held, seq``: places of the tokens in the block's
     table of words as compressed 32-bit integers), rows of kind 1 the words of a block (``place, word, n``: tokens in training
@@ -46,8 +63,7 @@ def blocks(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
             place: defaultdict[bytes, int] = defaultdict(count().__next__)
             ids = []
             for t in texts:
-                words = (t.encode().lower().split() if t else []) + [b""]
-                ids.append(np.fromiter(map(place.__getitem__, words), dtype="<i4", count=len(words)))
+                ids.append(np.concatenate([np.fromiter(map(place.__getitem__, words), dtype="<i4", count=len(words)) for words in word_pieces(t)]))
             taught = [x for x, h in zip(ids, held, strict=True) if not h]
             counts = np.bincount(np.concatenate(taught), minlength=len(place)) if taught else np.zeros(len(place), dtype=np.int64)
             names, seqs = list(place), [zlib.compress(x.tobytes(), 1) for x in ids]
@@ -83,40 +99,77 @@ def begin(states: int = STATES, symbols: int = SYMBOLS, seed: int = SEED) -> tup
     return np.full(states, 1.0 / states), a / a.sum(axis=1, keepdims=True), b / b.sum(axis=1, keepdims=True)
 
 
-def expected_counts(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def time_cuts(size: np.ndarray, piece: int) -> list[int]:
+    """Times, from 0 to that of the longest of the sequences, between which lie ``piece`` tokens at most, or one time."""
+    cuts = [0]
+    while cuts[-1] < size.max(initial=0):
+        goal = np.minimum(size, cuts[-1]).sum() + piece
+        low, high = cuts[-1] + 1, int(size.max())
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if np.minimum(size, middle).sum() <= goal else (low, middle - 1)
+        cuts.append(low)
+    return cuts
+
+
+def expected_counts(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, transitions and emissions of whole sequences, and their log10 likelihood.
 
     Scaled forward-backward, all sequences in step: at each time the values of those that go on, longest first, lie side
-    by side, so memory is that of the batch's tokens, and a sequence of any length is one sequence."""
+    by side. A sequence of any length is one sequence, but values are held for one piece of ``piece`` tokens only: the
+    forward pass keeps what each piece begins with, and the backward pass computes the values of the pieces before the
+    last again."""
     k = len(start)
     emit, a32 = np.ascontiguousarray(b.T.astype(np.float32)), a.astype(np.float32)
     seqs = sorted((s for s in seqs if len(s)), key=len, reverse=True)
     size = np.array([len(s) for s in seqs], dtype=np.int64)
-    active = len(seqs) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), side="right")
-    off = np.concatenate([[0], np.cumsum(active)])
-    obs = np.empty(int(off[-1]), dtype=np.int64)
-    for i, s in enumerate(seqs):
-        obs[off[: len(s)] + i] = s
-    e = emit[obs]
-    alpha, scale = np.empty_like(e), np.empty(len(obs), dtype=np.float32)
-    for t, m in enumerate(active.tolist()):
-        now = slice(off[t], off[t] + m)
-        x = (alpha[off[t - 1] : off[t - 1] + m] @ a32 if t else start.astype(np.float32)[None, :]) * e[now]
-        scale[now] = s = x.sum(axis=1)
-        np.divide(x, s[:, None], out=alpha[now])
-    n_a, beta = np.zeros((k, k)), np.ones((len(seqs), k), dtype=np.float32)
-    for t in range(len(active) - 1, -1, -1):
-        m = int(active[t])
-        now = slice(off[t], off[t] + m)
-        y = beta[:m] * e[now]
-        y /= scale[now, None]
-        np.multiply(alpha[now], beta[:m], out=e[now])  # from here on e holds the states' probabilities
-        if t:
-            n_a += alpha[off[t - 1] : off[t - 1] + m].T @ y
-            np.matmul(y, a32.T, out=beta[:m])
-    n_b = np.stack([np.bincount(obs, weights=e[:, s], minlength=b.shape[1]) for s in range(k)])
-    n_start = e[: len(seqs)].sum(axis=0, dtype=np.float64)
-    return n_start, n_a * a, n_b, float(np.log10(scale).sum(dtype=np.float64))
+    cuts = time_cuts(size, piece)
+
+    def forward(p: int, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Places, symbols, emissions, scaled forward values and scales of piece ``p``, given the values it begins with."""
+        times = np.arange(cuts[p], cuts[p + 1])
+        off = np.concatenate([[0], np.cumsum(len(seqs) - np.searchsorted(size[::-1], times, side="right"))])
+        obs = np.empty(int(off[-1]), dtype=np.int64)
+        for i in range(int(off[1])):
+            s = seqs[i][cuts[p] : cuts[p + 1]]
+            obs[off[: len(s)] + i] = s
+        e = emit[obs]
+        alpha, scale = np.empty_like(e), np.empty(len(obs), dtype=np.float32)
+        for t, m in enumerate(np.diff(off).tolist()):
+            now = slice(off[t], off[t] + m)
+            if t:
+                before = alpha[off[t - 1] : off[t]]
+            x = (start.astype(np.float32)[None, :] if before is None else before[:m] @ a32) * e[now]
+            scale[now] = s = x.sum(axis=1)
+            np.divide(x, s[:, None], out=alpha[now])
+        return off, obs, e, alpha, scale
+
+    begins, held, likelihood = [None], None, 0.0
+    for p in range(len(cuts) - 1):
+        held = None
+        held = forward(p, begins[-1])
+        begins.append(held[3][held[0][-2] :].copy())
+        likelihood += float(np.log10(held[4]).sum(dtype=np.float64))
+    n_start, n_a, n_b = np.zeros(k), np.zeros((k, k)), np.zeros((k, b.shape[1]))
+    beta = np.ones((len(seqs), k), dtype=np.float32)
+    for p in range(len(cuts) - 2, -1, -1):
+        off, obs, e, alpha, scale = held or forward(p, begins[p])
+        held = None
+        for t in range(len(off) - 2, -1, -1):
+            m = int(off[t + 1] - off[t])
+            now = slice(off[t], off[t] + m)
+            y = beta[:m] * e[now]
+            y /= scale[now, None]
+            np.multiply(alpha[now], beta[:m], out=e[now])  # from here on e holds the states' probabilities
+            before = alpha[off[t - 1] : off[t]] if t else begins[p]
+            if before is not None:
+                n_a += before[:m].T @ y
+                np.matmul(y, a32.T, out=beta[:m])
+        n_b += np.stack([np.bincount(obs, weights=e[:, s], minlength=b.shape[1]) for s in range(k)])
+        if p == 0:
+            n_start = e[: len(seqs)].sum(axis=0, dtype=np.float64)
+        off = obs = e = alpha = scale = None
+    return n_start, n_a * a, n_b, likelihood
 
 
 def log_likelihoods(seqs: list[np.ndarray], start: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,7 +204,7 @@ def train(coded: DataFrame, rounds: int = ROUNDS, states: int = STATES, seed: in
 
         def run(frames: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = None
-            for batch in sub_batches(frames, "syms", chars=3_000_000, rows=1 << 30):
+            for batch in sub_batches(frames, "syms", chars=TRAIN, rows=1 << 30):
                 got = expected_counts([np.frombuffer(s, dtype="<u2") for s in batch.column(0).to_pylist()], *model)
                 total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
             if total is not None:
@@ -182,7 +235,8 @@ def score_texts(docs: DataFrame, held: str, id_col: str = "doc_id", text_col: st
 
     Word counts cover all training documents and are exact. What is shuffled for them are the distinct words of each
     block of documents, not the tokens: counts are summed by word and come back to the blocks, where each document's
-    sums are made. Blocks are bounded in size, or one document. Rows with null or repeated ids are scored like any other,
+    sums are made. Blocks are bounded in size, or one document; a document of any length
+    takes a few numbers of eight bytes a token at a time, and training holds its values by pieces. Rows with null or repeated ids are scored like any other,
     each on its own; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
