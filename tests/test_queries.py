@@ -21,6 +21,30 @@ def test_chunks_equal_whole(spark):
     assert (y.y - y.x.ewm(alpha=0.1, adjust=False).mean()).abs().max() < 1e-9
 
 
+def test_dense_ticks_are_ordered_in_even_ranges(spark):
+    """Most ticks lie in one second of one day, in microseconds of their own; others are spread over months."""
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+    from tidemill.operators.core import even_position, even_ranges
+
+    day = datetime(2024, 2, 28, 23, 59, 59)
+    times = [day + timedelta(microseconds=40 * i * i % 999_983) for i in range(3000)] + [day + timedelta(hours=7 * i - 3000) for i in range(900)]
+    rows = [("a", t, 1.0) for t in {*times}] + [("b", t, 2.0) for t in {*times[:50], *times[-50:]}] + [("c", day, 3.0), ("c", None, 4.0), (None, day, 5.0)]
+    ticks = spark.createDataFrame(rows, "sym string, ts timestamp, x double").repartition(5)
+    placed = sorted(r for r in rows if r[0] and r[1])
+    want, seen = [], {}
+    for r in placed:
+        want.append((*r, seen.setdefault(r[0], 0)))
+        seen[r[0]] += 1
+    for limit in (64, 4096):
+        assert sorted(map(tuple, even_position(ticks.withColumn("ts", F.col("ts").cast("timestamp_ntz")), limit).select("sym", "ts", "x", "rn").collect())) == want
+        assert sorted(map(tuple, even_position(ticks, limit).select("sym", "ts", "x", "rn").collect())) == want
+    sizes = [r["count"] for r in even_ranges(ticks, 64).groupBy("sym", "__range").count().collect()]
+    assert max(sizes) <= 128 and len(sizes) > 40
+    assert even_position(ticks.where(F.lit(False)), 64).count() == 0
+
+
 def test_walk_forward_folds_cover_the_series(spark):
     from tidemill.plans import training
 

@@ -35,6 +35,49 @@ def row_position(df: DataFrame, bucket: str = "day") -> DataFrame:
     return numbered.join(offsets, ["sym", "__day"]).withColumn("rn", F.col("__off") + F.col("__n")).drop("__day", "__off", "__n")
 
 
+def micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a time column with or without time zone, in whose order clocks are never set back."""
+    if df.schema[column].dataType.typeName() == "timestamp_ntz":
+        day, hour, minute = F.unix_date(F.col(column).cast("date")).cast("long"), F.hour(column), F.minute(column)
+        second = F.extract(F.lit("SECOND"), F.col(column)) * 1_000_000
+        return ((day * 24 + hour) * 60 + minute) * 60_000_000 + second.cast("long")
+    return F.unix_micros(column)
+
+
+def even_ranges(df: DataFrame, rows: int = CHUNK) -> DataFrame:
+    """Adds ``__range`` and ``__start``: ranges of time of about ``rows`` rows each (at most twice as many where ``ts`` is
+    unique within the symbol), numbered in the order of time, and the rows of the symbol before the range.
+
+    Rows are counted by second (combined before the shuffle), and those of seconds of more than ``rows`` by microsecond.
+    Prefix sums of the counts, whose quotients by ``rows`` are the ranges, are taken over the microseconds of such a second,
+    the seconds of a day, and the days, so no window orders more than a million counts, however the rows lie. Rows without
+    ``sym`` or ``ts`` have no place and are dropped, an empty table stays empty."""
+    at = df.dropna(subset=["sym", "ts"]).withColumn("__m", micros(df, "ts")).withColumn("__s", F.col("__m") - F.pmod("__m", F.lit(1_000_000)))
+    seconds = cut(at.groupBy("sym", "__s").agg(F.count(F.lit(1)).alias("c")))
+    before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seconds = seconds.withColumn("__day", F.col("__s") - F.pmod("__s", F.lit(86_400_000_000)))
+    days = seconds.groupBy("sym", "__day").agg(F.sum("c").alias("n")).select("sym", "__day", before("n", "sym", "__day").alias("of_day"))
+    seconds = seconds.withColumn("of_second", before("c", "sym", "__day", "__s")).join(days, ["sym", "__day"])
+    seconds = cut(seconds.select("sym", "__s", "c", (F.col("of_day") + F.col("of_second")).alias("p")))
+    heavy = seconds.where(F.col("c") > rows).select("sym", "__s", F.col("p").alias("of_heavy"))
+    inside = F.col("__m") - F.col("__s")
+    fine = at.join(heavy, ["sym", "__s"]).groupBy("sym", "__s", "of_heavy", inside.alias("__u")).agg(F.count(F.lit(1)).alias("c"))
+    fine = fine.select("sym", "__s", "__u", (F.col("of_heavy") + before("c", "sym", "__s", "__u")).alias("p"))
+    light = seconds.where(F.col("c") <= rows).select("sym", "__s", F.lit(0).cast("long").alias("__u"), "p")
+    cells = light.unionByName(fine).withColumn("__range", F.floor(F.col("p") / rows))
+    starts = cells.groupBy("sym", "__range").agg(F.min("p").alias("__start"))
+    cells = cut(cells.join(starts, ["sym", "__range"]).drop("p"))
+    marked = at.join(heavy.select("sym", "__s", F.lit(True).alias("__heavy")), ["sym", "__s"], "left")
+    keyed = marked.withColumn("__u", F.when(F.col("__heavy"), inside).otherwise(F.lit(0)).cast("long"))
+    return keyed.join(cells, ["sym", "__s", "__u"]).select(*df.columns, "__range", "__start")
+
+
+def even_position(df: DataFrame, rows: int = CHUNK) -> DataFrame:
+    """Adds ``rn`` as :func:`row_position` does, for ticks of any density: rows are ordered in :func:`even_ranges`."""
+    inside = Window.partitionBy("sym", "__range").orderBy("ts")
+    return even_ranges(df, rows).withColumn("rn", F.col("__start") + F.row_number().over(inside) - 1).drop("__range", "__start")
+
+
 def chunk_windows(df: DataFrame, back: int, ahead: int, build, chunk: int = CHUNK) -> DataFrame:
     """``build(frame, over)`` on chunks of row positions: rows within ``back`` before or ``ahead`` after a chunk are
     copied into it, so every frame of that reach is complete, and the copies are dropped afterwards. ``over(a, b)`` is

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import cleaning as cl
 from tidemill.operators.bars import ticks
-from tidemill.operators.core import pct_change, row_position
+from tidemill.operators.core import even_position, pct_change, row_position
 from tidemill.plans.queries import BARS, DIGITS, add, bars, shown, table
 
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
@@ -31,7 +31,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
-    t = row_position(ticks(table(s, d, "events")))
+    t = even_position(ticks(table(s, d, "events")))
     return t.withColumn("x", F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.col("price").cast("string")))
 
 
@@ -39,6 +39,11 @@ TEXTS = (
     "WITH t AS (SELECT event_type AS sym, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS rn, "
     "CASE WHEN event_id % 13 <> 0 THEN value END AS x FROM events)"
 )
+add(
+    "tick_position",
+    lambda s, d: even_position(ticks(table(s, d, "events"))).select("sym", "event_id", "rn"),
+    "SELECT event_type AS sym, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS rn FROM events",
+)
 add(
     "coerce_numeric",
     lambda s, d: rounded(cl.fill(cl.coerce_numeric(_texts(s, d), ["x"]), ["x"]).select("sym", "event_id", "x")),
