@@ -55,3 +55,12 @@ def test_walk_forward_folds_cover_the_series(spark):
         mine = sorted((f.test_start, f.test_end, f.train_start, f.train_end) for f in folds if f.sym == sym)
         assert mine[-1][1] == n[sym] and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
         assert all(f[2] == 0 and f[3] == f[0] for f in mine) and mine[0][0] == n[sym] // (training.FOLDS + 1)
+
+
+def test_epoch_milliseconds_beyond_year_9999(spark, tmp_path):
+    """Years of five and six digits, years before 1, and milliseconds that doubles of seconds would lose."""
+    import duckdb
+
+    keys = "(0), (-1), (NULL), (2932892), (2932893), (8999999), (13000001), (106751000), (-719200), (-720000), (-106000000)"
+    duckdb.connect().execute(f"COPY (SELECT k::BIGINT AS o_orderkey FROM (VALUES {keys}) t(k)) TO '{tmp_path}/orders.parquet'")
+    compare(spark, str(tmp_path), QUERIES["epoch_ms_to_ts"], ORACLE_SQL["epoch_ms_to_ts"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.bars import asof_backward
@@ -14,6 +14,16 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
 
 
+def millis_text(ms: Column) -> Column:
+    """Milliseconds since 1970 as ``yyyy-MM-dd HH:mm:ss.SSS`` in UTC, whatever the session's time zone. Whole numbers all the
+    way, so no digit is lost; a year after 9999 has more digits and no sign, one before 0 isn't padded."""
+    at = F.timestamp_add("MILLISECOND", ms, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+    year = F.when(F.year(at) < 0, F.year(at).cast("string")).when(F.year(at) >= 0, F.format_string("%04d", F.year(at)))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(F.hour(at)), two(F.minute(at)), two(F.second(at)))
+    return F.concat(year, F.lit("-"), two(F.month(at)), F.lit("-"), two(F.dayofmonth(at)), F.lit(" "), clock, F.lit("."), F.lpad(F.pmod(ms, F.lit(1000)).cast("string"), 3, "0"))
+
+
 def coerce_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, offenders, example`` in one pass: values that aren't numbers, and the smallest of them."""
     bad = {c: F.col(c).isNotNull() & F.col(c).try_cast("double").isNull() for c in columns}

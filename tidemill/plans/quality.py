@@ -56,7 +56,7 @@ add(
 )
 add(
     "epoch_ms_to_ts",
-    lambda s, d: table(s, d, "orders").select("o_orderkey", F.expr("date_format(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, o_orderkey * 86400123 / 1000), 'yyyy-MM-dd HH:mm:ss.SSS')").alias("at")),
+    lambda s, d: table(s, d, "orders").select("o_orderkey", cl.millis_text(F.col("o_orderkey") * 86400123).alias("at")),
     "SELECT o_orderkey, strftime(epoch_ms(o_orderkey * 86400123), '%Y-%m-%d %H:%M:%S.%g') AS at FROM orders",
 )
 add(
