@@ -95,3 +95,37 @@ def test_a_search_finds_the_run_that_gains_most(spark):
     got = {r.run_id: (r.sym, r.trades, round(r.final_equity, 6)) for r in found.collect()}
     assert got == {0: ("a", 1, round(10000 * (1 + 1 / 102), 6)), 1: ("a", 1, round(10000 * (1 + 2 / 102), 6)), 2: ("a", 0, 10000.0)}
     assert bt.best_run(found).first().run_id == 1
+
+
+def test_trade_stats_without_wins_or_losses_equal_sql(spark, tmp_path):
+    """Symbols with few bars, of which some only win and some only lose."""
+    import duckdb
+
+    from oracle import compare
+    from tidemill.plans.catalog import ORACLE_SQL, QUERIES
+
+    c = duckdb.connect()
+    c.execute(
+        "CREATE TABLE events AS SELECT row_number() OVER (ORDER BY s, h) AS event_id, TIMESTAMP '2024-01-01 00:00:01' + h * INTERVAL 1 HOUR AS ts, 1::BIGINT AS user_id, "
+        "repeat('x', s::INTEGER) AS event_type, (100 + (s * h * h * 7919) % 37)::DOUBLE AS value, '' AS props FROM range(1, 25) a(s), range(12) b(h)",
+    )
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = c.execute(ORACLE_SQL["perf_trade_stats"]).fetchall()
+    assert {0.0, 1.0} < {r[2] for r in want} and all((r[3] is None) == (r[2] in (0.0, 1.0)) for r in want)
+    compare(spark, str(tmp_path), QUERIES["perf_trade_stats"], ORACLE_SQL["perf_trade_stats"])
+
+
+def test_a_long_row_of_losses_stays_whole(spark):
+    """1,700 trades that each lose a fiftieth: equity falls under LEAST_EQUITY, which bounds the log only where it is meant to."""
+    rows = spark.range(1700).select(
+        F.lit("a").alias("sym"), "id", F.lit(T0).alias("ts"), F.col("id").alias("rn"), F.lit(1).alias("side"), F.lit(1.0).alias("entry"), F.lit(0.98).alias("stop"),
+        F.lit(1.04).alias("target"), F.lit("SL").alias("reason"), F.lit(0.98).alias("exit"), (F.col("id") + 1).alias("exit_rn"),
+    )
+    assert bt.trade_stats(bt.trade_log(rows, 1000.0, 0.02, 0.0, least=0.0)).first().trades == 1700 > bt.trade_log(rows, 1000.0, 0.02, 0.0).count()
+
+
+def test_a_stop_at_the_entry_is_no_error(spark):
+    """An average range too small beside the price puts the stop at the entry: the size is then all that the equity buys."""
+    bars = frame(spark, [(8, 8, 8), (9, 8, 9), (9, 9, 9)], ["Long", "Flat", "Flat"], 1e-17)
+    (t,) = trades(bars, 1.0, 2.0, risk=0.02).collect()
+    assert t.stop == t.entry == 8 and t["size"] == 10000 / 8

@@ -114,11 +114,11 @@ def nonoverlap_trades(outcomes: DataFrame) -> DataFrame:
     return outcomes.join(reached, ["sym", "rn"], "left_semi")
 
 
-def trade_log(trades: DataFrame, equity: float, risk: float, commission: float) -> DataFrame:
+def trade_log(trades: DataFrame, equity: float, risk: float, commission: float, least: float = LEAST_EQUITY) -> DataFrame:
     """The trades with number, size, PnL and equity before and after: each multiplies the equity by a factor that doesn't
-    depend on it, so the equity is a running product."""
+    depend on it, so the equity is a running product. Trades on an equity of ``least`` or less don't take place."""
     check_costs(risk, commission, equity)
-    u = F.least(risk / F.abs(F.col("entry") - F.col("stop")), 1 / F.col("entry"))
+    u = F.least(F.try_divide(F.lit(risk), F.abs(F.col("entry") - F.col("stop"))), 1 / F.col("entry"))
     t = trades.withColumn("__u", u).withColumn("__e", F.greatest(F.lit(0.0), 1 - commission * F.col("entry") * F.col("__u")))
     move = F.col("__u") * F.col("side") * (F.col("exit") - F.col("entry"))
     t = t.withColumn("__m", move - commission * F.abs(move)).withColumn("__one", F.lit(1))
@@ -128,7 +128,7 @@ def trade_log(trades: DataFrame, equity: float, risk: float, commission: float)
     )
     t = running(running(t, "__f", "__before", F.product, JOIN_PRODUCT, upto=-1), "__one", "trade_no", upto=-1)
     before = F.lit(float(equity)) * F.col("__before")
-    t = t.where(before > LEAST_EQUITY)
+    t = t.where(before > least)
     size = before * F.col("__u")
     return t.select(
         "sym", F.col("trade_no").cast("long").alias("trade_no"),
@@ -156,7 +156,7 @@ def equity_curve(log: DataFrame, bars: DataFrame, equity: float) -> DataFrame:
     return start.unionByName(points)
 
 
-def strategy_search(df: DataFrame, grid: DataFrame, slippage: float, equity: float, risk: float, commission: float) -> DataFrame:
+def strategy_search(df: DataFrame, grid: DataFrame, slippage: float, equity: float, risk: float, commission: float, least: float = LEAST_EQUITY) -> DataFrame:
     """``run_id, sym, trades, final_equity, total_return`` of each run of ``grid`` (``run_id, sl, tp, least``: Long where
     ``prob`` is over ``least``) on each symbol of ``df`` (bars with ``atr`` and ``prob``), all runs in one set of joins.
 
@@ -169,7 +169,7 @@ def strategy_search(df: DataFrame, grid: DataFrame, slippage: float, equity: flo
     runs = some.crossJoin(F.broadcast(grid)).where("prob > least").withColumn("signal", F.lit("Long"))
     levels = entry_levels(runs, F.col("sl"), F.col("tp"), slippage, "run_id")
     outcomes = cut(_outcomes(levels, bars, slippage).withColumnRenamed("sym", "of").withColumn("sym", F.concat_ws("\x1f", F.col("run_id").cast("string"), "of")))
-    log = trade_log(nonoverlap_trades(outcomes), equity, risk, commission)
+    log = trade_log(nonoverlap_trades(outcomes), equity, risk, commission, least)
     ends = log.groupBy("sym").agg(F.count(F.lit(1)).alias("trades"), F.max_by("equity", "trade_no").alias("final_equity"))
     every = bars.select(F.col("sym").alias("of")).distinct().crossJoin(F.broadcast(grid.select("run_id")))
     found = every.withColumn("sym", F.concat_ws("\x1f", F.col("run_id").cast("string"), "of")).join(ends, "sym", "left")
