@@ -64,3 +64,22 @@ def test_epoch_milliseconds_beyond_year_9999(spark, tmp_path):
     keys = "(0), (-1), (NULL), (2932892), (2932893), (8999999), (13000001), (106751000), (-719200), (-720000), (-106000000)"
     duckdb.connect().execute(f"COPY (SELECT k::BIGINT AS o_orderkey FROM (VALUES {keys}) t(k)) TO '{tmp_path}/orders.parquet'")
     compare(spark, str(tmp_path), QUERIES["epoch_ms_to_ts"], ORACLE_SQL["epoch_ms_to_ts"])
+
+
+def test_filling_looks_ahead_in_growing_frames(spark):
+    """Both sides of a fill equal pandas' over many chunks and over one, and no frame is summed anew for each row."""
+    from pyspark.sql import functions as F
+    from tidemill.operators.cleaning import fill
+    from tidemill.operators.core import carry, carry_sides
+
+    x = F.when((F.col("id") * 7919 % 101 < 9) & F.col("id").between(300, 19000), F.col("id").cast("double"))
+    rows = spark.range(20000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("sym"), F.floor(F.col("id") / 3).alias("k"), "id", x.alias("x"))
+    rows = rows.withColumn("rn", F.when(F.col("sym") == "a", F.col("k")).otherwise(2 * F.col("k") + F.col("id") % 3 - 1)).drop("k")
+    rows = rows.unionByName(rows.limit(50).withColumns({"sym": F.lit("none"), "x": F.lit(None).cast("double"), "rn": F.col("id")}))
+    want = rows.toPandas().sort_values(["sym", "rn"]).reset_index(drop=True)
+    by = want.groupby("sym").x
+    for chunk in (7, 4096, 10**6):
+        got = carry_sides(rows, ["x"], {"f": False, "n": True}, chunk).toPandas().sort_values(["sym", "rn"]).reset_index(drop=True)
+        assert got.xf.equals(by.ffill()) and got.xn.equals(by.bfill()) and got.id.equals(want.id)
+    for filled in (fill(rows, ["x"]), carry(rows, ["x"], "_n", ahead=True)):
+        assert "unboundedfollowing" not in filled._jdf.queryExecution().toString().lower()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.bars import asof_backward
-from tidemill.operators.core import carry, cut, grouped_quantiles, lagged, row_position
+from tidemill.operators.core import carry_sides, cut, grouped_quantiles, lagged, row_position
 
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def coerce_offenders(df: DataFrame, columns: list[str], place: str, n: int = 5)
 def fill(df: DataFrame, columns: list[str], backward_first: bool = False) -> DataFrame:
     """Nulls filled by the last value before and, where there is none, the first after; the other way round with
     ``backward_first``. A column without values stays null."""
-    both = carry(carry(df, columns, "__f"), columns, "__n", ahead=True)
+    both = carry_sides(df, columns, {"__f": False, "__n": True})
     sides = ("__n", "__f") if backward_first else ("__f", "__n")
     return both.withColumns({c: F.coalesce(c, c + sides[0], c + sides[1]) for c in columns}).select(*df.columns)
 
@@ -51,7 +51,7 @@ def fill(df: DataFrame, columns: list[str], backward_first: bool = False) -> Dat
 def interpolate_linear(df: DataFrame, column: str) -> DataFrame:
     """Nulls between two values lie on the line between them by row position; leading and trailing ones take the nearest."""
     point = df.withColumn("__p", F.when(F.col(column).isNotNull(), F.struct("rn", F.col(column).alias("v"))))
-    p = carry(carry(point, ["__p"], "f"), ["__p"], "n", ahead=True)
+    p = carry_sides(point, ["__p"], {"f": False, "n": True})
     line = F.col("__pf.v") + (F.col("__pn.v") - F.col("__pf.v")) * (F.col("rn") - F.col("__pf.rn")) / (F.col("__pn.rn") - F.col("__pf.rn"))
     return p.withColumn(column, F.coalesce(column, line, "__pf.v", "__pn.v")).select(*df.columns)
 

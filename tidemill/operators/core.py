@@ -166,16 +166,21 @@ def running(df: DataFrame, column: str, out: str, aggregate=F.sum, join=JOIN_SUM
 def carry(df: DataFrame, columns: list[str], suffix: str, ahead: bool = False, chunk: int = CHUNK) -> DataFrame:
     """Adds ``<column><suffix>``: the last value at or before each row that isn't null, or the first at or after it
     (``ahead``), in the order of ``rn``. Within a chunk one ordered pass; across chunks one summary row a chunk."""
+    return carry_sides(df, columns, {suffix: ahead}, chunk)
+
+
+def carry_sides(df: DataFrame, columns: list[str], sides: dict[str, bool], chunk: int = CHUNK) -> DataFrame:
+    """:func:`carry` for each of ``sides`` (suffix: whether ahead) at once, with one shuffle of the rows. Looking ahead is
+    looking back in descending order: a frame that only grows is one step a row, one that shrinks is summed anew at each."""
     b = df.withColumn("__b", F.floor(F.col("rn") / chunk))
-    inside, across = Window.partitionBy("sym", "__b").orderBy("rn"), Window.partitionBy("sym").orderBy("__b")
-    if ahead:
-        pick, end, inside, across = F.first, F.min_by, inside.rowsBetween(0, Window.unboundedFollowing), across.rowsBetween(1, Window.unboundedFollowing)
-    else:
-        pick, end, inside, across = F.last, F.max_by, inside.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(Window.unboundedPreceding, -1)
-    ends = b.groupBy("sym", "__b").agg(*[end(c, F.when(F.col(c).isNotNull(), F.col("rn"))).alias(c) for c in columns])
-    outside = ends.select("sym", "__b", *[pick(c, ignorenulls=True).over(across).alias(f"__o{k}") for k, c in enumerate(columns)])
-    found = b.select("*", *[pick(c, ignorenulls=True).over(inside).alias(f"__i{k}") for k, c in enumerate(columns)]).join(outside, ["sym", "__b"])
-    return found.select(*df.columns, *[F.coalesce(f"__i{k}", f"__o{k}").alias(c + suffix) for k, c in enumerate(columns)])
+    wanted = [(f"{k}{suffix}", c, c + suffix, ahead) for suffix, ahead in sides.items() for k, c in enumerate(columns)]
+    order = lambda by, ahead: F.desc(by) if ahead else F.asc(by)
+    inside = lambda ahead: Window.partitionBy("sym", "__b").orderBy(order("rn", ahead)).rowsBetween(Window.unboundedPreceding, 0)
+    across = lambda ahead: Window.partitionBy("sym").orderBy(order("__b", ahead)).rowsBetween(Window.unboundedPreceding, -1)
+    ends = b.groupBy("sym", "__b").agg(*[(F.min_by if ahead else F.max_by)(c, F.when(F.col(c).isNotNull(), F.col("rn"))).alias(f"__e{k}") for k, c, _, ahead in wanted])
+    outside = ends.select("sym", "__b", *[F.last(f"__e{k}", ignorenulls=True).over(across(ahead)).alias(f"__o{k}") for k, _, _, ahead in wanted])
+    found = b.select("*", *[F.last(c, ignorenulls=True).over(inside(ahead)).alias(f"__i{k}") for k, c, _, ahead in wanted]).join(outside, ["sym", "__b"])
+    return found.select(*df.columns, *[F.coalesce(f"__i{k}", f"__o{k}").alias(name) for k, _, name, _ in wanted])
 
 
 def lagged(df: DataFrame, columns: list[str], suffix: str = "_prev") -> DataFrame:
